@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import piece_coding, token_counts
+from . import piece_coding, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
+    "op2_substring_dedup": substring_dedup.query,
+    "op5_simhash": simhash.query,
     "op9_piece_coding": piece_coding.query,
 }
 
