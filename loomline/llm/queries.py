@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import piece_coding, simhash, substring_dedup, token_counts
+from . import decontamination, piece_coding, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_substring_dedup": substring_dedup.query,
+    "op3_url_filter": url_filter.query,
     "op5_simhash": simhash.query,
     "op9_piece_coding": piece_coding.query,
+    "op10_decontamination": decontamination.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op10_decontamination": decontamination.SQL}
