@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, piece_coding, simhash, substring_dedup, token_counts, url_filter
+from . import decontamination, piece_coding, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
     "op2_substring_dedup": substring_dedup.query,
     "op3_url_filter": url_filter.query,
+    "op4_toxicity": toxicity.query,
     "op5_simhash": simhash.query,
     "op9_piece_coding": piece_coding.query,
     "op10_decontamination": decontamination.query,
