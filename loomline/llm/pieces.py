@@ -6,6 +6,8 @@ import heapq
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -142,104 +144,164 @@ class Counts(dict):
 
 
 class Automaton:
-    """Aho-Corasick automaton over all pieces, with links from each state to its longest pieces."""
+    """Aho-Corasick automaton over the UTF-8 bytes of all pieces, read by many texts at once.
+
+    `to` has the next state by state and byte, with failures resolved. `out` is the state of the
+    longest piece that ends at a state (itself or along the output links), `more` the next shorter.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
-        self.step: list[dict[str, int]] = [{}]
-        piece_at: list[tuple[int, float, int] | None] = [None]  # length, score, id
-        for piece, i in vocabulary.ids.items():
-            state = 0
-            for c in piece:
-                if c not in self.step[state]:
-                    self.step[state][c] = len(self.step)
-                    self.step.append({})
-                    piece_at.append(None)
-                state = self.step[state][c]
-            piece_at[state] = (len(piece), vocabulary.scores[piece], i)
-        self.fail = [0] * len(self.step)
-        #: By state: every piece that ends there, longest first (its own and those along output links).
-        self.ends: list[tuple[tuple[int, float, int], ...]] = [()] * len(self.step)
-        queue = list(self.step[0].values())
-        for s in queue:
-            self.ends[s] = (piece_at[s],) if piece_at[s] else ()
-        for s in queue:
-            for c, t in self.step[s].items():
-                f = self.fail[s]
-                while f and c not in self.step[f]:
-                    f = self.fail[f]
-                self.fail[t] = self.step[f].get(c, 0)
-                own = (piece_at[t],) if piece_at[t] else ()
-                self.ends[t] = own + self.ends[self.fail[t]]
-                queue.append(t)
-        #: A character that no piece has costs more than any piece.
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int32)
+        trie: list[dict[int, int]] = [{}]
+        piece: dict[int, tuple[int, float, int]] = {}
+        for text, i in vocabulary.ids.items():
+            state, data = 0, text.encode()
+            for c in data:
+                if c not in trie[state]:
+                    trie[state][c] = len(trie)
+                    trie.append({})
+                state = trie[state][c]
+            piece[state] = (len(data), vocabulary.scores[text], i)
+        n = len(trie)
+        self.to = np.zeros((n, 256), np.int32)
+        self.out, self.more = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        self.length, self.score, self.id = np.zeros(n, np.int32), np.zeros(n), np.zeros(n, np.int32)
+        for state, (size, score, i) in piece.items():
+            self.length[state], self.score[state], self.id[state] = size, score, i
+        level = [(0, c, t) for c, t in trie[0].items()]
+        for _, c, t in level:
+            self.to[0, c] = t
+        fail = {t: 0 for _, _, t in level}
+        while level:
+            after = []
+            for _, _, t in level:
+                f = fail.pop(t)
+                self.more[t] = self.out[f]
+                self.out[t] = t if t in piece else self.out[f]
+                self.to[t] = self.to[f]
+                for c, child in trie[t].items():
+                    fail[child] = self.to[f, c]
+                    after.append((t, c, child))
+            for t, c, child in after:
+                self.to[t, c] = child
+            level = after
+        #: A character that no piece is costs more than any piece.
         self.unknown = min(vocabulary.scores.values()) - 10.0
 
-    def best(self, text: str) -> list[int]:
-        """Ids of the segmentation of greatest score sum; of equal ones, the last piece is the longest."""
-        never = float("-inf")
-        score, back = [0.0], [(0, -1)]
-        step, fail, ends, single = self.step, self.fail, self.ends, self.vocabulary.ids
-        state = 0
-        for i, c in enumerate(text, 1):
-            while (to := step[state].get(c)) is None and state:
-                state = fail[state]
-            state = to or 0
-            top, start, piece = never, 0, -1
-            for length, s, p in ends[state]:
-                x = score[i - length] + s
-                if x > top:
-                    top, start, piece = x, i - length, p
-            if c not in single and (x := score[i - 1] + self.unknown) > top:
-                top, start, piece = x, i - 1, -1
-            score.append(top)
-            back.append((start, piece))
-        i, parts = len(text), []
-        while i:
-            j, piece = back[i]
-            if piece >= 0:
-                parts.append(piece)
-            else:
-                parts += [self.vocabulary.byte_ids[b] for b in reversed(text[j:i].encode("utf-8", "surrogatepass"))]
+    def segmented(self, texts: list[bytes]) -> list[bytes]:
+        """Ids (as int32 bytes) of the segmentation of greatest score sum; of equals, of the longest last piece."""
+        found: list[bytes] = [b""] * len(texts)
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        i = 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and j - i < 8192 and (j - i + 1) * (len(texts[order[j]]) + 1) <= 1 << 19:
+                j += 1
+            for k, ids in zip(order[i:j], self._equal_work([texts[k] for k in order[i:j]])):
+                found[k] = ids
             i = j
-        parts.reverse()
-        return parts
+        return found
+
+    def _equal_work(self, texts: list[bytes]) -> list[bytes]:
+        n, sizes = len(texts), np.array([len(t) for t in texts])
+        most = int(sizes.max(initial=0))
+        data = np.frombuffer(b"".join(t.ljust(most, b" ") for t in texts), np.uint8).reshape(n, most)
+        follows = (data & 0xC0) == 0x80
+        at = np.arange(most)[None]
+        first = np.maximum.accumulate(np.where(follows, 0, at), axis=1)  # where each byte's character begins
+        ends = np.ones((n, most), bool)
+        ends[:, :-1] = ~follows[:, 1:]
+        score = np.full((n, most + 1), -np.inf)
+        score[:, 0] = 0
+        back = np.ones((n, most + 1), np.int32)
+        ids = np.zeros((n, most + 1), np.int32)
+        ids[:, 1:] = self.byte_ids[data]  # what a character without a piece falls back to
+        state = np.zeros(n, np.int32)
+        for i in range(1, most + 1):
+            state = self.to[state, data[:, i - 1]]
+            out = self.out[state]
+            known = np.zeros(n, bool)
+            rows = np.flatnonzero(out >= 0)
+            out = out[rows]
+            width = i - first[:, i - 1]
+            while len(rows):
+                size = self.length[out]
+                new = score[rows, i - size] + self.score[out]
+                better = new > score[rows, i]
+                r, o = rows[better], out[better]
+                score[r, i], back[r, i], ids[r, i] = new[better], self.length[o], self.id[o]
+                known[rows] |= size == width[rows]
+                out = self.more[out]
+                rows, out = rows[out >= 0], out[out >= 0]
+            rows = np.flatnonzero(~known & ends[:, i - 1])
+            new = score[rows, i - width[rows]] + self.unknown
+            r = rows[new > score[rows, i]]
+            score[r, i], back[r, i], ids[r, i] = score[r, i - width[r]] + self.unknown, 1, self.byte_ids[data[r, i - 1]]
+        taken, rows, place = [], np.flatnonzero(sizes > 0), sizes.copy()
+        while len(rows):
+            p = place[rows]
+            taken.append((rows, ids[rows, p]))
+            place[rows] = p - back[rows, p]
+            rows = rows[place[rows] > 0]
+        if not taken:
+            return [b""] * n
+        whose = np.concatenate([r for r, _ in taken])[::-1]
+        flat = np.concatenate([x for _, x in taken])[::-1]
+        flat = flat[np.argsort(whose, kind="stable")].astype("<i4").tobytes()
+        bounds = (4 * np.append(0, np.cumsum(np.bincount(whose, minlength=n)))).tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 class Segments(dict):
-    """Ids by pre-token, segmented once when first met; at most `room` are held at a time."""
+    """Ids (int32 bytes) by pre-token, segmented once when first met; at most `room` are held at a time."""
 
-    def __init__(self, automaton: Automaton, room: int = 900_000) -> None:
+    def __init__(self, automaton: Automaton, vocabulary: Vocabulary, room: int = 700_000) -> None:
         super().__init__()
         self.automaton, self.room = automaton, room
-        self.cut = breaks(automaton.vocabulary).split
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        if len(cut := self.cut(part)) > 1:
-            byte_ids = self.automaton.vocabulary.byte_ids
-            return tuple(i for k, x in enumerate(cut) if x for i in ((byte_ids[ord(x)],) if k % 2 else self[x]))
-        ids = tuple(self.automaton.best(part))
+        self.cut = breaks(vocabulary).split
+        self.own = {c: np.array([vocabulary.byte_ids[ord(c)]], "<i4").tobytes() for c in "\n\t\r"}
+
+    def parts(self, text: str | None) -> list[str]:
+        """Pre-tokens, cut where no piece joins."""
+        found = pre_tokens(text or "")
+        if text and ("\n" in text or "\t" in text or "\r" in text):
+            out: list[str] = []
+            for x in found:
+                if "\n" in x or "\t" in x or "\r" in x:
+                    out += filter(None, self.cut(x))
+                else:
+                    out.append(x)
+            return out
+        return found
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self.parts(t) for t in texts]
         if len(self) > self.room:
             self.clear()
-        if len(part) <= 32:
-            self[part] = ids
-        return ids
-
-    def of(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for part in pre_tokens(text or ""):
-            out += self[part]
+        self.update(self.own)
+        new = list({p for parts in cut for p in parts if p not in self})
+        self.update(zip(new, self.automaton.segmented([p.encode("utf-8", "surrogatepass") for p in new])))
+        out = [b"".join(map(self.__getitem__, parts)) for parts in cut]
+        for p in new:
+            if len(p) > 32:
+                del self[p]
         return out
 
 
-def decoded(ids: list[int], as_bytes: list[bytes]) -> str:
-    """The text of ids, by as_bytes (UTF-8 by id); without the space that stands before every text."""
-    data = b"".join([as_bytes[i] for i in ids]).replace(SPACE.encode(), b" ")
-    return data.decode("utf-8", "replace")[1:] if data[:1] == b" " else data.decode("utf-8", "replace")
+class Decoded:
+    """Texts of ids, by a table of the bytes of every id."""
 
-
-def bytes_by_id(vocabulary: Vocabulary) -> list[bytes]:
-    out = [(s or "").encode() for s in vocabulary.strings]
-    for b, i in enumerate(vocabulary.byte_ids):
-        out[i] = bytes([b])
-    return out
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        parts = [(s or "").replace(SPACE, " ").encode() for s in vocabulary.strings]
+        for b, i in enumerate(vocabulary.byte_ids):
+            parts[i] = bytes([b])
+        self.pool = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(p) for p in parts])
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, ids: np.ndarray) -> bytes:
+        """Without the space that stands before every text."""
+        size = self.size[ids]
+        before = np.cumsum(size) - size
+        data = self.pool[np.repeat(self.start[ids] - before, size) + np.arange(int(size.sum()))].tobytes()
+        return data[1:] if data[:1] == b" " else data
