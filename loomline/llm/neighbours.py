@@ -195,9 +195,9 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
     around = links.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(gather, "block int, own binary, other binary, wanted array<long>")
     around = checkpointed(around)
     full = F.when(F.size("dist") >= k, F.array_max("dist")).otherwise(F.lit(float("inf")).cast("float"))
-    asked = around.select("block", F.explode("wanted").alias("node"))
-    vectors = asked.join(graph.select("node", "vec", full.alias("kth")), "node").select("block", "node", "vec", "kth")
-    found = around.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(local_join, "block int, v binary, w binary, d binary")
+    asked = around.select(F.col("block").alias("to"), F.explode("wanted").alias("node"))
+    vectors = asked.join(graph.select("node", "vec", full.alias("kth")), "node").select("to", "node", "vec", "kth")
+    found = around.groupBy("block").cogroup(vectors.groupBy("to")).applyInArrow(local_join, "block int, v binary, w binary, d binary")
     return checkpointed(graph.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(merge, GRAPH))
 
 

@@ -39,7 +39,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
     schema = T.StructType([*docs.schema.fields, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments, back = held(model_path, lambda: (Segments(Automaton(sent.value), sent.value), Decoded(sent.value)))
+        segments, back = held("segments:" + model_path, lambda: (Segments(Automaton(sent.value), sent.value), Decoded(sent.value)))
         for whole in batches:
             for i in range(0, whole.num_rows, STEP):
                 batch = whole.slice(i, STEP)

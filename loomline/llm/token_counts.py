@@ -30,7 +30,7 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", out_c
 
     @F.pandas_udf(T.LongType())
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counts = held(model_path, lambda: Counts(*sent.value))
+        counts = held("counts:" + model_path, lambda: Counts(*sent.value))
         for texts in batches:
             yield pd.Series([counts.of(t) for t in texts], dtype="int64")
 
