@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -20,19 +21,20 @@ def held(name: str, make: Callable[[], Any]) -> Any:
     return _HELD[name]
 
 
-def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoint() at spark.checkpoint.dir; a temporary folder only where that is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomline-checkpoint-"))
+    return shared or held("shared-folder", lambda: tempfile.mkdtemp(prefix="loomline-shared-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut."""
-    with_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared folder: its lineage is cut, and its size is the files' size.
+
+    (checkpoint() would carry on the estimated sizes of its plan, which iterations multiply.)
+    """
+    path = f"{shared_folder(df.sparkSession)}/loomline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -217,7 +217,7 @@ def both_ways(graph: DataFrame) -> DataFrame:
         F.col("e.near").alias("to"), F.struct(F.col("e.dist").alias("d"), F.col("node").alias("from")).alias("s")
     )
     # a node that very many name is cut down in parts first
-    parts = back.withColumn("part", F.pmod(F.xxhash64("s.from"), F.lit(16))).groupBy("to", "part").agg(F.min_by("s", "s.d", 16).alias("s") if False else F.slice(F.sort_array(F.collect_list("s")), 1, 64).alias("s"))
+    parts = back.withColumn("part", F.pmod(F.xxhash64("s.from"), F.lit(16))).groupBy("to", "part").agg(F.slice(F.sort_array(F.collect_list("s")), 1, 64).alias("s"))
     named = parts.groupBy("to").agg(F.slice(F.sort_array(F.flatten(F.collect_list("s"))), 1, 64).alias("s"))
     named = named.select(F.col("to").alias("node"), F.transform("s", lambda x: x["from"]).alias("more"))
     return graph.join(named, "node", "left").select(
@@ -251,8 +251,8 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
         query, node, bound = np.concatenate(query), np.concatenate(node), np.concatenate(bound)
         to = block_of(node, n_blocks)
         rows = _packed(to, {"query": query, "node": node, "bound": bound}, "block")
-        vecs = [vec[np.unique(place[to == b])].tobytes() for b in rows.column("block").to_pylist()]  # in the order of first use
-        whose = [query[np.sort(np.unique(place[to == b], return_index=True)[1] if False else np.flatnonzero(to == b)[np.unique(place[to == b], return_index=True)[1]])].tobytes() for b in rows.column("block").to_pylist()]
+        vecs = [vec[np.unique(place[to == b])].tobytes() for b in rows.column("block").to_pylist()]  # by row of the block
+        whose = [query[np.flatnonzero(to == b)[np.unique(place[to == b], return_index=True)[1]]].tobytes() for b in rows.column("block").to_pylist()]
         qblock = pa.array([table.column("qblock")[0].as_py()] * rows.num_rows, pa.int32())
         return rows.append_column("vecs", pa.array(vecs, pa.binary())).append_column("whose", pa.array(whose, pa.binary())).append_column("qblock", qblock)
 
@@ -306,7 +306,6 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
 
     starts = queries.select(F.pmod(F.xxhash64("query"), F.lit(n_queries)).cast("int").alias("qblock"), "query", "vec", "start")
     state = checkpointed(starts.groupBy("qblock").applyInArrow(first_state, STATE)).withColumn("open", F.lit(True))
-    parts = [state]
     done: list[DataFrame] = []
     while True:
         active = state.where("open").drop("open")
@@ -320,7 +319,6 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
         done.append(state.where("NOT open"))
         if state.where("open").isEmpty():
             break
-    del parts
 
     def results(batches):
         for batch in batches:
