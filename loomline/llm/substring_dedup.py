@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import exchange
 from .common import packed, text_size, unpacked
-from .hashing import U, buffers, found_in, joined, mixed, runs, sliding, twice, word_hashes, word_spans
+from .hashing import U, buffers, found_in, mixed, runs, sliding, twice, word_hashes, word_spans
 
 #: Bytes of text that a shard, and that the hashes of a bucket, come from.
 SHARD_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 128 << 20, 64
@@ -81,14 +81,19 @@ def _each(table: pa.Table, width: int):
 def _sketch(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The filled cells of a shard's sketch, sorted, and whether each holds two or more."""
     anchors = [b.anchors for _, _, _, b in _each(table, width)]
-    return twice(np.concatenate([*anchors, np.zeros(0, U)]))
+    return twice(cell_of(np.concatenate([*anchors, np.zeros(0, U)])))
+
+
+def cell_of(anchors: np.ndarray) -> np.ndarray:
+    """Cells by anchor; anchors are least hashes, so they are spread over the whole range anew."""
+    return mixed(anchors * U(0x9E3779B97F4A7C15) + U(1))
 
 
 def _candidates(table: pa.Table, cells: np.ndarray, repeated: np.ndarray, width: int):
     """For each block its documents, words, candidate windows and their 128 bits."""
     hot = cells[repeated]
     for i, j, data, block in _each(table, width):
-        at = block.windows[found_in(block.least[block.windows], hot) >= 0]
+        at = block.windows[found_in(cell_of(block.least[block.windows]), hot) >= 0]
         one, two = block.window_hashes(at, data) if len(at) else (np.zeros(0, U), np.zeros(0, U))
         yield i, j, data, block, at, one, two
 
