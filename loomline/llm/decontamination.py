@@ -102,11 +102,11 @@ def judged(
     items = items.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
     found = hits.join(items, [F.equal_null(hits[k], items[k]) for k in keys]).select(*[hits[k].alias(k) for k in keys], "n_hit", "items")
     results = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    base = without(docs, results).withColumn("n_words", _n_words(_split(F.col(text_col))))
-    joined = base.join(found, F.equal_null(F.col(id_col), F.col("__id")) & (F.xxhash64(text_col) == F.col("__text")), "left")
+    base = without(docs, results).withColumn("n_words", _n_words(_split(F.col(text_col)))).withColumn("__own", F.xxhash64(text_col))
+    joined = base.join(found, F.equal_null(F.col(id_col), F.col("__id")) & (F.col("__own") == F.col("__text")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select(
-        *base.columns,
+        *base.columns[:-1],
         n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
