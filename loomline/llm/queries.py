@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, neighbours, piece_coding, simhash, substring_dedup, token_counts, toxicity, url_filter
+from . import decontamination, html_text, neighbours, piece_coding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.query,
     "op4_toxicity": toxicity.query,
     "op5_simhash": simhash.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_neighbours": neighbours.query,
     "op8_html_text": html_text.query,
     "op9_piece_coding": piece_coding.query,

@@ -34,7 +34,7 @@ from .hashing import U, mixed
 
 SEED = 42
 #: Members of a term's list that are compared directly.
-LIST = 2048
+LIST = 16384
 #: Midpoints that are held at a time.
 MIDPOINTS = 4 << 20
 #: Fingerprints of one slice of one term set.
@@ -212,21 +212,36 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 4, col: str = "fp") -> D
     return sent.groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
 
 
+def rooted(rows: DataFrame, id_col: str, max_bits: int, fp_col: str = "fp") -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint: its least id, and one fingerprint for all that links reach."""
+    nodes = checkpointed(rows.groupBy(fp_col).agg(F.min(id_col).alias("least")))
+    found = components(fingerprint_links(nodes, max_bits, fp_col))
+    return nodes.join(found.withColumnRenamed("node", fp_col), fp_col, "left").select(
+        fp_col, "least", F.coalesce("root", fp_col).alias("root")
+    )
+
+
 def with_components(rows: DataFrame, id_col: str = "doc_id", max_bits: int = 4, fp_col: str = "fp") -> DataFrame:
     """rows with component_id, the smallest id of what its fingerprint reaches by links.
 
     rows are read twice; they should be a written table.
     """
-    nodes = checkpointed(rows.groupBy(fp_col).agg(F.min(id_col).alias("least")))
-    found = components(fingerprint_links(nodes, max_bits, fp_col))
-    rooted = nodes.join(found.withColumnRenamed("node", fp_col), fp_col, "left").select(
-        fp_col, "least", F.coalesce("root", fp_col).alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select(fp_col, "component_id")
+    nodes = rooted(rows, id_col, max_bits, fp_col)
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = nodes.join(least, "root").select(fp_col, "component_id")
     return without(rows, ["component_id"]).join(by_fp, fp_col)
 
 
+def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: of those with the smallest id the first."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = checkpointed(with_fingerprints(whole, shingle, "text").select("row", "id", "fp", F.monotonically_increasing_id().alias("place")))
+    roots = rooted(rows, "id", max_bits).select("fp", "root")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
+    kept = rows.select("fp", "id", "place").join(roots, "fp").groupBy("root").agg(first.alias("first")).select("first.place")
+    return rows.join(kept, "place", "left_semi").select("row.*")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id of every row of docs."""
     rows = checkpointed(with_fingerprints(docs.select(id_col, text_col), shingle, text_col).select(id_col, "fp"))
