@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import queries_catalog, queries_text, queries_time
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_time.Q, **queries_text.Q, **queries_catalog.Q}
+ORACLES: dict[str, str] = {**queries_time.O, **queries_text.O, **queries_catalog.O}
 FLAGSHIP = "j3_label_sentences"
