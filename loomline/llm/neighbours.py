@@ -130,23 +130,40 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
         own, other = np.concatenate([own, v]), np.concatenate([other, u])
         order = np.argsort(own, kind="stable")
         wanted = np.unique(other)
+        asks = _packed(block_of(wanted, n_blocks), {"ids": wanted}, "to").to_pylist()
+        kind = pa.list_(pa.struct([("to", pa.int32()), ("ids", pa.binary())]))
         return pa.table(
             {
                 "block": pa.array(g.column("block").to_pylist()[:1] if g.num_rows else [], pa.int32()),
                 "own": pa.array([own[order].tobytes()][: g.num_rows], pa.binary()),
                 "other": pa.array([other[order].tobytes()][: g.num_rows], pa.binary()),
-                "wanted": pa.array([wanted.tolist()][: g.num_rows], pa.list_(pa.int64())),
+                "wanted": pa.array([asks][: g.num_rows], kind),
+            }
+        )
+
+    def serve(g: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = _numbers(g.column("node"))
+        order = np.argsort(ids)
+        x = _matrix(g.column("vec"), np.float32)[order]
+        last = np.array([d[-1] if len(d) >= k and d[-1] is not None else np.inf for d in g.column("dist").to_pylist()], np.float32)[order]
+        at = [np.searchsorted(ids[order], np.frombuffer(b, np.int64)) for b in asked.column("ids").to_pylist()]
+        return pa.table(
+            {
+                "block": asked.column("back"),
+                "ids": asked.column("ids"),
+                "vecs": pa.array([x[a].tobytes() for a in at], pa.binary()),
+                "kth": pa.array([last[a].tobytes() for a in at], pa.binary()),
             }
         )
 
     def local_join(around: pa.Table, vectors: pa.Table) -> pa.Table:
         if not around.num_rows:
             return _packed(np.zeros(0, np.int64), {"v": np.zeros(0, np.int64), "w": np.zeros(0, np.int64), "d": np.zeros(0, np.float32)}, "block")
-        ids = _numbers(vectors.column("node"))
+        ids = _unpacked(vectors.column("ids"), np.int64)
         order = np.argsort(ids)
+        x = _unpacked(vectors.column("vecs"), np.float32).reshape(len(ids), -1)[order]
+        last = _unpacked(vectors.column("kth"), np.float32)[order]
         ids = ids[order]
-        x = _matrix(vectors.column("vec"), np.float32)[order]
-        last = vectors.column("kth").to_numpy().astype(np.float32)[order]
         square = (x * x).sum(1)
         own, other = _unpacked(around.column("own"), np.int64), _unpacked(around.column("other"), np.int64)
         at = np.searchsorted(ids, other)
@@ -192,12 +209,13 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
 
     links = graph.select("block", "node", "near")
     named = links.groupBy("block").applyInArrow(name_neighbours, "block int, v binary, u binary")
-    around = links.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(gather, "block int, own binary, other binary, wanted array<long>")
+    around = links.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(
+        gather, "block int, own binary, other binary, wanted array<struct<to int, ids binary>>"
+    )
     around = checkpointed(around)
-    full = F.when(F.size("dist") >= k, F.array_max("dist")).otherwise(F.lit(float("inf")).cast("float"))
-    asked = around.select(F.col("block").alias("to"), F.explode("wanted").alias("node"))
-    vectors = asked.join(graph.select("node", "vec", full.alias("kth")), "node").select("to", "node", "vec", "kth")
-    found = around.groupBy("block").cogroup(vectors.groupBy("to")).applyInArrow(local_join, "block int, v binary, w binary, d binary")
+    asked = around.select(F.col("block").alias("back"), F.inline("wanted"))
+    vectors = graph.groupBy("block").cogroup(asked.groupBy("to")).applyInArrow(serve, "block int, ids binary, vecs binary, kth binary")
+    found = around.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(local_join, "block int, v binary, w binary, d binary")
     return checkpointed(graph.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(merge, GRAPH))
 
 
