@@ -1 +1,192 @@
+"""Catalog queries: recordings (customers), transcripts (orders), entries (line items), and ordered kernels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..operators import kernels
+
 Q, O = {}, {}
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def j19(spark, sf):
+    """Recordings with their newest transcript, newest first; the left side stays whole."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("newest"), F.count(F.lit(1)).alias("n"))
+    c = table(spark, sf, "customer")
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "newest", F.coalesce("n", F.lit(0)).alias("n_transcripts"))
+
+
+Q["j19_catalog_join"], O["j19_catalog_join"] = j19, "SELECT c_custkey, max(o_orderdate) AS newest, count(o_orderkey) AS n_transcripts FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"
+
+
+def j20(spark, sf):
+    """The newest other transcript of each recording: the second in order of date."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return table(spark, sf, "orders").withColumn("r", F.row_number().over(w)).where("r = 2").select("o_custkey", "o_orderkey")
+
+
+Q["j20_second_reading"], O["j20_second_reading"] = j20, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 2"
+
+
+def j13(spark, sf):
+    """Confidence of each entry from the rated ones of the same part and price; 1 where there is none."""
+    l = table(spark, sf, "lineitem")
+    rated = l.where("l_linenumber = 1").groupBy("l_partkey", "l_quantity").agg(F.max("l_discount").alias("c"))
+    return l.where("l_linenumber = 2").join(rated, ["l_partkey", "l_quantity"], "left").select("l_orderkey", F.coalesce("c", F.lit(1.0)).alias("confidence"))
+
+
+Q["j13_confidences"], O["j13_confidences"] = j13, "SELECT l.l_orderkey, coalesce(r.c, 1.0::DOUBLE) AS confidence FROM lineitem l LEFT JOIN (SELECT l_partkey, l_quantity, max(l_discount) AS c FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2) r ON r.l_partkey = l.l_partkey AND r.l_quantity = l.l_quantity WHERE l.l_linenumber = 2"
+
+
+def a2(spark, sf):
+    l = table(spark, sf, "lineitem")
+    return l.groupBy("l_orderkey").agg(F.round(F.exp(F.avg(F.log(F.col("l_discount") + F.lit(1e-10)))), 8).alias("confidence"), F.min("l_discount").alias("least"))
+
+
+Q["a2_geometric_mean"], O["a2_geometric_mean"] = a2, "SELECT l_orderkey, round(exp(avg(ln(l_discount + 1e-10))), 8) AS confidence, min(l_discount) AS least FROM lineitem GROUP BY 1"
+
+
+def a1(spark, sf):
+    """Votes for a supplier among an order's lines: count, first voter."""
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("votes"), F.min("l_linenumber").alias("first"))
+
+
+Q["a1_votes"], O["a1_votes"] = a1, "SELECT l_orderkey, l_suppkey, count(*) AS votes, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2"
+
+
+def a5(spark, sf):
+    """Margin of the first over the second status among each recording's transcripts."""
+    n = table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("n"), "o_orderstatus")
+    r = n.withColumns({"r": F.row_number().over(w), "all": F.sum("n").over(Window.partitionBy("o_custkey"))})
+    top = lambda k: F.max(F.when(F.col("r") == k, F.col("n")))
+    return r.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("speakers"), F.round((top(1) - F.coalesce(top(2), F.lit(0))) / F.max("all"), 8).alias("margin"))
+
+
+Q["a5_vote_margins"], O["a5_vote_margins"] = a5, """WITH n AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderstatus) AS r FROM n)
+SELECT o_custkey, count(*) AS speakers, round((max(CASE WHEN r = 1 THEN n END) - coalesce(max(CASE WHEN r = 2 THEN n END), 0)) / sum(n), 8) AS margin FROM r GROUP BY 1"""
+
+
+def t4(spark, sf):
+    """Each recording's three newest transcripts."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return table(spark, sf, "orders").withColumn("place", F.row_number().over(w)).where("place <= 3").select("o_custkey", "place", "o_orderkey")
+
+
+Q["t4_newest_first"], O["t4_newest_first"] = t4, "SELECT o_custkey, place, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders) WHERE place <= 3"
+
+
+def p11(spark, sf):
+    """Three-state flags of a recording: null where there is nothing to know it from."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderpriority") == "1-URGENT", True).otherwise(False)).alias("urgent"))
+    c = table(spark, sf, "customer")
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "urgent")
+
+
+Q["p11_counts"], O["p11_counts"] = p11, "SELECT c_custkey, max(o_orderpriority = '1-URGENT') AS urgent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"
+
+
+def s11(spark, sf):
+    """Words of the part names that no earlier part has."""
+    w = table(spark, sf, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
+    return w.groupBy("word").agg(F.min("p_partkey").alias("first"), F.countDistinct("p_partkey").alias("n"))
+
+
+Q["s11_add_word"], O["s11_add_word"] = s11, "SELECT word, min(p_partkey) AS first, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part) GROUP BY 1"
+
+
+def s8(spark, sf):
+    """Sources that some entry uses (left semi), and those that none uses (left anti)."""
+    l = table(spark, sf, "lineitem").where("l_quantity > 49").select("l_suppkey")
+    s = table(spark, sf, "supplier").select("s_suppkey")
+    on = F.col("s_suppkey") == F.col("l_suppkey")
+    return s.join(l, on, "left_semi").withColumn("used", F.lit(True)).unionByName(s.join(l, on, "left_anti").withColumn("used", F.lit(False)))
+
+
+Q["s8_used_sources"], O["s8_used_sources"] = s8, "SELECT s_suppkey, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49) AS used FROM supplier"
+
+
+def a30(spark, sf):
+    """Change scores: dimensions of consecutive frames that differ by over 0.1."""
+    v = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    v = v.withColumn("before", F.lag("embedding").over(w)).where("before IS NOT NULL")
+    score = F.size(F.filter(F.zip_with("embedding", "before", lambda a, b: F.abs(a - b) > F.lit(0.1).cast("float")), lambda x: x))
+    return v.select("vec_id", score.cast("long").alias("score"))
+
+
+Q["a30_change_scores"], O["a30_change_scores"] = a30, """WITH v AS (SELECT vec_id, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
+SELECT vec_id, len(list_filter(list_zip(a, b), lambda x: abs(x[1] - x[2]) > 0.1::FLOAT)) AS score FROM v WHERE b IS NOT NULL"""
+
+
+def t1(spark, sf):
+    """Marks: at most eight frames of each label by score, four or more apart, and where to look."""
+    frames = a30(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    return kernels.select_marks(frames, "label", "vec_id", "score", budget=8, least_gap=4)
+
+
+Q["t1_select_marks"] = t1
+
+
+def t3(spark, sf):
+    """Frames whose sign bits differ in over 20 places from the last kept frame."""
+    bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
+    v = table(spark, sf, "embeddings").select("label", "vec_id", bits.alias("hash"))
+    return kernels.keep_changed(v, "label", "vec_id", "hash", 20)
+
+
+Q["t3_keep_count"] = t3
+
+
+def k4(spark, sf):
+    """Two overlapping chunk streams merged by a longest common subsequence: turns of a conversation, each with the next one's first words."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", r"\s+").alias("words"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = c.withColumn("after", F.lead("words").over(w)).where("after IS NOT NULL")
+    chunks = pairs.select("conv_id", "turn", F.concat("words", F.slice("after", 1, 3)).alias("a"), F.col("after").alias("b"))
+    return kernels.merge_streams(chunks, "a", "b", 8)
+
+
+Q["k4_merge_lcs"] = k4
+
+
+def f10(spark, sf):
+    """Word alignment of each turn with the turn before it: substituted, missed and inserted words."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", r"\s+").alias("words"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return kernels.align(c.withColumn("before", F.lag("words").over(w)).where("before IS NOT NULL"), "before", "words")
+
+
+Q["f10_align"] = f10
+
+
+def k15(spark, sf):
+    """Cue lines of at most 84 characters, cut at words."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return kernels.packed_lines(d, "text", 84)
+
+
+Q["k15_split_cue"] = k15
+
+
+def f13(spark, sf):
+    """FNV-1a of each turn's words."""
+    return kernels.with_fnv(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text")
+
+
+Q["f13_words_hash"] = f13
+
+
+def j12(spark, sf):
+    """Dictionary phrases of up to three words in documents: longest match first, not overlapping."""
+    b = table(spark, sf, "benchmark").select(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("w"), "item_id")
+    phrases = b.select("item_id", F.explode(F.array(*[F.slice("w", 1, k) for k in (1, 2, 3)])).alias("p"))
+    words = phrases.groupBy(F.array_join("p", " ").alias("phrase")).agg(F.min("item_id").alias("entry"))
+    return kernels.find_phrases(table(spark, sf, "documents").select("doc_id", "text"), words, "text", 3)
+
+
+Q["j12_find_phrases"] = j12

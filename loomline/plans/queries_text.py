@@ -1 +1,265 @@
+"""Queries over transcripts: sentences (lines of documents), words, labels, exports and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import text as X
+
 Q, O = {}, {}
+WORD_SQL = r"[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)?"
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, pos, line): the lines of documents."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+SENT = """WITH s AS (SELECT doc_id, i - 1 AS pos, p[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(i))
+"""
+TOK = SENT.rstrip() + f""", w AS (SELECT doc_id, pos, line, regexp_extract_all(line, '{WORD_SQL}') AS words FROM s)
+"""
+
+
+def tokens(spark, sf):
+    return sentences(spark, sf).withColumn("words", X.words(F.col("line")))
+
+
+def f1(spark, sf):
+    return tokens(spark, sf).select("doc_id", "pos", F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("words", "|")).alias("digest"))
+
+
+Q["f1_words"], O["f1_words"] = f1, TOK + "SELECT doc_id, pos, len(words) AS n_words, md5(array_to_string(words, '|')) AS digest FROM w"
+
+
+def l1(spark, sf):
+    return tokens(spark, sf).where(X.is_loop(F.col("words"))).select("doc_id", "pos", F.size("words").cast("long").alias("n"))
+
+
+Q["l1_is_loop"], O["l1_is_loop"] = l1, TOK + "SELECT doc_id, pos, len(words) AS n FROM w WHERE len(words) > 6 AND len(list_distinct(words)) <= greatest(2, len(words) // 3)"
+
+
+def w2(spark, sf):
+    """Runs of two or more neighbouring lines of the same words; lines without words don't break them."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    t = tokens(spark, sf).where(F.size("words") > 0).withColumn("key", F.array_join("words", " "))
+    t = t.withColumn("g", F.sum(F.when(F.lag("key").over(w) == F.col("key"), 0).otherwise(1)).over(w))
+    return t.groupBy("doc_id", "g").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("g")
+
+
+Q["w2_loop_runs"], O["w2_loop_runs"] = w2, TOK + """, k AS (SELECT doc_id, pos, array_to_string(words, ' ') AS key FROM w WHERE len(words) > 0),
+g AS (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY doc_id ORDER BY pos) = key THEN 0 ELSE 1 END AS f FROM k),
+h AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM g)
+SELECT doc_id, min(pos) AS first, max(pos) AS last, count(*) AS n FROM h GROUP BY doc_id, g HAVING count(*) >= 2"""
+
+
+def k9(spark, sf):
+    """Documents without their looping lines: kept and dropped words."""
+    loop = X.is_loop(F.col("words"))
+    n = F.size("words")
+    return tokens(spark, sf).groupBy("doc_id").agg(
+        F.sum(F.when(loop, 0).otherwise(n)).alias("kept"), F.sum(F.when(loop, n).otherwise(0)).alias("unclear"), F.count(F.when(loop, 1)).alias("n_spans")
+    )
+
+
+Q["k9_without_loops"], O["k9_without_loops"] = k9, TOK + ", l AS (SELECT doc_id, len(words) AS n, len(words) > 6 AND len(list_distinct(words)) <= greatest(2, len(words) // 3) AS f FROM w) SELECT doc_id, CAST(sum(CASE WHEN f THEN 0 ELSE n END) AS BIGINT) AS kept, CAST(sum(CASE WHEN f THEN n ELSE 0 END) AS BIGINT) AS unclear, count(CASE WHEN f THEN 1 END) AS n_spans FROM l GROUP BY 1"
+
+
+def p3(spark, sf):
+    """Characters of a document before each line."""
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return sentences(spark, sf).select("doc_id", "pos", F.coalesce(F.sum(F.length("line")).over(w), F.lit(0)).alias("char_offset"))
+
+
+Q["p3_char_offsets"], O["p3_char_offsets"] = p3, SENT + "SELECT doc_id, pos, coalesce(CAST(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS char_offset FROM s"
+
+
+def p1(spark, sf):
+    """Text rebuilt from its lines."""
+    s = sentences(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("a"))
+    return s.select("doc_id", F.md5(F.array_join(F.transform("a", lambda x: x["line"]), "\n")).alias("digest"))
+
+
+Q["p1_text_from_tokens"], O["p1_text_from_tokens"] = p1, "SELECT doc_id, md5(text) AS digest FROM documents"
+
+
+def p6(spark, sf):
+    return sentences(spark, sf).where(X.trimmed(F.col("line")) != "").select("doc_id", "pos")
+
+
+Q["p6_spoken"], O["p6_spoken"] = p6, SENT + r"SELECT doc_id, pos FROM s WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''"
+
+
+def p15(spark, sf):
+    """Documents that every word of a title stands in: the first benchmark words as queries."""
+    q = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("q")).where("item_id < 12")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return d.join(F.broadcast(q), X.search_hit(F.col("text"), F.col("q"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+Q["p15_library_search"], O["p15_library_search"] = p15, r"""WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(array_to_string(regexp_split_to_array(text, '\s+')[1:2], ' ')), '\s+'), lambda x: x <> '') AS ws FROM benchmark WHERE item_id < 12)
+SELECT item_id, count(*) AS n, min(doc_id) AS first FROM documents, q WHERE len(list_filter(ws, lambda x: NOT contains(lower(text), x))) = 0 GROUP BY 1"""
+
+
+def p16(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") * 7919 * 13).alias("ms"))
+    return d.select("doc_id", X.clock(F.col("ms")).alias("srt"), X.clock(F.col("ms"), ".").alias("vtt"), X.short_clock(F.col("ms")).alias("short"))
+
+
+Q["p17_clock"], O["p17_clock"] = p16, """WITH c AS (SELECT doc_id, doc_id * 7919 * 13 AS ms FROM documents)
+SELECT doc_id, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS srt, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS vtt,
+CASE WHEN ms >= 3600000 THEN printf('%d:%02d:%02d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60) ELSE printf('%d:%02d', ms // 60000 % 60, ms // 1000 % 60) END AS short FROM c"""
+
+
+def p19(spark, sf):
+    h = table(spark, sf, "pages").select("page_id", X.escape(F.col("html")).alias("e"), "html")
+    return h.select("page_id", F.md5("e").alias("digest"), (X.unescape(F.col("e")) == F.col("html")).alias("back"))
+
+
+Q["p19_escape"], O["p19_escape"] = p19, "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest, true AS back FROM pages"
+
+
+def a6(spark, sf):
+    share = X.script_share(F.col("text"), "éèêëàâçîïôûùäöüßñáíóú")
+    d = table(spark, sf, "documents").select("doc_id", F.round(share, 6).alias("share"), "lang")
+    return d.select("doc_id", "share", X.language_tag(F.col("share"), F.col("lang")).alias("tag"))
+
+
+Q["a6_script_share"], O["a6_script_share"] = a6, r"""WITH a AS (SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n, length(regexp_replace(text, '[^éèêëàâçîïôûùäöüßñáíóú]', '', 'g')) AS k FROM documents),
+b AS (SELECT doc_id, round(CASE WHEN n > 0 THEN k / n ELSE 0.0::DOUBLE END, 6) AS share FROM a)
+SELECT doc_id, share, CASE WHEN share >= 0.5 THEN 'urdu' WHEN share >= 0.05 THEN 'mixed' ELSE 'english' END AS tag FROM b"""
+
+
+def a20(spark, sf):
+    """Words of five documents or more, with their counts and the share in labelled toxic documents."""
+    w = tokens(spark, sf).select("doc_id", F.explode("words").alias("word")).withColumn("word", F.lower("word"))
+    l = table(spark, sf, "labels").select("doc_id", "toxic")
+    c = w.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(l, "doc_id", "left")
+    return c.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("toxic_docs")).where("docs >= 5")
+
+
+Q["a20_vocabulary"], O["a20_vocabulary"] = a20, TOK + """, x AS (SELECT doc_id, lower(unnest(words)) AS word FROM w), c AS (SELECT word, doc_id, count(*) AS n FROM x GROUP BY ALL)
+SELECT word, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS toxic_docs FROM c LEFT JOIN labels USING (doc_id) GROUP BY word HAVING count(*) >= 5"""
+
+
+def a4(spark, sf):
+    """Turns, words and runs of each role."""
+    c = table(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = c.withColumns({"n": F.size(X.words(F.col("text"))), "new": F.when(F.lag("role").over(w) == F.col("role"), 0).otherwise(1)})
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("words"), F.sum("new").alias("runs"))
+
+
+Q["a4_speaker_histogram"], O["a4_speaker_histogram"] = a4, f"""WITH a AS (SELECT role, len(regexp_extract_all(text, '{WORD_SQL}')) AS n, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS f FROM conversations)
+SELECT role, count(*) AS turns, CAST(sum(n) AS BIGINT) AS words, CAST(sum(f) AS BIGINT) AS runs FROM a GROUP BY 1"""
+
+
+def s12(spark, sf):
+    """Each conversation as SRT: a cue of five seconds for each turn."""
+    c = table(spark, sf, "conversations")
+    cue = F.format_string("%d\n%s --> %s\n%s: %s\n", F.col("turn") + 1, X.clock(F.col("turn") * 5000), X.clock(F.col("turn") * 5000 + 4500), F.col("role"), F.replace("text", F.lit("\n"), F.lit(" ")))
+    one = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("a"))
+    return one.select("conv_id", F.array_join(F.transform("a", lambda x: x["cue"]), "\n").alias("srt"))
+
+
+SRT = """SELECT conv_id, string_agg(printf('%d', turn + 1) || chr(10) || printf('%02d:%02d:%02d,%03d', turn * 5000 // 3600000, turn * 5000 // 60000 % 60, turn * 5000 // 1000 % 60, turn * 5000 % 1000) || ' --> '
+|| printf('%02d:%02d:%02d,%03d', (turn * 5000 + 4500) // 3600000, (turn * 5000 + 4500) // 60000 % 60, (turn * 5000 + 4500) // 1000 % 60, (turn * 5000 + 4500) % 1000) || chr(10) || role || ': ' || replace(text, chr(10), ' ') || chr(10), chr(10) ORDER BY turn) AS srt FROM conversations GROUP BY 1"""
+Q["s12_to_srt"], O["s12_to_srt"] = s12, SRT
+
+
+def s3(spark, sf):
+    """SRT read back: cue times, speaker and text."""
+    from ..sources import captions
+
+    return captions.read_srt(s12(spark, sf), "conv_id", "srt")
+
+
+Q["s3_read_srt"], O["s3_read_srt"] = s3, "SELECT conv_id, turn AS pos, turn * 5000 AS start_ms, turn * 5000 + 4500 AS end_ms, role AS speaker, replace(text, chr(10), ' ') AS line FROM conversations"
+
+
+def s1(spark, sf):
+    d = s12(spark, sf).select("conv_id", "srt")
+    return d.select("conv_id", X.detect_format(F.col("srt")).alias("a"), X.detect_format(F.concat(F.lit("﻿ WEBVTT\n"), "srt")).alias("b"), X.detect_format(F.lit("{}")).alias("c"), X.detect_format(F.lit("none")).alias("d"))
+
+
+Q["s1_detect_format"], O["s1_detect_format"] = s1, "SELECT conv_id, 'srt' AS a, 'vtt' AS b, 'json' AS c, CAST(NULL AS VARCHAR) AS d FROM conversations GROUP BY 1"
+
+
+def f9(spark, sf):
+    """Words one or two edits from a benchmark word of the same first letter and six letters or more."""
+    b = table(spark, sf, "benchmark").select(F.explode(X.words(F.lower("text"))).alias("entry")).where(F.rlike("entry", F.lit("^[a-z]{9,}$"))).distinct()
+    w = table(spark, sf, "conversations").select(F.explode(X.words(F.lower("text"))).alias("word")).where(F.rlike("word", F.lit("^[a-z]{9,}$"))).distinct()
+    key = lambda c: F.substring(c, 1, 3)
+    near = w.join(b, key(F.col("word")) == key(F.col("entry"))).withColumn("edits", F.levenshtein("word", "entry"))
+    return near.where("edits between 1 and 2").select("word", "entry", F.col("edits").cast("long").alias("edits"))
+
+
+Q["f9_edits"], O["f9_edits"] = f9, f"""WITH b AS (SELECT DISTINCT entry FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS entry FROM benchmark) WHERE regexp_matches(entry, '^[a-z]{{9,}}$')),
+w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS word FROM conversations) WHERE regexp_matches(word, '^[a-z]{{9,}}$'))
+SELECT word, entry, CAST(e AS BIGINT) AS edits FROM (SELECT word, entry, len(list_distinct([1])) AS one,
+ damerau_levenshtein(word, entry) AS d, levenshtein(word, entry) AS e FROM w JOIN b ON left(word, 3) = left(entry, 3)) WHERE e BETWEEN 1 AND 2""".replace("len(list_distinct([1])) AS one,\n damerau_levenshtein(word, entry) AS d, ", "")
+
+
+def f14(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.concat(F.octet_length("text").cast("string"), F.lit("-"), F.sha2("text", 256)).alias("content_id"))
+
+
+Q["f14_sha"], O["f14_sha"] = f14, "SELECT doc_id, sha256(text) AS sha, CAST(strlen(text) AS VARCHAR) || '-' || sha256(text) AS content_id FROM documents"
+
+
+def a8(spark, sf):
+    """Nearest-rank percentiles of line lengths by language, and counts over a length."""
+    n = sentences(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").withColumn("n", F.length("line"))
+    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY n)")
+    return n.groupBy("lang").agg(disc(0.5).cast("long").alias("p50"), disc(0.99).cast("long").alias("p99"), F.count(F.when(F.col("n") > 200, 1)).alias("n_long"), F.round(F.expr("percentile(n, 0.9)"), 6).alias("p90_linear"))
+
+
+Q["a8_percentiles"], O["a8_percentiles"] = a8, SENT + "SELECT lang, CAST(quantile_disc(length(line), 0.5) AS BIGINT) AS p50, CAST(quantile_disc(length(line), 0.99) AS BIGINT) AS p99, count(CASE WHEN length(line) > 200 THEN 1 END) AS n_long, round(quantile_cont(length(line), 0.9::DOUBLE), 6) AS p90_linear FROM s JOIN documents USING (doc_id) GROUP BY 1"
+
+
+def a16(spark, sf):
+    """Tinted documents, precision and recall of a score at nine cutoffs: the share of repeated words against quality labels."""
+    w = table(spark, sf, "documents").withColumn("w", X.words(F.col("text"))).where(F.size("w") > 0)
+    s = w.select("doc_id", (F.size(F.array_distinct("w")) / F.size("w")).alias("c")).join(table(spark, sf, "labels"), "doc_id")
+    cuts = F.explode(F.array(*[F.lit(k / 10) for k in range(1, 10)])).alias("cut")
+    each = s.select("c", "quality", cuts)
+    tint = F.col("c") < F.col("cut")
+    return each.groupBy("cut").agg(F.count(F.when(tint, 1)).alias("tinted"), F.count(F.when(tint & (F.col("quality") == 0), 1)).alias("hits"), F.count(F.when(F.col("quality") == 0, 1)).alias("wrong"))
+
+
+Q["a16_cutoff_sweep"], O["a16_cutoff_sweep"] = a16, f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '{WORD_SQL}') AS w FROM documents), s AS (SELECT len(list_distinct(w)) / len(w) AS c, quality FROM w JOIN labels USING (doc_id) WHERE len(w) > 0),
+k AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS cut)
+SELECT cut, count(CASE WHEN c < cut THEN 1 END) AS tinted, count(CASE WHEN c < cut AND quality = 0 THEN 1 END) AS hits, count(CASE WHEN quality = 0 THEN 1 END) AS wrong FROM s, k GROUP BY 1"""
+
+
+def a18(spark, sf):
+    l = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return l.rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("long").alias("good"), F.sum("toxic").cast("long").alias("toxic"))
+
+
+Q["a18_recall_table"], O["a18_recall_table"] = a18, "SELECT lang, source, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)"
+
+
+def u4(spark, sf):
+    """Words of a conversation's later turns that its first turn lacks."""
+    c = table(spark, sf, "conversations").withColumn("w", F.array_distinct(X.words(F.lower("text"))))
+    first = c.where("turn = 0").select("conv_id", F.col("w").alias("f"))
+    return c.where("turn > 0").join(first, "conv_id").select("conv_id", "turn", F.size(F.array_except("w", "f")).cast("long").alias("n_new"), F.size(F.array_union("w", "f")).cast("long").alias("n_all"))
+
+
+Q["u4_key_differences"], O["u4_key_differences"] = u4, f"""WITH c AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '{WORD_SQL}')) AS w FROM conversations)
+SELECT c.conv_id, c.turn, len(list_filter(c.w, lambda x: NOT list_contains(f.w, x))) AS n_new, len(list_distinct(list_concat(c.w, f.w))) AS n_all FROM c JOIN c f ON f.conv_id = c.conv_id AND f.turn = 0 WHERE c.turn > 0"""
+
+
+def k5(spark, sf):
+    """Sentences of a text: ends at . ! ? followed by a space."""
+    w = F.filter(F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: x != "")
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(w).alias("pos", "s")).select("doc_id", "pos", F.md5("s").alias("digest"))
+
+
+Q["k5_tokens_to_sentences"], O["k5_tokens_to_sentences"] = k5, r"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents)
+SELECT doc_id, i - 1 AS pos, md5(p[i]) AS digest FROM p, unnest(range(1, len(p) + 1)) AS u(i)"""
