@@ -133,13 +133,23 @@ def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> np
         same[open_[differ]] = False
         open_ = open_[~differ]
         k += 1
-    rank = np.empty(len(star), np.int64)
-    rank[place] = np.cumsum(np.append(True, ~same))
-    step = 1
-    while rank.max() < len(rank) and step < depth:
-        key = rank * (len(rank) + 2) + np.append(rank[step:], np.zeros(min(step, len(rank)), np.int64))[: len(rank)]
-        by = np.argsort(key, kind="stable")
-        rank[by] = np.cumsum(np.append(True, key[by][1:] != key[by][:-1]))
+    n = len(star)
+    head = np.flatnonzero(np.append(True, ~same))
+    sizes = np.diff(np.append(head, n))
+    rank = np.empty(n, np.int64)  # one more than how many are smaller for sure
+    rank[place] = np.repeat(head, sizes) + 1
+    open_, step = place[np.repeat(sizes > 1, sizes)], 1
+    while len(open_) and step < depth:  # only what still has equals is sorted again
+        after = open_ + step
+        key = rank[open_] * (n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)], 0)
+        by = np.argsort(key)
+        open_, key = open_[by], key[by]
+        old = rank[open_]
+        group = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(head, len(key)))
+        rank[open_] = old + np.repeat(head, sizes) - np.repeat(group, np.diff(np.append(group, len(key))))
+        open_ = open_[np.repeat(sizes > 1, sizes)]
         step *= 2
     order = _induced(t, small, star[np.argsort(rank, kind="stable")], in_memory)
     return order[order < len(text)]
@@ -148,12 +158,14 @@ def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> np
 def common_prefix_reaches(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """For each of order but the first, whether it shares its first `depth` bytes with the one before it."""
     reach = np.zeros(max(len(order) - 1, 0), bool)
-    eights = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
+    windows = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
+    eights = np.ascontiguousarray(windows).view("<u8").ravel()  # the eight bytes from each place on
     left = np.flatnonzero(np.maximum(order[1:], order[:-1]) + depth <= len(text))
+    one, two = order[left], order[left + 1]
     for k in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 and depth >= 8 else [])]:
-        a = eights[order[left] + k].view("<u8").ravel()
-        b = eights[order[left + 1] + k].view("<u8").ravel()
-        left = left[a == b]
+        same = eights[one + k] == eights[two + k]
+        if not same.all():
+            left, one, two = left[same], one[same], two[same]
     if depth < 8:
         for k in range(depth):
             left = left[text[order[left] + k] == text[order[left + 1] + k]]
