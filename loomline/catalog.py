@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_catalog, queries_more, queries_text, queries_time
+from .plans import queries_catalog, queries_more, queries_shape, queries_text, queries_time
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_time.Q, **queries_text.Q, **queries_catalog.Q, **queries_more.Q}
-ORACLES: dict[str, str] = {**queries_time.O, **queries_text.O, **queries_catalog.O, **queries_more.O}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_time.Q, **queries_text.Q, **queries_catalog.Q, **queries_more.Q, **queries_shape.Q}
+ORACLES: dict[str, str] = {**queries_time.O, **queries_text.O, **queries_catalog.O, **queries_more.O, **queries_shape.O}
 FLAGSHIP = "j3_label_sentences"
