@@ -81,10 +81,8 @@ Q["k11_merged_spans"], O["k11_merged_spans"] = k11, EV + "," + MERGED + " SELECT
 
 def k13(spark, sf):
     """Mute spans: padded by 0.1 s, at most 1.4 s or to the next start, clipped and merged."""
-    w = Window.partitionBy("user_id").orderBy("t")
     p = points(spark, sf).withColumn("next", F.min("t").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(1, Window.unboundedFollowing)))
     hit = p.where("event_type = 'error'").select("user_id", F.greatest(F.col("t") - 100, F.lit(0)).alias("start"), (F.least(F.col("t") + 1400, F.coalesce("next", F.col("t") + 1400)) + 100).alias("end"))
-    del w
     return I.merged_spans(hit, "user_id").select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n_spans")
 
 
