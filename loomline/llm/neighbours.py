@@ -21,7 +21,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import checkpointed
 
@@ -359,8 +359,6 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
 
 def nearest(rows: DataFrame, is_query: Column, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, rounds: int = 6, beam: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` nearest other rows found for each row that is_query (of id) holds for."""
-    from pyspark.sql import Window
-
     good = checkpointed(usable(rows, id_col, vector_col))
     copies = good.groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     nodes = checkpointed(copies)
