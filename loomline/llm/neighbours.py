@@ -184,7 +184,7 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
             n_held += len(a)
             if n_held > HELD or i + 128 >= len(starts):
                 parts = [np.concatenate(p) for p in zip(kept, *held)]
-                kept = _best(*parts, (k + 1) // 2)[:3]
+                kept = _best(*parts, k)[:3]  # k suffice: what ends among the k nearest is among the k best found
                 held, n_held = [], 0
         v = ids[kept[0]]
         return _packed(block_of(v, n_blocks), {"v": v, "w": ids[kept[1]], "d": kept[2].astype(np.float32)}, "block")

@@ -3,7 +3,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm.neighbours import nearest, query
+from loomline.llm.neighbours import build_graph, nearest, query
 
 
 def brute(ids, x, queries, top=10):
@@ -48,3 +48,13 @@ def test_odd_vectors_and_copies(spark):
 def test_few_rows(spark, n):
     df = spark.createDataFrame([(100 * i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<float>")
     assert nearest(df, F.col("id") % 100 == 0).count() == n * (n - 1)
+
+
+def test_graph_of_three_rounds_holds_the_nearest(spark):
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), np.float32).astype(float)
+    true = brute(ids, x, range(len(ids)), 32)
+    vectors = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist())], "node long, vec array<float>")
+    got = build_graph(vectors, rounds=3).select("node", "near").collect()
+    hits = sum(len({v for v, _ in true[r.node]} & set(r.near)) for r in got)
+    assert len(got) == len(ids) and hits >= 0.9 * 32 * len(ids)
