@@ -16,6 +16,7 @@ from .hashing import U
 
 SENT = "bucket int, shard int, keys binary, checks binary, twice binary"
 ANSWER = "shard int, bucket int, repeated binary"
+KEYS = "shard int, bucket int, repeated binary, many binary"
 
 
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -39,7 +40,7 @@ def send(shard: int, keys: np.ndarray, checks: np.ndarray | None, twice: np.ndar
     )
 
 
-def _answer(sent: pa.Table) -> pa.Table:
+def answer(sent: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, U) for x in sent.column("keys").to_pylist()]
     keys = np.concatenate(parts)
     checks = np.concatenate([np.frombuffer(x, U) for x in sent.column("checks").to_pylist()])
@@ -67,7 +68,30 @@ def _answer(sent: pa.Table) -> pa.Table:
 
 def answered(sent: DataFrame) -> DataFrame:
     """One row of ANSWER for each row of SENT."""
-    return sent.groupBy("bucket").applyInArrow(_answer, ANSWER)
+    return sent.groupBy("bucket").applyInArrow(answer, ANSWER)
+
+
+def repeated_keys(sent: DataFrame, crowded: int) -> DataFrame:
+    """For each row of SENT its repeated keys, and whether each one's checks (numbers here) add up to over `crowded`."""
+
+    def keys_of(sent: pa.Table) -> pa.Table:
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in sent.column(c).to_pylist()]
+        parts = read("keys", U)
+        all_, place = np.unique(np.concatenate(parts), return_inverse=True)
+        add = lambda x: np.bincount(place, np.concatenate(x).astype(float), len(all_))[place]
+        repeated, many = add([x + 1.0 for x in read("twice", np.uint8)]) >= 2, add(read("checks", U)) > crowded
+        ends = np.cumsum([len(x) for x in parts])
+        own = [slice(e - len(x), e) for x, e in zip(parts, ends)]
+        return pa.table(
+            {
+                "shard": sent.column("shard"),
+                "bucket": sent.column("bucket"),
+                "repeated": pa.array([x[repeated[o]].tobytes() for x, o in zip(parts, own)], pa.binary()),
+                "many": pa.array([many[o][repeated[o]].tobytes() for o in own], pa.binary()),
+            }
+        )
+
+    return sent.groupBy("bucket").applyInArrow(keys_of, KEYS)
 
 
 def read_answer(answer: pa.Table, keys: np.ndarray, n_buckets: int) -> np.ndarray:

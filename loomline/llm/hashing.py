@@ -92,7 +92,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """64-bit hash of each word: eight bytes at a time, words of over 256 bytes by BLAKE2."""
     n = ends - starts
     eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
-    h = mixed(n.astype(U) + U(seed) * _G)
+    h = mixed(n.astype(U) + U(seed * int(_G) & (1 << 64) - 1))
     todo, at = np.flatnonzero(n <= 256), 0
     while len(todo):
         left = n[todo] - at
@@ -112,12 +112,39 @@ def byte_grams(data: np.ndarray, seed: int) -> np.ndarray:
     if len(data) < 16:
         return np.zeros(0, U)
     eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
-    x = (eights[:-8] + U(seed) * _G) * _C
+    x = (eights[:-8] + U(seed * int(_G) & (1 << 64) - 1)) * _C
     x ^= x >> U(32)
     x += eights[8:]
     return mixed(x)
 
 
+def blocks(offsets: np.ndarray, size: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of documents of about `size` bytes; a longer document is a block of its own."""
+    out, i, n = [], 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        out.append((i, j))
+        i = j
+    return out
+
+
+def cell_of(anchors: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Anchors are least hashes; here they are spread over the whole range anew."""
+    return mixed(anchors * _G + U(seed))
+
+
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct 128-bit values in order, whether each stands there twice, and each value's place in them."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(first)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return a[at], b[at], np.diff(np.append(at, len(a))) >= 2, place
+
+
 def twice(h: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of h, sorted, and whether each stands there twice (or weighs 2)."""
     order = np.argsort(h, kind="stable")

@@ -1,4 +1,18 @@
-"""Suffix order of a byte text by induced sorting with queues that spill to disk."""
+"""External induced sorting: suffix order and common prefixes of a text, by queues on disk and recursion.
+
+Suffixes are S (smaller than the next one) or L. The leftmost S suffixes are ordered by recursion: their
+substrings are ordered by one induction and named, and the text of the names is sorted the same way. Their
+order induces that of the L suffixes, and that of the S suffixes.
+
+An induction is a priority queue of tuples (symbol, position, common prefix). It pops a range of symbols at a
+time, smallest first; each popped suffix pushes the one before it, if that is of the wanted type. The prefix a
+tuple carries is what it has in common with the tuple of its symbol that was pushed before it: one more than the
+least prefix passed since then (none, if another range was popped meanwhile). What is pushed into the range being
+popped is ordered there by doubling along its chain of successors, and its prefixes are compared directly. The
+queue holds at most `in_memory` tuples; what is more goes to a file of its range. Arrays of more than `in_memory`
+cells (text, types, order, prefixes) are files too, mapped. In memory are the range being popped and, at eight
+bytes each, some arrays of the leftmost S suffixes of a level (a third of the text at most).
+"""
 
 from __future__ import annotations
 
@@ -6,168 +20,314 @@ import tempfile
 
 import numpy as np
 
-#: Positions that the queues of one pass hold in memory; what is more goes to a temporary file.
-IN_MEMORY = 8 << 20
+#: Tuples (and cells of an array) that are held in memory; what is more is on disk.
+IN_MEMORY = 1 << 17
+#: Suffixes that are popped together, about.
+RANGE = 1 << 17
 
 
-class Queues:
-    """A priority queue of suffixes by first symbol, first in first out within a symbol.
+def cells(n: int, kind, in_memory: int) -> np.ndarray:
+    """n zeros, in a mapped file of the task's scratch folder if they are many."""
+    if n <= in_memory:
+        return np.zeros(n, kind)
+    with tempfile.TemporaryFile() as f:
+        f.truncate(n * np.dtype(kind).itemsize)
+        return np.memmap(f, kind, "r+", shape=(n,)).view(np.ndarray)
 
-    Induction visits symbols in order and adds suffixes of symbols still to come, so the queue of
-    a symbol is a list of blocks; the blocks in memory are written out when they grow too many.
-    """
 
-    def __init__(self, in_memory: int = IN_MEMORY) -> None:
-        self.blocks: dict[int, list] = {}
-        self.held, self.in_memory, self.file = 0, in_memory, None
-
-    def add(self, symbols: np.ndarray, positions: np.ndarray) -> None:
-        order = np.argsort(symbols, kind="stable")
-        positions, symbols = positions[order], symbols[order]
-        first = np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])) if len(symbols) else []
-        for c, part in zip(symbols[first].tolist() if len(symbols) else [], np.split(positions, first[1:]) if len(symbols) else []):
-            self.blocks.setdefault(c, []).append(part)
-        self.held += len(positions)
+class Queue:
+    """Tuples by range of symbols, first in first out within a symbol."""
+
+    def __init__(self, bounds: np.ndarray, in_memory: int) -> None:
+        self.bounds, self.in_memory, self.held, self.file, self.end, self.spilled = bounds, in_memory, 0, None, 0, 0
+        self.parts: list[list] = [[] for _ in bounds]
+
+    def push(self, symbols: np.ndarray, positions: np.ndarray, prefixes: np.ndarray) -> None:
+        """Symbols come in order, equal ones in their order of arrival."""
+        if not len(symbols):
+            return
+        where = np.searchsorted(self.bounds, symbols, "right") - 1
+        first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+        for r, i, j in zip(where[first].tolist(), first.tolist(), [*first[1:].tolist(), len(symbols)]):
+            rows = np.empty(j - i, "i8,i8,i2")
+            rows["f0"], rows["f1"], rows["f2"] = symbols[i:j], positions[i:j], prefixes[i:j]
+            self.parts[r].append(rows)
+        self.held += len(symbols)
         if self.held > self.in_memory:
             self.spill()
 
     def spill(self) -> None:
         self.file = self.file or tempfile.TemporaryFile()
-        for blocks in self.blocks.values():
-            for k, block in enumerate(blocks):
-                if isinstance(block, np.ndarray):
-                    blocks[k] = (self.file.seek(0, 2), len(block))
-                    self.file.write(np.ascontiguousarray(block, np.int64).tobytes())
+        self.file.seek(self.end)
+        for parts in self.parts:
+            own = [k for k, x in enumerate(parts) if isinstance(x, np.ndarray)]
+            if own:  # parts on disk come before those in memory
+                rows = np.concatenate(parts[own[0] :])
+                self.file.write(rows.tobytes())
+                parts[own[0] :] = [(self.end, len(rows))]
+                self.end += rows.nbytes
+                self.spilled += len(rows)
         self.held = 0
 
-    def pop(self, symbol: int) -> np.ndarray:
-        out = [np.zeros(0, np.int64)]
-        for block in self.blocks.pop(symbol, []):
-            if isinstance(block, tuple):
-                self.file.seek(block[0])
-                block = np.frombuffer(self.file.read(8 * block[1]), np.int64)
+    def pop(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = [np.empty(0, "i8,i8,i2")]
+        for part in self.parts[r]:
+            if isinstance(part, tuple):
+                self.file.seek(part[0])
+                part = np.frombuffer(self.file.read(18 * part[1]), "i8,i8,i2")
             else:
-                self.held -= len(block)
-            out.append(block)
-        return np.concatenate(out)
+                self.held -= len(part)
+            out.append(part)
+        self.parts[r] = []
+        rows = np.concatenate(out)
+        by = np.argsort(_narrow(rows["f0"] - (rows["f0"].min() if len(rows) else 0)), kind="stable")
+        return rows["f0"][by], rows["f1"][by], rows["f2"][by]
 
     def close(self) -> None:
         if self.file:
             self.file.close()
 
 
-def _smaller(t: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the next one (type S)."""
-    up = np.sign(np.diff(t.astype(np.int32)))
-    at = np.where(up != 0, np.arange(len(up)), len(up))
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(up, 1)[at] > 0, True)
-
-
-def _induced(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, in_memory: int) -> np.ndarray:
-    """All suffixes, in the order that the order of the seeds (leftmost S suffixes) induces."""
-    symbols = np.unique(t)
-    from_seeds = Queues(in_memory)
-    from_seeds.add(t[seeds], seeds)
-    larger: dict[int, np.ndarray] = {}
-    queue = Queues(in_memory)
-
-    def spread(positions: np.ndarray, s_type: bool) -> tuple[np.ndarray, np.ndarray]:
-        before = positions[positions > 0] - 1
-        before = before[small[before] == s_type]
-        return t[before], before
-
-    for c in symbols.tolist():  # L suffixes, smallest first
-        mine, part = [], queue.pop(c)
-        while len(part):
-            mine.append(part)
-            s, before = spread(part, False)
-            same = s == c
-            part = before[same]
-            queue.add(s[~same], before[~same])
-        larger[c] = np.concatenate([np.zeros(0, np.int64), *mine])
-        queue.add(*spread(from_seeds.pop(c), False))
-    out = []
-    down = Queues(in_memory)
-    for c in symbols[::-1].tolist():  # S suffixes, largest first
-        mine, part = [], down.pop(c)
-        while len(part):
-            mine.append(part)
-            s, before = spread(part, True)
-            same = s == c
-            part = before[same]
-            down.add(s[~same], before[~same])
-        out += [*mine, larger[c][::-1]]
-        down.add(*spread(larger[c][::-1], True))
-    for q in (from_seeds, queue, down):
-        q.close()
-    out.append(np.array([len(t) - 1]))  # the end of the text, which nothing induces
-    return np.concatenate(out)[::-1]
-
-
-def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> np.ndarray:
-    """Starts of all suffixes of the bytes of text, ordered by at least their first `depth` bytes.
-
-    Leftmost S suffixes are sorted by their substrings by one induction, named, ordered by their
-    names (ranks of runs of names, doubled until they differ or cover depth), and induce the rest.
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """x in 16 bits where it fits: those are sorted by digits."""
+    return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x
+
+
+def types(t: np.ndarray, in_memory: int) -> np.ndarray:
+    """Whether each suffix is of type S; the last one, the end, is."""
+    small = cells(len(t), bool, in_memory)
+    after, step = True, 1 << 20
+    for i in range((len(t) - 1) // step * step, -1, -step):
+        j = min(i + step, len(t) - 1)
+        up = np.sign(np.diff(t[i : j + 1].astype(np.int64)))
+        at = np.where(up != 0, np.arange(len(up)), len(up))
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        small[i:j] = np.append(up, 1 if after else -1)[at] > 0
+        if j == len(t) - 1:
+            small[j] = True
+        after = bool(small[i])
+    return small
+
+
+def _agree(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, known: int = 0) -> np.ndarray:
+    """Symbols, at most depth, that the suffixes at a and b have in common; at least `known` of them agree."""
+    out = np.full(len(a), known, np.int64)
+    left = np.arange(len(a))
+    if t.dtype == np.uint16 and len(t) > 4:  # four symbols at a time
+        fours = np.ndarray((len(t) - 3,), "<u8", t, strides=(2,))
+        while len(left):
+            k = out[left[0]]
+            left = left[(np.maximum(a[left], b[left]) + k + 4 <= len(t)) & (k + 4 <= depth)]
+            left = left[fours[a[left] + k] == fours[b[left] + k]]
+            out[left] = k + 4
+        left = np.arange(len(a))
+    while len(left):
+        k = out[left]
+        left = left[(np.maximum(a[left], b[left]) + k < len(t)) & (k < depth)]
+        k = out[left]
+        left = left[t[a[left] + k] == t[b[left] + k]]
+        out[left] += 1
+    return out
+
+
+class Least:
+    """Least of any range of values, by doubling."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.rows = np.empty((max(len(x), 1).bit_length(), len(x)), x.dtype)
+        self.rows[0] = x
+        for level in range(1, len(self.rows)):
+            k = 1 << level - 1
+            np.minimum(self.rows[level - 1, : len(x) - 2 * k + 1], self.rows[level - 1, k : len(x) - k + 1], out=self.rows[level, : len(x) - 2 * k + 1])
+
+    def of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Least of x[i:j], j > i."""
+        level = np.frexp((j - i).astype(np.float32))[1] - 1
+        return np.minimum(self.rows[level, i], self.rows[level, j - (1 << level)])
+
+
+def _in_range(first: np.ndarray, lo: int, hi: int, before, symbol_of) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes that those of a range put into the same range, again and again: positions and, of all, the successor's place."""
+    news, succ, base, part = [], [], 0, first
+    while True:
+        p, keep = before(part)
+        own = (s := symbol_of(p)) <= hi
+        own &= s >= lo
+        if not own.any():
+            break
+        news.append(p[own])
+        succ.append(base + keep[own])
+        base, part = base + len(part), news[-1]
+    return (np.concatenate(news), np.concatenate(succ)) if news else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _chained(slot: np.ndarray, symbols: np.ndarray, n: int, succ: np.ndarray) -> np.ndarray:
+    """Order of new suffixes by slot (their place among the n of a range), symbol and order of their successors, by doubling.
+
+    succ counts the n first, then the new ones.
     """
-    t = np.append(text.astype(np.uint16) + 1, np.uint16(0))
-    small = _smaller(t)
+    base, scale = np.concatenate([2 * np.arange(n), 2 * slot - 1]), len(slot) + 2
+    jump, group = np.concatenate([np.arange(n), succ]), np.unique(symbols, return_inverse=True)[1]
+    while True:
+        full = base * scale
+        full[n:] += group
+        key, own = full[jump[n:]], full[n:]
+        by = np.lexsort((key, own))
+        head = np.append(True, (own[by][1:] != own[by][:-1]) | (key[by][1:] != key[by][:-1]))
+        if head.all():
+            return by
+        group[by] = np.cumsum(head)
+        jump = jump[jump]
+
+
+def _induced(t, wanted: np.ndarray, up: bool, seeds, depth: int, n_symbols: int, in_memory: int, popped: int, stats: dict | None):
+    """Suffixes of the wanted type and the seeds, in order (upwards or downwards), with their prefixes.
+
+    seeds: batches of (positions, prefixes) in that order; within a symbol they come behind the wanted ones.
+    Without depth no prefixes are carried.
+    """
+    symbol_of = (lambda p: t[p].astype(np.int64)) if up else (lambda p: n_symbols - 1 - t[p].astype(np.int64))
+    counts = np.bincount(t, minlength=n_symbols) if len(t) <= 1 << 20 else sum(np.bincount(t[i : i + (1 << 20)], minlength=n_symbols) for i in range(0, len(t), 1 << 20))
+    total = np.cumsum(counts if up else counts[::-1])
+    bounds = np.flatnonzero(np.append(True, np.diff((total - 1) // popped) > 0))  # a range begins where its share is full
+    queue = Queue(bounds, in_memory)
+    seeds = iter(seeds)
+    seed_p, seed_l = next(seeds, (np.zeros(0, np.int64), np.zeros(0, np.int16)))
+
+    def before(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.flatnonzero(p > 0)
+        keep = keep[wanted[p[keep] - 1]]
+        return p[keep] - 1, keep
+
+    for r, lo in enumerate(bounds.tolist()):
+        hi = (bounds[r + 1] if r + 1 < len(bounds) else n_symbols) - 1
+        symbols, places, prefixes = queue.pop(r)
+        mine_p, mine_l = [], []
+        while len(seed_p):
+            stop = int(np.searchsorted(symbol_of(seed_p), hi, "right"))
+            mine_p.append(seed_p[:stop])
+            mine_l.append(seed_l[:stop])
+            seed_p, seed_l = seed_p[stop:], seed_l[stop:]
+            if len(seed_p):
+                break
+            seed_p, seed_l = next(seeds, (np.zeros(0, np.int64), np.zeros(0, np.int16)))
+        own_p = np.concatenate([np.zeros(0, np.int64), *mine_p])
+        own_l = np.concatenate([np.zeros(0, np.int16), *mine_l])
+        p = np.concatenate([places, own_p])
+        if not len(p):
+            continue
+        s = np.concatenate([symbols, symbol_of(own_p)])
+        k = np.repeat(np.array([0, 2], np.int8), [len(places), len(own_p)])
+        prefix = np.concatenate([prefixes, own_l])
+        if len(places) and len(own_p):
+            by = np.argsort(_narrow((s - lo) * 2 + (k > 0)), kind="stable")
+            p, s, k, prefix = p[by], s[by], k[by], prefix[by]
+        new, succ = _in_range(p, lo, hi, before, symbol_of)
+        if len(new):
+            named = symbol_of(new)
+            slot = np.searchsorted(s * 2 + (k > 0), named * 2 + 1)
+            by = _chained(slot, named, len(p), succ)
+            p, s, k, prefix = (np.insert(x, slot[by], y) for x, y in ((p, new[by]), (s, named[by]), (k, 1), (prefix, 0)))
+        if depth:
+            same = np.append(False, s[1:] == s[:-1])
+            prefix[~same] = 0
+            open_ = np.flatnonzero(same & ((k == 1) | np.append(False, k[1:] != k[:-1])))
+            prefix[open_] = _agree(t, p[open_], p[open_ - 1], depth, 1)
+        yield p, prefix, k == 2
+        q, at = before(p)
+        to = symbol_of(q)
+        far = to > hi
+        q, at, to = q[far], at[far], to[far]
+        order = np.argsort(_narrow(to), kind="stable")
+        q, at, to = q[order], at[order], to[order]
+        if len(to):
+            head = np.append(True, to[1:] != to[:-1])
+            carried = np.zeros(len(to), np.int16)  # ranges begin with a symbol of their own
+            if depth:
+                carried[~head] = Least(prefix).of(np.append(0, at[:-1] + 1)[~head], at[~head] + 1)
+            queue.push(to, q, np.minimum(carried + 1, depth))
+    if stats is not None:
+        stats["spilled"] = stats.get("spilled", 0) + queue.spilled
+    queue.close()
+
+
+def _batches(p: np.ndarray, prefixes: np.ndarray, size: int):
+    for i in range(0, len(p), size):
+        yield p[i : i + size], prefixes[i : i + size]
+
+
+def _both(t, small, seeds, depth: int, n_symbols: int, in_memory: int, popped: int, stats: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in the order that the seeds (leftmost S suffixes and their prefixes) induce, with their prefixes."""
+    n, n_large = len(t), 0
+    large_p, large_l = cells(n, np.int64, in_memory), cells(n, np.int16, in_memory)
+    for p, prefix, seed in _induced(t, ~small, True, seeds, depth, n_symbols, in_memory, popped, stats):
+        p, prefix = p[~seed], prefix[~seed]
+        large_p[n_large : n_large + len(p)], large_l[n_large : n_large + len(p)] = p, prefix
+        n_large += len(p)
+
+    def downwards():
+        for j in range(n_large, 0, -popped):
+            i = max(j - popped, 0)
+            yield large_p[i:j][::-1], np.append(large_l[j] if j < n_large else 0, large_l[i + 1 : j][::-1]).astype(np.int16)
+
+    order, prefixes, at = cells(n, np.int64, in_memory), cells(n + 1, np.int16, in_memory), n
+    for p, prefix, _ in _induced(t, small, False, downwards(), depth, n_symbols, in_memory, popped, stats):
+        order[at - len(p) : at] = p[::-1]
+        prefixes[at - len(p) + 1 : at + 1] = prefix[::-1]  # downwards a prefix is shared with the one above
+        at -= len(p)
+    order[0] = n - 1  # the end, which nothing induces
+    prefixes[0] = 0
+    return order, prefixes[:n]
+
+
+def sorted_suffixes(t: np.ndarray, n_symbols: int, depth: int, in_memory: int = IN_MEMORY, popped: int = RANGE, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes in order, and what each has in common with the one before it (at most depth).
+
+    t ends with a 0 that stands nowhere else. Suffixes that agree in depth symbols may stand in any order.
+    """
+    if stats is not None:
+        stats["levels"] = stats.get("levels", 0) + 1
+    small = types(t, in_memory)
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(star) < 2:
-        order = _induced(t, small, star, in_memory)
-        return order[order < len(text)]
-    order = _induced(t, small, star, in_memory)
-    is_star = np.zeros(len(t), bool)
+        return _both(t, small, _batches(star, np.zeros(len(star), np.int16), popped), depth, n_symbols, in_memory, popped, stats)
+    by_symbol = np.argsort(_narrow(t[star].astype(np.int64)), kind="stable")
+    rough, _ = _both(t, small, _batches(star[by_symbol], np.zeros(len(star), np.int16), popped), 0, n_symbols, in_memory, popped, stats)
+    is_star = cells(len(t), bool, in_memory)
     is_star[star] = True
-    order = order[is_star[order]]
-    place = np.searchsorted(star, order)
-    end = np.append(star[1:], len(t) - 1)[place]
-    size = end - order + 1
+    order = np.concatenate([rough[i : i + popped][is_star[rough[i : i + popped]]] for i in range(0, len(rough), popped)])
+    number = cells(len(t), np.int32, in_memory)
+    number[star] = np.arange(len(star))
+    place = number[order].astype(np.int64)
+    size = np.append(star[1:], len(t) - 1)[place] - order + 1
     same = size[1:] == size[:-1]
-    k = 0
-    open_ = np.flatnonzero(same)
+    open_, k = np.flatnonzero(same), 0
     while len(open_):  # neighbours in the order are compared symbol by symbol while they agree
         open_ = open_[k < size[open_]]
         differ = t[order[open_] + k] != t[order[open_ + 1] + k]
         same[open_[differ]] = False
         open_ = open_[~differ]
         k += 1
-    n = len(star)
-    head = np.flatnonzero(np.append(True, ~same))
-    sizes = np.diff(np.append(head, n))
-    rank = np.empty(n, np.int64)  # one more than how many are smaller for sure
-    rank[place] = np.repeat(head, sizes) + 1
-    open_, step = place[np.repeat(sizes > 1, sizes)], 1
-    while len(open_) and step < depth:  # only what still has equals is sorted again
-        after = open_ + step
-        key = rank[open_] * (n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)], 0)
-        by = np.argsort(key)
-        open_, key = open_[by], key[by]
-        old = rank[open_]
-        group = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(head, len(key)))
-        rank[open_] = old + np.repeat(head, sizes) - np.repeat(group, np.diff(np.append(group, len(key))))
-        open_ = open_[np.repeat(sizes > 1, sizes)]
-        step *= 2
-    order = _induced(t, small, star[np.argsort(rank, kind="stable")], in_memory)
-    return order[order < len(text)]
-
-
-def common_prefix_reaches(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For each of order but the first, whether it shares its first `depth` bytes with the one before it."""
-    reach = np.zeros(max(len(order) - 1, 0), bool)
-    windows = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
-    eights = np.ascontiguousarray(windows).view("<u8").ravel()  # the eight bytes from each place on
-    left = np.flatnonzero(np.maximum(order[1:], order[:-1]) + depth <= len(text))
-    one, two = order[left], order[left + 1]
-    for k in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 and depth >= 8 else [])]:
-        same = eights[one + k] == eights[two + k]
-        if not same.all():
-            left, one, two = left[same], one[same], two[same]
-    if depth < 8:
-        for k in range(depth):
-            left = left[text[order[left] + k] == text[order[left + 1] + k]]
-    reach[left] = True
-    return reach
+    names = cells(len(star) + 1, np.int64, in_memory)
+    named = np.cumsum(np.append(True, ~same))
+    names[place] = named
+    if named[-1] < len(star):
+        deep, deep_l = sorted_suffixes(names, int(named[-1]) + 1, depth // 2 + 1, in_memory, popped, stats)
+        deep, deep_l = deep[1:], deep_l[1:].astype(np.int64)
+    else:
+        deep, deep_l = place, np.zeros(len(star), np.int64)
+    order, prefix = star[deep], np.zeros(len(star), np.int16)
+    a, b = deep[1:], deep[:-1]
+    n = np.minimum(deep_l[1:], len(star) - np.maximum(a, b) - 1)  # names in common; of the next ones the beginnings may agree
+    known = star[a + n] - star[a]
+    prefix[1:] = np.minimum(known + _agree(t, star[a + n], star[b + n], depth, 0), depth)
+    return _both(t, small, _batches(order, prefix, popped), depth, n_symbols, in_memory, popped, stats)
+
+
+def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY, popped: int = RANGE, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the suffixes of bytes, and the prefix each shares with the one before it (at most depth)."""
+    t = cells(len(text) + 1, np.uint16, in_memory)
+    t[:-1] = text
+    t[:-1] += 1
+    order, prefixes = sorted_suffixes(t, 257, depth, in_memory, popped, stats)
+    return order[1:], prefixes[1:]

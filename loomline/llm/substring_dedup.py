@@ -2,11 +2,12 @@
 
 A window is `width` consecutive words of one document; every word of each window whose words also
 start anywhere else is removed. Each window has an anchor, the least hash of its short grams, so a
-window stands at most as often as its anchor does. First pass: each shard of documents keeps a
-sketch that counts anchors; the sketches are merged by ranges of their cells, and what they hold is
-never less than the true count. Second pass: only windows whose anchor is estimated at two or more
-are grouped exactly, by 128 bits of their words. Nothing repeated is lost, and no size is fixed: the
-sketch is kept as its filled cells, over ranges that grow with the input.
+window stands at most as often as its anchor does. First pass: each shard of documents counts its
+anchors in a count-min sketch of ROWS rows; the shards' sketches are merged by adding cells, range by
+range, and an anchor's estimate is the least of its cells, never less than its count. Second pass:
+only windows whose anchor is estimated at two or more are grouped exactly, by 128 bits of their
+words. Nothing repeated is lost. The sketch's width grows with the text (a cell for CELL_BYTES to
+twice as many bytes), and shards send filled cells only.
 
 Cases: null and empty texts have no words and stay as they are; documents of fewer words than a
 window lose none; equal rows are separate documents, so their windows repeat; an empty table gives
@@ -23,23 +24,72 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import exchange
 from .common import packed, text_size, unpacked
-from .hashing import U, buffers, found_in, mixed, runs, sliding, twice, word_hashes, word_spans
+from .hashing import U, blocks, buffers, cell_of, distinct, found_in, mixed, runs, sliding, word_hashes, word_spans
 
 #: Bytes of text that a shard, and that the hashes of a bucket, come from.
 SHARD_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 128 << 20, 64
 GRAM = 8
-#: Documents of a shard are hashed in blocks of about so many bytes.
-BLOCK = 1 << 20
+ROWS, CELL_BYTES = 2, 16
+SKETCH = "bucket int, shard int, cells binary, counts binary"
+FULL = "shard int, bucket int, full binary"
 
 
-def blocks(offsets: np.ndarray, size: int = BLOCK) -> list[tuple[int, int]]:
-    """Ranges of documents of about `size` bytes; a longer document is a block of its own."""
-    out, i, n = [], 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
-        out.append((i, j))
-        i = j
-    return out
+class CountMin:
+    """Where keys are counted: ROWS rows of 2^bits cells, each row in ranges of 2^part cells."""
+
+    def __init__(self, text_bytes: int, n_ranges: int) -> None:
+        self.bits = max(10, int(text_bytes // CELL_BYTES).bit_length())
+        self.part = max(0, self.bits - (max(1, n_ranges) - 1).bit_length())
+        self.ranges = 1 << self.bits - self.part
+
+    def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
+        return cell_of(keys, row + 1) >> U(64 - self.bits)
+
+    def sketch(self, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The filled cells of each row, in order, and their counts."""
+        return [np.unique(self.cells(keys, row), return_counts=True) for row in range(ROWS)]
+
+    def send(self, shard: int, keys: np.ndarray) -> pa.Table:
+        """Rows of SKETCH: a range of a row's cells each."""
+        out: dict[str, list] = {"bucket": [], "shard": [], "cells": [], "counts": []}
+        for row, (cells, counts) in enumerate(self.sketch(keys)):
+            edge = np.searchsorted(cells >> U(self.part), np.arange(self.ranges + 1, dtype=U))
+            for r in np.flatnonzero(np.diff(edge)).tolist():
+                own = slice(edge[r], edge[r + 1])
+                out["bucket"].append(row * self.ranges + r)
+                out["shard"].append(shard)
+                out["cells"].append((cells[own] & U((1 << self.part) - 1)).astype(np.uint32).tobytes())
+                out["counts"].append(counts[own].astype(np.uint32).tobytes())
+        kinds = {"bucket": pa.int32(), "shard": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
+        return pa.table({c: pa.array(x, kinds[c]) for c, x in out.items()})
+
+    def estimated_twice(self, keys: np.ndarray, full: pa.Table) -> np.ndarray:
+        """Whether each key's estimate, the least of its merged cells, is two or more; full: rows of FULL."""
+        bucket, held = full.column("bucket").to_pylist(), full.column("full").to_pylist()
+        out = np.ones(len(keys), bool)
+        for row in range(ROWS):
+            own = sorted((b, x) for b, x in zip(bucket, held) if b // self.ranges == row)
+            base = [np.frombuffer(x, np.uint32).astype(U) + U((b % self.ranges) << self.part) for b, x in own]
+            out &= found_in(self.cells(keys, row), np.concatenate([np.zeros(0, U), *base])) >= 0
+        return out
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Counts by cell of a range, of all shards' (cells, counts)."""
+    cells, counts = (np.concatenate(x) for x in zip(*parts))
+    return np.bincount(cells, counts.astype(float))
+
+
+def merged(sketches: DataFrame) -> DataFrame:
+    """For each row of SKETCH those of its cells whose merged count is two or more (FULL)."""
+
+    def merge(sent: pa.Table) -> pa.Table:
+        cells, counts = ([np.frombuffer(x, np.uint32) for x in sent.column(c).to_pylist()] for c in ("cells", "counts"))
+        total = added(list(zip(cells, counts)))
+        full = pa.array([c[total[c] >= 2].tobytes() for c in cells], pa.binary())
+        return pa.table({"shard": sent.column("shard"), "bucket": sent.column("bucket"), "full": full})
+
+    return sketches.groupBy("bucket").applyInArrow(merge, FULL)
 
 
 class Block:
@@ -78,38 +128,21 @@ def _each(table: pa.Table, width: int):
         yield i, j, part, Block(part, offsets[i : j + 1] - offsets[i], width)
 
 
-def _sketch(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filled cells of a shard's sketch, sorted, and whether each holds two or more."""
-    anchors = [b.anchors for _, _, _, b in _each(table, width)]
-    return twice(cell_of(np.concatenate([*anchors, np.zeros(0, U)])))
-
+def _anchors(table: pa.Table, width: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, U), *(b.anchors for _, _, _, b in _each(table, width))])
 
-def cell_of(anchors: np.ndarray) -> np.ndarray:
-    """Cells by anchor; anchors are least hashes, so they are spread over the whole range anew."""
-    return mixed(anchors * U(0x9E3779B97F4A7C15) + U(1))
 
-
-def _candidates(table: pa.Table, cells: np.ndarray, repeated: np.ndarray, width: int):
+def _candidates(table: pa.Table, sketch: CountMin, full: pa.Table, width: int):
     """For each block its documents, words, candidate windows and their 128 bits."""
-    hot = cells[repeated]
     for i, j, data, block in _each(table, width):
-        at = block.windows[found_in(cell_of(block.least[block.windows]), hot) >= 0]
+        least = block.least[block.windows]
+        head = np.flatnonzero(np.append(True, least[1:] != least[:-1])) if len(least) else np.zeros(0, np.int64)
+        twice = sketch.estimated_twice(least[head], full)
+        at = block.windows[np.repeat(twice, np.diff(np.append(head, len(least))))]
         one, two = block.window_hashes(at, data) if len(at) else (np.zeros(0, U), np.zeros(0, U))
         yield i, j, data, block, at, one, two
 
 
-def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct 128-bit values in order, whether each stands there twice, and each value's place in them."""
-    order = np.lexsort((two, one))
-    a, b = one[order], two[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(first)
-    place = np.empty(len(a), np.int64)
-    place[order] = np.cumsum(first) - 1
-    return a[at], b[at], np.diff(np.append(at, len(a))) >= 2, place
-
-
 def _finish(table: pa.Table, windows: list, repeated: np.ndarray, width: int) -> pa.Table:
     """Each document of a shard with its words counted, and without the covered ones."""
     n_words, n_removed, kept, digests = [], [], [], []
@@ -157,33 +190,30 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, text_col: str = "t
     n_shards, n_buckets = max(LEAST, size // SHARD_BYTES), max(LEAST, size // BUCKET_BYTES)
     shards = packed(docs, text_col, n_shards)
 
-    def cells_sent(table: pa.Table) -> pa.Table:
-        cells, two = _sketch(table, width)
-        return exchange.send(table.column("shard")[0].as_py(), cells, None, two, n_buckets)
+    sketch = CountMin(size, n_buckets)
 
-    def cells_read(table: pa.Table, answer: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        cells, _ = _sketch(table, width)
-        return cells, exchange.read_answer(answer, cells, n_buckets)
+    def counted(table: pa.Table) -> pa.Table:
+        return sketch.send(table.column("shard")[0].as_py(), _anchors(table, width))
 
-    def windows_sent(table: pa.Table, answer: pa.Table) -> pa.Table:
+    def windows_sent(table: pa.Table, full: pa.Table) -> pa.Table:
         if not table.num_rows:
             return exchange.send(0, np.zeros(0, U), np.zeros(0, U), np.zeros(0, bool), n_buckets)
-        found = list(_candidates(table, *cells_read(table, answer), width))
-        one, two, more, _ = _distinct(np.concatenate([x[5] for x in found]), np.concatenate([x[6] for x in found]))
+        found = list(_candidates(table, sketch, full, width))
+        one, two, more, _ = distinct(np.concatenate([x[5] for x in found]), np.concatenate([x[6] for x in found]))
         return exchange.send(table.column("shard")[0].as_py(), one, two, more, n_buckets)
 
     def finished(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _finish(table, [], np.zeros(0, bool), width)
         step = answers.column("step").to_numpy()
-        found = list(_candidates(table, *cells_read(table, answers.filter(pa.array(step == 0))), width))
-        one, _, _, place = _distinct(np.concatenate([x[5] for x in found]), np.concatenate([x[6] for x in found]))
+        found = list(_candidates(table, sketch, answers.filter(pa.array(step == 0)), width))
+        one, _, _, place = distinct(np.concatenate([x[5] for x in found]), np.concatenate([x[6] for x in found]))
         repeated = exchange.read_answer(answers.filter(pa.array(step == 1)), one, n_buckets)
         return _finish(table, found, repeated[place], width)
 
-    cells = exchange.answered(shards.groupBy("shard").applyInArrow(cells_sent, exchange.SENT))
-    windows = exchange.answered(shards.groupBy("shard").cogroup(cells.groupBy("shard")).applyInArrow(windows_sent, exchange.SENT))
-    answers = cells.withColumn("step", F.lit(0)).unionByName(windows.withColumn("step", F.lit(1)))
+    full = merged(shards.groupBy("shard").applyInArrow(counted, SKETCH))
+    windows = exchange.answered(shards.groupBy("shard").cogroup(full.groupBy("shard")).applyInArrow(windows_sent, exchange.SENT))
+    answers = full.withColumn("step", F.lit(0)).unionByName(windows.withColumn("step", F.lit(1)), allowMissingColumns=True)
     schema = T.StructType(
         [
             *shards.schema.fields[1:],

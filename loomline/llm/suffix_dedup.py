@@ -4,10 +4,15 @@ Every byte of each `width`-byte string of one document that also starts anywhere
 Each string has a key, the least hash of its 16-byte grams. Strings in a row with one key make a
 segment. Shards sketch their keys; only segments whose key stands in more than one place go on, to
 the bucket of the key, each distinct one once with its weight. There the suffixes of all segments
-that have a key in common with another are put in order by induced sorting (see induced_sort), and
-neighbours that share `width` bytes form groups; a group of more than one occurrence is repeated.
-The suffixes of a segment that is alone with its key can only meet its own copies and are decided by
-its weight, unless the key's gram stands there more than once; then they are sorted as the others.
+that have a key in common with another are put in order by external induced sorting, which carries
+common prefixes (see induced_sort); neighbours that share `width` bytes form groups, and a group of
+more than one occurrence is repeated. The suffixes of a segment that is alone with its key can only
+meet its own copies and are decided by its weight, unless the key's gram stands there more than
+once; then they are sorted as the others.
+
+A key of very many different segments (a line that a third of all documents hold among other text)
+would put them all into one task. The shards count the kinds of segments of each key; the strings of
+keys of over CROWDED kinds are not sorted but dealt out and grouped by 128 bits of their bytes.
 
 Cases: null and empty texts stay as they are; shorter documents than `width` lose nothing; equal
 rows are separate documents; strings never cross documents; where removal splits a character, its
@@ -25,22 +30,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import exchange
 from .common import packed, text_size, unpacked
-from .hashing import U, buffers, byte_grams, found_in, sliding, twice
-from .induced_sort import common_prefix_reaches, suffix_order
-from .substring_dedup import blocks, cell_of
+from .hashing import SEPARATORS, U, blocks, buffers, byte_grams, cell_of, distinct, found_in, joined, mixed, runs, sliding
+from .induced_sort import suffix_order
 
 SHARD_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 24 << 20, 64
 GRAM = 16
 #: Bytes of segments whose suffixes are sorted together.
-SORTED = 4 << 20
-SENT = "bucket int, shard int, keys binary, sizes binary, weights binary, bytes binary"
+SORTED = 32 << 20
+#: Kinds of segments, summed over shards, beyond which the strings of a key are not sorted in one place.
+CROWDED = 4096
+SENT = "bucket int, shard int, keys binary, checks binary, twice binary, bytes binary"
+#: Two random 64-bit values for each byte.
+_RNG = np.random.default_rng(11)
+_BYTE = [_RNG.integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1) for _ in range(2)]
+
 
+def _runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first start, end of starts) of each run of strings with one key, and a hash of what tells its bytes from others'.
 
-def _runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first start, end of starts) of each run of strings with one key; the key of each gram that is the least of a string."""
+    At last the key of each gram that is the least of a string.
+    """
     empty = np.zeros(0, np.int64)
     if len(data) < width:
-        return np.zeros(0, U), empty, empty, np.zeros(0, U)
+        return np.zeros(0, U), empty, empty, np.zeros(0, U), np.zeros(0, U)
     grams = byte_grams(data, 1)
     least = sliding(grams, width - GRAM + 1)
     whole = np.arange(len(least)) + width <= np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
@@ -52,7 +64,9 @@ def _runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
     top = np.zeros(len(grams) + 2 * (width - GRAM), U)
     top[width - GRAM : width - GRAM + len(least)] = np.where(whole, least, U(0))
     anchors = grams[(sliding(top, width - GRAM + 1, np.maximum)[: len(grams)] == grams) & (grams != 0)]
-    return cell_of(least[start[own]]), start[own], end[own], cell_of(anchors)
+    key, start, end = cell_of(least[start[own]]), start[own], end[own]
+    kind = joined(joined(key, grams[start] + (end - start).astype(U)), grams[end + width - 1 - GRAM])
+    return key, start, end, kind, cell_of(anchors)
 
 
 def _each(table: pa.Table, width: int):
@@ -62,25 +76,40 @@ def _each(table: pa.Table, width: int):
         yield i, j, part, own, *_runs(part, own, width)
 
 
-def _sketch(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a shard and whether each stands there twice."""
-    return twice(np.concatenate([np.zeros(0, U), *[x[-1] for x in _each(table, width)]]))
+def _sketch(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a shard, whether each stands there twice, and how many kinds of segments have it."""
+    found = [x[4:] for x in _each(table, width)]
+    key, kind, anchors = (np.concatenate([np.zeros(0, U), *(x[c] for x in found)]) for c in (0, 3, 4))
+    kind_keys, n_kinds = np.unique(key[np.unique(kind, return_index=True)[1]], return_counts=True)
+    keys, n = np.unique(anchors, return_counts=True)
+    at = found_in(keys, kind_keys)
+    return keys, n >= 2, np.where(at >= 0, n_kinds[at], 0) if len(n_kinds) else n * 0
+
 
+def _segments(table: pa.Table, hot: np.ndarray, crowded: np.ndarray, width: int):
+    """Distinct (key, bytes) in order with their number; 128 bits of crowded strings; for each block its occurrences.
 
-def _segments(table: pa.Table, hot: np.ndarray, width: int):
-    """Distinct (key, bytes) in order with their number, and for each block its occurrences (place in them, start)."""
+    An occurrence of a segment is its place among the distinct ones and its start; crowded strings have starts.
+    """
     seen: dict[tuple[int, bytes], int] = {}
-    found = []
-    for i, j, data, offsets, key, start, end, _ in _each(table, width):
-        own = np.flatnonzero(found_in(key, hot) >= 0)
+    found, bits = [], [(np.zeros(0, U), np.zeros(0, U))]
+    for i, j, data, offsets, key, start, end, _, _ in _each(table, width):
+        at = found_in(key, hot)
+        own = np.flatnonzero((at >= 0) & ~crowded[at] if len(hot) else at >= 0)
         raw = data.tobytes()
         named = [(k, raw[s : e + width - 1]) for k, s, e in zip(key[own].tolist(), start[own].tolist(), end[own].tolist())]
         for x in named:
             seen[x] = seen.get(x, 0) + 1
-        found.append((i, j, offsets, named, start[own]))
+        many = np.flatnonzero((at >= 0) & crowded[at]) if len(hot) else own[:0]
+        n = (end - start)[many]
+        places = np.repeat(start[many] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        if len(places):
+            bits.append(tuple(mixed(runs(x[data], width)[places]) for x in _BYTE))
+        found.append((i, j, offsets, named, start[own], places))
     order = sorted(seen)
     place = {x: k for k, x in enumerate(order)}
-    return order, [seen[x] for x in order], [(i, j, o, [place[x] for x in named], s) for i, j, o, named, s in found]
+    one, two = (np.concatenate(x) for x in zip(*bits))
+    return order, [seen[x] for x in order], one, two, [(i, j, o, [place[x] for x in named], s, p) for i, j, o, named, s, p in found]
 
 
 def _send(shard: int, order: list, weights: list, n_buckets: int) -> pa.Table:
@@ -94,28 +123,34 @@ def _send(shard: int, order: list, weights: list, n_buckets: int) -> pa.Table:
             "bucket": pa.array(rows, pa.int32()),
             "shard": pa.array([shard] * len(rows), pa.int32()),
             "keys": cut(keys),
-            "sizes": cut(sizes),
-            "weights": cut(heavy),
+            "checks": cut(sizes),
+            "twice": cut(heavy),
             "bytes": pa.array([b"".join(x for _, x in order[bounds[b] : bounds[b + 1]]) for b in rows], pa.binary()),
         }
     )
 
 
-def repeated_starts(segments: list[bytes], weights: list[int], width: int) -> list[np.ndarray]:
+def _send_bits(shard: int, one: np.ndarray, two: np.ndarray, more: np.ndarray, n_buckets: int) -> pa.Table:
+    """Rows for the buckets behind those of segments."""
+    sent = exchange.send(shard, one, two, more, n_buckets)
+    behind = pa.array(sent.column("bucket").to_numpy() + n_buckets, pa.int32())
+    return sent.set_column(0, "bucket", behind).append_column("bytes", pa.nulls(sent.num_rows, pa.binary()))
+
+
+def repeated_starts(segments: list[bytes], weights: list[int], width: int, **sort) -> list[np.ndarray]:
     """For each distinct segment which of its strings occur twice or more in all, by suffix order."""
     text = np.frombuffer(b"\xff".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments])
     first = np.cumsum(sizes + 1) - sizes - 1
     n = sizes - width + 1
-    is_start = np.zeros(len(text), bool)
-    owner = np.repeat(np.arange(len(segments)), n)
+    weight = np.zeros(len(text), np.int32)  # 0 where no string starts
     starts = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    is_start[starts] = True
-    order = suffix_order(text, width)
-    order = order[is_start[order]]
-    weight = np.zeros(len(text), np.int64)
-    weight[starts] = np.array(weights)[owner]
-    group = np.flatnonzero(np.append(True, ~common_prefix_reaches(text, order, width)))
+    weight[starts] = np.repeat(np.minimum(weights, 2), n)
+    order, prefix = suffix_order(text, width, **sort)
+    apart = np.append(0, np.cumsum(prefix < width))[1:]  # suffixes that share width bytes are in a row
+    own = weight[order] > 0
+    order, apart = order[own], apart[own]
+    group = np.flatnonzero(np.append(True, apart[1:] != apart[:-1]))
     total = np.add.reduceat(weight[order], group)
     repeated = np.zeros(len(text), bool)
     repeated[order] = np.repeat(total >= 2, np.diff(np.append(group, len(order))))
@@ -133,7 +168,7 @@ def _answer(sent: pa.Table, width: int) -> pa.Table:
     rows = []
     for row in sent.to_pylist():
         at, own = 0, []
-        for k, size, w in zip(*(np.frombuffer(row[c], t).tolist() for c, t in (("keys", U), ("sizes", np.int64), ("weights", np.int64)))):
+        for k, size, w in zip(*(np.frombuffer(row[c], t).tolist() for c, t in (("keys", U), ("checks", np.int64), ("twice", np.int64)))):
             x = (k, row["bytes"][at : at + size])
             at += size
             total[x] = total.get(x, 0) + w
@@ -170,27 +205,35 @@ def _answer(sent: pa.Table, width: int) -> pa.Table:
     )
 
 
-def _finish(table: pa.Table, order: list, found: list, answer: pa.Table, width: int, n_buckets: int) -> pa.Table:
-    n = np.array([len(x) - width + 1 for _, x in order], np.int64)
-    bucket = exchange.bucket_of(np.array([k for k, _ in order], U), n_buckets)
-    bits = dict(zip(answer.column("bucket").to_pylist(), answer.column("repeated").to_pylist()))
-    hits: list[np.ndarray] = []
-    for b in np.unique(bucket).tolist():
-        own = n[bucket == b]
-        flat = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=int(own.sum())).astype(bool)
-        hits += np.split(flat, np.cumsum(own)[:-1])
+def _without_short(gone: np.ndarray, data: np.ndarray, least_words: int) -> np.ndarray:
+    """gone without the runs that hold fewer than least_words beginnings of words."""
+    parts = np.isin(data, np.frombuffer(SEPARATORS, np.uint8))
+    begins = ~parts & np.append(True, parts[:-1] | ~gone[:-1])
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    out = gone.copy()
+    for a, b in edge.reshape(-1, 2).tolist():
+        if np.count_nonzero(begins[a:b]) < least_words:
+            out[a:b] = False
+    return out
+
+
+def _finish(table: pa.Table, order: list, found: list, hits: list[np.ndarray], crowd: np.ndarray, width: int, least_words: int) -> pa.Table:
+    """hits: for each distinct segment which of its strings are repeated; crowd: the same of the crowded strings."""
     sizes, removed, spans, kept, digests = [], [], [], [], []
-    texts = table.column("text").to_pylist()
-    for i, j, offsets, places, starts in found:
+    texts, before = table.column("text").to_pylist(), 0
+    for i, j, offsets, places, starts, many in found:
         edge = np.zeros(offsets[-1] + 1, np.int32)
-        for place, s in zip(places, starts.tolist()):
-            at = s + np.flatnonzero(hits[place])
+        many_hit = many[crowd[before : before + len(many)]]
+        before += len(many)
+        for at in [many_hit, *(s + np.flatnonzero(hits[place]) for place, s in zip(places, starts.tolist()))]:
             edge[at] += 1
             edge[at + width] -= 1  # starts of different runs differ, so no place is added to twice at once
         covered = np.cumsum(edge[:-1]) > 0
         for d in range(j - i):
             data = (texts[i + d] or "").encode("utf-8", "surrogatepass")
             gone = covered[offsets[d] : offsets[d + 1]]
+            if least_words and gone.any():
+                gone = _without_short(gone, np.frombuffer(data, np.uint8), least_words)
             count = int(gone.sum())
             if count:
                 data = np.frombuffer(data, np.uint8)[~gone].tobytes()
@@ -215,40 +258,63 @@ def _finish(table: pa.Table, order: list, found: list, answer: pa.Table, width:
 RESULTS = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-def remove_repeated_strings(docs: DataFrame, width: int = 400, text_col: str = "text") -> DataFrame:
-    """docs with kept_text (null stays null), n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes)."""
+def remove_repeated_strings(docs: DataFrame, width: int = 400, text_col: str = "text", least_words: int = 0, crowded: int = CROWDED) -> DataFrame:
+    """docs with kept_text (null stays null), n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes).
+
+    least_words: runs of repeated bytes in which fewer words begin stay. crowded: see above; the result is the same.
+    """
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
     _, size = text_size(docs, text_col)
     n_shards, n_buckets = max(LEAST, size // SHARD_BYTES), max(LEAST, size // BUCKET_BYTES)
     shards = packed(docs, text_col, n_shards)
 
-    def cells_sent(table: pa.Table) -> pa.Table:
-        cells, two = _sketch(table, width)
-        return exchange.send(table.column("shard")[0].as_py(), cells, None, two, n_buckets)
+    def keys_sent(table: pa.Table) -> pa.Table:
+        keys, two, kinds = _sketch(table, width)
+        return exchange.send(table.column("shard")[0].as_py(), keys, kinds.astype(U), two, n_buckets)
 
-    def hot_segments(table: pa.Table, answer: pa.Table):
-        cells, _ = _sketch(table, width)
-        return _segments(table, cells[exchange.read_answer(answer, cells, n_buckets)], width)
+    def segments(table: pa.Table, hot: pa.Table):
+        """Of the rows of `hot`: keys that stand in more than one place, and which of them are crowded."""
+        own = hot.filter(pa.array(hot.column("step").to_numpy() == 0)) if "step" in hot.column_names else hot
+        keys = np.concatenate([np.zeros(0, U), *(np.frombuffer(x, U) for x in own.column("repeated").to_pylist())])
+        many = np.concatenate([np.zeros(0, bool), *(np.frombuffer(x, bool) for x in own.column("many").to_pylist())])
+        by = np.argsort(keys)
+        return _segments(table, keys[by], many[by], width)
 
-    def segments_sent(table: pa.Table, answer: pa.Table) -> pa.Table:
+    def segments_sent(table: pa.Table, hot: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _send(0, [], [], n_buckets)
-        order, weights, _ = hot_segments(table, answer)
-        return _send(table.column("shard")[0].as_py(), order, weights, n_buckets)
+        order, weights, one, two, _ = segments(table, hot)
+        shard = table.column("shard")[0].as_py()
+        first, second, more, _ = distinct(one, two)
+        return pa.concat_tables([_send(shard, order, weights, n_buckets), _send_bits(shard, first, second, more, n_buckets)])
 
     def answered(sent: pa.Table) -> pa.Table:
-        return _answer(sent, width)
+        return _answer(sent, width) if sent.column("bucket")[0].as_py() < n_buckets else exchange.answer(sent)
 
     def finished(table: pa.Table, answers: pa.Table) -> pa.Table:
-        step = answers.column("step").to_numpy()
-        order, _, found = hot_segments(table, answers.filter(pa.array(step == 0)))
-        return _finish(table, order, found, answers.filter(pa.array(step == 1)), width, n_buckets)
-
-    cells = exchange.answered(shards.groupBy("shard").applyInArrow(cells_sent, exchange.SENT))
-    sent = shards.groupBy("shard").cogroup(cells.groupBy("shard")).applyInArrow(segments_sent, SENT)
-    found = sent.groupBy("bucket").applyInArrow(answered, exchange.ANSWER)
-    answers = cells.withColumn("step", F.lit(0)).unionByName(found.withColumn("step", F.lit(1)))
+        if not table.num_rows:
+            return _finish(table, [], [], [], np.zeros(0, bool), width, least_words)
+        order, _, one, two, found = segments(table, answers)
+        bits = dict(zip(*(answers.filter(pa.array(answers.column("step").to_numpy() == 1)).column(c).to_pylist() for c in ("bucket", "repeated"))))
+        n = np.array([len(x) - width + 1 for _, x in order], np.int64)
+        bucket = exchange.bucket_of(np.array([k for k, _ in order], U), n_buckets)
+        hits: list[np.ndarray] = []
+        for b in np.unique(bucket).tolist():
+            own = n[bucket == b]
+            flat = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=int(own.sum())).astype(bool)
+            hits += np.split(flat, np.cumsum(own)[:-1])
+        first, _, _, place = distinct(one, two)
+        crowd = np.zeros(len(first), bool)
+        at = exchange.bucket_of(first, n_buckets)
+        for b in np.unique(at).tolist():
+            crowd[at == b] = np.unpackbits(np.frombuffer(bits[b + n_buckets], np.uint8), count=int((at == b).sum())).astype(bool)
+        return _finish(table, order, found, hits, crowd[place], width, least_words)
+
+    keys = exchange.repeated_keys(shards.groupBy("shard").applyInArrow(keys_sent, exchange.SENT), crowded)
+    sent = shards.groupBy("shard").cogroup(keys.groupBy("shard")).applyInArrow(segments_sent, SENT)
+    found = sent.groupBy("bucket").applyInArrow(answered, exchange.ANSWER).withColumn("many", F.lit(None).cast("binary"))
+    answers = keys.withColumn("step", F.lit(0)).unionByName(found.withColumn("step", F.lit(1)))
     long = [T.StructField(c, T.LongType()) for c in RESULTS[1:4]]
     schema = T.StructType([*shards.schema.fields[1:], T.StructField("kept_text", T.StringType()), *long, T.StructField("kept_sha256", T.StringType())])
     out = shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finished, schema)
@@ -257,4 +323,4 @@ def remove_repeated_strings(docs: DataFrame, width: int = 400, text_col: str = "
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeated_strings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")

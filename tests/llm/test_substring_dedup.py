@@ -2,10 +2,11 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from loomline.llm.substring_dedup import remove_repeated_windows
+from loomline.llm.substring_dedup import ROWS, CountMin, added, remove_repeated_windows
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -39,6 +40,18 @@ def test_small_cases(spark, width):
     assert result(spark, texts, width) == brute(texts, width)
 
 
+def test_merged_sketches_never_estimate_less(spark):
+    rng = np.random.default_rng(2)
+    keys = rng.zipf(1.3, 20_000).astype(np.uint64)
+    sketch = CountMin(20_000, 4)  # a narrow one, so that keys share cells
+    shards = [sketch.sketch(part) for part in np.array_split(keys, 7)]
+    total = [added([(c.astype(np.int64), n) for c, n in (s[row] for s in shards)]) for row in range(ROWS)]
+    true = Counter(keys.tolist())
+    every = np.array(list(true), np.uint64)
+    estimate = np.minimum.reduce([total[row][sketch.cells(every, row).astype(np.int64)] for row in range(ROWS)])
+    assert all(e >= true[k] for e, k in zip(estimate.tolist(), every.tolist())) and (estimate > [true[k] for k in every.tolist()]).any()
+
+
 def test_whole_table(spark):
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
     got = result(spark, texts, 35)

@@ -29,12 +29,46 @@ def result(spark, texts, width):
     return [tuple(r) for r in remove_repeated_strings(docs, width).orderBy("doc_id").select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
 
 
-@pytest.mark.parametrize("letters,n,in_memory", [(2, 300, 8), (3, 2000, 100), (200, 3000, 1 << 20), (1, 50, 4)])
-def test_suffix_order(letters, n, in_memory):
+@pytest.mark.parametrize("letters,n,in_memory,popped", [(2, 300, 8, 5), (3, 2000, 100, 50), (200, 3000, 1 << 20, 1 << 10), (1, 50, 4, 3), (5, 900, 64, 300), (3, 1, 4, 4)])
+def test_suffixes_and_common_prefixes(letters, n, in_memory, popped):
     data = np.random.default_rng(n).integers(0, letters, n).astype(np.uint8)
     data = np.concatenate([data, data[: n // 2]])
     raw = data.tobytes()
-    assert suffix_order(data, len(data), in_memory).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    order, prefix = suffix_order(data, 400, in_memory, popped)
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    for a, b, k in zip(order[:-1].tolist(), order[1:].tolist(), prefix[1:].tolist()):
+        assert raw[a : a + k] == raw[b : b + k] and (k == 400 or raw[a + k : a + k + 1] != raw[b + k : b + k + 1])
+
+
+def test_queues_are_on_disk_and_recursion_goes_on():
+    data = np.random.default_rng(5).integers(97, 101, 200_000).astype(np.uint8)
+    data = np.concatenate([data, data[50_000:150_000]])
+    seen = {}
+    order, prefix = suffix_order(data, 400, 1000, 5000, seen)
+    assert seen["spilled"] > 200_000 and seen["levels"] > 3 and isinstance(order.base, np.ndarray)
+    usual = {}
+    suffix_order(np.tile(data, 4), 400, stats=usual)
+    assert usual["spilled"] > 0  # in the usual setting a text of 1.2 MB is on disk
+    again, same = suffix_order(data, 400, 1 << 20)
+    assert (order == again).all() and (prefix == same).all()
+
+
+def test_crowded_keys_give_the_same(spark):
+    rng = np.random.default_rng(4)
+    line = "".join(rng.choice(list("abcdefgh "), 300))
+    texts = ["".join(rng.choice(list("ijklmnop "), 200)) + line + "".join(rng.choice(list("ijklmnop "), 200)) for _ in range(60)]
+    texts += [texts[0], "x" + texts[1][100:] + "y"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for crowded in (0, 5, 4096):
+        rows = remove_repeated_strings(docs, 350, crowded=crowded).orderBy("doc_id").select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert [tuple(r) for r in rows] == brute(texts, 350)
+
+
+def test_short_runs_of_words_stay(spark):
+    one, two = " ".join(f"wo{i}" for i in range(60)), " ".join(f"a-rather-long-word-{i}" for i in range(20))
+    docs = spark.createDataFrame([(k, f"begin{k} {one} middle{k * 7} {two} end{k}") for k in range(3)], "doc_id long, text string")
+    kept = [r.kept_text for r in remove_repeated_strings(docs, 160, least_words=50).orderBy("doc_id").collect()]
+    assert all("wo30" not in t and two in t and f"begin{k}" in t for k, t in enumerate(kept))
 
 
 def test_repeats_within_and_across_segments():
