@@ -1,8 +1,8 @@
 """External induced sorting: suffix order and common prefixes of a text, by queues on disk and recursion.
 
 Suffixes are S (smaller than the next one) or L. The leftmost S suffixes are ordered by recursion: their
-substrings are ordered by one induction and named, and the text of the names is sorted the same way. Their
-order induces that of the L suffixes, and that of the S suffixes.
+substrings are ordered and named, and the text of the names is sorted the same way. Their order induces
+that of the L suffixes, and that of the S suffixes.
 
 An induction is a priority queue of tuples (symbol, position, common prefix). It pops a range of symbols at a
 time, smallest first; each popped suffix pushes the one before it, if that is of the wanted type. The prefix a
@@ -49,7 +49,7 @@ class Queue:
         where = np.searchsorted(self.bounds, symbols, "right") - 1
         first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         for r, i, j in zip(where[first].tolist(), first.tolist(), [*first[1:].tolist(), len(symbols)]):
-            rows = np.empty(j - i, "i8,i8,i2")
+            rows = np.empty(j - i, "i4,i4,i2")
             rows["f0"], rows["f1"], rows["f2"] = symbols[i:j], positions[i:j], prefixes[i:j]
             self.parts[r].append(rows)
         self.held += len(symbols)
@@ -70,18 +70,18 @@ class Queue:
         self.held = 0
 
     def pop(self, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = [np.empty(0, "i8,i8,i2")]
+        out = [np.empty(0, "i4,i4,i2")]
         for part in self.parts[r]:
             if isinstance(part, tuple):
                 self.file.seek(part[0])
-                part = np.frombuffer(self.file.read(18 * part[1]), "i8,i8,i2")
+                part = np.frombuffer(self.file.read(10 * part[1]), "i4,i4,i2")
             else:
                 self.held -= len(part)
             out.append(part)
         self.parts[r] = []
         rows = np.concatenate(out)
         by = np.argsort(_narrow(rows["f0"] - (rows["f0"].min() if len(rows) else 0)), kind="stable")
-        return rows["f0"][by], rows["f1"][by], rows["f2"][by]
+        return rows["f0"][by].astype(np.int64), rows["f1"][by].astype(np.int64), rows["f2"][by]
 
     def close(self) -> None:
         if self.file:
@@ -184,7 +184,6 @@ def _induced(t, wanted: np.ndarray, up: bool, seeds, depth: int, n_symbols: int,
     """Suffixes of the wanted type and the seeds, in order (upwards or downwards), with their prefixes.
 
     seeds: batches of (positions, prefixes) in that order; within a symbol they come behind the wanted ones.
-    Without depth no prefixes are carried.
     """
     symbol_of = (lambda p: t[p].astype(np.int64)) if up else (lambda p: n_symbols - 1 - t[p].astype(np.int64))
     counts = np.bincount(t, minlength=n_symbols) if len(t) <= 1 << 20 else sum(np.bincount(t[i : i + (1 << 20)], minlength=n_symbols) for i in range(0, len(t), 1 << 20))
@@ -228,11 +227,10 @@ def _induced(t, wanted: np.ndarray, up: bool, seeds, depth: int, n_symbols: int,
             slot = np.searchsorted(s * 2 + (k > 0), named * 2 + 1)
             by = _chained(slot, named, len(p), succ)
             p, s, k, prefix = (np.insert(x, slot[by], y) for x, y in ((p, new[by]), (s, named[by]), (k, 1), (prefix, 0)))
-        if depth:
-            same = np.append(False, s[1:] == s[:-1])
-            prefix[~same] = 0
-            open_ = np.flatnonzero(same & ((k == 1) | np.append(False, k[1:] != k[:-1])))
-            prefix[open_] = _agree(t, p[open_], p[open_ - 1], depth, 1)
+        same = np.append(False, s[1:] == s[:-1])
+        prefix[~same] = 0
+        open_ = np.flatnonzero(same & ((k == 1) | np.append(False, k[1:] != k[:-1])))
+        prefix[open_] = _agree(t, p[open_], p[open_ - 1], depth, 1)
         yield p, prefix, k == 2
         q, at = before(p)
         to = symbol_of(q)
@@ -243,8 +241,7 @@ def _induced(t, wanted: np.ndarray, up: bool, seeds, depth: int, n_symbols: int,
         if len(to):
             head = np.append(True, to[1:] != to[:-1])
             carried = np.zeros(len(to), np.int16)  # ranges begin with a symbol of their own
-            if depth:
-                carried[~head] = Least(prefix).of(np.append(0, at[:-1] + 1)[~head], at[~head] + 1)
+            carried[~head] = Least(prefix).of(np.append(0, at[:-1] + 1)[~head], at[~head] + 1)
             queue.push(to, q, np.minimum(carried + 1, depth))
     if stats is not None:
         stats["spilled"] = stats.get("spilled", 0) + queue.spilled
@@ -259,7 +256,7 @@ def _batches(p: np.ndarray, prefixes: np.ndarray, size: int):
 def _both(t, small, seeds, depth: int, n_symbols: int, in_memory: int, popped: int, stats: dict | None) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in the order that the seeds (leftmost S suffixes and their prefixes) induce, with their prefixes."""
     n, n_large = len(t), 0
-    large_p, large_l = cells(n, np.int64, in_memory), cells(n, np.int16, in_memory)
+    large_p, large_l = cells(n, np.int32, in_memory), cells(n, np.int16, in_memory)
     for p, prefix, seed in _induced(t, ~small, True, seeds, depth, n_symbols, in_memory, popped, stats):
         p, prefix = p[~seed], prefix[~seed]
         large_p[n_large : n_large + len(p)], large_l[n_large : n_large + len(p)] = p, prefix
@@ -268,9 +265,9 @@ def _both(t, small, seeds, depth: int, n_symbols: int, in_memory: int, popped: i
     def downwards():
         for j in range(n_large, 0, -popped):
             i = max(j - popped, 0)
-            yield large_p[i:j][::-1], np.append(large_l[j] if j < n_large else 0, large_l[i + 1 : j][::-1]).astype(np.int16)
+            yield large_p[i:j][::-1].astype(np.int64), np.append(large_l[j] if j < n_large else 0, large_l[i + 1 : j][::-1]).astype(np.int16)
 
-    order, prefixes, at = cells(n, np.int64, in_memory), cells(n + 1, np.int16, in_memory), n
+    order, prefixes, at = cells(n, np.int32, in_memory), cells(n + 1, np.int16, in_memory), n
     for p, prefix, _ in _induced(t, small, False, downwards(), depth, n_symbols, in_memory, popped, stats):
         order[at - len(p) : at] = p[::-1]
         prefixes[at - len(p) + 1 : at + 1] = prefix[::-1]  # downwards a prefix is shared with the one above
@@ -280,6 +277,33 @@ def _both(t, small, seeds, depth: int, n_symbols: int, in_memory: int, popped: i
     return order, prefixes[:n]
 
 
+def _ranked(t: np.ndarray, star: np.ndarray) -> np.ndarray:
+    """For each leftmost S suffix how many of their substrings (from one to the next) are smaller.
+
+    Several symbols are compared at a time; only what still has equals goes on. Where one substring begins
+    with another, the longer is the smaller: it goes on with a suffix of type L.
+    """
+    each, bits = (4, 16) if t.dtype == np.uint16 else (2, 32)
+    size = np.append(star[1:], len(t) - 1) - star + 1
+    rank, open_, k = np.zeros(len(star), np.int64), np.arange(len(star)), 0
+    while len(open_):
+        key = np.zeros(len(open_), np.uint64)
+        for i in range(k, k + each):
+            at = np.minimum(star[open_] + i, len(t) - 1)
+            key = key << np.uint64(bits) | np.where(i < size[open_], t[at].astype(np.uint64), np.uint64((1 << bits) - 1))
+        by = np.lexsort((key, rank[open_])) if k else np.argsort(key)
+        open_, key = open_[by], key[by]
+        old = rank[open_]
+        group = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+        head = np.flatnonzero(np.append(True, (old[1:] != old[:-1]) | (key[1:] != key[:-1])))
+        n = np.diff(np.append(head, len(key)))
+        rank[open_] = old + np.repeat(head, n) - np.repeat(group, np.diff(np.append(group, len(key))))
+        k += each
+        longest = np.maximum.reduceat(size[open_], head)
+        open_ = open_[np.repeat((n > 1) & (longest > k), n)]
+    return rank
+
+
 def sorted_suffixes(t: np.ndarray, n_symbols: int, depth: int, in_memory: int = IN_MEMORY, popped: int = RANGE, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all suffixes in order, and what each has in common with the one before it (at most depth).
 
@@ -291,24 +315,10 @@ def sorted_suffixes(t: np.ndarray, n_symbols: int, depth: int, in_memory: int =
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(star) < 2:
         return _both(t, small, _batches(star, np.zeros(len(star), np.int16), popped), depth, n_symbols, in_memory, popped, stats)
-    by_symbol = np.argsort(_narrow(t[star].astype(np.int64)), kind="stable")
-    rough, _ = _both(t, small, _batches(star[by_symbol], np.zeros(len(star), np.int16), popped), 0, n_symbols, in_memory, popped, stats)
-    is_star = cells(len(t), bool, in_memory)
-    is_star[star] = True
-    order = np.concatenate([rough[i : i + popped][is_star[rough[i : i + popped]]] for i in range(0, len(rough), popped)])
-    number = cells(len(t), np.int32, in_memory)
-    number[star] = np.arange(len(star))
-    place = number[order].astype(np.int64)
-    size = np.append(star[1:], len(t) - 1)[place] - order + 1
-    same = size[1:] == size[:-1]
-    open_, k = np.flatnonzero(same), 0
-    while len(open_):  # neighbours in the order are compared symbol by symbol while they agree
-        open_ = open_[k < size[open_]]
-        differ = t[order[open_] + k] != t[order[open_ + 1] + k]
-        same[open_[differ]] = False
-        open_ = open_[~differ]
-        k += 1
-    names = cells(len(star) + 1, np.int64, in_memory)
+    rank = _ranked(t, star)
+    place = np.argsort(rank, kind="stable")
+    same = rank[place][1:] == rank[place][:-1]
+    names = cells(len(star) + 1, np.int32, in_memory)
     named = np.cumsum(np.append(True, ~same))
     names[place] = named
     if named[-1] < len(star):
@@ -325,7 +335,7 @@ def sorted_suffixes(t: np.ndarray, n_symbols: int, depth: int, in_memory: int =
 
 
 def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY, popped: int = RANGE, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the suffixes of bytes, and the prefix each shares with the one before it (at most depth)."""
+    """Starts of the suffixes of bytes (under 2 GB), and the prefix each shares with the one before it (at most depth)."""
     t = cells(len(text) + 1, np.uint16, in_memory)
     t[:-1] = text
     t[:-1] += 1
