@@ -137,24 +137,45 @@ def _send_bits(shard: int, one: np.ndarray, two: np.ndarray, more: np.ndarray, n
     return sent.set_column(0, "bucket", behind).append_column("bytes", pa.nulls(sent.num_rows, pa.binary()))
 
 
+def _halves_meet(text: np.ndarray, starts: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+    """Whether the least grams of a string's two halves stand together in another one too; equal strings always do."""
+    half = width // 2
+    if half < GRAM or not len(starts):
+        return np.ones(len(starts), bool)
+    least = sliding(byte_grams(text, 1), half - GRAM + 1)
+    _, pair = np.unique(joined(least[starts], least[starts + width - half]), return_inverse=True)
+    return np.bincount(pair, weight)[pair] >= 2
+
+
 def repeated_starts(segments: list[bytes], weights: list[int], width: int, **sort) -> list[np.ndarray]:
     """For each distinct segment which of its strings occur twice or more in all, by suffix order."""
     text = np.frombuffer(b"\xff".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments])
     first = np.cumsum(sizes + 1) - sizes - 1
     n = sizes - width + 1
-    weight = np.zeros(len(text), np.int32)  # 0 where no string starts
     starts = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    weight[starts] = np.repeat(np.minimum(weights, 2), n)
-    order, prefix = suffix_order(text, width, **sort)
-    apart = np.append(0, np.cumsum(prefix < width))[1:]  # suffixes that share width bytes are in a row
-    own = weight[order] > 0
-    order, apart = order[own], apart[own]
-    group = np.flatnonzero(np.append(True, apart[1:] != apart[:-1]))
-    total = np.add.reduceat(weight[order], group)
-    repeated = np.zeros(len(text), bool)
-    repeated[order] = np.repeat(total >= 2, np.diff(np.append(group, len(order))))
-    return np.split(repeated[starts], np.cumsum(n)[:-1])
+    weight = np.repeat(np.minimum(weights, 2), n)
+    open_ = _halves_meet(text, starts, weight, width)
+    found, at, heavy = np.zeros(len(starts), bool), starts[open_], weight[open_]
+    if len(at):
+        run = np.flatnonzero(np.append(True, np.diff(at) != 1))
+        n_run = np.diff(np.append(run, len(at)))
+        text = np.concatenate([np.append(text[a : a + k + width - 1], np.uint8(255)) for a, k in zip(at[run].tolist(), n_run.tolist())])
+        base = np.cumsum(n_run + width) - (n_run + width)
+        at = np.repeat(base - run, n_run) + np.arange(len(at))
+        order, prefix = suffix_order(text, width, **sort)
+        apart = np.append(0, np.cumsum(prefix < width))[1:]  # suffixes that share width bytes are in a row
+        place = np.full(len(text), -1)
+        place[at] = np.arange(len(at))
+        place = place[order]
+        own = place >= 0
+        place, apart = place[own], apart[own]
+        group = np.flatnonzero(np.append(True, apart[1:] != apart[:-1]))
+        total = np.add.reduceat(heavy[place], group)
+        meets = np.zeros(len(at), bool)
+        meets[place] = np.repeat(total >= 2, np.diff(np.append(group, len(place))))
+        found[open_] = meets
+    return np.split(found, np.cumsum(n)[:-1])
 
 
 def _once(segment: bytes) -> bool:
