@@ -37,6 +37,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that is sent to all tasks, at most; beyond, Spark joins by shuffle.
+BROADCAST_BYTES = 24 << 20
+
+
+def small_enough(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df (a written table) with a broadcast hint if its rows, at most row_bytes each, stay under the bound together."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns that a result column of the same name (in any case) would clash with."""
     gone = {n.lower() for n in names}

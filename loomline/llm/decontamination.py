@@ -6,6 +6,11 @@ documents are. Documents are joined by their words with the prefixes; the word's
 gives the only start (positional bound), which must leave room for the window (length bound); and
 the words there are compared with the window's.
 
+Where the prefixes' rows are small they are sent to all tasks and places are verified as they are met.
+Beyond BROADCAST_BYTES the documents' (place, word) rows meet them by shuffle, without the text; what a
+document met comes back to its text as one row, and is verified there. Words are counted the same way. A
+word that very many windows hold is salted.
+
 Cases: null texts have no words; items without words or with a null id take no part; an item that
 stands twice in the benchmark counts once; equal documents are judged each; a benchmark without
 rows hits nothing; an empty table gives an empty table; columns named like results are replaced.
@@ -22,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Benchmark rows are broadcast only up to this many bytes; beyond, Spark joins by shuffle.
 BROADCAST_BYTES = 24 << 20
+#: Parts that each word's rows are dealt into where they meet by shuffle.
+SALT = 16
 
 
 def _split(text: Column) -> Column:
@@ -35,10 +42,18 @@ def _n_words(parts: Column) -> Column:
     return F.when(parts.isNull(), 0).otherwise(n - ends).cast("long")
 
 
-def _sized(small: DataFrame, bytes_of: Column) -> DataFrame:
-    """small with a broadcast hint if its rows together stay under the bound."""
-    size = small.agg(F.coalesce(F.sum(bytes_of + 64), F.lit(0))).first()[0]
-    return F.broadcast(small) if size <= BROADCAST_BYTES else small
+def _fits(small: DataFrame, bytes_of: Column) -> bool:
+    """Whether the rows of small together stay under the bound."""
+    return small.agg(F.coalesce(F.sum(bytes_of + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
+def _by_word(many: DataFrame, small: DataFrame, fits: bool, how: str = "inner") -> DataFrame:
+    """many joined with small by word: by broadcast if it fits, else by shuffle, each word's rows dealt out by a salt."""
+    if fits:
+        return many.join(F.broadcast(small), "word", how)
+    salted = many.withColumn("salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALT)))
+    each = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")))
+    return salted.join(each, ["word", "salt"], how).drop("salt")
 
 
 def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -57,7 +72,9 @@ def item_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str)
 def word_counts(docs: DataFrame, vocabulary: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all documents for the words of the vocabulary; words that none has are left out."""
     words = docs.select(F.explode(_split(F.col(text_col))).alias("w")).select(F.lower("w").alias("word"))
-    return words.join(_sized(vocabulary, F.octet_length("word")), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if _fits(vocabulary, F.octet_length("word")):
+        return words.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(vocabulary, "word", "left_semi")
 
 
 def with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -65,23 +82,34 @@ def with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
     Windows with a word that no document has are dropped: they occur nowhere.
     """
-    each = windows.select("line", F.posexplode("words").alias("place", "w")).withColumn("word", F.lower("w"))
-    ranked = each.join(counts, "word", "left").groupBy("line").agg(
+    each = windows.select("line", F.posexplode("words").alias("place", "w")).select("line", "place", F.lower("w").alias("word"))
+    ranked = _by_word(each, counts, _fits(counts, F.octet_length("word")), "left").groupBy("line").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "word")).alias("rarest"), F.count(F.lit(1)).alias("size")
     )
-    return ranked.where("rarest.n > 0").join(windows, "line").select("rarest.word", "rarest.place", "size", "line", "items")
+    return ranked.where("rarest.n > 0").join(windows, "line").select("rarest.word", "rarest.place", F.col("size").cast("int").alias("size"), "line", "items")
 
 
 def occurrences(docs: DataFrame, prefixes: DataFrame, key: list[Column], text_col: str) -> DataFrame:
     """key, start, size, items: every place of a document where a window stands."""
     words = docs.select(*key, _split(F.col(text_col)).alias("parts"))
     names = words.columns[:-1]
-    each = words.select(*names, "parts", F.posexplode("parts").alias("pos", "w")).withColumn("word", F.lower("w"))
     start = F.col("pos") - F.col("place")
-    there = F.translate(F.array_join(F.slice("parts", F.greatest(start, F.lit(0)) + 1, F.col("size").cast("int")), " "), UPPER, LOWER)
-    sized = _sized(prefixes, F.octet_length("line") + 8 * F.size("items"))
-    met = each.join(sized, "word").where((start >= 0) & (start + F.col("size") <= F.size("parts")) & (there == F.col("line")))
-    return met.select(*names, start.alias("start"), "size", "items")
+    there = lambda parts, at, size: F.translate(F.array_join(F.slice(parts, F.greatest(at, F.lit(0)) + 1, size), " "), UPPER, LOWER)
+    if _fits(prefixes, F.octet_length("line") + 8 * F.size("items")):
+        each = words.select(*names, "parts", F.posexplode("parts").alias("pos", "w")).withColumn("word", F.lower("w"))
+        inside = (start >= 0) & (start + F.col("size") <= F.size("parts"))
+        met = _by_word(each, prefixes, True).where(inside & (there(F.col("parts"), start, F.col("size")) == F.col("line")))
+        return met.select(*names, start.alias("start"), "size", "items")
+    each = words.select(*names, F.size("parts").alias("n_parts"), F.posexplode("parts").alias("pos", "w")).select(*names, "n_parts", "pos", F.lower("w").alias("word"))
+    lines = prefixes.select("word", "place", "size", F.xxhash64("line").alias("line"))
+    met = _by_word(each, lines, False).where((start >= 0) & (start + F.col("size") <= F.col("n_parts")))
+    found = met.groupBy(*names).agg(F.collect_list(F.struct(start.alias("start"), "size", "line")).alias("found"))
+    found = found.select(*[F.col(c).alias(f"{c}_") for c in names], "found")
+    on = [F.equal_null(F.col(c), F.col(f"{c}_")) for c in names]
+    stands = F.filter("found", lambda x: F.xxhash64(there(F.col("parts"), x["start"], x["size"])) == x["line"])
+    places = words.join(found, on).select(*names, "parts", F.explode(stands).alias("x"))
+    line = there(F.col("parts"), F.col("x.start"), F.col("x.size"))  # the words themselves decide
+    return places.select(*names, "x.start", "x.size", line.alias("line")).join(prefixes.select("line", "items"), "line").select(*names, "start", "size", "items")
 
 
 def judged(
@@ -94,13 +122,15 @@ def judged(
     counts = word_counts(docs, vocabulary, text_col)
     prefixes = checkpointed(with_prefix(windows, counts))
     own = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text")]
-    met = occurrences(docs, prefixes, own, text_col)
+    met = checkpointed(occurrences(docs, prefixes, own, text_col))
     keys = ["__id", "__text"]
-    places = met.select(*keys, F.explode(F.sequence("start", F.col("start") + F.col("size").cast("int") - 1)).alias("at"))
+    places = met.select(*keys, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at"))
     hits = places.groupBy(*keys, "at").count().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"))
     items = met.select(*keys, F.explode("items").alias("item")).withColumn("item", F.col("item").cast("string")).distinct()
     items = items.groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
     found = hits.join(items, [F.equal_null(hits[k], items[k]) for k in keys]).select(*[hits[k].alias(k) for k in keys], "n_hit", "items")
+    found = checkpointed(found)
+    found = F.broadcast(found) if _fits(found, F.octet_length(F.array_join("items", ",")) + F.lit(40)) else found
     results = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     base = without(docs, results).withColumn("n_words", _n_words(_split(F.col(text_col)))).withColumn("__own", F.xxhash64(text_col))
     joined = base.join(found, F.equal_null(F.col(id_col), F.col("__id")) & (F.col("__own") == F.col("__text")), "left")

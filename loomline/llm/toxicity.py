@@ -4,6 +4,9 @@
 2. Words that may be disguised (digits or signs among letters, letters set apart, letters repeated)
    are lattices: each observed character may stand for itself, for letters it is used for, for a
    repeat, or for nothing. Viterbi finds the restored word of greatest channel and model score.
+   Letters with marks count as their base letters. A text is cut at white space once; each token is
+   looked at in time linear in its length, and what is longer than PIECE is decoded in pieces that
+   overlap, so that no text's length matters.
 3. Restored words and their beginnings are weighed by their odds in toxic against other labelled
    rows (lower confidence bound), learned from one half of a bounded sample; a logistic curve over
    a text's strongest, summed and relative weights is fitted on the other half.
@@ -20,9 +23,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,7 @@ from .hashing import buffers
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 6000
-#: Letters a-z are 0 to 25; what parts words is EDGE; any other letter is OTHER.
+#: Letters a-z, marked or not, are 0 to 25; what parts words is EDGE; any other letter is OTHER.
 EDGE, OTHER, SYMBOLS = 26, 27, 28
 #: What signs stand for.
 STANDS_FOR = {
@@ -44,13 +48,18 @@ STANDS_FOR = {
 #: Log costs of the channel.
 AS_SIGN, DROP_SIGN, DROP_GAP, DROP_REPEAT = -1.5, -4.0, -0.5, -1.0
 SIGN = "[" + re.escape("".join(STANDS_FOR)) + "]"
-GAP = r"[ .\-_*·]"
-DISGUISED = re.compile(
-    rf"(?<!\S)(?:(?:[^\W\d_]|{SIGN}){GAP}){{3,}}(?:[^\W\d_]|{SIGN})(?!\w)"  # letters set apart
-    rf"|\S*[a-z](?:{SIGN}|[.\-_*·]){{1,3}}[a-z]\S*|(?<!\S){SIGN}{{1,2}}[a-z]{{2,}}\S*"  # signs among letters
-    r"|\S*([a-z])\1\1\S*"  # repeated letters
-)
+AMONG_LETTERS = re.compile(rf"[a-z](?:{SIGN}|[.\-_*·]){{1,3}}[a-z]|^{SIGN}{{1,2}}[a-z]{{2,}}|([a-z])\1\1")
+SET_APART = re.compile(rf"(?:(?:[^\W\d_]|{SIGN})[.\-_*·])*(?:[^\W\d_]|{SIGN})[.,;:?]?")
+LONG_REPEAT = re.compile(r"([a-z])\1{3,}")
 WORDS = re.compile(r"[^\W\d_]+")
+#: Letters set apart in a row that may be a word; characters decoded at once, and of these seen again by the next piece.
+APART, PIECE, OVERLAP = 4, 256, 64
+#: Small letters with marks, as their base letters.
+BASE = {c: b for c in range(0xDF, 0x180) if (b := {0xDF: "s", 0xE6: "a", 0xF8: "o", 0x153: "o"}.get(c, unicodedata.normalize("NFD", chr(c).lower())[0])) != chr(c) and "a" <= b <= "z"}
+
+
+def folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.lower().translate(BASE)
 
 
 def symbol(c: str) -> int:
@@ -60,6 +69,8 @@ def symbol(c: str) -> int:
 _SYMBOL_OF_BYTE = np.full(256, EDGE, np.int64)
 _SYMBOL_OF_BYTE[97:123] = _SYMBOL_OF_BYTE[65:91] = np.arange(26)
 _SYMBOL_OF_BYTE[0xC0:] = OTHER
+#: Of letters of two bytes that begin with 0xC3, by the second.
+_SYMBOL_AFTER_C3 = np.array([symbol(folded(chr(b + 0x40))[0]) if 0x80 <= b < 0xC0 else OTHER for b in range(256)])
 _FOLLOWS = np.zeros(256, bool)
 _FOLLOWS[0x80:0xC0] = True
 
@@ -73,7 +84,10 @@ def gram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
             data, _ = buffers(batch.column(0))
             for i in range(0, len(data), 1 << 22):
                 part = data[max(i - 12, 0) : i + (1 << 22)]  # four symbols have up to 16 bytes
-                s = _SYMBOL_OF_BYTE[part[~_FOLLOWS[part]]]
+                at = np.flatnonzero(~_FOLLOWS[part])
+                s = _SYMBOL_OF_BYTE[part[at]]
+                two = np.flatnonzero((part[at] == 0xC3) & (at + 1 < len(part)))
+                s[two] = _SYMBOL_AFTER_C3[part[at[two] + 1]]
                 code = ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
                 total += np.bincount(code, minlength=len(total))
         own = np.flatnonzero(total)
@@ -142,14 +156,62 @@ class Decoder(dict):
             path = path[1]
         return "".join(reversed(letters))
 
+    def pieces(self, observed: str) -> list[str]:
+        """The restored words of an observed string of any length, in pieces that may be disguised."""
+        observed = LONG_REPEAT.sub(r"\1\1\1", observed)  # no path keeps more
+        if len(observed) <= PIECE:
+            return [self[observed]]
+        parts = (observed[i : i + PIECE] for i in range(0, len(observed) - OVERLAP, PIECE - OVERLAP))
+        return [w for x in parts if " " in x or AMONG_LETTERS.search(x) for w in WORDS.findall(self[x])]
+
+
+class Reader(dict):
+    """By token its words, the restored ones among them, and how many letters it sets apart; at most `room` are held."""
 
+    def __init__(self, decoder: Decoder, room: int = 200_000) -> None:
+        super().__init__()
+        self.decoder, self.room = decoder, room
+
+    def __missing__(self, token: str) -> tuple[tuple[str, ...], int]:
+        found = self.read(token)
+        if len(self) > self.room:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = found
+        return found
 
-def restored_words(text: str | None, decoder: Decoder) -> Counter:
-    """Words of a text, lower-cased, with the restored ones in place of the disguised ones beside them."""
-    text = (text or "").lower()
-    words = Counter(WORDS.findall(text))
-    for m in DISGUISED.finditer(text):
-        words[decoder[m[0].strip(".,;:?")]] += 1
+    def read(self, token: str) -> tuple[tuple[str, ...], int]:
+        own = folded(token)
+        words = (own,) if own.isalpha() else tuple(WORDS.findall(own))
+        if AMONG_LETTERS.search(own):
+            words += tuple(self.decoder.pieces(own.strip(".,;:?")))
+        single = len(words) != 1 or len(words[0]) == 1  # else letters stand together
+        return words, (len(own) + 1) // 2 if single and SET_APART.fullmatch(own) else 0
+
+    def apart(self, run: list[str]) -> list[str]:
+        """The restored words of tokens that set letters apart."""
+        return self.decoder.pieces(folded(" ".join(run)).strip(".,;:?"))
+
+
+def apart_runs(tokens: list[str], apart: list[tuple[int, int]]) -> Iterator[list[str]]:
+    """Tokens in a row that set APART letters or more apart together; apart: (place, letters) of such tokens."""
+    i = 0
+    while i < len(apart):
+        j = i + 1
+        while j < len(apart) and apart[j][0] == apart[j - 1][0] + 1:
+            j += 1
+        if j - i > 1 and sum(n for _, n in apart[i:j]) >= APART:
+            yield tokens[apart[i][0] : apart[j - 1][0] + 1]
+        i = j
+
+
+def restored_words(text: str | None, reader: Reader) -> Counter:
+    """Words of a text, folded, with the restored ones beside the disguised ones."""
+    tokens = (text or "").split()
+    read = [reader[t] for t in tokens]
+    words = Counter(w for x, _ in read for w in x)
+    for run in apart_runs(tokens, [(i, n) for i, (_, n) in enumerate(read) if n]):
+        words.update(reader.apart(run))
     return words
 
 
@@ -158,30 +220,48 @@ def features(word: str) -> list[str]:
     return [word, *[word[:k] + "+" for k in (4, 5, 6) if len(word) > k]]
 
 
+#: What a token of one weightless word weighs.
+PLAIN = (1, 0, 0.0, 0.0, 0)
+
+
 class Weights(dict):
-    """Weight by word: the greatest of its features' weights, 0 if none is known; at most `room` held."""
+    """By token (words, weighty ones, their weights' sum and the greatest, letters set apart); at most `room` held.
 
-    def __init__(self, lexicon: dict[str, float], room: int = 500_000) -> None:
+    A word weighs as much as the weightiest of its features.
+    """
+
+    def __init__(self, lexicon: dict[str, float], reader: Reader, room: int = 1_000_000) -> None:
         super().__init__()
-        self.lexicon, self.room = lexicon, room
+        self.lexicon, self.reader, self.room = lexicon, reader, room
+
+    def of(self, words: Iterable[str], apart: int = 0) -> tuple[int, int, float, float, int]:
+        get = self.lexicon.get
+        every = [max([get(f, 0.0) for f in features(x)]) for x in words]
+        found = [w for w in every if w > 0]
+        return (len(every), len(found), sum(found), max(found), apart) if found else PLAIN if len(every) == 1 and not apart else (len(every), 0, 0.0, 0.0, apart)
 
-    def __missing__(self, word: str) -> float:
-        w = max([0.0, *(self.lexicon[f] for f in features(word) if f in self.lexicon)])
+    def __missing__(self, token: str) -> tuple[int, int, float, float, int]:
+        found = self.of(*self.reader.read(token))
         if len(self) > self.room:
             self.clear()
-        if len(word) <= 32:
-            self[word] = w
-        return w
+        if len(token) <= 64:
+            self[token] = found
+        return found
 
 
-def evidence(text: str | None, decoder: Decoder, weights: Weights) -> tuple[float, float, float]:
+def evidence(text: str | None, weights: Weights) -> tuple[float, float, float]:
     """Strongest weight, log of summed weights, share of weighty words."""
-    words = restored_words(text, decoder)
-    found = [(w, n) for x, n in words.items() if (w := weights[x])]
-    if not found:
+    tokens = (text or "").split()
+    found = list(map(weights.__getitem__, tokens))
+    n = found.count(PLAIN)
+    if n == len(found):
         return 0.0, 0.0, 0.0
-    total = sum(w * n for w, n in found)
-    return max(w for w, _ in found), math.log1p(total), math.sqrt(sum(n for _, n in found) / max(1, words.total()))
+    odd = [x for x in found if x is not PLAIN]
+    if any(x[4] for x in odd):
+        odd += [weights.of(weights.reader.apart(run)) for run in apart_runs(tokens, [(i, x[4]) for i, x in enumerate(found) if x[4]])]
+    n += sum(x[0] for x in odd)
+    hits = sum(x[1] for x in odd)
+    return (max(x[3] for x in odd), math.log1p(sum(x[2] for x in odd)), math.sqrt(hits / n)) if hits else (0.0, 0.0, 0.0)
 
 
 def labelled(labels: DataFrame, held_out: Column) -> DataFrame:
@@ -196,11 +276,11 @@ def learn_lexicon(sample: DataFrame, model, tag: str, least_rows: int = 4, least
     """Weights of features by their odds in toxic rows (text, toxic); lower bounds, only those of at least `least`."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = held(tag + "-d", lambda: Decoder(model.value))
+        reader = held(tag + "-d", lambda: Reader(Decoder(model.value)))
         for rows in batches:
             seen = [Counter(), Counter()]
             for text, toxic in zip(rows["text"], rows["toxic"]):
-                seen[toxic].update({f for w in restored_words(text, decoder) for f in features(w)})
+                seen[toxic].update({f for w in restored_words(text, reader) for f in features(w)})
             keys = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"feature": keys, "pos": [seen[1][k] for k in keys], "neg": [seen[0][k] for k in keys]})
 
@@ -240,8 +320,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
     sent = spark.sparkContext.broadcast(lexicon)
 
     def weigh(series: pd.Series) -> list[tuple[float, float, float]]:
-        decoder, weights = held(tag, lambda: (Decoder(model.value), Weights(sent.value)))
-        return [evidence(t, decoder, weights) for t in series]
+        weights = held(tag, lambda: Weights(sent.value, Reader(Decoder(model.value))))
+        return [evidence(t, weights) for t in series]
 
     def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

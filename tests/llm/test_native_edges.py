@@ -44,3 +44,12 @@ def test_join_without_broadcast_gives_the_same(spark, monkeypatch):
     one = sorted(map(str, D.judged(docs, bench).collect()))
     monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
     assert sorted(map(str, D.judged(docs, bench).collect())) == one
+
+
+def test_long_documents_and_hot_words_by_shuffle(spark, monkeypatch):
+    text = " ".join(["the"] * 5000 + [f"w{i % 40}" for i in range(15000)])
+    bench = spark.createDataFrame([(i, " ".join(f"w{(i + k) % 40}" for k in range(14))) for i in range(40)] + [(99, "the " * 13)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "the w1"), (3, None)], "doc_id long, text string")
+    one = sorted(map(str, D.judged(docs, bench).collect()))
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, D.judged(docs, bench).collect())) == one and "n_hit=20000" in one[0]

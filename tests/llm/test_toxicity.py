@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -26,7 +27,28 @@ def test_disguised_words_are_restored(spark):
     decoder = X.Decoder(X.log_model(X.gram_counts(docs, "text")))
     for seen, meant in [("1d10t", "idiot"), ("s t u p i d", "stupid"), ("tr@sh", "trash"), ("st.up.id", "stupid"), ("idiiiiiot", "idiot")]:
         assert decoder[seen] == meant
-    assert "idiot" in X.restored_words("You 1d10t!", decoder) and not X.restored_words(None, decoder)
+    reader = X.Reader(decoder)
+    assert "idiot" in X.restored_words("You 1d10t!", reader) and not X.restored_words(None, reader)
+    assert "stupid" in X.restored_words("so s t u p i d, they say", reader) and "stupid" in X.restored_words("s-t u p i d", reader)
+
+
+def test_letters_with_marks_count_as_their_base(spark):
+    docs = spark.createDataFrame([("ein blödes großes mädchen und élève français " * 20,)], "text string")
+    decoder = X.Decoder(X.log_model(X.gram_counts(docs, "text")))
+    assert X.folded("BLÖDES Straße") == "blodes strase" and X.gram_counts(docs, "text")[X.EDGE, 1, 11, 14] == 20
+    assert "blodes" in X.restored_words("bl0d3s Blöö0des", X.Reader(decoder)) and "eleve" in X.restored_words("él3ve", X.Reader(decoder))
+
+
+def test_very_long_tokens_take_time_in_proportion(spark):
+    docs = spark.createDataFrame([("the word idiot and other things " * 20,)], "text string")
+    reader = X.Reader(X.Decoder(X.log_model(X.gram_counts(docs, "text"))))
+    began = time.process_time()
+    n = 1_000_000
+    for text in ("abcdefghij" * (n // 10), "a" * n, "ab1" * (n // 3), "a.b" * (n // 3) + "1", "x " * (n // 2), "é" * n, "1" * n):
+        assert X.restored_words(text, reader) or text[0] == "1"
+    assert time.process_time() - began < 60
+    far = "q" * 700 + "1d10t" + "q" * 700
+    assert any("idiot" in w for w in X.restored_words(far, reader))
 
 
 def test_viterbi_finds_the_best_of_all_paths(spark):
