@@ -25,6 +25,7 @@ from .common import checkpointed, without
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, where A-Z are letters still.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = BETWEEN.replace("[", "[^", 1)
 #: Benchmark rows are broadcast only up to this many bytes; beyond, Spark joins by shuffle.
 BROADCAST_BYTES = 24 << 20
 #: Parts that each word's rows are dealt into where they meet by shuffle.
@@ -36,12 +37,6 @@ def _split(text: Column) -> Column:
     return F.split(text, BETWEEN)
 
 
-def _n_words(parts: Column) -> Column:
-    n = F.size(parts)
-    ends = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0) + F.when((n > 1) & (F.get(parts, n - 1) == ""), 1).otherwise(0)
-    return F.when(parts.isNull(), 0).otherwise(n - ends).cast("long")
-
-
 def _fits(small: DataFrame, bytes_of: Column) -> bool:
     """Whether the rows of small together stay under the bound."""
     return small.agg(F.coalesce(F.sum(bytes_of + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
@@ -119,7 +114,7 @@ def judged(
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated (share * n_hit >= n_words > 0 hit)."""
     windows = checkpointed(item_windows(benchmark, window, item_col, item_text))
     vocabulary = windows.select(F.explode("words").alias("w")).select(F.lower("w").alias("word")).distinct()
-    counts = word_counts(docs, vocabulary, text_col)
+    counts = checkpointed(word_counts(docs, vocabulary, text_col))
     prefixes = checkpointed(with_prefix(windows, counts))
     own = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text")]
     met = checkpointed(occurrences(docs, prefixes, own, text_col))
@@ -132,7 +127,7 @@ def judged(
     found = checkpointed(found)
     found = F.broadcast(found) if _fits(found, F.octet_length(F.array_join("items", ",")) + F.lit(40)) else found
     results = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    base = without(docs, results).withColumn("n_words", _n_words(_split(F.col(text_col)))).withColumn("__own", F.xxhash64(text_col))
+    base = without(docs, results).withColumn("n_words", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__own", F.xxhash64(text_col))
     joined = base.join(found, F.equal_null(F.col(id_col), F.col("__id")) & (F.col("__own") == F.col("__text")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select(
