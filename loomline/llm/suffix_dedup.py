@@ -36,7 +36,7 @@ from .induced_sort import suffix_order
 SHARD_BYTES, BUCKET_BYTES, LEAST = 4 << 20, 24 << 20, 64
 GRAM = 16
 #: Bytes of segments whose suffixes are sorted together; at most 17 times as many are on disk meanwhile.
-SORTED = 8 << 20
+SORTED = 4 << 20
 #: Kinds of segments, summed over shards, beyond which the strings of a key are not sorted in one place.
 CROWDED = 4096
 SENT = "bucket int, shard int, keys binary, checks binary, twice binary, bytes binary"

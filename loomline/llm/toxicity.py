@@ -110,7 +110,7 @@ def log_model(counts: np.ndarray, weight: float = 8.0) -> np.ndarray:
 class Decoder(dict):
     """Restored words by disguised one, decoded once when first met; at most `room` are held."""
 
-    def __init__(self, model: np.ndarray, room: int = 100_000) -> None:
+    def __init__(self, model: np.ndarray, room: int = 20_000) -> None:
         super().__init__()
         self.model, self.room = model, room
 
@@ -168,7 +168,7 @@ class Decoder(dict):
 class Reader(dict):
     """By token its words, the restored ones among them, and how many letters it sets apart; at most `room` are held."""
 
-    def __init__(self, decoder: Decoder, room: int = 200_000) -> None:
+    def __init__(self, decoder: Decoder, room: int = 50_000) -> None:
         super().__init__()
         self.decoder, self.room = decoder, room
 
@@ -230,7 +230,7 @@ class Weights(dict):
     A word weighs as much as the weightiest of its features.
     """
 
-    def __init__(self, lexicon: dict[str, float], reader: Reader, room: int = 1_000_000) -> None:
+    def __init__(self, lexicon: dict[str, float], reader: Reader, room: int = 150_000) -> None:
         super().__init__()
         self.lexicon, self.reader, self.room = lexicon, reader, room
 
