@@ -28,9 +28,9 @@ def turn_at(points: DataFrame, turns: DataFrame, key: str, t: str, start: str =
 def nearest_turn(points: DataFrame, turns: DataFrame, key: str, t: str, start: str = "start", end: str = "end", label: str = "speaker") -> DataFrame:
     """points with nearest_speaker and distance: of the turns begun before and after t the nearer; of equals the earlier."""
     before = Window.partitionBy(key).orderBy("__t", "__kind", "__turn.l")
-    after = before.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.desc("__t"), F.desc("__kind"), F.desc("__turn.l")).rowsBetween(Window.unboundedPreceding, -1)
     merged = _merged_in_time(points, turns, key, t, start, end, label).withColumns(
-        {"__b": F.last("__turn", ignorenulls=True).over(before), "__a": F.first("__turn", ignorenulls=True).over(after)}
+        {"__b": F.last("__turn", ignorenulls=True).over(before), "__a": F.last("__turn", ignorenulls=True).over(after)}
     ).where("__kind = 1")
     d_before = F.when(F.col("__b.e").isNotNull(), F.greatest(F.col(t) - F.col("__b.e"), F.lit(0)))
     d_after = F.col("__a.s") - F.col(t)
@@ -42,6 +42,11 @@ def nearest_turn(points: DataFrame, turns: DataFrame, key: str, t: str, start: s
     )
 
 
+def next_time(value: Column, key: str, t: str) -> Column:
+    """Least value of the rows of a key that begin strictly later; frames that begin unbounded take linear time."""
+    return F.min(value).over(Window.partitionBy(key).orderBy(F.desc(t)).rangeBetween(Window.unboundedPreceding, -1))
+
+
 def label_by_vote(sentences: DataFrame, voted: DataFrame, keys: list[str], order: str, speaker: str = "speaker_at") -> DataFrame:
     """sentences with speaker: most votes of their tokens; of equals the one voted for first; else fallback."""
     counted = voted.where(F.col(speaker).isNotNull()).groupBy(*keys, speaker).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))

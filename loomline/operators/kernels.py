@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-WORD = re.compile(r"[^\W_]+")
-
 
 def _per_row(rows: DataFrame, run, new: str) -> DataFrame:
     """rows with the columns `new` (DDL) that run gives for each row's record, in Arrow batches."""
@@ -62,17 +59,32 @@ def keep_changed(frames: DataFrame, key: str, order: str, bits: str, least: int)
     return frames.groupBy(key).applyInPandas(keep, frames.schema)
 
 
-def common_run(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence of two lists."""
+def shared_run(a: list[tuple], b: list[tuple], tolerance: float) -> list[tuple[int, int]]:
+    """Pairs of a longest run of neighbours of a and b with equal words at times nearer than the tolerance; the first of equals."""
+    best, size = (0, 0, 0), {}
+    for i, (word, t) in enumerate(a):
+        now = {}
+        for j, (other, u) in enumerate(b):
+            if word == other and abs(t - u) < tolerance:
+                now[j] = size.get(j - 1, 0) + 1
+                if now[j] > best[0]:
+                    best = now[j], i, j
+        size = now
+    n, i, j = best
+    return [(i - k, j - k) for k in range(n - 1, -1, -1)]
+
+
+def shared_sequence(a: list[tuple], b: list[tuple], tolerance: float) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence, where words are equal at times nearer than the tolerance."""
     n, m = len(a), len(b)
+    same = lambda i, j: a[i][0] == b[j][0] and abs(a[i][1] - b[j][1]) < tolerance
     size = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            size[i][j] = size[i + 1][j + 1] + 1 if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
-    i = j = 0
-    pairs = []
+            size[i][j] = size[i + 1][j + 1] + 1 if same(i, j) else max(size[i + 1][j], size[i][j + 1])
+    i, j, pairs = 0, 0, []
     while i < n and j < m:
-        if a[i] == b[j]:
+        if same(i, j):
             pairs.append((i, j))
             i, j = i + 1, j + 1
         elif size[i + 1][j] >= size[i][j + 1]:
@@ -82,19 +94,52 @@ def common_run(a: list, b: list) -> list[tuple[int, int]]:
     return pairs
 
 
-def merge_streams(chunks: DataFrame, a: str, b: str, overlap: int) -> DataFrame:
-    """merged: a then b, joined where the last `overlap` of a and the first of b have most in common."""
+def merge_seam(a: list[tuple], b: list[tuple], overlap: float) -> list[tuple]:
+    """Tokens (word, time) of two chunks that overlap by so much time, as one stream.
+
+    The overlap is joined along its longest run of equal tokens, if that has half of a's overlap; else along
+    a longest common subsequence, where of what lies between two pairs the side with more tokens is kept. Where
+    too little overlaps, each side keeps its half of the time.
+    """
+    if not a or not b or a[-1][1] <= b[0][1]:
+        return a + b
+    low, high = b[0][1], a[-1][1]
+    first = next(i for i, x in enumerate(a) if x[1] > low - overlap / 2)
+    last = len(b) - next(i for i, x in enumerate(reversed(b)) if x[1] < high + overlap / 2)
+    x, y = a[first:], b[:last]
+    middle = (low + high) / 2
+    halves = [t for t in a if t[1] <= middle] + [t for t in b if t[1] > middle]
+    if len(x) < 2 or len(y) < 2:
+        return halves
+    pairs = shared_run(x, y, overlap / 2)
+    if len(pairs) * 2 < len(x):
+        pairs = shared_sequence(x, y, overlap / 2)
+    if not pairs:
+        return halves
+    out = a[: first + pairs[0][0]]
+    for (i, j), (k, m) in zip(pairs, pairs[1:] + [(None, None)]):
+        out.append(x[i])
+        if k is not None:
+            out += max(x[i + 1 : k], y[j + 1 : m], key=len)
+    return out + b[pairs[-1][1] + 1 :]
+
+
+def merge_chunks(tokens: DataFrame, key: str, overlap: float) -> DataFrame:
+    """key, place, word, at of the chunks of each key (chunk, word, at) merged one after the other.
+
+    A key's chunks are folded in order by one task, as a merge depends on the one before.
+    """
 
-    def merge(r: dict) -> tuple[list]:
-        x, y = list(r[a]), list(r[b])
-        k = min(overlap, len(x))
-        pairs = common_run(x[len(x) - k :], y[:overlap])
-        if not pairs:
-            return (x + y,)
-        i, j = pairs[len(pairs) // 2]
-        return (x[: len(x) - k + i] + y[j:],)
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["chunk", "at"], kind="stable")
+        out: list[tuple] = []
+        for _, rows in part.groupby("chunk", sort=True):
+            new = list(zip(rows["word"], rows["at"]))
+            cut = max(0, len(out) - 2 * len(new))  # a seam lies in the last chunk's time
+            out = out[:cut] + merge_seam(out[cut:], new, overlap)
+        return pd.DataFrame({key: part[key].iloc[0], "place": range(len(out)), "word": [w for w, _ in out], "at": [t for _, t in out]})
 
-    return _per_row(chunks, merge, "merged array<string>")
+    return tokens.groupBy(key).applyInPandas(fold, f"{key} long, place long, word string, at double")
 
 
 def align(rows: DataFrame, reference: str, heard: str) -> DataFrame:
@@ -134,37 +179,27 @@ def packed_lines(rows: DataFrame, text: str, most: int) -> DataFrame:
 
 def with_fnv(rows: DataFrame, text: str) -> DataFrame:
     """words_hash: 32-bit FNV-1a (hexadecimal) of the text with its spaces as one."""
-
-    def fnv(r: dict) -> tuple[str]:
-        h = 0x811C9DC5
-        for b in " ".join((r[text] or "").split()).encode():
-            h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-        return (f"{h:08x}",)
-
-    return _per_row(rows, fnv, "words_hash string").drop(text)
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    line = F.hex(F.encode(F.array_join(words, " "), "UTF-8"))
+    at = F.when(F.length(line) > 0, F.sequence(F.lit(1), F.length(line), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    byte = lambda i: F.conv(F.substring(line, i, F.lit(2)), 16, 10).cast("long")
+    h = F.aggregate(at, F.lit(0x811C9DC5).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 0x01000193) % (1 << 32))
+    return rows.withColumn("words_hash", F.lower(F.lpad(F.hex(h), 8, "0"))).drop(text)
 
 
-def find_phrases(docs: DataFrame, phrases: DataFrame, text: str, most: int, bound: int = 2_000_000) -> DataFrame:
+def find_phrases(docs: DataFrame, phrases: DataFrame, text: str, most: int) -> DataFrame:
     """doc_id, first, size and entry of phrases (phrase, entry) in texts, the longest at each place, left to right.
 
-    The dictionary is sent to the tasks; more than `bound` phrases are refused, as they may not fit there.
+    Runs of up to `most` words meet the phrases by equality; a document's finds are settled in one row.
     """
-    n = phrases.count()
-    if n > bound:
-        raise ValueError(f"{n} phrases are more than the {bound} that tasks may hold")
-    sent = docs.sparkSession.sparkContext.broadcast({r.phrase: r.entry for r in phrases.toLocalIterator()})
-
-    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries = sent.value
-        for part in parts:
-            out = []
-            for doc, t in zip(part["doc_id"], part[text]):
-                words, i = WORD.findall((t or "").lower()), 0
-                while i < len(words):
-                    size = next((k for k in range(min(most, len(words) - i), 0, -1) if " ".join(words[i : i + k]) in entries), 0)
-                    if size:
-                        out.append((doc, i, size, entries[" ".join(words[i : i + size])]))
-                    i += size or 1
-            yield pd.DataFrame(out, columns=["doc_id", "first", "size", "entry"])
-
-    return docs.mapInPandas(find, "doc_id long, first long, size int, entry long")
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    each = docs.select("doc_id", words.alias("w")).select("doc_id", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("first"))
+    runs = each.select("doc_id", "first", F.explode(F.array(*[F.lit(k) for k in range(1, most + 1)])).alias("size"), "w").where("first + size <= size(w)")
+    runs = runs.select("doc_id", "first", "size", F.array_join(F.slice("w", F.col("first") + 1, F.col("size")), " ").alias("phrase"))
+    found = runs.join(phrases, "phrase").groupBy("doc_id", "first").agg(F.max(F.struct("size", "entry")).alias("m"))
+    own = F.sort_array(F.collect_list(F.struct("first", F.col("m.size").alias("size"), F.col("m.entry").alias("entry"))))
+    start = F.array().cast("array<struct<first:int,size:int,entry:bigint>>")
+    free = lambda a, x: (F.size(a) == 0) | (F.element_at(a, -1)["first"] + F.element_at(a, -1)["size"] <= x["first"])
+    kept = F.aggregate("all", start, lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))
+    out = found.groupBy("doc_id").agg(own.alias("all")).select("doc_id", F.explode(kept).alias("x"))
+    return out.select("doc_id", F.col("x.first").cast("long").alias("first"), "x.size", "x.entry")

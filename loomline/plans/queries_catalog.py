@@ -33,13 +33,13 @@ Q["j20_second_reading"], O["j20_second_reading"] = j20, "SELECT o_custkey, o_ord
 
 
 def j13(spark, sf):
-    """Confidence of each entry from the rated ones of the same part and price; 1 where there is none."""
-    l = table(spark, sf, "lineitem")
-    rated = l.where("l_linenumber = 1").groupBy("l_partkey", "l_quantity").agg(F.max("l_discount").alias("c"))
-    return l.where("l_linenumber = 2").join(rated, ["l_partkey", "l_quantity"], "left").select("l_orderkey", F.coalesce("c", F.lit(1.0)).alias("confidence"))
+    """Confidence of each entry from the last one before it of the same part and quantity; 1 where there is none."""
+    w = Window.partitionBy("l_partkey", "l_quantity").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    c = F.last("l_discount").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(c, F.lit(1.0)).alias("confidence"))
 
 
-Q["j13_confidences"], O["j13_confidences"] = j13, "SELECT l.l_orderkey, coalesce(r.c, 1.0::DOUBLE) AS confidence FROM lineitem l LEFT JOIN (SELECT l_partkey, l_quantity, max(l_discount) AS c FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2) r ON r.l_partkey = l.l_partkey AND r.l_quantity = l.l_quantity WHERE l.l_linenumber = 2"
+Q["j13_confidences"], O["j13_confidences"] = j13, "SELECT l_orderkey, l_linenumber, coalesce(lag(l_discount) OVER (PARTITION BY l_partkey, l_quantity ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice), 1.0::DOUBLE) AS confidence FROM lineitem"
 
 
 def a2(spark, sf):
@@ -82,12 +82,14 @@ Q["t4_newest_first"], O["t4_newest_first"] = t4, "SELECT o_custkey, place, o_ord
 
 def p11(spark, sf):
     """Three-state flags of a recording: null where there is nothing to know it from."""
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(F.when(F.col("o_orderpriority") == "1-URGENT", True).otherwise(False)).alias("urgent"))
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.max(F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.countDistinct("o_orderstatus").alias("speakers"), F.count(F.when(F.col("o_totalprice") > 300000, 1)).alias("marks")
+    )
     c = table(spark, sf, "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "urgent")
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "urgent", "speakers", "marks")
 
 
-Q["p11_counts"], O["p11_counts"] = p11, "SELECT c_custkey, max(o_orderpriority = '1-URGENT') AS urgent FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"
+Q["p11_counts"], O["p11_counts"] = p11, "SELECT c_custkey, max(o_orderpriority = '1-URGENT') AS urgent, CASE WHEN count(o_orderkey) > 0 THEN count(DISTINCT o_orderstatus) END AS speakers, CASE WHEN count(o_orderkey) > 0 THEN count(CASE WHEN o_totalprice > 300000 THEN 1 END) END AS marks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"
 
 
 def s11(spark, sf):
@@ -112,11 +114,15 @@ Q["s8_used_sources"], O["s8_used_sources"] = s8, "SELECT s_suppkey, s_suppkey IN
 
 def a30(spark, sf):
     """Change scores: dimensions of consecutive frames that differ by over 0.1."""
+    return _changes(spark, sf).select("vec_id", "score")
+
+
+def _changes(spark, sf):
     v = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
     w = Window.partitionBy("label").orderBy("vec_id")
     v = v.withColumn("before", F.lag("embedding").over(w)).where("before IS NOT NULL")
     score = F.size(F.filter(F.zip_with("embedding", "before", lambda a, b: F.abs(a - b) > F.lit(0.1).cast("float")), lambda x: x))
-    return v.select("vec_id", score.cast("long").alias("score"))
+    return v.select("label", "vec_id", score.cast("long").alias("score"))
 
 
 Q["a30_change_scores"], O["a30_change_scores"] = a30, """WITH v AS (SELECT vec_id, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
@@ -125,8 +131,7 @@ SELECT vec_id, len(list_filter(list_zip(a, b), lambda x: abs(x[1] - x[2]) > 0.1:
 
 def t1(spark, sf):
     """Marks: at most eight frames of each label by score, four or more apart, and where to look."""
-    frames = a30(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
-    return kernels.select_marks(frames, "label", "vec_id", "score", budget=8, least_gap=4)
+    return kernels.select_marks(_changes(spark, sf), "label", "vec_id", "score", budget=8, least_gap=4)
 
 
 Q["t1_select_marks"] = t1
@@ -142,18 +147,6 @@ def t3(spark, sf):
 Q["t3_keep_count"] = t3
 
 
-def k4(spark, sf):
-    """Two overlapping chunk streams merged by a longest common subsequence: turns of a conversation, each with the next one's first words."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", r"\s+").alias("words"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = c.withColumn("after", F.lead("words").over(w)).where("after IS NOT NULL")
-    chunks = pairs.select("conv_id", "turn", F.concat("words", F.slice("after", 1, 3)).alias("a"), F.col("after").alias("b"))
-    return kernels.merge_streams(chunks, "a", "b", 8)
-
-
-Q["k4_merge_lcs"] = k4
-
-
 def f10(spark, sf):
     """Word alignment of each turn with the turn before it: substituted, missed and inserted words."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", r"\s+").alias("words"))
@@ -178,7 +171,8 @@ def f13(spark, sf):
     return kernels.with_fnv(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text")
 
 
-Q["f13_words_hash"] = f13
+Q["f13_words_hash"], O["f13_words_hash"] = f13, r"""WITH h AS (SELECT conv_id, turn, hex(encode(array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), ' '))) AS h FROM conversations)
+SELECT conv_id, turn, lower(printf('%08x', list_reduce(list_concat([2166136261::BIGINT], list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda a, b: xor(a, b) * 16777619 % 4294967296))) AS words_hash FROM h"""
 
 
 def j12(spark, sf):

@@ -125,8 +125,9 @@ Q["a23_review_counts"], O["a23_review_counts"] = a23, "SELECT source, count(qual
 def j18(spark, sf):
     """Distance of each error to the nearest purchase of its user."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
+    back = Window.partitionBy("user_id").orderBy(F.desc("t"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("event_type") == "purchase", F.col("t"))
-    p = points(spark, sf).withColumns({"b": F.last(mark, ignorenulls=True).over(w), "a": F.first(mark, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    p = points(spark, sf).withColumns({"b": F.last(mark, ignorenulls=True).over(w), "a": F.last(mark, ignorenulls=True).over(back)})
     return p.where("event_type = 'error'").select("event_id", F.least(F.col("t") - F.col("b"), F.col("a") - F.col("t")).alias("distance"))
 
 

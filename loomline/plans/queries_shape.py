@@ -70,12 +70,13 @@ Q["t2_time_order"], O["t2_time_order"] = t2, "SELECT event_id, row_number() OVER
 
 
 def u3(spark, sf):
-    """Union of the words of a document's first two lines, and what they share."""
-    t = tokens(spark, sf).where("pos < 2").groupBy("doc_id").agg(F.max(F.when(F.col("pos") == 0, F.col("words"))).alias("a"), F.max(F.when(F.col("pos") == 1, F.col("words"))).alias("b"))
-    return t.where("b IS NOT NULL").select("doc_id", F.size(F.array_union("a", "b")).cast("long").alias("either"), F.size(F.array_intersect("a", "b")).cast("long").alias("both"))
+    """Union of the words of each line and the one before it in its document, and what they share."""
+    before = F.lag("words").over(Window.partitionBy("doc_id").orderBy("pos"))
+    t = tokens(spark, sf).withColumn("a", before).where("a IS NOT NULL")
+    return t.select("doc_id", "pos", F.size(F.array_union("a", "words")).cast("long").alias("either"), F.size(F.array_intersect("a", "words")).cast("long").alias("both"))
 
 
-Q["u3_flag_union"], O["u3_flag_union"] = u3, TOK + "SELECT a.doc_id, len(list_distinct(list_concat(a.words, b.words))) AS either, len(list_intersect(a.words, b.words)) AS both FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.pos = 0 AND b.pos = 1"
+Q["u3_flag_union"], O["u3_flag_union"] = u3, TOK + "SELECT a.doc_id, b.pos, len(list_distinct(list_concat(a.words, b.words))) AS either, len(list_intersect(a.words, b.words)) AS both FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1"
 
 
 def j7(spark, sf):

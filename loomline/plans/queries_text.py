@@ -44,17 +44,19 @@ Q["l1_is_loop"], O["l1_is_loop"] = l1, TOK + "SELECT doc_id, pos, len(words) AS
 
 
 def w2(spark, sf):
-    """Runs of two or more neighbouring lines of the same words; lines without words don't break them."""
+    """Runs of five or more neighbouring lines of the same words that are a loop together; lines without words don't break them."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     t = tokens(spark, sf).where(F.size("words") > 0).withColumn("key", F.array_join("words", " "))
     t = t.withColumn("g", F.sum(F.when(F.lag("key").over(w) == F.col("key"), 0).otherwise(1)).over(w))
-    return t.groupBy("doc_id", "g").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("g")
+    runs = t.groupBy("doc_id", "g").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"), F.first("words").alias("w"))
+    size, kinds = F.col("n") * F.size("w"), F.size(F.array_distinct("w"))
+    return runs.where((F.col("n") >= 5) & (size > 6) & (kinds <= F.greatest(F.lit(2), F.floor(size / 3)))).drop("g", "w")
 
 
-Q["w2_loop_runs"], O["w2_loop_runs"] = w2, TOK + """, k AS (SELECT doc_id, pos, array_to_string(words, ' ') AS key FROM w WHERE len(words) > 0),
+Q["w2_loop_runs"], O["w2_loop_runs"] = w2, TOK + """, k AS (SELECT doc_id, pos, words, array_to_string(words, ' ') AS key FROM w WHERE len(words) > 0),
 g AS (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY doc_id ORDER BY pos) = key THEN 0 ELSE 1 END AS f FROM k),
 h AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM g)
-SELECT doc_id, min(pos) AS first, max(pos) AS last, count(*) AS n FROM h GROUP BY doc_id, g HAVING count(*) >= 2"""
+SELECT doc_id, min(pos) AS first, max(pos) AS last, count(*) AS n FROM h GROUP BY doc_id, g HAVING count(*) >= 5 AND count(*) * len(any_value(words)) > 6 AND len(list_distinct(any_value(words))) <= greatest(2, count(*) * len(any_value(words)) // 3)"""
 
 
 def k9(spark, sf):
@@ -95,14 +97,24 @@ Q["p6_spoken"], O["p6_spoken"] = p6, SENT + r"SELECT doc_id, pos FROM s WHERE re
 
 
 def p15(spark, sf):
-    """Documents that every word of a title stands in: the first benchmark words as queries."""
-    q = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("q")).where("item_id < 12")
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(q), X.search_hit(F.col("text"), F.col("q"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    """Documents in whose title (first line) every word of a query stands: the first two words of each benchmark item.
 
+    Titles meet queries by a gram of the query's longest word, so no pair is made that shares none.
+    """
+    words = lambda c: F.filter(F.split(X.folded(c), r"\s+"), lambda w: w != "")
+    q = table(spark, sf, "benchmark").select("item_id", F.slice(words(F.col("text")), 1, 2).alias("ws")).where(F.size("ws") > 0)
+    longest = F.aggregate("ws", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    q = q.withColumn("gram", F.substring(longest, 1, 3))
+    d = table(spark, sf, "documents").select("doc_id", X.folded(F.split("text", "\n")[0]).alias("hay"))
+    sizes = F.array(F.lit(1), F.lit(2), F.lit(3))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("hay")), lambda i: F.transform(sizes, lambda k: F.substring(F.col("hay"), i, k))))
+    met = d.where(F.length("hay") > 0).select("doc_id", "hay", F.explode(F.array_distinct(grams)).alias("gram")).join(q, "gram")
+    return met.where(F.forall("ws", lambda w: F.contains(F.col("hay"), w))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
-Q["p15_library_search"], O["p15_library_search"] = p15, r"""WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(array_to_string(regexp_split_to_array(text, '\s+')[1:2], ' ')), '\s+'), lambda x: x <> '') AS ws FROM benchmark WHERE item_id < 12)
-SELECT item_id, count(*) AS n, min(doc_id) AS first FROM documents, q WHERE len(list_filter(ws, lambda x: NOT contains(lower(text), x))) = 0 GROUP BY 1"""
+
+Q["p15_library_search"], O["p15_library_search"] = p15, r"""WITH q AS (SELECT item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')[1:2] AS ws FROM benchmark),
+d AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS hay FROM documents)
+SELECT item_id, count(*) AS n, min(doc_id) AS first FROM d, q WHERE len(ws) > 0 AND len(list_filter(ws, lambda x: NOT contains(hay, x))) = 0 GROUP BY 1"""
 
 
 def p16(spark, sf):
@@ -190,18 +202,20 @@ Q["s1_detect_format"], O["s1_detect_format"] = s1, "SELECT conv_id, 'srt' AS a,
 
 
 def f9(spark, sf):
-    """Words one or two edits from a benchmark word of the same first letter and six letters or more."""
-    b = table(spark, sf, "benchmark").select(F.explode(X.words(F.lower("text"))).alias("entry")).where(F.rlike("entry", F.lit("^[a-z]{9,}$"))).distinct()
-    w = table(spark, sf, "conversations").select(F.explode(X.words(F.lower("text"))).alias("word")).where(F.rlike("word", F.lit("^[a-z]{9,}$"))).distinct()
-    key = lambda c: F.substring(c, 1, 3)
-    near = w.join(b, key(F.col("word")) == key(F.col("entry"))).withColumn("edits", F.levenshtein("word", "entry"))
+    """Words one or two edits from a benchmark word. Two such words share a form with up to two letters left out."""
+    own = lambda t: table(spark, sf, t).select(F.explode(X.words(F.lower("text"))).alias("word")).distinct()
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    forms = lambda w: F.array_distinct(F.flatten(F.array(F.array(w), cut(w), F.flatten(F.transform(cut(w), lambda x: F.when(x == "", F.array(x)).otherwise(cut(x)))))))
+    w = own("conversations").select("word", F.explode(forms(F.col("word"))).alias("form"))
+    b = own("benchmark").select(F.col("word").alias("entry"), F.explode(forms(F.col("word"))).alias("form"))
+    near = w.join(b, "form").select("word", "entry").distinct().withColumn("edits", F.levenshtein("word", "entry", 2))
     return near.where("edits between 1 and 2").select("word", "entry", F.col("edits").cast("long").alias("edits"))
 
 
-Q["f9_edits"], O["f9_edits"] = f9, f"""WITH b AS (SELECT DISTINCT entry FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS entry FROM benchmark) WHERE regexp_matches(entry, '^[a-z]{{9,}}$')),
-w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS word FROM conversations) WHERE regexp_matches(word, '^[a-z]{{9,}}$'))
-SELECT word, entry, CAST(e AS BIGINT) AS edits FROM (SELECT word, entry, len(list_distinct([1])) AS one,
- damerau_levenshtein(word, entry) AS d, levenshtein(word, entry) AS e FROM w JOIN b ON left(word, 3) = left(entry, 3)) WHERE e BETWEEN 1 AND 2""".replace("len(list_distinct([1])) AS one,\n damerau_levenshtein(word, entry) AS d, ", "")
+Q["f9_edits"], O["f9_edits"] = f9, f"""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS entry FROM benchmark),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS word FROM conversations)
+SELECT word, entry, CAST(e AS BIGINT) AS edits FROM (SELECT word, entry, levenshtein(translate(word, 'éèêëàâçîïôûùäöüßñáíóú', 'ABCDEFGHIJKLMNOPQRSTU'), translate(entry, 'éèêëàâçîïôûùäöüßñáíóú', 'ABCDEFGHIJKLMNOPQRSTU')) AS e
+ FROM w JOIN b ON abs(length(word) - length(entry)) <= 2) WHERE e BETWEEN 1 AND 2"""
 
 
 def f14(spark, sf):

@@ -81,7 +81,7 @@ Q["k11_merged_spans"], O["k11_merged_spans"] = k11, EV + "," + MERGED + " SELECT
 
 def k13(spark, sf):
     """Mute spans: padded by 0.1 s, at most 1.4 s or to the next start, clipped and merged."""
-    p = points(spark, sf).withColumn("next", F.min("t").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(1, Window.unboundedFollowing)))
+    p = points(spark, sf).withColumn("next", I.next_time(F.col("t"), "user_id", "t"))
     hit = p.where("event_type = 'error'").select("user_id", F.greatest(F.col("t") - 100, F.lit(0)).alias("start"), (F.least(F.col("t") + 1400, F.coalesce("next", F.col("t") + 1400)) + 100).alias("end"))
     return I.merged_spans(hit, "user_id").select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n_spans")
 
@@ -105,12 +105,14 @@ SELECT * FROM y WHERE start_ms < end_ms"""
 
 
 def w1(spark, sf):
-    return I.islands(points(spark, sf), ["user_id"], ["t", "event_id"], F.col("value") < 20, "t").where("n >= 2").select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n")
+    """Runs of low values that last an hour or more."""
+    runs = I.islands(points(spark, sf), ["user_id"], ["t", "event_id"], F.col("value") < 20, "t").where(F.col("end") - F.col("start") >= 60 * MINUTE)
+    return runs.select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n")
 
 
 Q["w1_silences"], O["w1_silences"] = w1, EV + """, a AS (SELECT *, value < 20 AS f, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n1 FROM ev),
 b AS (SELECT *, n1 - row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM a WHERE f)
-SELECT user_id, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n FROM b GROUP BY user_id, g HAVING count(*) >= 2"""
+SELECT user_id, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n FROM b GROUP BY user_id, g HAVING max(t) - min(t) >= 3600000"""
 
 
 def w4(spark, sf):
@@ -123,10 +125,14 @@ SELECT user_id, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n FROM b GROUP
 
 
 def w8(spark, sf):
-    return I.gaps(points(spark, sf), "user_id", "t", 8 * 60 * MINUTE).select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+    """Stretches of over eight hours without a point, from the first point of all to the last."""
+    p = points(spark, sf)
+    edges = p.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    ends = p.select("user_id").distinct().join(F.broadcast(edges)).select("user_id", F.explode(F.array("a", "b")).alias("t"))
+    return I.gaps(p.select("user_id", "t").unionByName(ends), "user_id", "t", 8 * 60 * MINUTE).select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
 
 
-Q["w8_gaps"], O["w8_gaps"] = w8, EV + """SELECT user_id, t AS start_ms, nt AS end_ms FROM (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nt FROM ev) WHERE nt - t > 28800000"""
+Q["w8_gaps"], O["w8_gaps"] = w8, EV + """SELECT user_id, t AS start_ms, nt AS end_ms FROM (SELECT user_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nt FROM (SELECT user_id, t FROM ev UNION ALL SELECT user_id, unnest([a, b]) FROM (SELECT DISTINCT user_id FROM ev), (SELECT min(t) AS a, max(t) AS b FROM ev))) WHERE nt - t > 28800000"""
 
 
 def j8(spark, sf):
@@ -149,11 +155,19 @@ Q["j10_within"], O["j10_within"] = j10, EV + "SELECT event_id, u.s AS span_start
 
 def j5(spark, sf):
     items = others(spark, sf).select("user_id", F.col("event_id").alias("item"), F.col("t").alias("start"), (F.col("t") + 5 * MINUTE).alias("end"))
-    return I.best_overlap(items, turns(spark, sf).withColumnRenamed("event_id", "segment"), "user_id", "item", 60 * MINUTE).select("item", "segment", "shared")
+    segments = turns(spark, sf).withColumnRenamed("event_id", "segment")
+    best = I.best_overlap(items, segments, "user_id", "item", 60 * MINUTE).select("item", "segment", "shared")
+    alone = items.join(best, "item", "left_anti").select("user_id", "item", F.col("start").alias("t"))
+    near = I.nearest_turn(alone, segments, "user_id", "t", label="segment").where("nearest_speaker IS NOT NULL")
+    return best.unionByName(near.select("item", F.col("nearest_speaker").alias("segment"), F.lit(0).cast("long").alias("shared")))
 
 
-Q["j5_segment_of"], O["j5_segment_of"] = j5, EV + """, x AS (SELECT p.event_id AS item, u.event_id AS segment, least(p.t + 300000, u.e) - greatest(p.t, u.s) AS shared FROM pts p JOIN turns u ON u.user_id = p.user_id AND u.s < p.t + 300000 AND u.e > p.t)
-SELECT item, segment, shared FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY shared DESC, segment) AS k FROM x WHERE shared > 0) WHERE k = 1"""
+Q["j5_segment_of"], O["j5_segment_of"] = j5, EV + """, x AS (SELECT p.event_id AS item, u.event_id AS segment, least(p.t + 300000, u.e) - greatest(p.t, u.s) AS shared FROM pts p JOIN turns u ON u.user_id = p.user_id AND u.s < p.t + 300000 AND u.e > p.t),
+y AS (SELECT item, segment, shared FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY shared DESC, segment) AS k FROM x WHERE shared > 0) WHERE k = 1),
+al AS (SELECT * FROM pts WHERE event_id NOT IN (SELECT item FROM y)),
+b AS (SELECT p.event_id, p.user_id, p.t, u.s AS bs, greatest(p.t - u.e, 0) AS db, u.event_id AS lb FROM al p ASOF LEFT JOIN turns u ON p.user_id = u.user_id AND p.t >= u.s),
+n AS (SELECT b.*, u.s - b.t AS da, u.event_id AS la FROM b ASOF LEFT JOIN turns u ON b.user_id = u.user_id AND b.t < u.s)
+SELECT * FROM y UNION ALL SELECT event_id, CASE WHEN bs IS NOT NULL AND (da IS NULL OR db <= da) THEN lb ELSE la END, 0 FROM n WHERE bs IS NOT NULL OR la IS NOT NULL"""
 
 
 def a19(spark, sf):
@@ -168,13 +182,13 @@ Q["a19_covered"], O["a19_covered"] = a19, EV + "," + MERGED + ", c AS (SELECT us
 
 
 def w3(spark, sf):
-    """Consecutive points of one type are a block."""
+    """Consecutive points of one type are a block; a gap of over two days breaks it."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    p = points(spark, sf).withColumn("new", F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1)).withColumn("block", F.sum("new").over(w))
+    p = points(spark, sf).withColumn("new", F.when((F.lag("event_type").over(w) == F.col("event_type")) & (F.col("t") - F.lag("t").over(w) <= 2880 * MINUTE), 0).otherwise(1)).withColumn("block", F.sum("new").over(w))
     return p.groupBy("user_id", "block").agg(F.first("event_type").alias("event_type"), F.min("t").alias("start_ms"), F.max("t").alias("end_ms"), F.count(F.lit(1)).alias("n"))
 
 
-Q["w3_turns"], O["w3_turns"] = w3, EV + """, a AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS f FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+Q["w3_turns"], O["w3_turns"] = w3, EV + """, a AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type AND t - lag(t) OVER w <= 172800000 THEN 0 ELSE 1 END AS f FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
 b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t, event_id) AS block FROM a)
 SELECT user_id, CAST(block AS BIGINT) AS block, min(event_type) AS event_type, min(t) AS start_ms, max(t) AS end_ms, count(*) AS n FROM b GROUP BY user_id, block"""
 
@@ -207,8 +221,7 @@ Q["w10_changepoints"], O["w10_changepoints"] = w10, EV + "SELECT event_id, t, lo
 
 
 def w11(spark, sf):
-    nxt = F.min("t").over(Window.partitionBy("user_id").orderBy("t").rangeBetween(1, Window.unboundedFollowing))
-    return points(spark, sf).select("event_id", nxt.alias("next_start"))
+    return points(spark, sf).select("event_id", I.next_time(F.col("t"), "user_id", "t").alias("next_start"))
 
 
 Q["w11_next_start"], O["w11_next_start"] = w11, EV + "SELECT event_id, min(t) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_start FROM ev"
@@ -240,10 +253,11 @@ Q["a28_loudness"], O["a28_loudness"] = a28, EV + "SELECT user_id, t // 86400000
 
 def a29(spark, sf):
     p = points(spark, sf).withColumn("bucket", F.floor(F.col("t") / (6 * 60 * MINUTE)))
-    return p.groupBy("user_id", "bucket").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    scaled = lambda c: F.greatest(F.least(F.floor(c / 100 * 127 + 0.5), F.lit(127)), F.lit(-127)).cast("long")
+    return p.groupBy("user_id", "bucket").agg(scaled(F.min("value")).alias("low"), scaled(F.max("value")).alias("high"))
 
 
-Q["a29_envelope"], O["a29_envelope"] = a29, EV + "SELECT user_id, t // 21600000 AS bucket, min(value) AS low, max(value) AS high FROM ev GROUP BY 1, 2"
+Q["a29_envelope"], O["a29_envelope"] = a29, EV + "SELECT user_id, t // 21600000 AS bucket, CAST(greatest(least(floor(min(value) / 100 * 127 + 0.5), 127), -127) AS BIGINT) AS low, CAST(greatest(least(floor(max(value) / 100 * 127 + 0.5), 127), -127) AS BIGINT) AS high FROM ev GROUP BY 1, 2"
 
 
 def a24(spark, sf):
@@ -280,10 +294,9 @@ Q["k14_cues"], O["k14_cues"] = k14, EV + "SELECT event_id, least(e, coalesce(lea
 def t6(spark, sf):
     """The next low value after each purchase, else the user's first."""
     p = points(spark, sf)
-    w = Window.partitionBy("user_id").orderBy("t").rangeBetween(1, Window.unboundedFollowing)
     low = F.when(F.col("value") < 5, F.col("t"))
     first = F.min(low).over(Window.partitionBy("user_id"))
-    return p.select("event_id", "event_type", F.coalesce(F.min(low).over(w), first).alias("next_low")).where("event_type = 'purchase'").drop("event_type")
+    return p.select("event_id", "event_type", F.coalesce(I.next_time(low, "user_id", "t"), first).alias("next_low")).where("event_type = 'purchase'").drop("event_type")
 
 
 Q["t6_step_unsure"], O["t6_step_unsure"] = t6, EV + """, a AS (SELECT event_id, event_type, coalesce(min(CASE WHEN value < 5 THEN t END) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(CASE WHEN value < 5 THEN t END) OVER (PARTITION BY user_id)) AS next_low FROM ev)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
@@ -38,7 +40,6 @@ def test_kernels(spark):
     frames = spark.createDataFrame([(1, i, s) for i, s in enumerate([5, 9, 9, 0, 7, 1])], "k long, f long, s long")
     assert [r.f for r in K.select_marks(frames, "k", "f", "s", 3, 2).orderBy("f").collect()] == [1, 4]
     words = spark.createDataFrame([(["a", "b", "c", "d"], ["c", "d", "e"])], "a array<string>, b array<string>")
-    assert K.merge_streams(words, "a", "b", 3).first().merged == ["a", "b", "c", "d", "e"]
     r = K.align(words, "a", "b").first()
     assert (r.substituted, r.missed, r.inserted) in {(0, 2, 1), (3, 1, 0)} and r.substituted + r.missed + r.inserted == 3
     texts = spark.createDataFrame([(1, "The big red dog and red cat"), (2, None)], "doc_id long, t string")
@@ -46,3 +47,61 @@ def test_kernels(spark):
     assert [(r.first, r.size, r.entry) for r in K.find_phrases(texts, phrases, "t", 3).orderBy("first").collect()] == [(1, 3, 2), (5, 1, 1)]
     assert K.packed_lines(texts, "t", 10).orderBy("doc_id").first().lines == ["The big", "red dog", "and red", "cat"]
     assert K.with_fnv(texts, "t").where("doc_id = 2").first().words_hash == "811c9dc5"
+
+
+def test_seams_of_chunks():
+    at = lambda text, start=0: [(w, start + float(i)) for i, w in enumerate(text.split())]
+    word = lambda out: " ".join(w for w, _ in out)
+    one = at("a b c d e f g h")
+    assert word(K.merge_seam(one, at("e f g h i j", 4), 4)) == "a b c d e f g h i j"
+    assert word(K.merge_seam(one, at("e X g Y i j", 4), 4)) == "a b c d e f g Y i j"  # half a run is too short: by subsequence
+    assert word(K.merge_seam(one, at("q r", 8), 4)) == "a b c d e f g h q r" and K.merge_seam([], one, 4) == one
+    assert word(K.merge_seam(one, at("x y z", 6), 4)) == "a b c d e f g z"  # nothing in common: each side keeps its half
+
+
+def test_longest_common_subsequences_against_all():
+    rng = random.Random(8)
+
+    def best(a, b):
+        if not a or not b:
+            return 0
+        here = 1 + best(a[1:], b[1:]) if a[0][0] == b[0][0] and abs(a[0][1] - b[0][1]) < 3 else 0
+        return max(here, best(a[1:], b), best(a, b[1:]))
+
+    for _ in range(60):
+        a, b = ([(rng.choice("ab"), float(i)) for i in range(rng.randrange(7))] for _ in range(2))
+        pairs = K.shared_sequence(a, b, 3)
+        assert len(pairs) == best(a, b) and all(a[i][0] == b[j][0] and abs(a[i][1] - b[j][1]) < 3 for i, j in pairs)
+        run = K.shared_run(a, b, 3)
+        runs = [n for i in range(len(a)) for j in range(len(b)) for n in range(1, 8) if i + n <= len(a) and j + n <= len(b) and all(a[i + k][0] == b[j + k][0] and abs(a[i + k][1] - b[j + k][1]) < 3 for k in range(n))]
+        assert len(run) == max(runs, default=0)
+
+
+def test_alignment_costs_against_all(spark):
+    rng = random.Random(9)
+
+    def cost(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return min(cost(a[1:], b[1:]) + (a[0] != b[0]), cost(a[1:], b) + 1, cost(a, b[1:]) + 1)
+
+    rows = [(i, [rng.choice("abc") for _ in range(rng.randrange(6))], [rng.choice("abc") for _ in range(rng.randrange(6))]) for i in range(80)]
+    got = K.align(spark.createDataFrame(rows, "i long, a array<string>, b array<string>"), "a", "b").collect()
+    want = {i: cost(a, b) for i, a, b in rows}
+    assert all(r.substituted + r.missed + r.inserted == want[r.i] for r in got)
+
+
+def test_phrases_against_a_scan(spark):
+    rng = random.Random(10)
+    texts = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(12)))) for i in range(50)]
+    entries = {" ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 4))): k for k in range(20)}
+    want = set()
+    for i, t in texts:
+        w, k = t.split(), 0
+        while k < len(w):
+            n = next((n for n in (3, 2, 1) if k + n <= len(w) and " ".join(w[k : k + n]) in entries), 0)
+            if n:
+                want.add((i, k, n, entries[" ".join(w[k : k + n])]))
+            k += n or 1
+    got = K.find_phrases(spark.createDataFrame(texts, "doc_id long, t string"), spark.createDataFrame(list(entries.items()), "phrase string, entry long"), "t", 3)
+    assert {tuple(r) for r in got.collect()} == want
