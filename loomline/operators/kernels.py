@@ -180,10 +180,9 @@ def packed_lines(rows: DataFrame, text: str, most: int) -> DataFrame:
 def with_fnv(rows: DataFrame, text: str) -> DataFrame:
     """words_hash: 32-bit FNV-1a (hexadecimal) of the text with its spaces as one."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    line = F.hex(F.encode(F.array_join(words, " "), "UTF-8"))
-    at = F.when(F.length(line) > 0, F.sequence(F.lit(1), F.length(line), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.substring(line, i, F.lit(2)), 16, 10).cast("long")
-    h = F.aggregate(at, F.lit(0x811C9DC5).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 0x01000193) % (1 << 32))
+    bytes_ = F.regexp_extract_all(F.hex(F.encode(F.array_join(words, " "), "UTF-8")), F.lit(".."), F.lit(0))
+    start = F.lit(0x811C9DC5).cast("long")
+    h = F.aggregate(bytes_, start, lambda h, x: (h.bitwiseXOR(F.conv(x, 16, 10).cast("long")) * 0x01000193) % (1 << 32))
     return rows.withColumn("words_hash", F.lower(F.lpad(F.hex(h), 8, "0"))).drop(text)
 
 
