@@ -64,11 +64,11 @@ def a5(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("n"), "o_orderstatus")
     r = n.withColumns({"r": F.row_number().over(w), "all": F.sum("n").over(Window.partitionBy("o_custkey"))})
     top = lambda k: F.max(F.when(F.col("r") == k, F.col("n")))
-    return r.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("speakers"), F.round((top(1) - F.coalesce(top(2), F.lit(0))) / F.max("all"), 8).alias("margin"))
+    return r.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("speakers"), F.round((top(1) - F.coalesce(top(2), F.lit(0))) / F.max("all"), 8).alias("margin"), (F.count(F.lit(1)) == 1).alias("unanimous"))
 
 
 Q["a5_vote_margins"], O["a5_vote_margins"] = a5, """WITH n AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderstatus) AS r FROM n)
-SELECT o_custkey, count(*) AS speakers, round((max(CASE WHEN r = 1 THEN n END) - coalesce(max(CASE WHEN r = 2 THEN n END), 0)) / sum(n), 8) AS margin FROM r GROUP BY 1"""
+SELECT o_custkey, count(*) AS speakers, round((max(CASE WHEN r = 1 THEN n END) - coalesce(max(CASE WHEN r = 2 THEN n END), 0)) / sum(n), 8) AS margin, count(*) = 1 AS unanimous FROM r GROUP BY 1"""
 
 
 def t4(spark, sf):
@@ -93,12 +93,15 @@ Q["p11_counts"], O["p11_counts"] = p11, "SELECT c_custkey, max(o_orderpriority =
 
 
 def s11(spark, sf):
-    """Words of the part names that no earlier part has."""
+    """The list of words that conversations have, and behind it those of part names that it lacks, each from its first part."""
+    listed = table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
     w = table(spark, sf, "part").select("p_partkey", F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
-    return w.groupBy("word").agg(F.min("p_partkey").alias("first"), F.countDistinct("p_partkey").alias("n"))
+    new = w.groupBy("word").agg(F.min("p_partkey").alias("first")).join(listed, "word", "left_anti")
+    return listed.select("word", F.lit(None).cast("long").alias("first")).unionByName(new.withColumn("first", F.col("first").cast("long")))
 
 
-Q["s11_add_word"], O["s11_add_word"] = s11, "SELECT word, min(p_partkey) AS first, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part) GROUP BY 1"
+Q["s11_add_word"], O["s11_add_word"] = s11, """WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations)
+SELECT word, CAST(NULL AS BIGINT) AS first FROM l UNION ALL SELECT word, CAST(min(p_partkey) AS BIGINT) FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE word NOT IN (SELECT word FROM l) GROUP BY 1"""
 
 
 def s8(spark, sf):

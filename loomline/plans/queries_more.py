@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
+from ..operators import intervals as I
 from .queries_text import SENT, TOK, sentences, table, tokens
-from .queries_time import EV, MINUTE, points, turns
+from .queries_time import ALL, EV, MINUTE, points, spans
 
 Q, O = {}, {}
 
@@ -73,11 +76,11 @@ SELECT doc_id, pos, CAST(g AS BIGINT) AS g, count(*) AS n, min(k) AS first FROM
 def w12(spark, sf):
     """Turns that begin exactly where, or before, the one before ends."""
     w = Window.partitionBy("user_id").orderBy("start", "event_id")
-    t = turns(spark, sf).withColumn("before", F.lag("end").over(w))
+    t = spans(spark, sf).withColumn("before", F.lag("end").over(w))
     return t.where("start <= before").select("event_id", (F.col("before") - F.col("start")).alias("overlap"))
 
 
-Q["w12_chained"], O["w12_chained"] = w12, EV + "SELECT event_id, b - s AS overlap FROM (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY s, event_id) AS b FROM turns) WHERE s <= b"
+Q["w12_chained"], O["w12_chained"] = w12, ALL + "SELECT event_id, b - s AS overlap FROM (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY s, event_id) AS b FROM turns) WHERE s <= b"
 
 
 def w13(spark, sf):
@@ -91,16 +94,34 @@ Q["w13_numbering_jumps"], O["w13_numbering_jumps"] = w13, "SELECT * FROM (SELECT
 
 
 def a13(spark, sf):
-    """Violations of invariants over turns: overlaps, zero lengths, labels out of range."""
+    """Violations of seven invariants, counted over turns (sentences with a token each), errors (unclear spans) and documents."""
     w = Window.partitionBy("user_id").orderBy("start", "event_id")
-    t = turns(spark, sf).withColumn("reached", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return t.agg(
-        F.count(F.when(F.col("start") < F.col("reached"), 1)).alias("overlaps"), F.count(F.when(F.col("end") <= F.col("start"), 1)).alias("empty"),
-        F.count(F.when(~F.col("speaker").between(0, 2), 1)).alias("labels"), F.count(F.lit(1)).alias("n"),
-    )
-
-
-Q["a13_invariants"], O["a13_invariants"] = a13, EV + "SELECT count(CASE WHEN s < r THEN 1 END) AS overlaps, count(CASE WHEN e <= s THEN 1 END) AS empty, count(CASE WHEN speaker NOT BETWEEN 0 AND 2 THEN 1 END) AS labels, count(*) AS n FROM (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM turns)"
+    token = F.col("start") + F.floor(F.col("value") * 10) * MINUTE
+    t = spans(spark, sf).join(points(spark, sf).select("event_id", "value", "event_type"), "event_id").withColumns({"before": F.lag("end").over(w), "token": token})
+    seconds = F.floor(F.col("value")) - 5
+    u = points(spark, sf).where("event_type = 'error'").select("event_id", "user_id", F.col("t").alias("a"), (F.col("t") + seconds * 1000).alias("b"), (F.col("event_id") % 60).alias("n"))
+    u = u.withColumn("__bin", F.floor(F.col("a") / (60 * MINUTE)))
+    held = I.binned(t.select("user_id", "start", "end"), "start", "end", 60 * MINUTE).join(u, ["user_id", "__bin"]).where("start <= a AND b <= end")
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    counts = [
+        t.where("before > start").agg(F.lit("overlaps").alias("name"), F.count(F.lit(1)).alias("n")),
+        t.where("NOT (start <= token AND token + 500 <= end)").agg(F.lit("stray_tokens").alias("name"), F.count(F.lit(1)).alias("n")),
+        u.where("b <= a").agg(F.lit("empty_unclear").alias("name"), F.count(F.lit(1)).alias("n")),
+        u.where("b > a AND n * 1000 > 3 * (b - a)").agg(F.lit("crowded_unclear").alias("name"), F.count(F.lit(1)).alias("n")),
+        held.agg(F.lit("unclear_inside").alias("name"), F.count(F.lit(1)).alias("n")),
+        table(spark, sf, "documents").where(F.array_join(lines, "\n") != F.col("text")).agg(F.lit("text_mismatch").alias("name"), F.count(F.lit(1)).alias("n")),
+        t.where("speaker NOT BETWEEN 0 AND 2").agg(F.lit("labels").alias("name"), F.count(F.lit(1)).alias("n")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+Q["a13_invariants"], O["a13_invariants"] = a13, ALL + """, t AS (SELECT turns.*, lag(e) OVER (PARTITION BY turns.user_id ORDER BY s, turns.event_id) AS before, s + CAST(floor(value * 10) AS BIGINT) * 60000 AS token FROM turns JOIN ev USING (event_id)),
+u AS (SELECT user_id, t AS a, t + (CAST(floor(value) AS BIGINT) - 5) * 1000 AS b, event_id % 60 AS n FROM ev WHERE event_type = 'error')
+SELECT 'overlaps' AS name, count(*) AS n FROM t WHERE before > s UNION ALL SELECT 'stray_tokens', count(*) FROM t WHERE NOT (s <= token AND token + 500 <= e)
+UNION ALL SELECT 'empty_unclear', count(*) FROM u WHERE b <= a UNION ALL SELECT 'crowded_unclear', count(*) FROM u WHERE b > a AND n * 1000 > 3 * (b - a)
+UNION ALL SELECT 'unclear_inside', count(*) FROM u JOIN turns ON turns.user_id = u.user_id AND s <= a AND b <= e
+UNION ALL SELECT 'text_mismatch', count(*) FROM documents WHERE array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) <> text
+UNION ALL SELECT 'labels', count(*) FROM t WHERE speaker NOT BETWEEN 0 AND 2"""
 
 
 def a7(spark, sf):
@@ -136,24 +157,29 @@ SELECT event_id, least(t - b, a - t) AS distance FROM m WHERE event_type = 'erro
 
 
 def k20(spark, sf):
-    """Raised-cosine gain of each point between the fades of its user's first turn."""
-    first = turns(spark, sf).groupBy("user_id").agg(F.min(F.struct("start", "end")).alias("s"))
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("s.start")) / (F.col("s.end") - F.col("s.start"))))
-    return points(spark, sf).join(first, "user_id").select("event_id", F.round(0.5 + 0.5 * F.cos(x * F.lit(3.141592653589793)), 6).alias("gain"))
+    """Gain of each point: the product over its user's muted spans (an error and `value` minutes after it) of raised-cosine fades of an hour on both sides."""
+    p, fade = points(spark, sf), 60 * MINUTE
+    muted = p.where("event_type = 'error'").select("user_id", F.col("t").alias("a"), (F.col("t") + F.floor(F.col("value") * MINUTE)).alias("b"))
+    wide = I.binned(muted.withColumns({"start": F.col("a") - fade, "end": F.col("b") + fade}), "start", "end", fade).select("user_id", "a", "b", "__bin")
+    far = F.least(F.greatest(F.col("a") - F.col("t"), F.col("t") - F.col("b"), F.lit(0)) / fade, F.lit(1.0))
+    met = p.withColumn("__bin", F.floor(F.col("t") / fade)).join(wide, ["user_id", "__bin"], "left")
+    gain = F.product(F.when(F.col("a").isNotNull(), 0.5 - 0.5 * F.cos(far * F.lit(3.141592653589793))))
+    return met.groupBy("event_id").agg(F.round(F.coalesce(gain, F.lit(1.0)), 6).alias("gain"))
 
 
-Q["k20_gain_at"], O["k20_gain_at"] = k20, EV + ", f AS (SELECT user_id, min(s) AS s, arg_min(e, (s, e)) AS e FROM turns GROUP BY 1) SELECT event_id, round(0.5 + 0.5 * cos(greatest(0, least(1, (t - s) / (e - s))) * 3.141592653589793::DOUBLE), 6) AS gain FROM ev JOIN f USING (user_id)"
+Q["k20_gain_at"], O["k20_gain_at"] = k20, EV + """, m AS (SELECT user_id, t AS a, t + CAST(floor(value * 60000) AS BIGINT) AS b FROM ev WHERE event_type = 'error')
+SELECT event_id, round(coalesce(product(CASE WHEN a IS NOT NULL THEN 0.5 - 0.5 * cos(3.141592653589793::DOUBLE * least(greatest(a - t, t - b, 0) / 3600000, 1)) END), 1), 6) AS gain FROM ev LEFT JOIN m ON m.user_id = ev.user_id AND t BETWEEN a - 3600000 AND b + 3600000 GROUP BY 1"""
 
 
 def k17(spark, sf):
     """Turns and the gaps before them, from the furthest end so far."""
     w = Window.partitionBy("user_id").orderBy("start", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = turns(spark, sf).withColumn("reached", F.max("end").over(w))
+    t = spans(spark, sf).withColumn("reached", F.max("end").over(w))
     gap = t.where("start > reached").select("user_id", F.col("reached").alias("start_ms"), F.col("start").alias("end_ms"), F.lit("gap").alias("kind"))
     return gap.unionByName(t.select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), F.lit("text").alias("kind")))
 
 
-Q["k17_from_transcript"], O["k17_from_transcript"] = k17, EV + ", r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM turns) SELECT user_id, r AS start_ms, s AS end_ms, 'gap' AS kind FROM r WHERE s > r UNION ALL SELECT user_id, s, e, 'text' FROM turns"
+Q["k17_from_transcript"], O["k17_from_transcript"] = k17, ALL + ", r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM turns) SELECT user_id, r AS start_ms, s AS end_ms, 'gap' AS kind FROM r WHERE s > r UNION ALL SELECT user_id, s, e, 'text' FROM turns"
 
 
 def f8(spark, sf):

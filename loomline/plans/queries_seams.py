@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F, types as T
 from ..functions import text as X
 from ..operators import intervals as I
 from .queries_text import TOK, WORD_SQL, table, tokens
-from .queries_time import EV, MINUTE, others, points, turns
+from .queries_time import ALL, EV, MINUTE, others, points, spans, turns
 
 Q, O = {}, {}
 
@@ -131,11 +131,11 @@ SELECT item, speaker, CAST(shared AS BIGINT) AS shared FROM (SELECT *, row_numbe
 def j9(spark, sf):
     """What of each turn the turns before it leave uncovered: from the furthest end so far."""
     w = Window.partitionBy("user_id").orderBy("start", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = turns(spark, sf).withColumn("lo", F.greatest("start", F.coalesce(F.max("end").over(w), "start")))
+    t = spans(spark, sf).withColumn("lo", F.greatest("start", F.coalesce(F.max("end").over(w), "start")))
     return t.where("lo < end").select("event_id", F.col("lo").alias("start_ms"), F.col("end").alias("end_ms"))
 
 
-Q["j9_unread"], O["j9_unread"] = j9, EV + "SELECT event_id, lo AS start_ms, e AS end_ms FROM (SELECT event_id, e, greatest(s, coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS lo FROM turns) WHERE lo < e"
+Q["j9_unread"], O["j9_unread"] = j9, ALL + "SELECT event_id, lo AS start_ms, e AS end_ms FROM (SELECT event_id, e, greatest(s, coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS lo FROM turns) WHERE lo < e"
 
 
 def j11(spark, sf):
@@ -193,7 +193,7 @@ SELECT event_id, least(db, da) AS distance FROM n WHERE least(db, da) <= 2160000
 
 def j21(spark, sf):
     """Reviewed spans found again within a tolerance at both ends: turns against those of an earlier pass; a check is kept if the speaker is the same."""
-    t = turns(spark, sf)
+    t = spans(spark, sf)
     old = t.where("event_id % 3 <> 1").select("user_id", (F.col("start") + F.col("event_id") % 90).alias("s2"), (F.col("end") - F.col("event_id") % 70).alias("e2"), F.col("event_id").alias("old"), F.when(F.col("event_id") % 7 == 0, 9).otherwise(F.col("speaker")).alias("speaker2"))
     near = old.withColumn("__bin", F.explode(F.array(*[F.floor(F.col("s2") / 50) + k for k in (-1, 0, 1)])))
     met = t.withColumn("__bin", F.floor(F.col("start") / 50)).join(near, ["user_id", "__bin"]).where("abs(start - s2) <= 50 AND abs(end - e2) <= 50")
@@ -201,7 +201,7 @@ def j21(spark, sf):
     return t.select("event_id").join(one, "event_id", "left").select("event_id", "m.old", F.coalesce("m.kept", F.lit(False)).alias("kept"))
 
 
-Q["j21_resume_review"], O["j21_resume_review"] = j21, EV + """, o AS (SELECT user_id, s + event_id % 90 AS s2, e - event_id % 70 AS e2, event_id AS old, CASE WHEN event_id % 7 = 0 THEN 9 ELSE speaker END AS sp FROM turns WHERE event_id % 3 <> 1),
+Q["j21_resume_review"], O["j21_resume_review"] = j21, ALL + """, o AS (SELECT user_id, s + event_id % 90 AS s2, e - event_id % 70 AS e2, event_id AS old, CASE WHEN event_id % 7 = 0 THEN 9 ELSE speaker END AS sp FROM turns WHERE event_id % 3 <> 1),
 m AS (SELECT t.event_id, arg_min(old, (abs(s - s2), old)) AS old, arg_min(speaker = sp, (abs(s - s2), old)) AS kept FROM turns t JOIN o ON o.user_id = t.user_id AND abs(s - s2) <= 50 AND abs(e - e2) <= 50 GROUP BY 1)
 SELECT turns.event_id, old, coalesce(kept, false) AS kept FROM turns LEFT JOIN m USING (event_id)"""
 
@@ -224,12 +224,12 @@ def w9(spark, sf):
     """Long turns that begin within five minutes of the end before: begun no earlier than twice their user's median before their end."""
     w = Window.partitionBy("user_id").orderBy("start", "event_id")
     size = F.col("end") - F.col("start")
-    t = turns(spark, sf).withColumns({"before": F.lag("end").over(w), "next": F.lead("start").over(w), "longest": 2 * F.percentile(size, F.lit(0.5)).over(Window.partitionBy("user_id"))})
+    t = spans(spark, sf).withColumns({"before": F.lag("end").over(w), "next": F.lead("start").over(w), "longest": 2 * F.percentile(size, F.lit(0.5)).over(Window.partitionBy("user_id"))})
     held = (F.abs(F.col("start") - F.col("before")) <= 300 * MINUTE) & (size > F.col("longest"))
     return t.select("event_id", F.when(F.coalesce(held, F.lit(False)), F.least(F.col("end") - F.col("longest"), F.coalesce("next", F.col("end")).cast("double"))).otherwise(F.col("start").cast("double")).alias("begin"))
 
 
-Q["w9_pause_free_starts"], O["w9_pause_free_starts"] = w9, EV + """, a AS (SELECT event_id, s, e, lag(e) OVER w AS b, lead(s) OVER w AS n, 2 * quantile_cont(CAST(e - s AS DOUBLE), 0.5::DOUBLE) OVER (PARTITION BY user_id) AS l FROM turns WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
+Q["w9_pause_free_starts"], O["w9_pause_free_starts"] = w9, ALL + """, a AS (SELECT event_id, s, e, lag(e) OVER w AS b, lead(s) OVER w AS n, 2 * quantile_cont(CAST(e - s AS DOUBLE), 0.5::DOUBLE) OVER (PARTITION BY user_id) AS l FROM turns WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
 SELECT event_id, CASE WHEN coalesce(abs(s - b) <= 18000000 AND e - s > l, false) THEN least(e - l, CAST(coalesce(n, e) AS DOUBLE)) ELSE CAST(s AS DOUBLE) END AS begin FROM a"""
 
 

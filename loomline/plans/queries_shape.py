@@ -96,10 +96,10 @@ def j6(spark, sf):
     """Types of the points of each span in order of time, and who speaks first there."""
     inside = I.points_in_spans(others(spark, sf), turns(spark, sf), "user_id", "t", 60 * MINUTE)
     g = inside.groupBy("user_id", "span_start", "span_end").agg(F.sort_array(F.collect_list(F.struct("t", "event_id", "event_type"))).alias("a"))
-    return g.select("user_id", "span_start", "span_end", F.array_join(F.transform("a", lambda x: x["event_type"]), " ").alias("line"))
+    return g.select("user_id", "span_start", "span_end", F.array_join(F.transform("a", lambda x: x["event_type"]), " ").alias("line"), (F.col("a")[0]["event_id"] % 3).alias("speaker"))
 
 
-Q["j6_texts_per_segment"], O["j6_texts_per_segment"] = j6, EV + "SELECT p.user_id, u.s AS span_start, u.e AS span_end, string_agg(event_type, ' ' ORDER BY p.t, p.event_id) AS line FROM pts p JOIN turns u ON u.user_id = p.user_id AND p.t >= u.s AND p.t < u.e GROUP BY ALL"
+Q["j6_texts_per_segment"], O["j6_texts_per_segment"] = j6, EV + "SELECT p.user_id, u.s AS span_start, u.e AS span_end, string_agg(event_type, ' ' ORDER BY p.t, p.event_id) AS line, first(p.event_id % 3 ORDER BY p.t, p.event_id) AS speaker FROM pts p JOIN turns u ON u.user_id = p.user_id AND p.t >= u.s AND p.t < u.e GROUP BY ALL"
 
 
 def j22(spark, sf):

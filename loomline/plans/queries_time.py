@@ -14,9 +14,14 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "value", "event_type")
 
 
+def spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a turn, for queries over turns alone."""
+    return points(spark, sf).select("user_id", F.col("t").alias("start"), (F.col("t") + MINUTE * (1 + F.col("event_id") % 600)).alias("end"), (F.col("event_id") % 3).alias("speaker"), "event_id")
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    e = points(spark, sf).where("event_id % 5 = 0")
-    return e.select("user_id", F.col("t").alias("start"), (F.col("t") + MINUTE * (1 + F.col("event_id") % 600)).alias("end"), (F.col("event_id") % 3).alias("speaker"), "event_id")
+    """Events in the part of turns where others() have that of points; such queries read both."""
+    return spans(spark, sf).where("event_id % 5 = 0")
 
 
 def others(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,6 +32,7 @@ EV = """WITH ev AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t, value
 turns AS (SELECT user_id, t AS s, t + 60000 * (1 + event_id % 600) AS e, event_id % 3 AS speaker, event_id FROM ev WHERE event_id % 5 = 0),
 pts AS (SELECT * FROM ev WHERE event_id % 5 <> 0)
 """
+ALL = EV.replace(" WHERE event_id % 5 = 0", "")
 Q, O = {}, {}
 
 
@@ -70,13 +76,13 @@ FROM n LEFT JOIN r ON r.user_id = n.user_id AND r.hour = n.hour AND r.k = 1"""
 
 
 def k11(spark, sf):
-    return I.merged_spans(turns(spark, sf), "user_id").select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n_spans")
+    return I.merged_spans(spans(spark, sf), "user_id").select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "n_spans")
 
 
 MERGED = """m0 AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM turns),
 m1 AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS g FROM m0),
 m AS (SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n_spans FROM m1 GROUP BY user_id, g)"""
-Q["k11_merged_spans"], O["k11_merged_spans"] = k11, EV + "," + MERGED + " SELECT user_id, s AS start_ms, e AS end_ms, n_spans FROM m"
+Q["k11_merged_spans"], O["k11_merged_spans"] = k11, ALL + "," + MERGED + " SELECT user_id, s AS start_ms, e AS end_ms, n_spans FROM m"
 
 
 def k13(spark, sf):
@@ -93,12 +99,12 @@ turns AS (SELECT user_id, greatest(t - 100, 0) AS s, least(t + 1400, coalesce(nt
 
 
 def u2(spark, sf):
-    spans = I.merged_spans(turns(spark, sf), "user_id")
-    bounds = turns(spark, sf).groupBy("user_id").agg((F.min("start") - MINUTE).alias("lo"), (F.max("end") + MINUTE).alias("hi"))
-    return I.complement(spans, bounds, "user_id").select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+    merged = I.merged_spans(spans(spark, sf), "user_id")
+    bounds = spans(spark, sf).groupBy("user_id").agg((F.min("start") - MINUTE).alias("lo"), (F.max("end") + MINUTE).alias("hi"))
+    return I.complement(merged, bounds, "user_id").select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
 
 
-Q["u2_complement"], O["u2_complement"] = u2, EV + "," + MERGED + """, c AS (SELECT user_id, min(s) - 60000 AS lo, max(e) + 60000 AS hi FROM turns GROUP BY 1),
+Q["u2_complement"], O["u2_complement"] = u2, ALL + "," + MERGED + """, c AS (SELECT user_id, min(s) - 60000 AS lo, max(e) + 60000 AS hi FROM turns GROUP BY 1),
 x AS (SELECT user_id, s, e FROM m UNION ALL SELECT user_id, hi, hi FROM c),
 y AS (SELECT x.user_id, coalesce(max(e) OVER (PARTITION BY x.user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo) AS start_ms, s AS end_ms FROM x JOIN c USING (user_id))
 SELECT * FROM y WHERE start_ms < end_ms"""
@@ -136,11 +142,23 @@ Q["w8_gaps"], O["w8_gaps"] = w8, EV + """SELECT user_id, t AS start_ms, nt AS en
 
 
 def j8(spark, sf):
+    """Points outside of turns (a second inside their edges), put together again by hour."""
     quiet = turns(spark, sf).select("user_id", "start", "end")
-    return I.points_in_spans(others(spark, sf), quiet, "user_id", "t", 60 * MINUTE, "left_anti", 1000, 1000).select("event_id", "user_id")
+    left = I.points_in_spans(others(spark, sf), quiet, "user_id", "t", 60 * MINUTE, "left_anti", 1000, 1000)
+    g = left.groupBy("user_id", F.floor(F.col("t") / (60 * MINUTE)).alias("hour")).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type"))).alias("a"))
+    return g.select("user_id", "hour", F.array_join(F.transform("a", lambda x: x["event_type"]), " ").alias("line"), F.size("a").cast("long").alias("n"))
+
+
+Q["j8_without_silence"], O["j8_without_silence"] = j8, EV + "SELECT user_id, t // 3600000 AS hour, string_agg(event_type, ' ' ORDER BY t, event_id) AS line, count(*) AS n FROM pts p WHERE NOT EXISTS (SELECT 1 FROM turns u WHERE u.user_id = p.user_id AND p.t >= u.s + 1000 AND p.t < u.e - 1000) GROUP BY 1, 2"
+
+
+def j8_dropped(spark, sf):
+    """Points that each turn takes out, counted by turn."""
+    out = I.points_in_spans(others(spark, sf), turns(spark, sf), "user_id", "t", 60 * MINUTE, "inner", 1000, 1000)
+    return out.groupBy("user_id", "span_start", "span_end").agg(F.count(F.lit(1)).alias("n"))
 
 
-Q["j8_without_silence"], O["j8_without_silence"] = j8, EV + "SELECT event_id, user_id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM turns u WHERE u.user_id = p.user_id AND p.t >= u.s + 1000 AND p.t < u.e - 1000)"
+Q["j8_words_per_stretch"], O["j8_words_per_stretch"] = j8_dropped, EV + "SELECT p.user_id, u.s AS span_start, u.e AS span_end, count(*) AS n FROM pts p JOIN turns u ON u.user_id = p.user_id AND p.t >= u.s + 1000 AND p.t < u.e - 1000 GROUP BY ALL"
 
 
 def j10(spark, sf):
@@ -172,10 +190,10 @@ SELECT * FROM y UNION ALL SELECT event_id, CASE WHEN bs IS NOT NULL AND (da IS N
 
 def a19(spark, sf):
     """Share of each user's time from first to last point that turns cover."""
-    spans = I.merged_spans(turns(spark, sf), "user_id")
+    merged = I.merged_spans(turns(spark, sf), "user_id")
     bounds = points(spark, sf).groupBy("user_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     cover = F.sum(I.overlap(F.col("start"), F.col("end"), F.col("lo"), F.col("hi")))
-    return spans.join(bounds, "user_id").groupBy("user_id").agg(cover.alias("covered"), (F.max("hi") - F.max("lo")).alias("total"))
+    return merged.join(bounds, "user_id").groupBy("user_id").agg(cover.alias("covered"), (F.max("hi") - F.max("lo")).alias("total"))
 
 
 Q["a19_covered"], O["a19_covered"] = a19, EV + "," + MERGED + ", c AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM ev GROUP BY 1) SELECT m.user_id, CAST(sum(greatest(least(e, hi) - greatest(s, lo), 0)) AS BIGINT) AS covered, max(hi) - max(lo) AS total FROM m JOIN c USING (user_id) GROUP BY 1"
@@ -285,10 +303,10 @@ Q["k1_chunk_starts"], O["k1_chunk_starts"] = k1, EV + "SELECT user_id, unnest(ra
 def k14(spark, sf):
     """Cues end no later than the next one starts."""
     w = Window.partitionBy("user_id").orderBy("start", "event_id")
-    return turns(spark, sf).select("event_id", F.least("end", F.coalesce(F.lead("start").over(w), "end")).alias("cue_end"))
+    return spans(spark, sf).select("event_id", F.least("end", F.coalesce(F.lead("start").over(w), "end")).alias("cue_end"))
 
 
-Q["k14_cues"], O["k14_cues"] = k14, EV + "SELECT event_id, least(e, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id), e)) AS cue_end FROM turns"
+Q["k14_cues"], O["k14_cues"] = k14, ALL + "SELECT event_id, least(e, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id), e)) AS cue_end FROM turns"
 
 
 def t6(spark, sf):
