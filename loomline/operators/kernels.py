@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -162,6 +164,77 @@ def align(rows: DataFrame, reference: str, heard: str) -> DataFrame:
     return _per_row(rows, count, "substituted int, missed int, inserted int").drop(reference, heard)
 
 
+def differing(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """only_a and only_b: places of words of either that a longest common subsequence leaves out."""
+
+    def find(r: dict) -> tuple[list[int], list[int]]:
+        x, y = ([(w, 0.0) for w in r[c]] for c in (a, b))
+        pairs = shared_sequence(x, y, 1.0)
+        return sorted(set(range(len(x))) - {i for i, _ in pairs}), sorted(set(range(len(y))) - {j for _, j in pairs})
+
+    return _per_row(rows, find, "only_a array<int>, only_b array<int>").drop(a, b)
+
+
+def repeats(words: list[str], times: list[float], within: float, least: int = 3) -> list[tuple[int, int]]:
+    """(place, size) of runs that were said just before: `least` words or more, begun no later than `within` after
+    the first saying, which they don't overlap. A word is part of one repeat at most; the earlier first saying goes first."""
+    places: dict[tuple[str, ...], list[int]] = {}
+    for j in range(len(words) - least + 1):
+        places.setdefault(tuple(words[j : j + least]), []).append(j)
+    found, taken = [], set()
+    for i in range(len(words) - least + 1):
+        mine = places[tuple(words[i : i + least])]
+        for j in mine[bisect_left(mine, i + least) :]:
+            if times[j] - times[i] > within:
+                break
+            size = 0
+            while i + size < j and j + size < len(words) and words[i + size] == words[j + size] and j + size not in taken:
+                size += 1
+            if size >= least:
+                taken.update(range(j, j + size))
+                found.append((j, size))
+                break
+    return found
+
+
+def echoes(rows: DataFrame, words: str, times: str, within: float) -> DataFrame:
+    """echoes: the repeats in each row's words."""
+    run = lambda r: ([{"place": j, "size": n} for j, n in repeats(list(r[words]), list(r[times]), within)],)
+    return _per_row(rows, run, "echoes array<struct<place:int,size:int>>").drop(words, times)
+
+
+def clips(spans: list[tuple[float, float]], frames: list[tuple[float, float]], most: float) -> list[tuple[float, float]]:
+    """Spans as clips of at most `most`: longer ones are cut at the frame (time, score) of least score in the back
+    half of the reach, the first of equals, or evenly where there is none; then neighbours are put together while they fit.
+    """
+    at = [t for t, _ in frames]
+    out: list[tuple[float, float]] = []
+    for a, b in spans:
+        cuts = [a]
+        while b - cuts[-1] > most:
+            a = cuts[-1]
+            reach = frames[bisect_left(at, a + most / 2) : bisect_right(at, a + most)]
+            cuts.append(min(reach, key=lambda f: f[1])[0] if reach else a + (b - a) / math.ceil((b - a) / most))
+        for c, d in zip(cuts, cuts[1:] + [b]):
+            if out and d - out[-1][0] <= most:
+                out[-1] = out[-1][0], d
+            else:
+                out.append((c, d))
+    return out
+
+
+def speech_clips(spans: DataFrame, frames: DataFrame, key: str, most: float) -> DataFrame:
+    """key, start, end of the clips of each key's spans (start, end), cut by its frames (t, value). A key is one recording."""
+
+    def cut(own: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
+        own, scored = own.sort_values("start"), scored.sort_values(["t", "value"])
+        found = clips(list(zip(own["start"], own["end"])), list(zip(scored["t"], scored["value"])), most)
+        return pd.DataFrame({key: own[key].iloc[0] if len(own) else [], "start": [float(a) for a, _ in found], "end": [float(b) for _, b in found]})
+
+    kind = dict(spans.dtypes)[key]
+    return spans.groupBy(key).cogroup(frames.groupBy(key)).applyInPandas(cut, f"{key} {kind}, start double, end double")
+
+
 def packed_lines(rows: DataFrame, text: str, most: int) -> DataFrame:
     """lines: the text's words packed into lines of at most `most` characters; a longer word stands alone."""
 

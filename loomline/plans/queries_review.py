@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
+from ..operators import intervals as I, kernels
 from .queries_text import TOK, WORD_SQL, table, tokens
-from .queries_time import EV, MINUTE, points
+from .queries_time import EV, MINUTE, points, spans
 
 Q, O = {}, {}
 
@@ -61,3 +62,71 @@ def j23(spark, sf):
 Q["j23_cross_check"], O["j23_cross_check"] = j23, EV + f""", h AS (SELECT a.event_id AS target, string_agg(b.event_type, '' ORDER BY b.t, b.event_id) AS heard FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.t - b.t) <= 7200000 AND b.event_type <> 'purchase' WHERE a.event_type = 'purchase' GROUP BY 1),
 d AS (SELECT target, heard, s, levenshtein(heard, s) AS d FROM h, unnest({list(SPELLINGS)}) AS u(s))
 SELECT target, heard, CASE WHEN min(d) <= 2 THEN arg_min(s, (d, s)) END AS spelling FROM d GROUP BY 1, 2"""
+
+
+DAY = 1440 * MINUTE
+
+
+def k6(spark, sf):
+    """Points read by windows of six days, a new one every five; each point is written by the window that owns its middle.
+
+    Windows hand over in the middle of the day they share, but where just one of them loops there (two points or
+    more, all of one type) the other writes all of it. A point that starts before the end of what earlier windows
+    own is theirs. In the day they share windows read differently:
+    each misses another seventh of the points, which the other has.
+    """
+    step, day = 5 * DAY, DAY
+    p = points(spark, sf).select("user_id", "event_id", "event_type", "t", F.floor(F.col("t") / step).alias("k"))
+    own = F.when(F.col("t") - F.col("k") * step < day, F.array(F.col("k"), F.col("k") - 1)).otherwise(F.array("k"))
+    read = p.withColumn("w", F.explode(own)).where((F.col("t") - F.col("k") * step >= day) | ((F.col("event_id") + F.col("w")) % 7 != 0))
+    shared = read.where(F.col("t") - F.col("k") * step < day)
+    loop = lambda side: (F.count(F.when(side, 1)) >= 2) & (F.countDistinct(F.when(side, F.col("event_type"))) == 1)
+    seams = shared.groupBy("user_id", "k").agg(loop(F.col("w") == F.col("k") - 1).alias("before"), loop(F.col("w") == F.col("k")).alias("after"))
+    shift = F.when(F.col("before") & ~F.col("after"), 0).when(F.col("after") & ~F.col("before"), day).otherwise(day // 2)
+    seams = seams.select("user_id", "k", shift.alias("shift"))
+    lo = seams.select("user_id", F.col("k").alias("w"), F.col("shift").alias("lo"))
+    hi = seams.select("user_id", (F.col("k") - 1).alias("w"), F.col("shift").alias("hi"))
+    r = read.join(lo, ["user_id", "w"], "left").join(hi, ["user_id", "w"], "left")
+    middle = F.col("t") + 500
+    r = r.where((middle >= F.col("w") * step + F.coalesce("lo", F.lit(day // 2))) & (middle < (F.col("w") + 1) * step + F.coalesce("hi", F.lit(day // 2))))
+    earlier = Window.partitionBy("user_id").orderBy("w").rangeBetween(Window.unboundedPreceding, -1)
+    return r.withColumn("written", F.max(F.col("t") + 1000).over(earlier)).where("written IS NULL OR t >= written").select("event_id", F.col("w").alias("window"))
+
+
+Q["k6_handover"], O["k6_handover"] = k6, EV + """, r AS (SELECT user_id, event_id, event_type, t, t // 432000000 AS k, unnest(CASE WHEN t % 432000000 < 86400000 THEN [t // 432000000, t // 432000000 - 1] ELSE [t // 432000000] END) AS w FROM ev),
+q AS (SELECT * FROM r WHERE t % 432000000 >= 86400000 OR (event_id + w) % 7 <> 0),
+g AS (SELECT user_id, k, w, count(*) >= 2 AND count(DISTINCT event_type) = 1 AS l FROM q WHERE t - k * 432000000 < 86400000 GROUP BY ALL),
+s AS (SELECT user_id, k, coalesce(bool_or(l) FILTER (w = k - 1), false) AS b, coalesce(bool_or(l) FILTER (w = k), false) AS a FROM g GROUP BY ALL),
+h AS (SELECT user_id, k, CASE WHEN b AND NOT a THEN 0 WHEN a AND NOT b THEN 86400000 ELSE 43200000 END AS shift FROM s),
+o AS (SELECT q.* FROM q LEFT JOIN h x ON x.user_id = q.user_id AND x.k = q.w LEFT JOIN h y ON y.user_id = q.user_id AND y.k = q.w + 1 WHERE t + 500 >= q.w * 432000000 + coalesce(x.shift, 43200000) AND t + 500 < (q.w + 1) * 432000000 + coalesce(y.shift, 43200000))
+SELECT event_id, w AS "window" FROM (SELECT *, max(t + 1000) OVER (PARTITION BY user_id ORDER BY w RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS z FROM o) WHERE z IS NULL OR t >= z"""
+
+
+def k7(spark, sf):
+    """Each user's time in turns as clips of twelve hours at most, cut where a point of least value lies."""
+    speech = I.merged_spans(spans(spark, sf), "user_id").select("user_id", "start", "end")
+    found = kernels.speech_clips(speech, points(spark, sf).select("user_id", "t", "value"), "user_id", 720.0 * MINUTE)
+    return found.select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+
+
+Q["k7_speech_clips"] = k7
+
+
+def f12(spark, sf):
+    """Words of a turn and of the one before that a longest common subsequence leaves out."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", X.words(F.lower("text")).alias("words"))
+    c = c.withColumn("before", F.lag("words").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before IS NOT NULL")
+    return kernels.differing(c, "before", "words")
+
+
+Q["f12_differing"] = f12
+
+
+def w14(spark, sf):
+    """Runs of three words or more of a line that come again within four seconds, words being 0.3 s long."""
+    t = tokens(spark, sf).where(F.size("words") >= 6).select("doc_id", "pos", F.transform("words", F.lower).alias("words"))
+    t = t.withColumn("times", F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: i * 0.3))
+    return kernels.echoes(t, "words", "times", 4.0).select("doc_id", "pos", F.explode("echoes").alias("e")).select("doc_id", "pos", "e.place", "e.size")
+
+
+Q["w14_echoes"] = w14
