@@ -130,3 +130,31 @@ def w14(spark, sf):
 
 
 Q["w14_echoes"] = w14
+
+
+def k10(spark, sf):
+    """What of loops (errors, two minutes for each of their value) to read again: loops that no silence crosses (a signup's
+    forty minutes, a second inside its edges), cut to what sentences (half an hour from a purchase) around them leave."""
+    p = points(spark, sf)
+    loops = p.where("event_type = 'error'").select("user_id", "event_id", "t", (F.col("t") + F.floor("value") * 2 * MINUTE).alias("end"))
+    quiet = p.where("event_type = 'signup'").select(F.col("user_id").alias("u"), (F.col("t") + 1000).alias("start"), (F.col("t") + 40 * MINUTE - 1000).alias("quiet_end"))
+    quiet = I.binned(quiet, "start", "quiet_end", 60 * MINUTE).withColumnsRenamed({"__bin": "b"})
+    crossed = (F.col("user_id") == F.col("u")) & (F.col("__bin") == F.col("b")) & (F.col("t") < F.col("quiet_end")) & (F.col("start") < F.col("end"))
+    near = I.binned(loops, "t", "end", 60 * MINUTE).join(quiet, crossed, "left_semi").select("event_id").distinct()
+    read = I.merged_spans(p.where("event_type = 'purchase'").select("user_id", F.col("t").alias("start"), (F.col("t") + 30 * MINUTE).alias("end")), "user_id")
+    todo = I.turn_at(loops.join(near, "event_id", "left_anti"), read, "user_id", "t", label="end").withColumnRenamed("speaker_at", "covered")
+    both = todo.unionByName(read.select("user_id", F.col("start").alias("t")), allowMissingColumns=True)
+    both = both.withColumn("next", I.next_time(F.when(F.col("event_id").isNull(), F.col("t")), "user_id", "t")).where("event_id IS NOT NULL")
+    return both.select("event_id", F.coalesce("covered", "t").alias("lo"), F.least("end", F.coalesce("next", "end")).alias("hi")).where("lo < hi")
+
+
+Q["k10_retry_plan"], O["k10_retry_plan"] = k10, EV.replace("turns AS (SELECT user_id, t AS s, t + 60000 * (1 + event_id % 600) AS e", "turns AS (SELECT user_id, t AS s, t + 1800000 AS e").replace("WHERE event_id % 5 = 0", "WHERE event_type = 'purchase'") + """,
+m0 AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM turns),
+m1 AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS g FROM m0),
+m AS (SELECT user_id, min(s) AS s, max(e) AS e FROM m1 GROUP BY user_id, g),
+q AS (SELECT user_id, t + 1000 AS a, t + 2399000 AS b FROM ev WHERE event_type = 'signup'),
+l AS (SELECT user_id, event_id, t, t + CAST(floor(value) AS BIGINT) * 120000 AS e FROM ev WHERE event_type = 'error'),
+k AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.user_id = l.user_id AND l.t < q.b AND q.a < l.e)),
+x AS (SELECT k.*, CASE WHEN m.e >= k.t THEN m.e ELSE k.t END AS lo FROM k ASOF LEFT JOIN m ON k.user_id = m.user_id AND k.t >= m.s),
+y AS (SELECT x.event_id, x.lo, least(x.e, coalesce(m.s, x.e)) AS hi FROM x ASOF LEFT JOIN m ON x.user_id = m.user_id AND x.t < m.s)
+SELECT event_id, lo, hi FROM y WHERE lo < hi"""
