@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as X
 from ..operators import intervals as I, kernels
 from .queries_text import TOK, WORD_SQL, table, tokens
-from .queries_time import EV, MINUTE, points, spans
+from .queries_time import EV, MINUTE, others, points, spans, turns
 
 Q, O = {}, {}
 
@@ -158,3 +158,19 @@ k AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.user_id = l.user
 x AS (SELECT k.*, CASE WHEN m.e >= k.t THEN m.e ELSE k.t END AS lo FROM k ASOF LEFT JOIN m ON k.user_id = m.user_id AND k.t >= m.s),
 y AS (SELECT x.event_id, x.lo, least(x.e, coalesce(m.s, x.e)) AS hi FROM x ASOF LEFT JOIN m ON x.user_id = m.user_id AND x.t < m.s)
 SELECT event_id, lo, hi FROM y WHERE lo < hi"""
+
+
+def a5_straddles(spark, sf):
+    """Votes of each user's days (sentences): of one speaker, of several, of none as all points lie in gaps; points in gaps."""
+    voted = I.turn_at(others(spark, sf), turns(spark, sf), "user_id", "t")
+    day = voted.groupBy("user_id", F.floor(F.col("t") / DAY)).agg(F.countDistinct("speaker_at").alias("k"), F.count("speaker_at").alias("inside"), F.count(F.lit(1)).alias("n"))
+    when = lambda c: F.count(F.when(c, 1))
+    return day.groupBy("user_id").agg(
+        when(F.col("k") == 1).alias("unanimous"), when(F.col("k") > 1).alias("straddling"), when(F.col("k") == 0).alias("all_in_gap"),
+        F.sum(F.col("n") - F.col("inside")).alias("gap_tokens"), F.sum("n").alias("tokens"),
+    )
+
+
+Q["a5_straddles"], O["a5_straddles"] = a5_straddles, EV + """, v AS (SELECT p.user_id, p.t // 86400000 AS d, CASE WHEN p.t <= u.e THEN u.speaker END AS sp FROM pts p ASOF LEFT JOIN turns u ON p.user_id = u.user_id AND p.t >= u.s),
+d AS (SELECT user_id, d, count(DISTINCT sp) AS k, count(sp) AS i, count(*) AS n FROM v GROUP BY 1, 2)
+SELECT user_id, count(CASE WHEN k = 1 THEN 1 END) AS unanimous, count(CASE WHEN k > 1 THEN 1 END) AS straddling, count(CASE WHEN k = 0 THEN 1 END) AS all_in_gap, CAST(sum(n - i) AS BIGINT) AS gap_tokens, CAST(sum(n) AS BIGINT) AS tokens FROM d GROUP BY 1"""
