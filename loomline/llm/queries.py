@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, html_text, neighbours, piece_coding, simhash, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter
+from . import chat_format, decontamination, html_text, neighbours, piece_coding, simhash, source_audit, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_piece_coding": piece_coding.query,
     "op10_decontamination": decontamination.query,
+    "op11_whitening": whitening.query,
+    "op12_source_audit": source_audit.query,
     "op13_chat_format": chat_format.query,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op10_decontamination": decontamination.SQL, "op13_chat_format": chat_format.SQL}
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op10_decontamination": decontamination.SQL, "op12_source_audit": source_audit.SQL, "op13_chat_format": chat_format.SQL}
