@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import queries_catalog, queries_chunks, queries_more, queries_review, queries_seams, queries_shape, queries_stats, queries_text, queries_time
+from .plans import queries_catalog, queries_chunks, queries_more, queries_recut, queries_review, queries_seams, queries_shape, queries_stats, queries_text, queries_time
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_time.Q, **queries_text.Q, **queries_catalog.Q, **queries_more.Q, **queries_shape.Q, **queries_stats.Q, **queries_seams.Q, **queries_chunks.Q, **queries_review.Q}
-ORACLES: dict[str, str] = {**queries_time.O, **queries_text.O, **queries_catalog.O, **queries_more.O, **queries_shape.O, **queries_stats.O, **queries_seams.O, **queries_chunks.O, **queries_review.O}
+MODULES = [queries_time, queries_text, queries_catalog, queries_more, queries_shape, queries_stats, queries_seams, queries_chunks, queries_review, queries_recut]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in MODULES for name, query in m.Q.items()}
+ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.O.items()}
 FLAGSHIP = "j3_label_sentences"

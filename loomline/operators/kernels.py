@@ -6,9 +6,12 @@ import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .seams import longest_subsequence
+
 
 def _per_row(rows: DataFrame, run, new: str) -> DataFrame:
     """rows with the columns `new` (DDL) that run gives for each row's record, in Arrow batches."""
@@ -61,89 +64,6 @@ def keep_changed(frames: DataFrame, key: str, order: str, bits: str, least: int)
     return frames.groupBy(key).applyInPandas(keep, frames.schema)
 
 
-def shared_run(a: list[tuple], b: list[tuple], tolerance: float) -> list[tuple[int, int]]:
-    """Pairs of a longest run of neighbours of a and b with equal words at times nearer than the tolerance; the first of equals."""
-    best, size = (0, 0, 0), {}
-    for i, (word, t) in enumerate(a):
-        now = {}
-        for j, (other, u) in enumerate(b):
-            if word == other and abs(t - u) < tolerance:
-                now[j] = size.get(j - 1, 0) + 1
-                if now[j] > best[0]:
-                    best = now[j], i, j
-        size = now
-    n, i, j = best
-    return [(i - k, j - k) for k in range(n - 1, -1, -1)]
-
-
-def shared_sequence(a: list[tuple], b: list[tuple], tolerance: float) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence, where words are equal at times nearer than the tolerance."""
-    n, m = len(a), len(b)
-    same = lambda i, j: a[i][0] == b[j][0] and abs(a[i][1] - b[j][1]) < tolerance
-    size = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            size[i][j] = size[i + 1][j + 1] + 1 if same(i, j) else max(size[i + 1][j], size[i][j + 1])
-    i, j, pairs = 0, 0, []
-    while i < n and j < m:
-        if same(i, j):
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif size[i + 1][j] >= size[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return pairs
-
-
-def merge_seam(a: list[tuple], b: list[tuple], overlap: float) -> list[tuple]:
-    """Tokens (word, time) of two chunks that overlap by so much time, as one stream.
-
-    The overlap is joined along its longest run of equal tokens, if that has half of a's overlap; else along
-    a longest common subsequence, where of what lies between two pairs the side with more tokens is kept. Where
-    too little overlaps, each side keeps its half of the time.
-    """
-    if not a or not b or a[-1][1] <= b[0][1]:
-        return a + b
-    low, high = b[0][1], a[-1][1]
-    first = next(i for i, x in enumerate(a) if x[1] > low - overlap / 2)
-    last = len(b) - next(i for i, x in enumerate(reversed(b)) if x[1] < high + overlap / 2)
-    x, y = a[first:], b[:last]
-    middle = (low + high) / 2
-    halves = [t for t in a if t[1] <= middle] + [t for t in b if t[1] > middle]
-    if len(x) < 2 or len(y) < 2:
-        return halves
-    pairs = shared_run(x, y, overlap / 2)
-    if len(pairs) * 2 < len(x):
-        pairs = shared_sequence(x, y, overlap / 2)
-    if not pairs:
-        return halves
-    out = a[: first + pairs[0][0]]
-    for (i, j), (k, m) in zip(pairs, pairs[1:] + [(None, None)]):
-        out.append(x[i])
-        if k is not None:
-            out += max(x[i + 1 : k], y[j + 1 : m], key=len)
-    return out + b[pairs[-1][1] + 1 :]
-
-
-def merge_chunks(tokens: DataFrame, key: str, overlap: float) -> DataFrame:
-    """key, place, word, at of the chunks of each key (chunk, word, at) merged one after the other.
-
-    A key's chunks are folded in order by one task, as a merge depends on the one before.
-    """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["chunk", "at"], kind="stable")
-        out: list[tuple] = []
-        for _, rows in part.groupby("chunk", sort=True):
-            new = list(zip(rows["word"], rows["at"]))
-            cut = max(0, len(out) - 2 * len(new))  # a seam lies in the last chunk's time
-            out = out[:cut] + merge_seam(out[cut:], new, overlap)
-        return pd.DataFrame({key: part[key].iloc[0], "place": range(len(out)), "word": [w for w, _ in out], "at": [t for _, t in out]})
-
-    return tokens.groupBy(key).applyInPandas(fold, f"{key} long, place long, word string, at double")
-
-
 def align(rows: DataFrame, reference: str, heard: str) -> DataFrame:
     """substituted, missed and inserted words of a least-edit alignment."""
 
@@ -168,9 +88,10 @@ def differing(rows: DataFrame, a: str, b: str) -> DataFrame:
     """only_a and only_b: places of words of either that a longest common subsequence leaves out."""
 
     def find(r: dict) -> tuple[list[int], list[int]]:
-        x, y = ([(w, 0.0) for w in r[c]] for c in (a, b))
-        pairs = shared_sequence(x, y, 1.0)
-        return sorted(set(range(len(x))) - {i for i, _ in pairs}), sorted(set(range(len(y))) - {j for _, j in pairs})
+        number: dict[str, int] = {}
+        x, y = (np.array([number.setdefault(w, len(number)) for w in r[c]], int) for c in (a, b))
+        pairs = longest_subsequence((x[:, None] == y)[::-1, ::-1].T) if len(x) and len(y) else []  # read from the start, rows first
+        return sorted(set(range(len(x))) - {len(x) - 1 - i for _, i in pairs}), sorted(set(range(len(y))) - {len(y) - 1 - j for j, _ in pairs})
 
     return _per_row(rows, find, "only_a array<int>, only_b array<int>").drop(a, b)
 

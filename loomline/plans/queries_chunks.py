@@ -11,56 +11,6 @@ from .queries_text import table
 from .queries_time import EV, points
 
 Q, O = {}, {}
-CHUNK, STEP, WORD_MS = 120, 105, 500.0
-
-
-def chunks(spark, sf):
-    """(conv_id, chunk, word, at): a conversation's words, half a second each, in chunks of 120 that overlap by 15."""
-    c = table(spark, sf, "conversations")
-    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.split("text", r"\s+").alias("w")))).alias("a"))
-    w = g.select("conv_id", F.posexplode(F.flatten(F.transform("a", lambda x: x["w"]))).alias("i", "word"))
-    last = F.floor(F.col("i") / STEP)
-    first = F.greatest(F.ceil((F.col("i") - CHUNK + 1) / STEP), F.lit(0))
-    return w.select("conv_id", F.explode(F.sequence(first, last)).alias("chunk"), "word", (F.col("i") * WORD_MS).alias("at"))
-
-
-def k2(spark, sf):
-    """All chunks of each conversation folded back into one stream."""
-    m = kernels.merge_chunks(chunks(spark, sf), "conv_id", (CHUNK - STEP) * WORD_MS)
-    g = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("a"))
-    return g.select("conv_id", "n", F.md5(F.array_join(F.transform("a", lambda x: x["word"]), " ")).alias("digest"))
-
-
-WORDS = r"""WITH c AS (SELECT conv_id, turn, string_split_regex(text, '\s+') AS w FROM conversations), f AS (SELECT conv_id, flatten(list(w ORDER BY turn)) AS w FROM c GROUP BY 1)"""
-Q["k2_chunk_loop"], O["k2_chunk_loop"] = k2, WORDS + " SELECT conv_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest FROM f"
-
-
-def k3(spark, sf):
-    """Each two neighbouring chunks merged along their longest run: the words from the first one's start to the second one's end."""
-    c = chunks(spark, sf)
-    pairs = c.select("*", F.explode(F.array(F.col("chunk") - 1, F.col("chunk"))).alias("seam")).where("seam >= 0")
-    pairs = pairs.withColumn("key", F.col("conv_id") * 100000 + F.col("seam"))
-    both = pairs.groupBy("key").agg(F.countDistinct("chunk").alias("n")).where("n = 2").select("key")
-    m = kernels.merge_chunks(pairs.join(both, "key").select("key", "chunk", "word", "at"), "key", (CHUNK - STEP) * WORD_MS)
-    g = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("place", "word"))).alias("a"))
-    return g.select("key", "n", F.md5(F.array_join(F.transform("a", lambda x: x["word"]), " ")).alias("digest"))
-
-
-Q["k3_merge_contiguous"], O["k3_merge_contiguous"] = k3, WORDS + ", s AS (SELECT *, unnest(range(0, (len(w) - 1) // 105)) AS seam FROM f) SELECT conv_id * 100000 + seam AS key, len(w[seam * 105 + 1:seam * 105 + 225]) AS n, md5(array_to_string(w[seam * 105 + 1:seam * 105 + 225], ' ')) AS digest FROM s"
-
-
-def k4(spark, sf):
-    """Chunks of which every other one heard each fourth word otherwise, folded by longest common subsequence: no word is lost or doubled."""
-    c = chunks(spark, sf)
-    place = (F.col("at") / WORD_MS).cast("long")
-    own = F.concat("word", F.lit("#"), place.cast("string"))
-    heard = F.when((F.col("chunk") % 2 == 1) & (place % 4 == 0), F.concat(F.lit("?"), own)).otherwise(own)
-    m = kernels.merge_chunks(c.withColumn("word", heard), "conv_id", (CHUNK - STEP) * WORD_MS)
-    g = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("at").alias("times"))
-    return g
-
-
-Q["k4_merge_lcs"], O["k4_merge_lcs"] = k4, WORDS + " SELECT conv_id, len(w) AS n, len(w) AS times FROM f"
 
 
 def vtt(spark, sf):

@@ -268,16 +268,6 @@ def u1(spark, sf):
 Q["u1_concat_streams"], O["u1_concat_streams"] = u1, EV + "SELECT user_id, event_id, reason, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id, reason) AS place FROM (SELECT *, 'loop' AS reason FROM pts WHERE event_type = 'error' UNION ALL SELECT *, 'silence' FROM pts WHERE value < 3)"
 
 
-def k8(spark, sf):
-    """Gaps of over a day of a user, each with its half way: what is to be read again, in two parts."""
-    g = I.gaps(points(spark, sf), "user_id", "t", 1440 * MINUTE)
-    mid = F.floor((F.col("start") + F.col("end")) / 2)
-    return g.select("user_id", F.explode(F.array(F.struct(F.col("start").alias("a"), mid.alias("b")), F.struct(mid.alias("a"), F.col("end").alias("b")))).alias("x")).select("user_id", F.col("x.a").alias("start_ms"), F.col("x.b").alias("end_ms"))
-
-
-Q["k8_gap_reread"], O["k8_gap_reread"] = k8, EV + ", g AS (SELECT user_id, t AS a, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS b FROM ev), h AS (SELECT *, (a + b) // 2 AS m FROM g WHERE b - a > 86400000) SELECT user_id, a AS start_ms, m AS end_ms FROM h UNION ALL SELECT user_id, m, b FROM h"
-
-
 def k18(spark, sf):
     """Paragraphs (runs that a purchase opens) as lines of types; errors are muted to [bleep], a leading space kept."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")

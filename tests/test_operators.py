@@ -49,34 +49,6 @@ def test_kernels(spark):
     assert K.with_fnv(texts, "t").where("doc_id = 2").first().words_hash == "811c9dc5"
 
 
-def test_seams_of_chunks():
-    at = lambda text, start=0: [(w, start + float(i)) for i, w in enumerate(text.split())]
-    word = lambda out: " ".join(w for w, _ in out)
-    one = at("a b c d e f g h")
-    assert word(K.merge_seam(one, at("e f g h i j", 4), 4)) == "a b c d e f g h i j"
-    assert word(K.merge_seam(one, at("e X g Y i j", 4), 4)) == "a b c d e f g Y i j"  # half a run is too short: by subsequence
-    assert word(K.merge_seam(one, at("q r", 8), 4)) == "a b c d e f g h q r" and K.merge_seam([], one, 4) == one
-    assert word(K.merge_seam(one, at("x y z", 6), 4)) == "a b c d e f g y z"  # nothing in common: each side keeps its half
-
-
-def test_longest_common_subsequences_against_all():
-    rng = random.Random(8)
-
-    def best(a, b):
-        if not a or not b:
-            return 0
-        here = 1 + best(a[1:], b[1:]) if a[0][0] == b[0][0] and abs(a[0][1] - b[0][1]) < 3 else 0
-        return max(here, best(a[1:], b), best(a, b[1:]))
-
-    for _ in range(60):
-        a, b = ([(rng.choice("ab"), float(i)) for i in range(rng.randrange(7))] for _ in range(2))
-        pairs = K.shared_sequence(a, b, 3)
-        assert len(pairs) == best(a, b) and all(a[i][0] == b[j][0] and abs(a[i][1] - b[j][1]) < 3 for i, j in pairs)
-        run = K.shared_run(a, b, 3)
-        runs = [n for i in range(len(a)) for j in range(len(b)) for n in range(1, 8) if i + n <= len(a) and j + n <= len(b) and all(a[i + k][0] == b[j + k][0] and abs(a[i + k][1] - b[j + k][1]) < 3 for k in range(n))]
-        assert len(run) == max(runs, default=0)
-
-
 def test_alignment_costs_against_all(spark):
     rng = random.Random(9)
 
