@@ -21,6 +21,11 @@ def held(name: str, make: Callable[[], Any]) -> Any:
     return _HELD[name]
 
 
+def let_go() -> None:
+    """What earlier operators have left with this Python worker goes."""
+    _HELD.clear()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
