@@ -279,15 +279,16 @@ def _finish(table: pa.Table, order: list, found: list, hits: list[np.ndarray], c
 RESULTS = ["kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
-def remove_repeated_strings(docs: DataFrame, width: int = 400, text_col: str = "text", least_words: int = 0, crowded: int = CROWDED) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, width: int = 400, text_col: str = "text", least_words: int = 0, crowded: int = CROWDED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with kept_text (null stays null), n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes).
 
-    least_words: runs of repeated bytes in which fewer words begin stay. crowded: see above; the result is the same.
+    least_words: runs of repeated bytes in which fewer words begin stay. crowded: see above; bucket_bytes: text whose keys
+    one task sorts, about; neither changes the result.
     """
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
     _, size = text_size(docs, text_col)
-    n_shards, n_buckets = max(LEAST, size // SHARD_BYTES), max(LEAST, size // BUCKET_BYTES)
+    n_shards, n_buckets = max(LEAST, size // SHARD_BYTES), max(LEAST, size // bucket_bytes)
     shards = packed(docs, text_col, n_shards)
 
     def keys_sent(table: pa.Table) -> pa.Table:
