@@ -65,11 +65,6 @@ def search_hit(haystack: Column, query: Column) -> Column:
     return F.forall(F.filter(F.split(folded(query), r"\s+"), lambda w: w != ""), lambda w: F.contains(hay, w))
 
 
-def near_word(a: Column, b: Column) -> Column:
-    """Equal, or of four letters or more and one edit apart."""
-    return (a == b) | ((F.length(a) >= 4) & (F.length(b) >= 4) & (F.levenshtein(a, b) <= 1))
-
-
 def detect_format(text: Column) -> Column:
     """vtt, srt or json by content; null if none."""
     t = F.regexp_replace(text, "^[﻿\\s]+", "")
@@ -84,6 +79,15 @@ def stamp_ms(text: Column, at: int = 1) -> Column:
     return F.when(found.isNotNull(), ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4))
 
 
+def common_ends(a: Column, b: Column) -> tuple[Column, Column]:
+    """Lengths of the common beginning and end of two texts, which don't overlap in either; linear in the texts."""
+    x, y = F.filter(F.split(a, ""), lambda c: c != ""), F.filter(F.split(b, ""), lambda c: c != "")
+    n = F.least(F.size(x), F.size(y))
+    first_odd = lambda p, q, m: F.coalesce(F.nullif(F.array_position(F.zip_with(F.slice(p, 1, m), F.slice(q, 1, m), lambda u, v: u == v), False), F.lit(0)) - 1, m)
+    prefix = first_odd(x, y, n)
+    return prefix, first_odd(F.reverse(x), F.reverse(y), n - prefix)
+
+
 def safe_name(text: Column) -> Column:
     """A file name: letters, digits, dots and dashes; others as one dash."""
     return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}._-]+", "-"), r"^-+|-+$", "")

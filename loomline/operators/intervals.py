@@ -121,3 +121,58 @@ def best_overlap(items: DataFrame, segments: DataFrame, key: str, item: str, wid
     pairs = a.join(b, [key, "__bin"]).select(key, item, "segment", shared.alias("shared")).where("shared > 0").distinct()
     best = pairs.groupBy(key, item).agg(F.max(F.struct("shared", (-F.col("segment")).alias("s"))).alias("b"))
     return best.select(key, item, (-F.col("b.s")).alias("segment"), F.col("b.shared").alias("shared"))
+
+
+def uncovered(asked: DataFrame, others: DataFrame, key: str, item: str) -> DataFrame:
+    """asked (key, item, lo0, hi0) with lo and hi: what of each the other spans leave, where something is left.
+
+    Others that have begun by lo and run past it move lo to their end, as long as there are any: so lo is the end of the run of overlapping or touching
+    others that it falls in. The first other that starts behind lo ends it. Two windows, no range join.
+    """
+    runs = merged_spans(others, key)
+    q = asked.select(key, item, "lo0", "hi0", F.col("lo0").alias("__t"), F.lit(1).alias("__ask"))
+    r = q.unionByName(runs.select(key, F.col("start").alias("__t"), F.lit(0).alias("__ask"), F.col("end").alias("__end")), allowMissingColumns=True)
+    r = r.withColumn("__e", F.last("__end", ignorenulls=True).over(Window.partitionBy(key).orderBy("__t", "__ask"))).where("__ask = 1")
+    r = r.withColumn("lo", F.greatest("lo0", F.coalesce("__e", "lo0"))).drop("__end", "__e")
+    r = r.withColumns({"__t": F.col("lo")}).unionByName(others.select(key, F.col("start").alias("__t"), F.lit(0).alias("__ask")), allowMissingColumns=True)
+    r = r.withColumn("__next", next_time(F.when(F.col("__ask") == 0, F.col("__t")), key, "__t")).where("__ask = 1")
+    return r.select(key, item, "lo", F.least("hi0", F.coalesce("__next", "hi0")).alias("hi")).where("lo < hi")
+
+
+def nearest_token(items: DataFrame, tokens: DataFrame, key: str, item: str, within: int) -> DataFrame:
+    """(key, item, token, shared): the token that each item (start, end) shares most time with; without one, of the tokens whose middle is at most
+    `within` from the item's, the one that starts nearest, with shared 0. Of equals the least token; items that have neither are left out.
+    """
+    a = items.select(key, item, F.col("start").alias("a0"), F.col("end").alias("a1"))
+    b = tokens.select(key, "token", F.col("start").alias("b0"), F.col("end").alias("b1"))
+    width = 2 * within
+    middle = lambda p, q: F.floor((F.col(p) + F.col(q)) / 2 / width)
+    by_bin = lambda rows, p, q: rows.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(p) / width), F.floor(F.col(q) / width))))
+    touch = by_bin(a, "a0", "a1").join(by_bin(b, "b0", "b1"), [key, "__bin"]).where("a0 < b1 AND b0 < a1").drop("__bin")
+    near = a.withColumn("__bin", F.explode(F.array(*[middle("a0", "a1") + k for k in (-1, 0, 1)]))).join(b.withColumn("__bin", middle("b0", "b1")), [key, "__bin"])
+    near = near.where(F.abs((F.col("b0") + F.col("b1")) - (F.col("a0") + F.col("a1"))) <= 2 * within).drop("__bin")
+    shared = overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"))
+    order = F.struct((shared == 0).alias("none"), F.when(shared > 0, -shared).otherwise(F.abs(F.col("b0") - F.col("a0"))).alias("d"), "token", shared.alias("shared"))
+    best = touch.unionByName(near).groupBy(key, item).agg(F.min(order).alias("m"))
+    return best.select(key, item, "m.token", "m.shared")
+
+
+def resumed(fresh: DataFrame, saved: DataFrame, key: str, tolerance: int) -> tuple[DataFrame, DataFrame]:
+    """A saved review on new segments: (key, seg, start, end, state, flags, speaker, words_hash), and (key, lost), the checks that were dropped.
+
+    fresh: (key, seg, start, end, words_hash), saved: (key, old, start, end, state, flags, speaker, words_hash). A segment takes flags and speaker of the earliest
+    saved one whose ends are both within the tolerance, and its check if that was made on the same words.
+    """
+    bins = saved.select(key, "old", F.col("start").alias("s2"), F.col("end").alias("e2"), "state", "flags", "speaker", F.col("words_hash").alias("h2"))
+    bins = bins.withColumn("__bin", F.explode(F.array(*[F.floor(F.col("s2") / tolerance) + k for k in (-1, 0, 1)])))
+    met = fresh.withColumn("__bin", F.floor(F.col("start") / tolerance)).join(bins, [key, "__bin"])
+    met = met.where((F.abs(F.col("start") - F.col("s2")) <= tolerance) & (F.abs(F.col("end") - F.col("e2")) <= tolerance))
+    one = met.groupBy(key, "seg").agg(F.min_by(F.struct("old", "state", "flags", "speaker", "h2"), F.struct("s2", "old")).alias("m"))
+    j = fresh.join(one, [key, "seg"], "left")
+    kept = F.coalesce((F.col("m.state") == "checked") & (F.col("m.h2") == F.col("words_hash")), F.lit(False))
+    j = j.withColumn("kept", kept)
+    out = j.select(key, "seg", "start", "end", F.when(F.col("kept"), "checked").otherwise("unchecked").alias("state"), F.coalesce("m.flags", F.array().cast("array<string>")).alias("flags"),
+                   "m.speaker", F.when(F.col("kept"), F.col("words_hash")).alias("words_hash"))
+    used = j.where("kept").select(key, "m.old").distinct().withColumn("used", F.lit(True))
+    lost = saved.join(used, [key, "old"], "left").groupBy(key).agg(F.count(F.when((F.col("state") == "checked") & F.col("used").isNull(), 1)).alias("lost"))
+    return out, lost

@@ -64,26 +64,6 @@ def keep_changed(frames: DataFrame, key: str, order: str, bits: str, least: int)
     return frames.groupBy(key).applyInPandas(keep, frames.schema)
 
 
-def align(rows: DataFrame, reference: str, heard: str) -> DataFrame:
-    """substituted, missed and inserted words of a least-edit alignment."""
-
-    def count(r: dict) -> tuple[int, int, int]:
-        x, y = list(r[reference]), list(r[heard])
-        row = [(j, 0, 0, j) for j in range(len(y) + 1)]  # cost, substituted, missed, inserted
-        for i, w in enumerate(x, 1):
-            new = [(i, 0, i, 0)]
-            for j, v in enumerate(y, 1):
-                d, u, left = row[j - 1], row[j], new[j - 1]
-                new.append(min(
-                    (d[0] + (w != v), d[1] + (w != v), d[2], d[3]), (u[0] + 1, u[1], u[2] + 1, u[3]), (left[0] + 1, left[1], left[2], left[3] + 1),
-                    key=lambda t: t[0],
-                ))
-            row = new
-        return row[-1][1:]
-
-    return _per_row(rows, count, "substituted int, missed int, inserted int").drop(reference, heard)
-
-
 def differing(rows: DataFrame, a: str, b: str) -> DataFrame:
     """only_a and only_b: places of words of either that a longest common subsequence leaves out."""
 

@@ -7,7 +7,6 @@ texts, a numpy row at a time, in Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -140,16 +139,18 @@ def aligned(heard: list[str], reference: list[str]) -> list[tuple[int | None, in
 
 
 def with_errors(rows: DataFrame, heard: str, reference: str, keyed: bool) -> DataFrame:
-    """rows with substituted, missed, inserted and right (places of reference words that were heard), in place of the two lists of words or keys."""
+    """rows with substituted, missed, inserted and pairs (places in heard and reference, either may be null, and whether they are one word),
+    in place of the two lists of words or keys; keyed: in two passes, near keys count as one word."""
 
-    def count(h: list[str], r: list[str]) -> tuple[int, int, int, list[int]]:
+    def count(h: list[str], r: list[str]) -> tuple[int, int, int, list[dict]]:
         a, b = _codes(h, r)
         pairs = aligned(h, r) if keyed else edit_pairs(a[:, None] == b)
         equal = near if keyed else str.__eq__
-        both = [(i, j, equal(h[i], r[j])) for i, j in pairs if i is not None and j is not None]
-        return sum(not ok for *_, ok in both), sum(i is None for i, _ in pairs), sum(j is None for _, j in pairs), [j for _, j, ok in both if ok]
+        told = [{"h": i, "r": j, "ok": i is not None and j is not None and equal(h[i], r[j])} for i, j in pairs]
+        missed, inserted = sum(i is None for i, _ in pairs), sum(j is None for _, j in pairs)
+        return len(told) - missed - inserted - sum(p["ok"] for p in told), missed, inserted, told
 
-    return per_pair(rows, heard, reference, count, "substituted int, missed int, inserted int, right array<int>")
+    return per_pair(rows, heard, reference, count, "substituted int, missed int, inserted int, pairs array<struct<h:int,r:int,ok:boolean>>")
 
 
 def per_pair(rows: DataFrame, a: str, b: str, run: Callable, new: str) -> DataFrame:
@@ -195,19 +196,18 @@ def blocks(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
 def joined(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Blocks that follow each other on both sides as one."""
     out: list[tuple[int, int, int]] = []
-    for _, group in groupby(found, key=lambda x, last=[None, 0]: _group_of(x, last)):
-        own = list(group)
-        out.append((own[0][0], own[0][1], sum(n for *_, n in own)))
+    for i, j, n in found:
+        if out and (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) == (i, j):
+            i, j, n = out[-1][0], out[-1][1], out.pop()[2] + n
+        out.append((i, j, n))
     return out
 
 
-def _group_of(x: tuple[int, int, int], last: list) -> int:
-    if last[0] is None or (last[0][0] + last[0][2], last[0][1] + last[0][2]) != x[:2]:
-        last[1] += 1
-    last[0] = x
-    return last[1]
-
-
 def agreement(rows: DataFrame, reference: str, heard: str) -> DataFrame:
     """rows with matched (words in matching blocks) and n_blocks in place of the two lists."""
-    return per_pair(rows, reference, heard, lambda a, b: (sum(n for *_, n in (m := blocks(a, b))), len(m)), "matched long, n_blocks long")
+
+    def count(a: list[str], b: list[str]) -> tuple[int, int]:
+        found = blocks(a, b)
+        return sum(n for *_, n in found), len(found)
+
+    return per_pair(rows, reference, heard, count, "matched long, n_blocks long")

@@ -150,16 +150,6 @@ def t3(spark, sf):
 Q["t3_keep_count"] = t3
 
 
-def f10(spark, sf):
-    """Word alignment of each turn with the turn before it: substituted, missed and inserted words."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", r"\s+").alias("words"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return kernels.align(c.withColumn("before", F.lag("words").over(w)).where("before IS NOT NULL"), "before", "words")
-
-
-Q["f10_align"] = f10
-
-
 def k15(spark, sf):
     """Cue lines of at most 84 characters, cut at words."""
     d = table(spark, sf, "documents").select("doc_id", "text")

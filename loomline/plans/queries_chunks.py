@@ -85,30 +85,6 @@ def s9(spark, sf):
 Q["s9_load_words"], O["s9_load_words"] = s9, "WITH p AS (SELECT p_partkey, lower(p_name) AS s, len(string_split(p_name, ' ')) AS n FROM part) SELECT spelling, min(p_partkey) AS entry FROM (SELECT p_partkey, unnest(list_distinct([s, replace(s, ' ', '')])) AS spelling FROM p WHERE n <= 3) GROUP BY 1 UNION ALL SELECT DISTINCT s, NULL FROM p WHERE n > 3"
 
 
-def _aligned(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.split(F.lower("text"), r"\s+").alias("words"))
-    before = F.lag("words").over(Window.partitionBy("conv_id").orderBy("turn"))
-    c = c.withColumn("before", before).where("before IS NOT NULL").withColumn("n", F.size("before"))
-    return kernels.align(c, "before", "words")
-
-
-def a14(spark, sf):
-    """Word error rate of each turn against the one before."""
-    e = F.col("substituted") + F.col("missed") + F.col("inserted")
-    return _aligned(spark, sf).select("conv_id", "turn", e.cast("long").alias("errors"), F.round(e / F.col("n"), 6).alias("wer"))
-
-
-Q["a14_wer"] = a14
-
-
-def a15(spark, sf):
-    """Errors of each kind by role."""
-    return _aligned(spark, sf).groupBy("role").agg(*[F.sum(c).alias(c) for c in ("substituted", "missed", "inserted")], F.sum("n").alias("n"))
-
-
-Q["a15_by_script"] = a15
-
-
 def l2(spark, sf):
     """Instability of a user's points: share of changed types among the three before and after each; same: how many are like it."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")

@@ -182,18 +182,6 @@ def k17(spark, sf):
 Q["k17_from_transcript"], O["k17_from_transcript"] = k17, ALL + ", r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM turns) SELECT user_id, r AS start_ms, s AS end_ms, 'gap' AS kind FROM r WHERE s > r UNION ALL SELECT user_id, s, e, 'text' FROM turns"
 
 
-def f8(spark, sf):
-    """Neighbouring words of a conversation turn that are near each other."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("k", "w"))
-    after = F.lead("w").over(Window.partitionBy("conv_id", "turn").orderBy("k"))
-    near = X.near_word(F.col("w"), F.col("after"))
-    return c.withColumn("after", after).where("after IS NOT NULL").where(near).select("conv_id", "turn", F.col("k").cast("long").alias("k"))
-
-
-Q["f8_near"], O["f8_near"] = f8, """WITH k AS (SELECT conv_id, turn, i - 1 AS k, w[i] AS w, w[i + 1] AS a FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations), unnest(range(1, len(w))) AS u(i))
-SELECT conv_id, turn, k FROM k WHERE w = a OR (length(w) >= 4 AND length(a) >= 4 AND levenshtein(w, a) <= 1)"""
-
-
 def s14(spark, sf):
     """Texts as numbered base64 cues of 600 characters, and put together again."""
     d = table(spark, sf, "documents").select("doc_id", "text", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("b"))

@@ -129,13 +129,17 @@ SELECT item, speaker, CAST(shared AS BIGINT) AS shared FROM (SELECT *, row_numbe
 
 
 def j9(spark, sf):
-    """What of each turn the turns before it leave uncovered: from the furthest end so far."""
-    w = Window.partitionBy("user_id").orderBy("start", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = spans(spark, sf).withColumn("lo", F.greatest("start", F.coalesce(F.max("end").over(w), "start")))
-    return t.where("lo < end").select("event_id", F.col("lo").alias("start_ms"), F.col("end").alias("end_ms"))
+    """What of each purchase's hours the other turns of its user leave uncovered: from the end of those that run into it from before, to the first that starts later inside."""
+    t = spans(spark, sf).join(points(spark, sf).select("event_id", "event_type"), "event_id")
+    ask = t.where("event_type = 'purchase'").select("user_id", "event_id", F.col("start").alias("lo0"), (F.col("start") + 1440 * MINUTE).alias("hi0"))
+    others_ = t.where("event_type <> 'purchase'").select("user_id", "start", "end")
+    return I.uncovered(ask, others_, "user_id", "event_id").select("event_id", F.col("lo").alias("start_ms"), F.col("hi").alias("end_ms"))
 
 
-Q["j9_unread"], O["j9_unread"] = j9, ALL + "SELECT event_id, lo AS start_ms, e AS end_ms FROM (SELECT event_id, e, greatest(s, coalesce(max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS lo FROM turns) WHERE lo < e"
+Q["j9_unread"], O["j9_unread"] = j9, ALL.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT turns.*, event_type FROM turns JOIN ev USING (event_id)), q AS (SELECT user_id, event_id, s AS lo0, s + 86400000 AS hi0 FROM a WHERE event_type = 'purchase'), o AS (SELECT user_id, s, e FROM a WHERE event_type <> 'purchase'),
+r AS (SELECT user_id, event_id, hi0, lo0 AS lo FROM q UNION SELECT r.user_id, r.event_id, hi0, o.e FROM r JOIN o ON o.user_id = r.user_id AND o.s <= r.lo AND r.lo < o.e),
+l AS (SELECT user_id, event_id, hi0, max(lo) AS lo FROM r GROUP BY 1, 2, 3)
+SELECT event_id, lo AS start_ms, least(hi0, coalesce((SELECT min(s) FROM o WHERE o.user_id = l.user_id AND o.s > l.lo AND o.s < l.hi0), hi0)) AS end_ms FROM l WHERE lo < hi0"""
 
 
 def j11(spark, sf):
@@ -178,32 +182,43 @@ SELECT event_id AS turn, CASE r WHEN 0 THEN 'listed' WHEN 1 THEN 'censored' WHEN
 
 
 def j17(spark, sf):
-    """For each purchase the nearest other point of its user within six hours; of equals the earlier."""
-    p = points(spark, sf)
-    marks = p.where("event_type <> 'purchase'").select("user_id", F.col("t").alias("start"), F.col("t").alias("end"), F.col("event_id").alias("token"))
-    near = I.nearest_turn(p.where("event_type = 'purchase'"), marks, "user_id", "t", label="token")
-    return near.where(F.col("distance") <= 360 * MINUTE).select("event_id", "distance")
+    """For each purchase's span the token (another event's span) it shares most time with; without one, of those whose middle is within six hours the one that starts nearest."""
+    t = spans(spark, sf).join(points(spark, sf).select("event_id", "event_type"), "event_id")
+    ask = t.where("event_type = 'purchase'").select("user_id", "event_id", "start", (F.col("start") + 10 * MINUTE).alias("end"))
+    tokens_ = t.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("token"), "start", (F.col("start") + MINUTE * (1 + F.col("event_id") % 90)).alias("end"))
+    return I.nearest_token(ask, tokens_, "user_id", "event_id", 360 * MINUTE).select("event_id", "token", "shared")
 
 
-Q["j17_nearest_token"], O["j17_nearest_token"] = j17, EV + """, q AS (SELECT * FROM ev WHERE event_type = 'purchase'), m AS (SELECT user_id, t AS s FROM ev WHERE event_type <> 'purchase'),
-b AS (SELECT q.event_id, q.user_id, q.t, q.t - m.s AS db FROM q ASOF LEFT JOIN m ON q.user_id = m.user_id AND q.t >= m.s),
-n AS (SELECT b.*, m.s - b.t AS da FROM b ASOF LEFT JOIN m ON b.user_id = m.user_id AND b.t < m.s)
-SELECT event_id, least(db, da) AS distance FROM n WHERE least(db, da) <= 21600000"""
+Q["j17_nearest_token"], O["j17_nearest_token"] = j17, EV + """, q AS (SELECT user_id, event_id, t AS s, t + 600000 AS e FROM ev WHERE event_type = 'purchase'), k AS (SELECT user_id, event_id AS token, t AS s, t + 60000 * (1 + event_id % 90) AS e FROM ev WHERE event_type <> 'purchase'),
+p AS (SELECT q.event_id, token, least(q.e, k.e) - greatest(q.s, k.s) AS shared, abs((k.s + k.e) - (q.s + q.e)) AS m2, abs(k.s - q.s) AS d FROM q JOIN k USING (user_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN shared > 0 THEN 0 ELSE 1 END, CASE WHEN shared > 0 THEN -shared ELSE d END, token) AS n FROM p WHERE shared > 0 OR m2 <= 2 * 21600000)
+SELECT event_id, token, greatest(shared, 0) AS shared FROM r WHERE n = 1"""
 
 
 def j21(spark, sf):
-    """Reviewed spans found again within a tolerance at both ends: turns against those of an earlier pass; a check is kept if the speaker is the same."""
-    t = spans(spark, sf)
-    old = t.where("event_id % 3 <> 1").select("user_id", (F.col("start") + F.col("event_id") % 90).alias("s2"), (F.col("end") - F.col("event_id") % 70).alias("e2"), F.col("event_id").alias("old"), F.when(F.col("event_id") % 7 == 0, 9).otherwise(F.col("speaker")).alias("speaker2"))
-    near = old.withColumn("__bin", F.explode(F.array(*[F.floor(F.col("s2") / 50) + k for k in (-1, 0, 1)])))
-    met = t.withColumn("__bin", F.floor(F.col("start") / 50)).join(near, ["user_id", "__bin"]).where("abs(start - s2) <= 50 AND abs(end - e2) <= 50")
-    one = met.groupBy("event_id").agg(F.min(F.struct(F.abs(F.col("start") - F.col("s2")).alias("d"), "old", (F.col("speaker") == F.col("speaker2")).alias("kept"))).alias("m"))
-    return t.select("event_id").join(one, "event_id", "left").select("event_id", "m.old", F.coalesce("m.kept", F.lit(False)).alias("kept"))
+    """A review taken up again on a transcript made anew: spans found within a tolerance keep flags and speaker, checks only if the words are the same; lost: checks dropped.
 
-
-Q["j21_resume_review"], O["j21_resume_review"] = j21, ALL + """, o AS (SELECT user_id, s + event_id % 90 AS s2, e - event_id % 70 AS e2, event_id AS old, CASE WHEN event_id % 7 = 0 THEN 9 ELSE speaker END AS sp FROM turns WHERE event_id % 3 <> 1),
-m AS (SELECT t.event_id, arg_min(old, (abs(s - s2), old)) AS old, arg_min(speaker = sp, (abs(s - s2), old)) AS kept FROM turns t JOIN o ON o.user_id = t.user_id AND abs(s - s2) <= 50 AND abs(e - e2) <= 50 GROUP BY 1)
-SELECT turns.event_id, old, coalesce(kept, false) AS kept FROM turns LEFT JOIN m USING (event_id)"""
+    The earlier review lacks a third of the turns; of the rest every seventh was heard otherwise.
+    """
+    t = spans(spark, sf)
+    words = lambda odd: F.md5(F.concat(F.lit("w"), (F.col("event_id") % 97).cast("string"), F.when(odd, "x").otherwise("")))
+    fresh = t.select("user_id", F.col("event_id").alias("seg"), "start", "end", words(F.lit(False)).alias("words_hash"))
+    k = F.col("event_id")
+    saved = t.where("event_id % 3 <> 1").select(
+        "user_id", k.alias("old"), (F.col("start") + k % 90).alias("start"), (F.col("end") - k % 70).alias("end"), F.when(k % 4 != 0, "checked").otherwise("unchecked").alias("state"),
+        F.when(k % 5 == 0, F.array(F.lit("noise"))).otherwise(F.array().cast("array<string>")).alias("flags"), (k % 3).alias("speaker"), F.when(k % 6 != 0, words(k % 7 == 0)).alias("words_hash"),
+    )
+    r, lost = I.resumed(fresh, saved, "user_id", 50)
+    return r.select("user_id", "seg", "state", F.array_join("flags", ",").alias("flags"), "speaker").join(lost, "user_id")
+
+
+Q["j21_resume_review"], O["j21_resume_review"] = j21, ALL + """, f AS (SELECT user_id, event_id AS seg, s, e, md5('w' || (event_id % 97)) AS h FROM turns),
+o AS (SELECT user_id, event_id AS old, s + event_id % 90 AS s2, e - event_id % 70 AS e2, CASE WHEN event_id % 4 <> 0 THEN 'checked' ELSE 'unchecked' END AS state, CASE WHEN event_id % 5 = 0 THEN 'noise' ELSE '' END AS flags, event_id % 3 AS speaker,
+  CASE WHEN event_id % 6 <> 0 THEN md5('w' || (event_id % 97) || CASE WHEN event_id % 7 = 0 THEN 'x' ELSE '' END) END AS h2 FROM turns WHERE event_id % 3 <> 1),
+m AS (SELECT f.user_id, seg, h, o.*, row_number() OVER (PARTITION BY f.user_id, seg ORDER BY s2, old) AS n FROM f JOIN o ON o.user_id = f.user_id AND abs(s - s2) <= 50 AND abs(e - e2) <= 50),
+k AS (SELECT *, coalesce(state = 'checked' AND h = h2, false) AS kept FROM m WHERE n = 1),
+l AS (SELECT o.user_id, count(*) FILTER (state = 'checked' AND old NOT IN (SELECT old FROM k WHERE kept)) AS lost FROM o GROUP BY 1)
+SELECT f.user_id, f.seg, CASE WHEN kept THEN 'checked' ELSE 'unchecked' END AS state, coalesce(k.flags, '') AS flags, k.speaker, lost FROM f LEFT JOIN k ON k.user_id = f.user_id AND k.seg = f.seg JOIN l ON l.user_id = f.user_id"""
 
 
 def j24(spark, sf):
@@ -259,13 +274,13 @@ first_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER
 
 def u1(spark, sf):
     """Two streams of a user as one, in order of start, with each row's place."""
-    one = others(spark, sf).where("event_type = 'error'").select("user_id", "t", "event_id", F.lit("loop").alias("reason"))
-    two = others(spark, sf).where("value < 3").select("user_id", "t", "event_id", F.lit("silence").alias("reason"))
+    one = points(spark, sf).where("event_type = 'error'").select("user_id", "t", "event_id", F.lit("loop").alias("reason"))
+    two = points(spark, sf).where("value < 3").select("user_id", "t", "event_id", F.lit("silence").alias("reason"))
     w = Window.partitionBy("user_id").orderBy("t", "event_id", "reason")
     return one.unionByName(two).select("user_id", "event_id", "reason", F.row_number().over(w).cast("long").alias("place"))
 
 
-Q["u1_concat_streams"], O["u1_concat_streams"] = u1, EV + "SELECT user_id, event_id, reason, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id, reason) AS place FROM (SELECT *, 'loop' AS reason FROM pts WHERE event_type = 'error' UNION ALL SELECT *, 'silence' FROM pts WHERE value < 3)"
+Q["u1_concat_streams"], O["u1_concat_streams"] = u1, EV + "SELECT user_id, event_id, reason, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id, reason) AS place FROM (SELECT *, 'loop' AS reason FROM ev WHERE event_type = 'error' UNION ALL SELECT *, 'silence' FROM ev WHERE value < 3)"
 
 
 def k18(spark, sf):
@@ -371,16 +386,14 @@ def f17(spark, sf):
     """What one turn's text changes of the one before: the length of their common beginning and end, not overlapping."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("b")).where("b IS NOT NULL")
-    n = F.least(F.length("text"), F.length("b"))
-    same = lambda x, y, m: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), m), lambda k: F.substring(x, F.lit(1), k) == F.substring(y, F.lit(1), k))), F.lit(0))
-    c = c.withColumn("prefix", same(F.col("text"), F.col("b"), F.least(n, F.lit(64))))
-    rest = F.least(n - F.col("prefix"), F.lit(64))
-    return c.select("conv_id", "turn", F.col("prefix").cast("long").alias("prefix"), same(F.reverse("text"), F.reverse("b"), rest).cast("long").alias("suffix"))
+    prefix, suffix = X.common_ends(F.col("text"), F.col("b"))
+    return c.select("conv_id", "turn", prefix.cast("long").alias("prefix"), suffix.cast("long").alias("suffix"))
 
 
-Q["f17_splice"], O["f17_splice"] = f17, """WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
-p AS (SELECT *, list_max(list_filter(range(0, least(length(text), length(b), 64) + 1), lambda k: left(text, k) = left(b, k))) AS p FROM c WHERE b IS NOT NULL)
-SELECT conv_id, turn, p AS prefix, list_max(list_filter(range(0, least(least(length(text), length(b)) - p, 64) + 1), lambda k: right(text, k) = right(b, k))) AS suffix FROM p"""
+Q["f17_splice"], O["f17_splice"] = f17, """WITH c AS (SELECT conv_id, turn, string_split(text, '') AS x, lag(string_split(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations),
+n AS (SELECT *, least(len(x), len(y)) AS n FROM c WHERE y IS NOT NULL),
+p AS (SELECT *, coalesce(nullif(list_position([x[k] = y[k] for k in range(1, n + 1)], false), 0) - 1, n) AS p FROM n)
+SELECT conv_id, turn, CAST(p AS BIGINT) AS prefix, CAST(coalesce(nullif(list_position([x[len(x) - k] = y[len(y) - k] for k in range(n - p)], false), 0) - 1, n - p) AS BIGINT) AS suffix FROM p"""
 
 
 def f18(spark, sf):

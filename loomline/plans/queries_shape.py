@@ -40,16 +40,6 @@ def p10(spark, sf):
 Q["p10_engine_of"], O["p10_engine_of"] = p10, "SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type END AS engine FROM events"
 
 
-def a17(spark, sf):
-    """Documents by language and length bucket, one column for each bucket."""
-    n = F.col("n_chars")
-    d = table(spark, sf, "documents").select("lang", F.when(n < 500, "short").when(n < 2000, "middle").otherwise("long").alias("bucket"))
-    return d.groupBy("lang").pivot("bucket", ["short", "middle", "long"]).count().na.fill(0)
-
-
-Q["a17_buckets"], O["a17_buckets"] = a17, """SELECT lang, count(CASE WHEN n_chars < 500 THEN 1 END) AS short, count(CASE WHEN n_chars >= 500 AND n_chars < 2000 THEN 1 END) AS middle, count(CASE WHEN n_chars >= 2000 THEN 1 END) AS "long" FROM documents GROUP BY 1"""
-
-
 def a26(spark, sf):
     """Changes of type by user: sentences, distinct types, changes."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import text as X
+from ..functions import numbers as N, text as X
 from ..operators import intervals as I
 from .queries_text import TOK, WORD_SQL, table, tokens
 from .queries_time import EV, MINUTE, others, points, turns
@@ -65,16 +65,12 @@ def a21(spark, sf):
     """One-sided sign test by user: of its points against the ones before, how often the value rose, and the chance of as many."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
     d = points(spark, sf).select("user_id", (F.col("value") - F.lag("value").over(w)).alias("d")).where("d <> 0")
-    g = d.groupBy("user_id").agg(F.count(F.when(F.col("d") > 0, 1)).alias("wins"), F.count(F.lit(1)).alias("n")).where("n <= 1000")
-    # log of n over k, times 2 ** -n, summed from wins to n
-    logs = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.lit(0.0)), lambda a, i: F.concat(a, F.array(F.element_at(a, -1) + F.log(i.cast("double")))))
-    at = lambda k: F.element_at("logs", (k + 1).cast("int"))
-    tail = F.aggregate(F.sequence("wins", "n"), F.lit(0.0), lambda s, k: s + F.exp(at(F.col("n")) - at(k) - at(F.col("n") - k) - F.col("n") * F.log(F.lit(2.0))))
-    return g.withColumn("logs", logs).select("user_id", "wins", "n", F.round(tail, 6).alias("p"))
+    g = d.groupBy("user_id").agg(F.count(F.when(F.col("d") > 0, 1)).alias("wins"), F.count(F.lit(1)).alias("n"))
+    return g.select("user_id", "wins", "n", F.round(N.sign_tail(F.col("wins"), F.col("n")), 6).alias("p"))
 
 
 Q["a21_sign_test"], O["a21_sign_test"] = a21, """WITH d AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events),
-g AS (SELECT user_id, count(CASE WHEN d > 0 THEN 1 END) AS wins, count(*) AS n FROM d WHERE d <> 0 GROUP BY 1 HAVING count(*) <= 1000)
+g AS (SELECT user_id, count(CASE WHEN d > 0 THEN 1 END) AS wins, count(*) AS n FROM d WHERE d <> 0 GROUP BY 1)
 SELECT user_id, wins, n, round(sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2.0::DOUBLE))), 6) AS p FROM (SELECT *, unnest(range(wins, n + 1)) AS k FROM g) GROUP BY ALL"""
 
 
@@ -127,24 +123,52 @@ SELECT conv_id, len(list_filter(items, lambda w: contains(hay, w))) AS hits, len
 
 
 def a31(spark, sf):
-    """Share of each order's words outside speech: lines spread evenly over its hour, speech being the first quantity minutes."""
-    l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
-    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
-    each = l.select("l_orderkey", "n", "q", at)
-    return each.groupBy("l_orderkey").agg(F.count(F.when((F.col("k") + 0.5) / F.col("n") * 60 >= F.col("q"), 1)).alias("outside"), F.count(F.lit(1)).alias("words"))
-
-
-Q["a31_vad_recall"], O["a31_vad_recall"] = a31, "WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1), e AS (SELECT *, unnest(range(n)) AS k FROM l) SELECT l_orderkey, count(CASE WHEN (k + 0.5::DOUBLE) / n * 60 >= q THEN 1 END) AS outside, count(*) AS words FROM e GROUP BY 1"
+    """Words of each user's segments (turns) outside its speech (spans around points): how many, as if spread evenly, and the least covered segment's share."""
+    seg = turns(spark, sf).select("user_id", "event_id", "start", "end")
+    speech = I.merged_spans(others(spark, sf).select("user_id", (F.col("t") - 20 * MINUTE).alias("start"), (F.col("t") + 20 * MINUTE).alias("end")), "user_id")
+    n = F.col("event_id") % 13 + 1
+    times = seg.select("user_id", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.col("start") + F.floor((2 * k + 1) * (F.col("end") - F.col("start")) / (2 * n)))).alias("t"))
+    heard = I.turn_at(times, speech.withColumn("end", F.col("end") - 1), "user_id", "t", label="n_spans")
+    lost = heard.groupBy("user_id").agg(F.count(F.lit(1)).alias("words"), F.count(F.when(F.col("speaker_at").isNull(), 1)).alias("outside"))
+    a = I.binned(seg, "start", "end", 60 * MINUTE).select("user_id", "event_id", F.col("start").alias("a0"), F.col("end").alias("a1"), "__bin")
+    b = I.binned(speech, "start", "end", 60 * MINUTE).select("user_id", F.col("start").alias("b0"), F.col("end").alias("b1"), "__bin")
+    part = a.join(b, ["user_id", "__bin"]).select("user_id", "event_id", "b0", I.overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")).alias("ms")).distinct()
+    sums = part.groupBy("user_id", "event_id").agg(F.sum("ms").alias("ms"))
+    share = F.coalesce("ms", F.lit(0)) / (F.col("end") - F.col("start"))
+    least = seg.join(sums, ["user_id", "event_id"], "left").groupBy("user_id").agg(F.round(F.min(share), 6).alias("least_covered"))
+    return lost.join(least, "user_id")
+
+
+SPEECH = EV + """, sm AS (SELECT user_id, t - 1200000 AS s, t + 1200000 AS e FROM pts), m0 AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sm),
+m1 AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS g FROM m0), sp AS (SELECT user_id, min(s) AS s, max(e) AS e FROM m1 GROUP BY user_id, g)"""
+Q["a31_vad_recall"], O["a31_vad_recall"] = a31, SPEECH + """, w AS (SELECT user_id, s + (2 * k + 1) * (e - s) // (2 * n) AS t FROM (SELECT *, event_id % 13 + 1 AS n, unnest(range(event_id % 13 + 1)) AS k FROM turns)),
+l AS (SELECT w.user_id, count(*) AS words, count(*) FILTER (sp.e IS NULL OR w.t >= sp.e) AS outside FROM w ASOF LEFT JOIN sp ON w.user_id = sp.user_id AND w.t >= sp.s GROUP BY 1),
+c AS (SELECT turns.user_id, turns.event_id, coalesce(sum(CASE WHEN sp.s IS NOT NULL THEN least(sp.e, turns.e) - greatest(sp.s, turns.s) END), 0) / (any_value(turns.e) - any_value(turns.s)) AS c FROM turns LEFT JOIN sp ON sp.user_id = turns.user_id AND sp.s < turns.e AND turns.s < sp.e GROUP BY 1, 2)
+SELECT l.user_id, words, outside, round(least_covered, 6) AS least_covered FROM l JOIN (SELECT user_id, min(c) AS least_covered FROM c GROUP BY 1) USING (user_id)"""
 
 
 def a32(spark, sf):
-    """Levels of each turn: mean square in decibels and peak of its user's points in it."""
-    inside = I.points_in_spans(others(spark, sf), turns(spark, sf).select("user_id", "start", "end").distinct(), "user_id", "t", 60 * MINUTE)
-    power = F.avg(F.col("value") * F.col("value"))
-    return inside.groupBy("user_id", "span_start", "span_end").agg(F.round(10 * F.log10(F.greatest(power, F.lit(1e-18))), 6).alias("db"), F.max("value").alias("peak"), F.count(F.lit(1)).alias("n"))
-
-
-Q["a32_word_levels"], O["a32_word_levels"] = a32, EV + "SELECT p.user_id, u.s AS span_start, u.e AS span_end, round(10 * log10(greatest(avg(value * value), 1e-18)), 6) AS db, max(value) AS peak, count(*) AS n FROM pts p JOIN (SELECT DISTINCT user_id, s, e FROM turns) u ON u.user_id = p.user_id AND p.t >= u.s AND p.t < u.e GROUP BY ALL"
+    """Levels of each word (turn): mean and peak of its frames (points) in decibels, the loudest frame within an hour of its start, and how deep it starts in a quiet stretch."""
+    f = others(spark, sf).select("user_id", "t", (F.col("value") * F.col("value")).alias("power"))
+    word = turns(spark, sf).select("user_id", "event_id", "start", "end")
+    db = lambda p: F.round(10 * F.log10(F.greatest(p, F.lit(1e-18))), 6)
+    of = lambda spans_: I.points_in_spans(f, spans_, "user_id", "t", 120 * MINUTE)
+    own = of(word.select("user_id", "start", "end").distinct()).groupBy("user_id", F.col("span_start").alias("start"), F.col("span_end").alias("end")).agg(db(F.avg("power")).alias("db"), db(F.max("power")).alias("peak"))
+    near = of(word.select("user_id", (F.col("start") - 60 * MINUTE).alias("start"), (F.col("start") + 60 * MINUTE).alias("end")).distinct())
+    near = near.groupBy("user_id", (F.col("span_start") + 60 * MINUTE).alias("start")).agg(db(F.max("power")).alias("near"))
+    quiet = I.islands(others(spark, sf), ["user_id"], ["t", "event_id"], F.col("value") < 20, "t").where("start < end").select("user_id", "start", "end", F.col("start").alias("speaker"))
+    at = I.turn_at(word.select("user_id", "event_id", F.col("start").alias("t")).distinct(), quiet, "user_id", "t")
+    deep = at.join(quiet.select("user_id", F.col("start").alias("speaker_at"), "end"), ["user_id", "speaker_at"]).select("event_id", F.least(F.col("t") - F.col("speaker_at"), F.col("end") - F.col("t")).alias("depth"))
+    j = word.join(own, ["user_id", "start", "end"], "left").join(near, ["user_id", "start"], "left").join(deep, "event_id", "left")
+    return j.select("event_id", "db", "peak", "near", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+Q["a32_word_levels"], O["a32_word_levels"] = a32, EV + """, i AS (SELECT *, value < 20 AS f, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM pts),
+j AS (SELECT *, n - row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM i WHERE f), q AS (SELECT user_id, min(t) AS s, max(t) AS e FROM j GROUP BY user_id, g HAVING min(t) < max(t)),
+o AS (SELECT u.event_id, avg(value * value) AS p, max(value * value) AS x FROM turns u JOIN pts p ON p.user_id = u.user_id AND p.t >= u.s AND p.t < u.e GROUP BY 1),
+k AS (SELECT u.event_id, max(value * value) AS x FROM turns u JOIN pts p ON p.user_id = u.user_id AND p.t >= u.s - 3600000 AND p.t < u.s + 3600000 GROUP BY 1)
+SELECT u.event_id, round(10 * log10(CASE WHEN o.p < 1e-18 THEN 1e-18 ELSE o.p END), 6) AS db, round(10 * log10(CASE WHEN o.x < 1e-18 THEN 1e-18 ELSE o.x END), 6) AS peak, round(10 * log10(CASE WHEN k.x < 1e-18 THEN 1e-18 ELSE k.x END), 6) AS near,
+ coalesce((SELECT max(least(u.s - q.s, q.e - u.s)) FROM q WHERE q.user_id = u.user_id AND u.s >= q.s AND u.s <= q.e), 0) AS depth FROM turns u LEFT JOIN o USING (event_id) LEFT JOIN k USING (event_id)"""
 
 
 def a33(spark, sf):
@@ -158,21 +182,6 @@ def a33(spark, sf):
 Q["a33_stratified_pairs"], O["a33_stratified_pairs"] = a33, "WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents) SELECT lang, r // 2 AS pair, min(doc_id) AS a, max(doc_id) AS b, min(source) = max(source) AS same FROM d GROUP BY lang, r // 2 HAVING count(*) = 2"
 
 
-def a34(spark, sf):
-    """Words of each turn that the turn before lacks, and how many of these the first turn has."""
-    c = table(spark, sf, "conversations").withColumn("w", F.array_distinct(X.words(F.lower("text"))))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = c.select("conv_id", "turn", "w", F.lag("w").over(w).alias("b"), F.first("w").over(w).alias("f")).where("b IS NOT NULL")
-    new = F.array_except("w", "b")
-    return t.select("conv_id", "turn", F.size(new).cast("long").alias("n_new"), F.size(F.array_intersect(new, F.col("f"))).cast("long").alias("right"))
-
-
-Q["a34_retry_gain"], O["a34_retry_gain"] = a34, f"""WITH c AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '{WORD_SQL}')) AS w FROM conversations),
-t AS (SELECT conv_id, turn, w, lag(w) OVER x AS b, first(w) OVER x AS f FROM c WINDOW x AS (PARTITION BY conv_id ORDER BY turn)),
-n AS (SELECT conv_id, turn, f, list_filter(w, lambda x: NOT list_contains(b, x)) AS new FROM t WHERE b IS NOT NULL)
-SELECT conv_id, turn, len(new) AS n_new, len(list_filter(new, lambda x: list_contains(f, x))) AS right FROM n"""
-
-
 def a35(spark, sf):
     """Each user's time from first to last point against the time its turns cover, and points in no turn."""
     spans = I.merged_spans(turns(spark, sf), "user_id")

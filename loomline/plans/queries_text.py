@@ -201,23 +201,6 @@ def s1(spark, sf):
 Q["s1_detect_format"], O["s1_detect_format"] = s1, "SELECT conv_id, 'srt' AS a, 'vtt' AS b, 'json' AS c, CAST(NULL AS VARCHAR) AS d FROM conversations GROUP BY 1"
 
 
-def f9(spark, sf):
-    """Words one or two edits from a benchmark word. Two such words share a form with up to two letters left out."""
-    own = lambda t: table(spark, sf, t).select(F.explode(X.words(F.lower("text"))).alias("word")).distinct()
-    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    forms = lambda w: F.array_distinct(F.flatten(F.array(F.array(w), cut(w), F.flatten(F.transform(cut(w), lambda x: F.when(x == "", F.array(x)).otherwise(cut(x)))))))
-    w = own("conversations").select("word", F.explode(forms(F.col("word"))).alias("form"))
-    b = own("benchmark").select(F.col("word").alias("entry"), F.explode(forms(F.col("word"))).alias("form"))
-    near = w.join(b, "form").select("word", "entry").distinct().withColumn("edits", F.levenshtein("word", "entry", 2))
-    return near.where("edits between 1 and 2").select("word", "entry", F.col("edits").cast("long").alias("edits"))
-
-
-Q["f9_edits"], O["f9_edits"] = f9, f"""WITH b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS entry FROM benchmark),
-w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS word FROM conversations)
-SELECT word, entry, CAST(e AS BIGINT) AS edits FROM (SELECT word, entry, levenshtein(translate(word, 'éèêëàâçîïôûùäöüßñáíóú', 'ABCDEFGHIJKLMNOPQRSTU'), translate(entry, 'éèêëàâçîïôûùäöüßñáíóú', 'ABCDEFGHIJKLMNOPQRSTU')) AS e
- FROM w JOIN b ON abs(length(word) - length(entry)) <= 2) WHERE e BETWEEN 1 AND 2"""
-
-
 def f14(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.concat(F.octet_length("text").cast("string"), F.lit("-"), F.sha2("text", 256)).alias("content_id"))
 

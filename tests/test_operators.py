@@ -39,9 +39,6 @@ def test_captions(spark):
 def test_kernels(spark):
     frames = spark.createDataFrame([(1, i, s) for i, s in enumerate([5, 9, 9, 0, 7, 1])], "k long, f long, s long")
     assert [r.f for r in K.select_marks(frames, "k", "f", "s", 3, 2).orderBy("f").collect()] == [1, 4]
-    words = spark.createDataFrame([(["a", "b", "c", "d"], ["c", "d", "e"])], "a array<string>, b array<string>")
-    r = K.align(words, "a", "b").first()
-    assert (r.substituted, r.missed, r.inserted) in {(0, 2, 1), (3, 1, 0)} and r.substituted + r.missed + r.inserted == 3
     texts = spark.createDataFrame([(1, "The big red dog and red cat"), (2, None)], "doc_id long, t string")
     phrases = spark.createDataFrame([("red", 1), ("big red dog", 2)], "phrase string, entry long")
     assert [(r.first, r.size, r.entry) for r in K.find_phrases(texts, phrases, "t", 3).orderBy("first").collect()] == [(1, 3, 2), (5, 1, 1)]
@@ -49,20 +46,6 @@ def test_kernels(spark):
     assert K.with_fnv(texts, "t").where("doc_id = 2").first().words_hash == "811c9dc5"
 
 
-def test_alignment_costs_against_all(spark):
-    rng = random.Random(9)
-
-    def cost(a, b):
-        if not a or not b:
-            return len(a) + len(b)
-        return min(cost(a[1:], b[1:]) + (a[0] != b[0]), cost(a[1:], b) + 1, cost(a, b[1:]) + 1)
-
-    rows = [(i, [rng.choice("abc") for _ in range(rng.randrange(6))], [rng.choice("abc") for _ in range(rng.randrange(6))]) for i in range(80)]
-    got = K.align(spark.createDataFrame(rows, "i long, a array<string>, b array<string>"), "a", "b").collect()
-    want = {i: cost(a, b) for i, a, b in rows}
-    assert all(r.substituted + r.missed + r.inserted == want[r.i] for r in got)
-
-
 def test_phrases_against_a_scan(spark):
     rng = random.Random(10)
     texts = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(12)))) for i in range(50)]
