@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
@@ -24,6 +25,7 @@ def held(name: str, make: Callable[[], Any]) -> Any:
 def let_go() -> None:
     """What earlier operators have left with this Python worker goes."""
     _HELD.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def shared_folder(spark: SparkSession) -> str:

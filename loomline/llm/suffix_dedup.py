@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import exchange
-from .common import packed, text_size, unpacked
+from .common import let_go, packed, text_size, unpacked
 from .hashing import SEPARATORS, U, blocks, buffers, byte_grams, cell_of, distinct, found_in, joined, mixed, runs, sliding
 from .induced_sort import suffix_order
 
@@ -292,6 +292,7 @@ def remove_repeated_strings(docs: DataFrame, width: int = 400, text_col: str = "
     shards = packed(docs, text_col, n_shards)
 
     def keys_sent(table: pa.Table) -> pa.Table:
+        let_go()
         keys, two, kinds = _sketch(table, width)
         return exchange.send(table.column("shard")[0].as_py(), keys, kinds.astype(U), two, n_buckets)
 

@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .common import held, without
+from .common import held, let_go, without
 from .hashing import buffers
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
@@ -75,15 +75,20 @@ _FOLLOWS = np.zeros(256, bool)
 _FOLLOWS[0x80:0xC0] = True
 
 
+#: Bytes of text whose symbols are counted at once; some fifty times as many are held meanwhile.
+BLOCK = 1 << 19
+
+
 def gram_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     """Counts of 4 consecutive symbols over all texts. As many cells as the alphabet allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros(SYMBOLS**4, np.int64)
         for batch in batches:
             data, _ = buffers(batch.column(0))
-            for i in range(0, len(data), 1 << 22):
-                part = data[max(i - 12, 0) : i + (1 << 22)]  # four symbols have up to 16 bytes
+            for i in range(0, len(data), BLOCK):
+                part = data[max(i - 12, 0) : i + BLOCK]  # four symbols have up to 16 bytes
                 at = np.flatnonzero(~_FOLLOWS[part])
                 s = _SYMBOL_OF_BYTE[part[at]]
                 two = np.flatnonzero((part[at] == 0xC3) & (at + 1 < len(part)))
