@@ -1,22 +1,27 @@
 """Nearest neighbours by NN-descent and greedy graph search.
 
 Each distinct vector is a node. The graph starts with random neighbours. In each round a node's
-block is joined with the vectors of its neighbours and of the nodes it is a neighbour of; all pairs
-among these are measured, as neighbours of neighbours are likely neighbours, and each node keeps its
-`k` nearest so far. A query starts at its own node and a few others: each hop joins the nearest
+block is joined with the vectors of its neighbours and of the nodes it is a neighbour of; pairs
+among these of which at least one came into a list in the round before are measured, as neighbours of neighbours are
+likely neighbours, and each node keeps its `k` nearest so far. Rounds end when under UPDATES of all entries are new.
+Distances are taken in doubles from one of the neighbours as origin, so vectors far off the origin, or in tight
+clusters far from each other, keep their order. A query starts at its own node and a few others: each hop joins the nearest
 nodes not yet expanded with the graph, and stops when all of its `beam` nearest are expanded.
 
 Nodes are dealt to blocks of about BLOCK by a hash of their id. What passes between blocks is packed,
-one row for each pair of blocks. Of the nodes that name a node, a random `k` are used in each round;
-all are met in later rounds. Nothing is gathered on the driver but counts.
+one row for each pair of blocks. Of the nodes that name a node, `k` are used in each round, new ones first, others by
+chance, and the search follows the nearest NAMED of them: graph and search are approximate, their recall is measured
+in tests and in the README. Nothing is gathered on the driver but counts.
 
 Cases: vectors that are null, zero, of another length than most, or that hold null or non-finite
 numbers, and rows without an id, take no part; equal vectors are one node and all come back, smaller
-ids first; fewer candidates than asked for are all returned; an empty table gives an empty table.
+ids first; fewer candidates than asked for are all returned; vectors of numbers beyond 1e100 (or all under 1e-100) are
+measured in units of a power of two; other columns of rows don't come out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -27,7 +32,11 @@ from .common import checkpointed
 
 BLOCK, QUERY_BLOCK = 4096, 256
 #: Updates that are held before the best of each node are kept.
-HELD = 1_500_000
+HELD = 1_000_000
+#: Share of the graph's entries that must be new for another round, and rounds at most (a safeguard: they halve each time or so).
+UPDATES, ROUNDS = 0.002, 40
+#: Nodes that name a node which the search follows.
+NAMED = 64
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -36,7 +45,7 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     ok = rows.where(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     size = ok.groupBy(F.size(v).alias("s")).count().orderBy(F.desc("count"), "s").first()
-    return ok.where(F.size(v) == (size.s if size else 0)).select(F.col(id_col).cast("long").alias("id"), v.cast("array<float>").alias("vec"))
+    return ok.where(F.size(v) == (size.s if size else 0)).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec"))
 
 
 def _matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
@@ -73,29 +82,28 @@ def _unpacked(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype), *[np.frombuffer(x, dtype) for x in column.to_pylist()]])
 
 
-def _best(v: np.ndarray, w: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each v its `most` nearest distinct w, and their ranks."""
-    order = np.lexsort((d, w, v))
-    v, w, d = v[order], w[order], d[order]
+def _best(v: np.ndarray, w: np.ndarray, d: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each v its `most` nearest distinct w; one that is known stays as it is known, not fresh."""
+    order = np.lexsort((d, fresh, w, v))
+    v, w, d, fresh = v[order], w[order], d[order], fresh[order]
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-    v, w, d = v[new], w[new], d[new]
+    v, w, d, fresh = v[new], w[new], d[new], fresh[new]
     order = np.lexsort((w, d, v))
-    v, w, d = v[order], w[order], d[order]
-    rank = np.arange(len(v)) - np.searchsorted(v, v)
-    keep = rank < most
-    return v[keep], w[keep], d[keep], rank[keep]
+    v, w, d, fresh = v[order], w[order], d[order], fresh[order]
+    keep = np.arange(len(v)) - np.searchsorted(v, v) < most
+    return v[keep], w[keep], d[keep], fresh[keep]
 
 
-def _sample(v: np.ndarray, u: np.ndarray, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most `most` random u of each v."""
-    order = np.lexsort((np.random.default_rng(seed).random(len(v)), v))
-    v, u = v[order], u[order]
+def _sample(v: np.ndarray, u: np.ndarray, fresh: np.ndarray, most: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most `most` u of each v, fresh ones first, then by chance."""
+    order = np.lexsort((np.random.default_rng(seed).random(len(v)), ~fresh, v))
+    v, u, fresh = v[order], u[order], fresh[order]
     keep = np.arange(len(v)) - np.searchsorted(v, v) < most
-    return v[keep], u[keep]
+    return v[keep], u[keep], fresh[keep]
 
 
-GRAPH = "block int, node long, vec array<float>, near array<long>, dist array<float>"
+GRAPH = "block int, node long, vec array<double>, near array<long>, dist array<double>, fresh array<boolean>"
 
 
 def random_graph(vectors: DataFrame, n: int, n_blocks: int, k: int, rounds: int = 3) -> DataFrame:
@@ -108,7 +116,7 @@ def random_graph(vectors: DataFrame, n: int, n_blocks: int, k: int, rounds: int
     near = near.select("node", F.slice(F.filter("near", lambda x: x != F.col("node")), 1, k).alias("near"))
     return vectors.join(near, "node").select(
         block_column(F.col("node"), n_blocks).alias("block"), "node", "vec", "near",
-        F.transform("near", lambda _: F.lit(float("inf")).cast("float")).alias("dist"),
+        F.transform("near", lambda _: F.lit(float("inf"))).alias("dist"), F.transform("near", lambda _: F.lit(True)).alias("fresh"),
     )
 
 
@@ -119,24 +127,36 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
         near = g.column("near").to_pylist()
         v = np.array([x for xs in near for x in xs], np.int64)
         u = np.repeat(_numbers(g.column("node")), [len(x) for x in near])
-        v, u = _sample(v, u, k, seed)
-        return _packed(block_of(v, n_blocks), {"v": v, "u": u}, "block")
+        fresh = np.array([x for xs in g.column("fresh").to_pylist() for x in xs], bool)
+        v, u, fresh = _sample(v, u, fresh, k, seed)
+        return _packed(block_of(v, n_blocks), {"v": v, "u": u, "fresh": fresh}, "block")
 
     def gather(g: pa.Table, named: pa.Table) -> pa.Table:
         nodes, near = _numbers(g.column("node")), g.column("near").to_pylist()
-        v, u = _sample(_unpacked(named.column("v"), np.int64), _unpacked(named.column("u"), np.int64), k, seed + 1)
+        v, u, new = _sample(*(_unpacked(named.column(c), t) for c, t in (("v", np.int64), ("u", np.int64), ("fresh", bool))), k, seed + 1)
         own = np.repeat(nodes, [len(x) + 1 for x in near])
         other = np.array([y for x, xs in zip(nodes.tolist(), near) for y in (x, *xs)], np.int64)
-        own, other = np.concatenate([own, v]), np.concatenate([other, u])
-        order = np.argsort(own, kind="stable")
+        fresh = np.array([y for xs in g.column("fresh").to_pylist() for y in (False, *xs)], bool)
+        own, other, fresh = np.concatenate([own, v]), np.concatenate([other, u]), np.concatenate([fresh, new])
+        order = np.lexsort((~fresh, other, own))  # a node that is met both ways counts once, as fresh if it is so either way
+        own, other, fresh = own[order], other[order], fresh[order]
+        once = np.ones(len(own), bool)
+        once[1:] = (own[1:] != own[:-1]) | (other[1:] != other[:-1])
+        own, other, fresh = own[once], other[once], fresh[once]
+        order = np.lexsort((~fresh, own))  # fresh ones first
+        own, other, fresh = own[order], other[order], fresh[order]
+        first = np.append(True, own[1:] != own[:-1])[: len(own)]
+        open_ = fresh[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
+        own, other, fresh = own[open_], other[open_], fresh[open_]  # where nothing is fresh, all has been measured
         wanted = np.unique(other)
         asks = _packed(block_of(wanted, n_blocks), {"ids": wanted}, "to").to_pylist()
         kind = pa.list_(pa.struct([("to", pa.int32()), ("ids", pa.binary())]))
         return pa.table(
             {
                 "block": pa.array(g.column("block").to_pylist()[:1] if g.num_rows else [], pa.int32()),
-                "own": pa.array([own[order].tobytes()][: g.num_rows], pa.binary()),
-                "other": pa.array([other[order].tobytes()][: g.num_rows], pa.binary()),
+                "own": pa.array([own.tobytes()][: g.num_rows], pa.binary()),
+                "other": pa.array([other.tobytes()][: g.num_rows], pa.binary()),
+                "fresh": pa.array([fresh.tobytes()][: g.num_rows], pa.binary()),
                 "wanted": pa.array([asks][: g.num_rows], kind),
             }
         )
@@ -144,8 +164,8 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
     def serve(g: pa.Table, asked: pa.Table) -> pa.Table:
         ids = _numbers(g.column("node"))
         order = np.argsort(ids)
-        x = _matrix(g.column("vec"), np.float32)[order]
-        last = np.array([d[-1] if len(d) >= k and d[-1] is not None else np.inf for d in g.column("dist").to_pylist()], np.float32)[order]
+        x = _matrix(g.column("vec"), np.float64)[order]
+        last = np.array([d[-1] if len(d) >= k else np.inf for d in g.column("dist").to_pylist()])[order]
         at = [np.searchsorted(ids[order], np.frombuffer(b, np.int64)) for b in asked.column("ids").to_pylist()]
         return pa.table(
             {
@@ -157,45 +177,53 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
         )
 
     def local_join(around: pa.Table, vectors: pa.Table) -> pa.Table:
-        if not around.num_rows:
-            return _packed(np.zeros(0, np.int64), {"v": np.zeros(0, np.int64), "w": np.zeros(0, np.int64), "d": np.zeros(0, np.float32)}, "block")
+        if not any(around.column("own").to_pylist()):
+            return _packed(np.zeros(0, np.int64), {"v": np.zeros(0, np.int64), "w": np.zeros(0, np.int64), "d": np.zeros(0)}, "block")
         ids = _unpacked(vectors.column("ids"), np.int64)
         order = np.argsort(ids)
-        x = _unpacked(vectors.column("vecs"), np.float32).reshape(len(ids), -1)[order]
-        last = _unpacked(vectors.column("kth"), np.float32)[order]
+        x = _unpacked(vectors.column("vecs"), np.float64).reshape(len(ids), -1)[order]
+        last = _unpacked(vectors.column("kth"), np.float64)[order]
         ids = ids[order]
-        square = (x * x).sum(1)
-        own, other = _unpacked(around.column("own"), np.int64), _unpacked(around.column("other"), np.int64)
+        own, other, fresh = (_unpacked(around.column(c), t) for c, t in (("own", np.int64), ("other", np.int64), ("fresh", bool)))
         at = np.searchsorted(ids, other)
-        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(own)))
-        kept: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        n_fresh = np.add.reduceat(fresh.astype(np.int64), starts) if len(starts) else sizes
+        by = np.lexsort((sizes, n_fresh))
+        starts, sizes, n_fresh = starts[by], sizes[by], n_fresh[by]
+        none = np.zeros(0, np.int64)
+        kept: tuple = (none, none, np.zeros(0), np.zeros(0, bool))
         held, n_held = [], 0
-        for i in range(0, len(starts), 128):
-            s, n = starts[i : i + 128], sizes[i : i + 128]
+        for i in range(0, len(starts), 64):
+            s, n, f = starts[i : i + 64], sizes[i : i + 64], n_fresh[i : i + 64]
             place = s[:, None] + np.arange(n.max())[None]
             there = np.arange(n.max())[None] < n[:, None]
             m = at[np.where(there, place, s[:, None])]
             y = x[m]
-            d = square[m][:, :, None] + square[m][:, None, :] - 2 * np.matmul(y, y.transpose(0, 2, 1))
-            ok = (d < last[m][:, :, None]) & there[:, :, None] & there[:, None, :] & (m[:, :, None] != m[:, None, :])
-            a, b, c = np.nonzero(ok)
-            held.append((m[a, b], m[a, c], np.maximum(d[a, b, c], 0)))
-            n_held += len(a)
-            if n_held > HELD or i + 128 >= len(starts):
-                parts = [np.concatenate(p) for p in zip(kept, *held)]
-                kept = _best(*parts, k)[:3]  # k suffice: what ends among the k nearest is among the k best found
+            y -= y[:, :1].copy()  # one of them as origin
+            z, mine = y[:, : f.max()], m[:, : f.max()]
+            d = (z * z).sum(2)[:, :, None] + (y * y).sum(2)[:, None, :] - 2 * np.matmul(z, y.transpose(0, 2, 1))
+            pair = (np.arange(f.max())[None] < f[:, None])[:, :, None] & there[:, None, :] & (mine[:, :, None] != m[:, None, :])
+            for ok, v, w in ((pair & (d < last[mine][:, :, None]), 0, 1), (pair & (d < last[m][:, None, :]), 1, 0)):
+                a, b, c = np.nonzero(ok)
+                both = mine[a, b], m[a, c]
+                held.append((both[v], both[w], np.maximum(d[a, b, c], 0), np.zeros(len(a), bool)))
+                n_held += len(a)
+            if n_held > HELD or i + 64 >= len(starts):
+                kept = _best(*[np.concatenate(p) for p in zip(kept, *held)], k)  # k suffice: what ends among the k nearest is among the k best found
                 held, n_held = [], 0
         v = ids[kept[0]]
-        return _packed(block_of(v, n_blocks), {"v": v, "w": ids[kept[1]], "d": kept[2].astype(np.float32)}, "block")
+        return _packed(block_of(v, n_blocks), {"v": v, "w": ids[kept[1]], "d": kept[2]}, "block")
 
     def merge(g: pa.Table, found: pa.Table) -> pa.Table:
         nodes, near, dist = _numbers(g.column("node")), g.column("near").to_pylist(), g.column("dist").to_pylist()
         order = np.argsort(nodes)
         v = np.concatenate([np.repeat(nodes, [len(x) for x in near]), _unpacked(found.column("v"), np.int64)])
         w = np.concatenate([np.array([y for x in near for y in x], np.int64), _unpacked(found.column("w"), np.int64)])
-        d = np.concatenate([np.array([y for x in dist for y in x], np.float32), _unpacked(found.column("d"), np.float32)])
-        v, w, d, _ = _best(v, w, d, k)
+        d = np.concatenate([np.array([y for x in dist for y in x], np.float64), _unpacked(found.column("d"), np.float64)])
+        known = np.zeros(len(d), bool)
+        known[: sum(map(len, near))] = np.isfinite(d[: sum(map(len, near))])
+        v, w, d, fresh = _best(v, w, d, ~known, k)
         ends = np.concatenate([[0], np.searchsorted(v, nodes[order], "right")]).astype(np.int32)
         return pa.table(
             {
@@ -203,14 +231,15 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
                 "node": g.column("node").take(pa.array(order)),
                 "vec": g.column("vec").take(pa.array(order)),
                 "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(w)),
-                "dist": pa.ListArray.from_arrays(pa.array(ends), pa.array(d.astype(np.float32))),
+                "dist": pa.ListArray.from_arrays(pa.array(ends), pa.array(d)),
+                "fresh": pa.ListArray.from_arrays(pa.array(ends), pa.array(fresh)),
             }
         )
 
-    links = graph.select("block", "node", "near")
-    named = links.groupBy("block").applyInArrow(name_neighbours, "block int, v binary, u binary")
+    links = graph.select("block", "node", "near", "fresh")
+    named = links.groupBy("block").applyInArrow(name_neighbours, "block int, v binary, u binary, fresh binary")
     around = links.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(
-        gather, "block int, own binary, other binary, wanted array<struct<to int, ids binary>>"
+        gather, "block int, own binary, other binary, fresh binary, wanted array<struct<to int, ids binary>>"
     )
     around = checkpointed(around)
     asked = around.select(F.col("block").alias("back"), F.inline("wanted"))
@@ -219,13 +248,16 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
     return checkpointed(graph.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(merge, GRAPH))
 
 
-def build_graph(vectors: DataFrame, k: int = 32, rounds: int = 6) -> DataFrame:
-    """GRAPH of (node, vec) after `rounds` rounds."""
+def build_graph(vectors: DataFrame, k: int = 32, updates: float = UPDATES, rounds: int = ROUNDS) -> DataFrame:
+    """GRAPH of (node, vec) after rounds in which `updates` of its entries or more were new."""
     n = vectors.count()
     n_blocks = max(1, -(-n // BLOCK))
     graph = checkpointed(random_graph(vectors, n, n_blocks, k))
     for r in range(rounds):
         graph = descended(graph, n_blocks, k, 2 * r)
+        size, fresh = graph.agg(F.sum(F.size("near")), F.sum(F.size(F.filter("fresh", lambda x: x)))).first()
+        if not fresh or fresh < updates * size:
+            break
     return graph
 
 
@@ -235,15 +267,15 @@ def both_ways(graph: DataFrame) -> DataFrame:
         F.col("e.near").alias("to"), F.struct(F.col("e.dist").alias("d"), F.col("node").alias("from")).alias("s")
     )
     # a node that very many name is cut down in parts first
-    parts = back.withColumn("part", F.pmod(F.xxhash64("s.from"), F.lit(16))).groupBy("to", "part").agg(F.slice(F.sort_array(F.collect_list("s")), 1, 64).alias("s"))
-    named = parts.groupBy("to").agg(F.slice(F.sort_array(F.flatten(F.collect_list("s"))), 1, 64).alias("s"))
+    parts = back.withColumn("part", F.pmod(F.xxhash64("s.from"), F.lit(16))).groupBy("to", "part").agg(F.slice(F.sort_array(F.collect_list("s")), 1, NAMED).alias("s"))
+    named = parts.groupBy("to").agg(F.slice(F.sort_array(F.flatten(F.collect_list("s"))), 1, NAMED).alias("s"))
     named = named.select(F.col("to").alias("node"), F.transform("s", lambda x: x["from"]).alias("more"))
     return graph.join(named, "node", "left").select(
         "block", "node", "vec", F.array_union("near", F.coalesce("more", F.array().cast("array<long>"))).alias("near")
     )
 
 
-STATE = "qblock int, query long, vec array<float>, state binary"
+STATE = "qblock int, query long, vec array<double>, state binary"
 
 
 def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 24, entries: int = 6) -> DataFrame:
@@ -259,7 +291,7 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
         return table.drop_columns(["start"]).append_column("state", pa.array(states, pa.binary()))
 
     def ask(table: pa.Table) -> pa.Table:
-        query, node, vec = [], [], _matrix(table.column("vec"), np.float32)
+        query, node, vec = [], [], _matrix(table.column("vec"), np.float64)
         bound = []
         for q, s in zip(table.column("query").to_pylist(), map(pickle.loads, table.column("state").to_pylist())):
             query.append(np.full(len(s["ask"]), q))
@@ -284,7 +316,7 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
         for row in asked.to_pylist():
             query, node, bound = np.frombuffer(row["query"], np.int64), np.frombuffer(row["node"], np.int64), np.frombuffer(row["bound"], np.float64)
             whose = np.frombuffer(row["whose"], np.int64)
-            vecs = np.frombuffer(row["vecs"], np.float32).reshape(len(whose), -1).astype(np.float64)
+            vecs = np.frombuffer(row["vecs"], np.float64).reshape(len(whose), -1)
             by_id = np.argsort(whose)
             q = vecs[by_id[np.searchsorted(whose[by_id], query)]]
             at = np.searchsorted(ids, node)
@@ -357,9 +389,13 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
     return ended.select("query", "state").mapInArrow(results, "query long, node long, dist double")
 
 
-def nearest(rows: DataFrame, is_query: Column, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, rounds: int = 6, beam: int = 256) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 32, beam: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` nearest other rows found for each row that is_query (of id) holds for."""
     good = checkpointed(usable(rows, id_col, vector_col))
+    top_number = good.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+    unit = 1.0 if 1e-100 < top_number < 1e100 else 2.0 ** math.frexp(top_number)[1]  # a power of two changes no digit
+    if unit != 1.0:
+        good = good.withColumn("vec", F.transform("vec", lambda x: x / unit))
     copies = good.groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     nodes = checkpointed(copies)
     vectors = nodes.select("node", "vec")
@@ -370,7 +406,7 @@ def nearest(rows: DataFrame, is_query: Column, top: int = 10, id_col: str = "vec
     for keys in (["node", "part"], ["node"]):
         some = some.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("r") <= top + 1)
     members = few.unionByName(some.select("node", "id"))
-    graph = build_graph(vectors, k, rounds)
+    graph = build_graph(vectors, k)
     own = good.where(is_query).join(nodes, "vec").select(F.col("id").alias("query"), "vec", "node")
     # besides its own node each query starts at some that others share
     entry = graph.select("node").orderBy(F.xxhash64("node")).limit(6).agg(F.collect_list("node").alias("entries"))
@@ -378,7 +414,7 @@ def nearest(rows: DataFrame, is_query: Column, top: int = 10, id_col: str = "vec
     found = search(graph, queries, beam)
     by_query = Window.partitionBy("query").orderBy("dist", "id")
     hits = found.join(members, "node").where("id <> query").withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= top)
-    return hits.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("dist").alias("score"))
+    return hits.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), (F.col("dist") * unit).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,11 +50,47 @@ def test_few_rows(spark, n):
     assert nearest(df, F.col("id") % 100 == 0).count() == n * (n - 1)
 
 
-def test_graph_of_three_rounds_holds_the_nearest(spark):
+def test_the_graph_holds_the_nearest(spark):
     table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
     ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), np.float32).astype(float)
     true = brute(ids, x, range(len(ids)), 32)
-    vectors = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist())], "node long, vec array<float>")
-    got = build_graph(vectors, rounds=3).select("node", "near").collect()
+    vectors = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist())], "node long, vec array<double>")
+    got = build_graph(vectors).select("node", "near").collect()
     hits = sum(len({v for v, _ in true[r.node]} & set(r.near)) for r in got)
     assert len(got) == len(ids) and hits >= 0.9 * 32 * len(ids)
+
+
+def made(n, where, clusters, seed=3):
+    """n vectors of 24 numbers: around one place, or in tight clusters far from each other."""
+    r = np.random.default_rng(seed)
+    if not clusters:
+        return r.normal(size=(n, 24)) + where
+    return r.normal(size=(clusters, 24))[r.integers(0, clusters, n)] * 1e4 + r.normal(size=(n, 24)) + where
+
+
+@pytest.mark.parametrize("n, where, clusters, kind", [(12_000, 1000, 0, "float"), (3_000, 0, 0, "float"), (3_000, 1e9, 0, "double"), (6_000, 0, 20, "double")])
+def test_recall_wherever_the_vectors_lie(spark, n, where, clusters, kind):
+    x = made(n, where, clusters)
+    x = x.astype(np.float32).astype(float) if kind == "float" else x
+    ids = np.arange(len(x))
+    true = brute(ids, x, ids[ids % 100 == 0])
+    df = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), f"vec_id long, embedding array<{kind}>").repartition(8)
+    got = {}
+    for r in nearest(df, F.col("id") % 100 == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert all(len(v) == 10 for v in got.values()) and got.keys() == true.keys()
+    hits = sum(len(got[q].keys() & {v for v, _ in true[q]}) for q in true)
+    assert hits >= 0.9 * 10 * len(true)
+    assert all(s == pytest.approx(np.sqrt(((x[q] - x[v]) ** 2).sum()), rel=1e-12) for q in true for v, s in got[q].items())
+
+
+def test_huge_and_tiny_numbers_keep_their_order(spark):
+    x = np.concatenate([made(300, 0, 0), made(300, 5, 0)])
+    for size in (1e250, 1e-250):
+        df = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        true = brute(np.arange(600), x, range(0, 600, 100))
+        got = {}
+        for r in nearest(df, F.col("id") % 100 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score / size))
+        hits = sum(len({v for v, _ in got[q]} & {v for v, _ in true[q]}) for q in true)
+        assert hits >= 0.9 * 60 and all(s == pytest.approx(np.sqrt(((x[q] - x[v]) ** 2).sum()), rel=1e-9) for q in got for v, s in got[q])
