@@ -18,6 +18,19 @@ def is_loop(tokens: Column) -> Column:
     return (n > 6) & (F.size(F.array_distinct(tokens)) <= F.greatest(F.lit(2), F.floor(n / 3)))
 
 
+def back_to_back(tokens: Column, phrase: Column) -> Column:
+    """How often the phrase (an array of words) stands in tokens one right after the other at most, read from the left."""
+    n = F.size(phrase)
+    start = F.struct(F.lit(0).alias("free"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a: Column, i: Column) -> Column:
+        here = F.slice(tokens, i + 1, n) == phrase
+        run = F.when(i < a["free"], a["run"]).when(here, a["run"] + 1).otherwise(0)
+        return F.struct(F.when((i >= a["free"]) & here, i + n).otherwise(a["free"]).alias("free"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    return F.when((n > 0) & (F.size(tokens) >= n), F.aggregate(F.sequence(F.lit(0), F.size(tokens) - n), start, step, lambda a: a["best"])).otherwise(0)
+
+
 def clock(ms: Column, sep: str = ",") -> Column:
     """hh:mm:ss and milliseconds; null where the time is unknown."""
     h, m, s = F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60

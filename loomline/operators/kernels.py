@@ -8,10 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .seams import longest_subsequence
 
+#: Bytes of phrases that are sent to all tasks at most.
+SMALL_BYTES = 24 << 20
+
 
 def _per_row(rows: DataFrame, run, new: str) -> DataFrame:
     """rows with the columns `new` (DDL) that run gives for each row's record, in Arrow batches."""
@@ -29,25 +32,31 @@ def _per_row(rows: DataFrame, run, new: str) -> DataFrame:
 
 
 def select_marks(frames: DataFrame, key: str, frame: str, score: str, budget: int, least_gap: int) -> DataFrame:
-    """Frames by score (earliest of equals), none nearer than least_gap to one taken; look: half way to the next.
+    """Frames by score (earliest of equals), none nearer than least_gap to one taken, at most `budget` for a key; look: half way to the next, or to the key's last frame.
 
-    Frames without a positive score can't be taken and are left out before the shuffle.
+    Frames without a positive score can't be taken. Those that are least_gap or more apart from all others can't exclude each other: runs of near ones are
+    settled apart, so a long recording is many small groups; the budget is then a rank by score, as frames are taken in that order.
     """
+    w = Window.partitionBy(key).orderBy(frame)
+    good = frames.where(F.col(score) > 0).select(key, frame, score)
+    far = F.coalesce(F.col(frame) - F.lag(frame).over(w) >= least_gap, F.lit(True))
+    good = good.withColumn("__new", far.cast("int")).withColumn("__run", F.sum("__new").over(w)).drop("__new")
 
     def pick(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([score, frame], ascending=[False, True], kind="stable")
         taken: list[int] = []
         for f in part[frame].tolist():
-            if len(taken) == budget:
-                break
-            if all(abs(f - x) >= least_gap for x in taken):
-                taken.append(f)
-        taken.sort()
-        after = taken[1:] + [int(part[frame].max())]
-        return pd.DataFrame({key: part[key].iloc[0], frame: taken, "look": [(a + b) / 2 for a, b in zip(taken, after)]})
+            i = bisect_left(taken, f)
+            if (i == 0 or f - taken[i - 1] >= least_gap) and (i == len(taken) or taken[i] - f >= least_gap):
+                taken.insert(i, f)
+        return part[part[frame].isin(taken)].drop(columns=["__run"])
 
     kind = dict(frames.dtypes)
-    return frames.where(F.col(score) > 0).groupBy(key).applyInPandas(pick, f"{key} {kind[key]}, {frame} {kind[frame]}, look double")
+    picked = good.groupBy(key, "__run").applyInPandas(pick, f"{key} {kind[key]}, {frame} {kind[frame]}, {score} {kind[score]}")
+    best = Window.partitionBy(key).orderBy(F.desc(score), frame)
+    picked = picked.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= budget)
+    ends = frames.groupBy(key).agg(F.max(frame).alias("__end"))
+    return picked.join(ends, key).select(key, frame, ((F.col(frame) + F.coalesce(F.lead(frame).over(w), "__end")) / 2).alias("look"))
 
 
 def keep_changed(frames: DataFrame, key: str, order: str, bits: str, least: int) -> DataFrame:
@@ -136,21 +145,6 @@ def speech_clips(spans: DataFrame, frames: DataFrame, key: str, most: float) ->
     return spans.groupBy(key).cogroup(frames.groupBy(key)).applyInPandas(cut, f"{key} {kind}, start double, end double")
 
 
-def packed_lines(rows: DataFrame, text: str, most: int) -> DataFrame:
-    """lines: the text's words packed into lines of at most `most` characters; a longer word stands alone."""
-
-    def pack(r: dict) -> tuple[list[str]]:
-        lines: list[str] = []
-        for w in (r[text] or "").split():
-            if lines and len(lines[-1]) + 1 + len(w) <= most:
-                lines[-1] += " " + w
-            else:
-                lines.append(w)
-        return (lines,)
-
-    return _per_row(rows, pack, "lines array<string>").drop(text)
-
-
 def with_fnv(rows: DataFrame, text: str) -> DataFrame:
     """words_hash: 32-bit FNV-1a (hexadecimal) of the text with its spaces as one."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
@@ -163,13 +157,16 @@ def with_fnv(rows: DataFrame, text: str) -> DataFrame:
 def find_phrases(docs: DataFrame, phrases: DataFrame, text: str, most: int) -> DataFrame:
     """doc_id, first, size and entry of phrases (phrase, entry) in texts, the longest at each place, left to right.
 
-    Runs of up to `most` words meet the phrases by equality; a document's finds are settled in one row.
+    Places meet phrases by their first word and are compared at once, so only finds are shuffled; a document's finds are settled in one row.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    each = docs.select("doc_id", words.alias("w")).select("doc_id", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("first"))
-    runs = each.select("doc_id", "first", F.explode(F.array(*[F.lit(k) for k in range(1, most + 1)])).alias("size"), "w").where("first + size <= size(w)")
-    runs = runs.select("doc_id", "first", "size", F.array_join(F.slice("w", F.col("first") + 1, F.col("size")), " ").alias("phrase"))
-    found = runs.join(phrases, "phrase").groupBy("doc_id", "first").agg(F.max(F.struct("size", "entry")).alias("m"))
+    each = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0).select("doc_id", F.explode(F.transform("w", lambda _, i: F.struct(i.alias("first"), F.slice("w", i + 1, F.lit(most)).alias("run")))).alias("x"))
+    each = each.select("doc_id", "x.first", "x.run", F.get("x.run", F.lit(0)).alias("head"))
+    listed = phrases.select("phrase", "entry", F.split("phrase", " ").alias("p")).select("phrase", "entry", F.size("p").alias("size"), F.get("p", F.lit(0)).alias("head")).where(F.col("size") <= most)
+    rows, letters = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    listed = F.broadcast(listed) if 2 * letters + 64 * rows <= SMALL_BYTES else listed  # beyond, texts meet phrases by shuffles on the first word
+    met = each.join(listed, "head").where(F.array_join(F.slice("run", 1, F.col("size")), " ") == F.col("phrase"))
+    found = met.groupBy("doc_id", "first").agg(F.max(F.struct("size", "entry")).alias("m"))
     own = F.sort_array(F.collect_list(F.struct("first", F.col("m.size").alias("size"), F.col("m.entry").alias("entry"))))
     start = F.array().cast("array<struct<first:int,size:int,entry:bigint>>")
     free = lambda a, x: (F.size(a) == 0) | (F.element_at(a, -1)["first"] + F.element_at(a, -1)["size"] <= x["first"])

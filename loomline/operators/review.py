@@ -127,3 +127,44 @@ def candidates(words: DataFrame, entries: DataFrame) -> DataFrame:
     both = held.unionByName(near.select("word", "entry", F.lit("edit").alias("how"))).join(e, "entry")
     best = both.groupBy("word").agg(F.min(F.struct("place", "how", "entry")).alias("m"))
     return best.select("word", F.col("m.entry").alias("near"), "m.how")
+
+
+def split_at(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, word, refused: before which word a segment (keys, words, caret) splits, or why it can't.
+
+    The caret is a place in the words joined by spaces. Between two words it splits there; inside a word at its nearer edge (of equals the earlier); at the
+    text's own start or end not at all.
+    """
+    length = F.transform("words", lambda w: F.length(w))
+    each = segments.select(*keys, "caret", F.size("words").alias("n"), F.posexplode_outer(length).alias("k", "size"))
+    before = F.coalesce(F.sum(F.col("size") + 1).over(Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    e = each.withColumn("b", before).withColumn("e", F.col("b") + F.col("size"))
+    gap = (F.col("k") > 0) & (F.col("caret") >= F.col("b") - 1) & (F.col("caret") <= F.col("b"))
+    inside = (F.col("caret") > F.col("b")) & (F.col("caret") < F.col("e"))
+    edge = F.when(F.col("caret") - F.col("b") <= F.col("e") - F.col("caret"), F.col("k")).otherwise(F.col("k") + 1)
+    g = e.groupBy(*keys, "caret", "n").agg(F.min(F.when(gap, F.col("k"))).alias("gap"), F.min(F.when(inside, edge)).alias("inside"))
+    at = F.coalesce("gap", "inside", F.when(F.col("caret") <= 0, 0).otherwise(F.col("n")))
+    free = (F.col("n") > 1) & (at > 0) & (at < F.col("n"))
+    why = F.when(F.coalesce("n", F.lit(0)) <= 0, "no words").when(F.col("n") == 1, "one word").when(~free, "not between two words")
+    return g.select(*keys, F.when(free, at).cast("long").alias("word"), why.alias("refused"))
+
+
+def merge_with_previous(segments: DataFrame, which: DataFrame, key: str) -> DataFrame:
+    """Segments (key, seg, start, end, flags, speaker, edited) with those of `which` (key, seg) joined to the one before them, each to one that isn't joined itself.
+
+    The flags of both stay, the first speaker that is known, and edited if either is. A first segment has none before it and stays.
+    """
+    w = Window.partitionBy(key).orderBy("start", "seg")
+    s = segments.join(which.select(key, "seg", F.lit(True).alias("__joins")), [key, "seg"], "left")
+    s = s.withColumn("__joins", F.coalesce("__joins", F.lit(False)) & F.lag("seg").over(w).isNotNull()).withColumn("__g", F.sum(F.when(F.col("__joins"), 0).otherwise(1)).over(w))
+    g = s.groupBy(key, "__g").agg(
+        F.min_by("seg", "start").alias("seg"), F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", "flags"))), lambda x: x["flags"]))).alias("flags"),
+        F.min_by("speaker", F.when(F.col("speaker").isNotNull(), F.col("start"))).alias("speaker"), F.max("edited").alias("edited"),
+    )
+    return g.drop("__g")
+
+
+def toggle_flag(segments: DataFrame, flag: str, where: Column) -> DataFrame:
+    """segments with the flag taken off where it is and put on where it isn't, of those that where holds for."""
+    toggled = F.when(F.array_contains("flags", flag), F.array_remove("flags", flag)).otherwise(F.array_append("flags", F.lit(flag)))
+    return segments.withColumn("flags", F.when(where, toggled).otherwise(F.col("flags")))

@@ -32,16 +32,6 @@ def j20(spark, sf):
 Q["j20_second_reading"], O["j20_second_reading"] = j20, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 2"
 
 
-def j13(spark, sf):
-    """Confidence of each entry from the last one before it of the same part and quantity; 1 where there is none."""
-    w = Window.partitionBy("l_partkey", "l_quantity").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    c = F.last("l_discount").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(c, F.lit(1.0)).alias("confidence"))
-
-
-Q["j13_confidences"], O["j13_confidences"] = j13, "SELECT l_orderkey, l_linenumber, coalesce(lag(l_discount) OVER (PARTITION BY l_partkey, l_quantity ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice), 1.0::DOUBLE) AS confidence FROM lineitem"
-
-
 def a2(spark, sf):
     l = table(spark, sf, "lineitem")
     return l.groupBy("l_orderkey").agg(F.round(F.exp(F.avg(F.log(F.col("l_discount") + F.lit(1e-10)))), 8).alias("confidence"), F.min("l_discount").alias("least"))
@@ -132,31 +122,36 @@ Q["a30_change_scores"], O["a30_change_scores"] = a30, """WITH v AS (SELECT vec_i
 SELECT vec_id, len(list_filter(list_zip(a, b), lambda x: abs(x[1] - x[2]) > 0.1::FLOAT)) AS score FROM v WHERE b IS NOT NULL"""
 
 
+def _recordings(v):
+    """Frames of a label in recordings of a hundred."""
+    return v.withColumn("rec", F.col("label") * 100_000 + F.floor(F.col("vec_id") / 100))
+
+
 def t1(spark, sf):
-    """Marks: at most eight frames of each label by score, four or more apart, and where to look."""
-    return kernels.select_marks(_changes(spark, sf), "label", "vec_id", "score", budget=8, least_gap=4)
+    """Marks: at most eight frames of each recording by score, four or more apart, and where to look."""
+    return kernels.select_marks(_recordings(_changes(spark, sf)), "rec", "vec_id", "score", budget=8, least_gap=4)
 
 
-Q["t1_select_marks"] = t1
+Q["t1_select_marks"], O["t1_select_marks"] = t1, """WITH RECURSIVE v AS (SELECT vec_id, label, embedding AS a, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+c AS (SELECT label * 100000 + vec_id // 100 AS rec, vec_id, len(list_filter(list_zip(a, b), lambda x: abs(x[1] - x[2]) > 0.1::FLOAT)) AS score FROM v WHERE b IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY score DESC, vec_id) AS k, max(vec_id) OVER (PARTITION BY rec) AS last FROM c),
+p AS (SELECT * FROM o WHERE score > 0),
+r AS (SELECT rec, k, [vec_id] AS taken FROM p WHERE k = 1 UNION ALL SELECT r.rec, p.k, CASE WHEN len(taken) < 8 AND coalesce(list_min([abs(x - p.vec_id) for x in taken]), 9) >= 4 THEN list_append(taken, p.vec_id) ELSE taken END FROM r JOIN p ON p.rec = r.rec AND p.k = r.k + 1),
+e AS (SELECT rec, unnest(taken) AS vec_id FROM (SELECT rec, arg_max(taken, k) AS taken FROM r GROUP BY 1))
+SELECT e.rec, e.vec_id, (e.vec_id + coalesce(lead(e.vec_id) OVER (PARTITION BY e.rec ORDER BY e.vec_id), m.last)) / 2 AS look FROM e JOIN (SELECT rec, max(vec_id) AS last FROM c GROUP BY 1) m USING (rec)"""
 
 
 def t3(spark, sf):
-    """Frames whose sign bits differ in over 20 places from the last kept frame."""
+    """Frames of each recording whose sign bits differ in over 20 places from the last kept frame. What is kept hangs on the frame kept before: a recording is one task's."""
     bits = F.aggregate("embedding", F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > 0, 1).otherwise(0).cast("long")))
-    v = table(spark, sf, "embeddings").select("label", "vec_id", bits.alias("hash"))
-    return kernels.keep_changed(v, "label", "vec_id", "hash", 20)
-
-
-Q["t3_keep_count"] = t3
-
-
-def k15(spark, sf):
-    """Cue lines of at most 84 characters, cut at words."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return kernels.packed_lines(d, "text", 84)
+    v = _recordings(table(spark, sf, "embeddings").select("label", "vec_id", bits.alias("hash"))).select("rec", "vec_id", "hash")
+    return kernels.keep_changed(v, "rec", "vec_id", "hash", 20).select("rec", "vec_id")
 
 
-Q["k15_split_cue"] = k15
+Q["t3_keep_count"], O["t3_keep_count"] = t3, """WITH RECURSIVE v AS (SELECT label * 100000 + vec_id // 100 AS rec, vec_id, [x > 0 for x in embedding] AS b FROM embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY vec_id) AS k FROM v),
+r AS (SELECT rec, k, vec_id, b AS last, true AS kept FROM o WHERE k = 1
+ UNION ALL SELECT o.rec, o.k, o.vec_id, CASE WHEN d > 20 THEN b ELSE last END, d > 20 FROM (SELECT o.*, r.last, list_sum([CASE WHEN o.b[i] <> r.last[i] THEN 1 ELSE 0 END for i in range(1, 65)]) AS d FROM r JOIN o ON o.rec = r.rec AND o.k = r.k + 1) o)
+SELECT rec, vec_id FROM r WHERE kept"""
 
 
 def f13(spark, sf):
@@ -176,4 +171,12 @@ def j12(spark, sf):
     return kernels.find_phrases(table(spark, sf, "documents").select("doc_id", "text"), words, "text", 3)
 
 
-Q["j12_find_phrases"] = j12
+Q["j12_find_phrases"], O["j12_find_phrases"] = j12, r"""WITH RECURSIVE b AS (SELECT item_id, [x for x in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if x <> ''] AS w FROM benchmark),
+ph AS (SELECT phrase, min(item_id) AS entry, len(string_split(phrase, ' ')) AS n FROM (SELECT item_id, array_to_string(w[1:k], ' ') AS phrase FROM b, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY phrase),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS first, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+m AS (SELECT doc_id, first, max(k) AS n, arg_max(entry, k) AS entry FROM g JOIN ph ON g.phrase = ph.phrase AND g.k = ph.n GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS r FROM m),
+t AS (SELECT doc_id, r, first, n, entry, first + n AS free, true AS taken FROM o WHERE r = 1
+ UNION ALL SELECT o.doc_id, o.r, o.first, o.n, o.entry, CASE WHEN o.first >= free THEN o.first + o.n ELSE free END, o.first >= free FROM t JOIN o ON o.doc_id = t.doc_id AND o.r = t.r + 1)
+SELECT doc_id, first, CAST(n AS INTEGER) AS size, entry FROM t WHERE taken"""

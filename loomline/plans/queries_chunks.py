@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
-from ..operators import kernels
+from ..operators import kernels, review as R
 from ..sources import captions
 from .queries_text import table
 from .queries_time import EV, points
@@ -96,13 +96,58 @@ Q["l2_instability"], O["l2_instability"] = l2, EV + ", c AS (SELECT *, CASE WHEN
 
 
 def f20(spark, sf):
-    """Turns split at the space nearest to half their letters (the earlier of two); both halves."""
-    c = table(spark, sf, "conversations").withColumn("h", F.floor(F.length("text") / 2))
-    at = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring("text", i, F.lit(1)) == " ")
-    best = F.array_min(F.transform(at, lambda i: F.struct(F.abs(i - F.col("h")).alias("d"), i.alias("i"))))["i"]
-    s = c.where(F.length("text") > 0).withColumn("at", best)
-    return s.where("at IS NOT NULL").select("conv_id", "turn", F.substring("text", F.lit(1), F.col("at") - 1).alias("a"), F.substring("text", F.col("at") + 1, F.length("text")).alias("b"))
+    """Turns split at a caret (a place in the text, some outside it): before which word and when, or why not."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words"))
+    caret = (F.col("conv_id") * 37 + F.col("turn") * 101) % 400
+    return R.split_at(c.withColumn("caret", caret), ["conv_id", "turn"])
+
+
+Q["f20_split_at"], O["f20_split_at"] = f20, r"""WITH c AS (SELECT conv_id, turn, (conv_id * 37 + turn * 101) % 400 AS caret, [x for x in string_split_regex(text, '\s+') if x <> ''] AS w FROM conversations),
+i AS (SELECT conv_id, turn, caret, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS k FROM c),
+p AS (SELECT *, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY conv_id, turn ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM i),
+q AS (SELECT conv_id, turn, caret, any_value(n) AS n, min(k) FILTER (k > 0 AND caret = b - 1 OR k > 0 AND caret = b) AS gap, min(CASE WHEN caret - b <= b + length(w) - caret THEN k ELSE k + 1 END) FILTER (caret > b AND caret < b + length(w)) AS inside FROM p GROUP BY 1, 2, 3),
+r AS (SELECT *, coalesce(gap, inside, CASE WHEN caret <= 0 THEN 0 ELSE n END) AS wd FROM q)
+SELECT c.conv_id, c.turn, CASE WHEN n > 1 AND wd > 0 AND wd < n THEN wd END AS word, CASE WHEN coalesce(n, 0) = 0 THEN 'no words' WHEN n = 1 THEN 'one word' WHEN wd <= 0 OR wd >= n THEN 'not between two words' END AS refused FROM c LEFT JOIN r USING (conv_id, turn)"""
+
+
+def f20m(spark, sf):
+    """Each second segment of a conversation (a turn) joined to the one before it: flags of both, the first speaker that is known, edited if either is."""
+    k = F.col("conv_id") + F.col("turn")
+    s = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seg"), (F.col("turn") * 10).alias("start"), (F.col("turn") * 10 + 9).alias("end"), F.when(k % 3 == 0, F.array(F.lit("noise"), F.lit("names"))).when(k % 3 == 1, F.array(F.lit("names"))).otherwise(F.array().cast("array<string>")).alias("flags"),
+                                                     F.when(k % 4 != 0, F.col("role")).alias("speaker"), (k % 5 == 0).alias("edited"))
+    m = R.merge_with_previous(s, s.where("seg % 2 = 1").select("conv_id", "seg"), "conv_id")
+    return R.toggle_flag(m, "names", F.col("seg") % 3 == 0).select("conv_id", "seg", "start", "end", F.array_join(F.array_sort("flags"), ",").alias("flags"), "speaker", "edited")
+
+
+Q["f20_merge"], O["f20_merge"] = f20m, """WITH s AS (SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN ['noise', 'names'] WHEN 1 THEN ['names'] ELSE []::VARCHAR[] END AS f, CASE WHEN (conv_id + turn) % 4 <> 0 THEN role END AS sp, (conv_id + turn) % 5 = 0 AS ed FROM conversations),
+m AS (SELECT a.conv_id, a.turn AS seg, a.turn * 10 AS start, coalesce(b.turn, a.turn) * 10 + 9 AS "end", list_distinct(list_concat(a.f, coalesce(b.f, []))) AS f, coalesce(a.sp, b.sp) AS sp, a.ed OR coalesce(b.ed, false) AS ed FROM s a LEFT JOIN s b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 2 = 0),
+t AS (SELECT *, CASE WHEN seg % 3 = 0 THEN CASE WHEN list_contains(f, 'names') THEN [x for x in f if x <> 'names'] ELSE list_append(f, 'names') END ELSE f END AS g FROM m)
+SELECT conv_id, seg, start, "end", array_to_string(list_sort(g), ',') AS flags, sp AS speaker, ed AS edited FROM t"""
+
+
+def echoed(spark, sf):
+    """(conv_id, t) of each word of a conversation that begins an echo, words being half a second apart."""
+    c = table(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", X.words(F.lower("text")).alias("w")))).alias("a")).select("conv_id", F.flatten(F.transform("a", lambda x: x["w"])).alias("words"))
+    timed = g.where(F.size("words") >= 6).withColumns({"times": F.transform("words", lambda _, i: i * 0.5), "n": F.size("words")})
+    return timed.select("conv_id", "n"), kernels.echoes(timed, "words", "times", 4.0).select("conv_id", F.explode("echoes").alias("e")).select("conv_id", (F.col("e.place") * 500).alias("t"))
+
+
+def a25(spark, sf):
+    """Echoes of each conversation at the seams of its chunks (their overlap and two seconds around it) and elsewhere, and how many an hour."""
+    step, over, pad, word = 52_500, 7_500, 2_000, 500
+    sizes, e = echoed(spark, sf)
+    place = F.col("t") % step
+    first = F.col("t") >= step - pad
+    at = first & ((place >= step - pad) | (place <= over + pad))
+    counts = e.groupBy("conv_id").agg(F.count(F.when(at, 1)).alias("at_seams"), F.count(F.when(~at, 1)).alias("elsewhere"))
+    whole = F.col("n") * word
+    seams_ms = F.greatest(F.floor((whole - 1) / step), F.lit(0)) * (over + 2 * pad)
+    j = sizes.join(counts, "conv_id", "left").na.fill(0, ["at_seams", "elsewhere"])
+    rate = lambda n, ms: F.when(ms > 0, F.round(F.col(n) * 3_600_000 / ms, 6))
+    return j.select("conv_id", "at_seams", "elsewhere", rate("at_seams", seams_ms).alias("seams_an_hour"), rate("elsewhere", whole - seams_ms).alias("elsewhere_an_hour"))
+
+
+Q["a25_echo_rate"] = a25
 
 
-Q["f20_split_at"], O["f20_split_at"] = f20, """WITH c AS (SELECT conv_id, turn, text, list_filter(range(1, length(text) + 1), lambda i: text[i] = ' ') AS p, length(text) // 2 AS h FROM conversations),
-b AS (SELECT *, list_min(list_transform(p, lambda i: abs(i - h) * 1000000 + i)) % 1000000 AS i FROM c WHERE len(p) > 0) SELECT conv_id, turn, left(text, i - 1) AS a, substr(text, i + 1) AS b FROM b"""

@@ -171,17 +171,6 @@ Q["k20_gain_at"], O["k20_gain_at"] = k20, EV + """, m AS (SELECT user_id, t AS a
 SELECT event_id, round(coalesce(product(CASE WHEN a IS NOT NULL THEN 0.5 - 0.5 * cos(3.141592653589793::DOUBLE * least(greatest(a - t, t - b, 0) / 3600000, 1)) END), 1), 6) AS gain FROM ev LEFT JOIN m ON m.user_id = ev.user_id AND t BETWEEN a - 3600000 AND b + 3600000 GROUP BY 1"""
 
 
-def k17(spark, sf):
-    """Turns and the gaps before them, from the furthest end so far."""
-    w = Window.partitionBy("user_id").orderBy("start", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    t = spans(spark, sf).withColumn("reached", F.max("end").over(w))
-    gap = t.where("start > reached").select("user_id", F.col("reached").alias("start_ms"), F.col("start").alias("end_ms"), F.lit("gap").alias("kind"))
-    return gap.unionByName(t.select("user_id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), F.lit("text").alias("kind")))
-
-
-Q["k17_from_transcript"], O["k17_from_transcript"] = k17, ALL + ", r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM turns) SELECT user_id, r AS start_ms, s AS end_ms, 'gap' AS kind FROM r WHERE s > r UNION ALL SELECT user_id, s, e, 'text' FROM turns"
-
-
 def s14(spark, sf):
     """Texts as numbered base64 cues of 600 characters, and put together again."""
     d = table(spark, sf, "documents").select("doc_id", "text", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("b"))

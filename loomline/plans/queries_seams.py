@@ -249,14 +249,21 @@ SELECT event_id, CASE WHEN coalesce(abs(s - b) <= 18000000 AND e - s > l, false)
 
 
 def w15(spark, sf):
-    """Longest run of one word in each line."""
-    t = tokens(spark, sf).select("doc_id", "pos", F.posexplode("words").alias("k", "w"))
-    g = t.withColumn("g", F.col("k") - F.row_number().over(Window.partitionBy("doc_id", "pos", "w").orderBy("k")))
-    return g.groupBy("doc_id", "pos", "w", "g").count().groupBy("doc_id", "pos").agg(F.max("count").alias("longest"))
-
-
-Q["w15_repeats"], O["w15_repeats"] = w15, TOK + """, k AS (SELECT doc_id, pos, i AS k, words[i] AS w FROM w, unnest(range(1, len(words) + 1)) AS u(i)), g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, pos, w ORDER BY k) AS g FROM k),
-c AS (SELECT doc_id, pos, count(*) AS n FROM g GROUP BY doc_id, pos, w, g) SELECT doc_id, pos, max(n) AS longest FROM c GROUP BY 1, 2"""
+    """Of each line: its longest run of one word, and how often its first two words are said back to back at most."""
+    t = tokens(spark, sf).where(F.size("words") > 0)
+    each = t.select("doc_id", "pos", F.posexplode("words").alias("k", "w"))
+    g = each.withColumn("g", F.col("k") - F.row_number().over(Window.partitionBy("doc_id", "pos", "w").orderBy("k")))
+    longest = g.groupBy("doc_id", "pos", "w", "g").count().groupBy("doc_id", "pos").agg(F.max("count").alias("longest"))
+    phrase = X.back_to_back(F.col("words"), F.slice("words", 1, 2))
+    return longest.join(t.select("doc_id", "pos", phrase.cast("long").alias("phrase")), ["doc_id", "pos"])
+
+
+Q["w15_repeats"], O["w15_repeats"] = w15, TOK.replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT doc_id, pos, i AS k, words[i] AS w FROM w, unnest(range(1, len(words) + 1)) AS u(i)), g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, pos, w ORDER BY k) AS g FROM k),
+c AS (SELECT doc_id, pos, count(*) AS n FROM g GROUP BY doc_id, pos, w, g), l AS (SELECT doc_id, pos, max(n) AS longest FROM c GROUP BY 1, 2),
+o AS (SELECT doc_id, pos, words, words[1:2] AS p, least(len(words), 2) AS n FROM w WHERE len(words) > 0),
+r AS (SELECT doc_id, pos, 1::BIGINT AS i, 0::BIGINT AS run, 0::BIGINT AS best FROM o
+ UNION ALL SELECT r.doc_id, r.pos, CASE WHEN words[i:i + n - 1] = p THEN i + n ELSE i + 1 END, CASE WHEN words[i:i + n - 1] = p THEN run + 1 ELSE 0 END, CASE WHEN words[i:i + n - 1] = p THEN greatest(best, run + 1) ELSE best END FROM r JOIN o USING (doc_id, pos) WHERE i + n - 1 <= len(words))
+SELECT l.doc_id, l.pos, longest, (SELECT max(best) FROM r WHERE r.doc_id = l.doc_id AND r.pos = l.pos) AS phrase FROM l"""
 
 
 def t5(spark, sf):

@@ -84,28 +84,6 @@ def a22(spark, sf):
 Q["a22_random_baseline"], O["a22_random_baseline"] = a22, "WITH d AS (SELECT o_orderkey % 1000 AS user_id, avg(o_totalprice / 1000) AS draw FROM orders GROUP BY 1), p AS (SELECT user_id, avg(value) AS own FROM events GROUP BY 1) SELECT user_id, round(abs(own - draw), 6) AS distance FROM p JOIN d USING (user_id)"
 
 
-def a25(spark, sf):
-    """Errors within an hour of a turn's start (a seam), elsewhere, and of the former how many an hour."""
-    e = points(spark, sf).where("event_type = 'error'")
-    seams = turns(spark, sf).select("user_id", (F.col("start") - 60 * MINUTE).alias("start"), (F.col("start") + 60 * MINUTE).alias("end"))
-    merged = I.merged_spans(seams, "user_id")
-    at = I.points_in_spans(e, merged, "user_id", "t", 180 * MINUTE, "left_semi").groupBy("user_id").agg(F.count(F.lit(1)).alias("at_seams"))
-    all_ = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("errors"))
-    time = merged.groupBy("user_id").agg(F.sum(F.col("end") - F.col("start")).alias("ms"))
-    j = all_.join(time, "user_id", "left").join(at, "user_id", "left")
-    n = F.coalesce("at_seams", F.lit(0))
-    return j.select("user_id", n.alias("at_seams"), (F.col("errors") - n).alias("elsewhere"), F.round(n * 3600000 / F.col("ms"), 6).alias("an_hour"))
-
-
-Q["a25_echo_rate"], O["a25_echo_rate"] = a25, EV + """, sm AS (SELECT user_id, s - 3600000 AS s, s + 3600000 AS e FROM turns),
-m0 AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sm),
-m1 AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS g FROM m0),
-m AS (SELECT user_id, min(s) AS s, max(e) AS e FROM m1 GROUP BY user_id, g),
-x AS (SELECT ev.user_id, count(*) AS errors, count(CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.user_id = ev.user_id AND ev.t >= m.s AND ev.t < m.e) THEN 1 END) AS n FROM ev WHERE event_type = 'error' GROUP BY 1),
-h AS (SELECT user_id, sum(e - s) AS ms FROM m GROUP BY 1)
-SELECT user_id, n AS at_seams, errors - n AS elsewhere, round(n * 3600000 / ms, 6) AS an_hour FROM x LEFT JOIN h USING (user_id)"""
-
-
 def a27(spark, sf):
     """Of each conversation's words of its last turn, how many stand in the text of the turns before it."""
     c = table(spark, sf, "conversations")
@@ -171,17 +149,6 @@ SELECT u.event_id, round(10 * log10(CASE WHEN o.p < 1e-18 THEN 1e-18 ELSE o.p EN
  coalesce((SELECT max(least(u.s - q.s, q.e - u.s)) FROM q WHERE q.user_id = u.user_id AND u.s >= q.s AND u.s <= q.e), 0) AS depth FROM turns u LEFT JOIN o USING (event_id) LEFT JOIN k USING (event_id)"""
 
 
-def a33(spark, sf):
-    """Documents dealt into pairs of their language by a hash of their number: half of equal source, half of any."""
-    w = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    d = table(spark, sf, "documents").withColumns({"r": F.row_number().over(w) - 1})
-    pair = d.groupBy("lang", F.floor(F.col("r") / 2).alias("pair")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"), (F.min("source") == F.max("source")).alias("same"))
-    return pair.where("n = 2").select("lang", "pair", "a", "b", "same")
-
-
-Q["a33_stratified_pairs"], O["a33_stratified_pairs"] = a33, "WITH d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents) SELECT lang, r // 2 AS pair, min(doc_id) AS a, max(doc_id) AS b, min(source) = max(source) AS same FROM d GROUP BY lang, r // 2 HAVING count(*) = 2"
-
-
 def a35(spark, sf):
     """Each user's time from first to last point against the time its turns cover, and points in no turn."""
     spans = I.merged_spans(turns(spark, sf), "user_id")
@@ -200,15 +167,6 @@ g AS (SELECT user_id, count(*) AS n FROM ev WHERE NOT EXISTS (SELECT 1 FROM m WH
 SELECT user_id, round(duration / wall, 6) AS speed, coalesce(n, 0) AS gap_words FROM d JOIN w USING (user_id) LEFT JOIN g USING (user_id)"""
 
 
-def s6(spark, sf):
-    """Properties parsed by a schema; rows that don't parse or lack the key are set apart, not dropped."""
-    e = table(spark, sf, "events").select("event_id", F.from_json("props", "k long").alias("p"))
-    return e.select("event_id", "p.k", F.col("p.k").isNotNull().alias("valid"))
-
-
-Q["s6_read_json"], O["s6_read_json"] = s6, "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k, (props ->> '$.k') IS NOT NULL AS valid FROM events"
-
-
 def s7(spark, sf):
     """Turns in order with their label's place among the sorted distinct labels; assistants stay unnamed."""
     c = table(spark, sf, "conversations").withColumn("label", F.when(F.col("role") != "assistant", F.col("role")))

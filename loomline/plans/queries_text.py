@@ -59,18 +59,6 @@ h AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM g)
 SELECT doc_id, min(pos) AS first, max(pos) AS last, count(*) AS n FROM h GROUP BY doc_id, g HAVING count(*) >= 5 AND count(*) * len(any_value(words)) > 6 AND len(list_distinct(any_value(words))) <= greatest(2, count(*) * len(any_value(words)) // 3)"""
 
 
-def k9(spark, sf):
-    """Documents without their looping lines: kept and dropped words."""
-    loop = X.is_loop(F.col("words"))
-    n = F.size("words")
-    return tokens(spark, sf).groupBy("doc_id").agg(
-        F.sum(F.when(loop, 0).otherwise(n)).alias("kept"), F.sum(F.when(loop, n).otherwise(0)).alias("unclear"), F.count(F.when(loop, 1)).alias("n_spans")
-    )
-
-
-Q["k9_without_loops"], O["k9_without_loops"] = k9, TOK + ", l AS (SELECT doc_id, len(words) AS n, len(words) > 6 AND len(list_distinct(words)) <= greatest(2, len(words) // 3) AS f FROM w) SELECT doc_id, CAST(sum(CASE WHEN f THEN 0 ELSE n END) AS BIGINT) AS kept, CAST(sum(CASE WHEN f THEN n ELSE 0 END) AS BIGINT) AS unclear, count(CASE WHEN f THEN 1 END) AS n_spans FROM l GROUP BY 1"
-
-
 def p3(spark, sf):
     """Characters of a document before each line."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -300,15 +300,6 @@ def k1(spark, sf):
 Q["k1_chunk_starts"], O["k1_chunk_starts"] = k1, EV + "SELECT user_id, unnest(range(0, total, 6300)) AS chunk_start FROM (SELECT user_id, (max(t) - min(t)) // 1000 AS total FROM ev GROUP BY 1) WHERE total > 0"
 
 
-def k14(spark, sf):
-    """Cues end no later than the next one starts."""
-    w = Window.partitionBy("user_id").orderBy("start", "event_id")
-    return spans(spark, sf).select("event_id", F.least("end", F.coalesce(F.lead("start").over(w), "end")).alias("cue_end"))
-
-
-Q["k14_cues"], O["k14_cues"] = k14, ALL + "SELECT event_id, least(e, coalesce(lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id), e)) AS cue_end FROM turns"
-
-
 def t6(spark, sf):
     """The next low value after each purchase, else the user's first."""
     p = points(spark, sf)

@@ -42,7 +42,6 @@ def test_kernels(spark):
     texts = spark.createDataFrame([(1, "The big red dog and red cat"), (2, None)], "doc_id long, t string")
     phrases = spark.createDataFrame([("red", 1), ("big red dog", 2)], "phrase string, entry long")
     assert [(r.first, r.size, r.entry) for r in K.find_phrases(texts, phrases, "t", 3).orderBy("first").collect()] == [(1, 3, 2), (5, 1, 1)]
-    assert K.packed_lines(texts, "t", 10).orderBy("doc_id").first().lines == ["The big", "red dog", "and red", "cat"]
     assert K.with_fnv(texts, "t").where("doc_id = 2").first().words_hash == "811c9dc5"
 
 
