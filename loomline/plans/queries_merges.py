@@ -158,3 +158,29 @@ d AS (SELECT *, [x for x in [CASE WHEN u % 2 = 1 THEN 'another engine (beam)' EN
   CASE WHEN u % 3 = 0 AND model <> 'x' THEN 'another model (model_id)' END] if x IS NOT NULL] AS odd FROM p),
 r AS (SELECT *, CASE WHEN u % 11 = 0 THEN 'nothing banked' WHEN u % 7 = 0 THEN 'written in another format (schema)' WHEN len(odd) > 0 THEN array_to_string(odd, '; ') END AS reason FROM d)
 SELECT u AS user_id, CASE WHEN reason IS NULL THEN 'text of ' || n END AS result, reason FROM r"""
+
+
+def s15(spark, sf):
+    """Two tables written as one version, then a version that fails between them, then one that succeeds: what readers see of each."""
+    from ..store import Changed, TableSet, scratch
+
+    store = TableSet(spark, scratch(spark))
+    p = points(spark, sf)
+    by = lambda c, rows: rows.groupBy(F.col(c).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    first = store.write({"types": by("event_type", p), "users": by("user_id", p)}, 0)
+    broken = by("user_id", p).withColumn("n", F.when(F.col("k") == F.col("k"), F.raise_error(F.lit("a writer stops here")).cast("long")))
+    try:
+        store.write({"types": by("event_type", p.limit(1)), "users": broken}, first)
+    except Changed:
+        raise
+    except Exception as stopped:  # the failure that the query is about
+        if "a writer stops here" not in str(stopped):
+            raise
+    half = p.where("event_id % 2 = 0")
+    second = store.write({"types": by("event_type", half)}, first)
+    seen = [store.read(name, v).select(F.lit(v).alias("version"), F.lit(name).alias("name"), "k", "n") for v in (first, second) for name in ("types", "users")]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2]).unionByName(seen[3])
+
+
+Q["s15_atomic_tables"], O["s15_atomic_tables"] = s15, """SELECT 1 AS version, 'types' AS name, event_type AS k, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT v, 'users', CAST(user_id AS VARCHAR), count(*) FROM events, (SELECT unnest([1, 2]) AS v) GROUP BY v, user_id
+UNION ALL SELECT 2, 'types', event_type, count(*) FROM events WHERE event_id % 2 = 0 GROUP BY event_type"""
