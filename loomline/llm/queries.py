@@ -20,4 +20,4 @@ QUERIES = {
     "op13_chat_format": chat_format.query,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op10_decontamination": decontamination.SQL, "op12_source_audit": source_audit.SQL, "op13_chat_format": chat_format.SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op3_url_filter": url_filter.SQL, "op10_decontamination": decontamination.SQL, "op12_source_audit": source_audit.SQL, "op13_chat_format": chat_format.SQL}

@@ -230,3 +230,14 @@ def remove_repeated_windows(docs: DataFrame, width: int = 35, text_col: str = "t
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeated_windows(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT k, p, array_to_string(w[p:p + 34], ' ') AS line FROM (SELECT k, w, unnest(range(1, len(w) - 33)) AS p FROM d)),
+r AS (SELECT k, p FROM s WHERE line IN (SELECT line FROM s GROUP BY line HAVING count(*) > 1)),
+c AS (SELECT DISTINCT k, unnest(range(p, p + 35)) AS p FROM r),
+e AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+g AS (SELECT e.k, string_agg(word, ' ' ORDER BY e.p) FILTER (c.p IS NULL) AS kept, count(c.p) AS n FROM e LEFT JOIN c ON c.k = e.k AND c.p = e.p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (k)
+"""
