@@ -81,3 +81,33 @@ def coarser(tiles: Column, rows: int, columns: int, factor: int) -> Column:
     blocks = [places(i, j) for i in range(rows // factor) for j in range(columns // factor)]
     means = [sum((F.get(tiles, k).cast("double") for k in block[1:]), F.get(tiles, block[0]).cast("double")) / len(block) for block in blocks]
     return F.array(*[F.floor(m) for m in means])
+
+
+def share_of(odd: Column) -> Column:
+    """Share of true values in an array<boolean>."""
+    return F.size(F.filter(odd, lambda x: x)) / F.size(odd)
+
+
+def instability(frames: DataFrame, key: str, order: str, tiles: str, delta: float) -> DataFrame:
+    """key, order, instability: how much of each frame changes to it and from it, on average; a recording's first and last frame take their neighbour's, and of under three frames it is null."""
+    w = Window.partitionBy(key).orderBy(order)
+    differs = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), share_of(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y) > delta)))
+    d = frames.select(key, order, differs(F.lag(tiles).over(w), F.col(tiles)).alias("back")).withColumn("own", (F.col("back") + F.lead("back").over(w)) / 2)
+    return d.select(key, order, F.coalesce("own", F.lead("own").over(w), F.lag("own").over(w)).alias("instability"))
+
+
+def coverage(frames: DataFrame, segments: DataFrame, key: str, order: str, tiles: str, delta: float) -> DataFrame:
+    """key, coverage: over all frames but a recording's first and last the average share of tiles that are as in the frame that stands for their segment.
+
+    segments: (key, boundary, sample), places in order. A frame's segment is the last that begins by then, or the first; boundary and sample are told apart, as
+    a segment may be shown by a frame in its middle.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    f = frames.select(key, order, F.col(tiles).alias("own")).withColumns({"last": F.max(order).over(Window.partitionBy(key)), "first": F.min(order).over(Window.partitionBy(key))})
+    first = segments.groupBy(key).agg(F.min_by("sample", "boundary").alias("opening"))
+    both = f.select(key, F.col(order).alias("at"), "own", "first", "last", F.lit(1).alias("ask")).unionByName(segments.select(key, F.col("boundary").alias("at"), "sample", F.lit(0).alias("ask")), allowMissingColumns=True)
+    told = both.withColumn("sample", F.last("sample", ignorenulls=True).over(Window.partitionBy(key).orderBy("at", "ask"))).where("ask = 1 AND at > first AND at < last")
+    told = told.join(first, key).withColumn("sample", F.least(F.coalesce("sample", "opening"), "last"))
+    shown = frames.select(key, F.col(order).alias("sample"), F.col(tiles).alias("shown"))
+    same = share_of(F.zip_with("own", "shown", lambda a, b: F.abs(a.cast("double") - b) <= delta))
+    return told.join(shown, [key, "sample"]).groupBy(key).agg(F.avg(same).alias("coverage"))

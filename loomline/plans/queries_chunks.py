@@ -85,16 +85,6 @@ def s9(spark, sf):
 Q["s9_load_words"], O["s9_load_words"] = s9, "WITH p AS (SELECT p_partkey, lower(p_name) AS s, len(string_split(p_name, ' ')) AS n FROM part) SELECT spelling, min(p_partkey) AS entry FROM (SELECT p_partkey, unnest(list_distinct([s, replace(s, ' ', '')])) AS spelling FROM p WHERE n <= 3) GROUP BY 1 UNION ALL SELECT DISTINCT s, NULL FROM p WHERE n > 3"
 
 
-def l2(spark, sf):
-    """Instability of a user's points: share of changed types among the three before and after each; same: how many are like it."""
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    p = points(spark, sf).withColumn("changed", F.when(F.lag("event_type").over(w) != F.col("event_type"), 1.0).otherwise(0.0))
-    return p.select("event_id", F.round(F.avg("changed").over(w.rowsBetween(-3, 3)), 6).alias("instability"))
-
-
-Q["l2_instability"], O["l2_instability"] = l2, EV + ", c AS (SELECT *, CASE WHEN lag(event_type) OVER w <> event_type THEN 1.0 ELSE 0.0 END AS c FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT event_id, round(avg(c) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS instability FROM c"
-
-
 def f20(spark, sf):
     """Turns split at a caret (a place in the text, some outside it): before which word and when, or why not."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words"))

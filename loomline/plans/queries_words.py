@@ -299,3 +299,33 @@ def a20l(spark, sf):
 Q["a20_lopsided"], O["a20_lopsided"] = a20l, O["m20_candidates"].replace("SELECT word, entry AS near, CASE", ", near AS (SELECT word, entry AS near, CASE", 1) + """),
 lb AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1), x AS (SELECT DISTINCT doc_id, toxic, lower(unnest(words)) AS word FROM w JOIN lb USING (doc_id))
 SELECT word, count(*) AS docs, CAST(sum(toxic) AS BIGINT) AS toxic_docs FROM x WHERE word NOT IN (SELECT word FROM near) AND word NOT IN (SELECT entry FROM k) GROUP BY 1 HAVING count(*) >= 3 AND sum(toxic) * 10 >= count(*) * 9"""
+
+
+def placed_tiles(spark, sf):
+    """The tiles with their frames' places in the recording, from 0."""
+    place = F.row_number().over(Window.partitionBy("rec").orderBy("frame")) - 1
+    return tiles(spark, sf).withColumn("place", place.cast("long"))
+
+
+def l2(spark, sf):
+    """How much each frame differs from the frames before and after it."""
+    return grids.instability(placed_tiles(spark, sf), "rec", "place", "tiles", 40).select("rec", "place", F.round("instability", 6).alias("instability"))
+
+
+PLACED = "WITH f AS (SELECT label AS rec, [floor(c::DOUBLE * 256) for c in embedding] AS t, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM embeddings),"
+Q["l2_instability"], O["l2_instability"] = l2, PLACED + """ p AS (SELECT rec, place, t, lag(t) OVER w AS b FROM f WINDOW w AS (PARTITION BY rec ORDER BY place)),
+c AS (SELECT rec, place, list_sum([CASE WHEN abs(t[k] - b[k]) > 40 THEN 1.0::DOUBLE ELSE 0 END for k in range(1, 65)]) / 64 AS back FROM p WHERE b IS NOT NULL),
+o AS (SELECT f.rec, f.place, (c.back + lead(c.back) OVER (PARTITION BY f.rec ORDER BY f.place)) / 2 AS own FROM f LEFT JOIN c ON c.rec = f.rec AND c.place = f.place)
+SELECT rec, place, round(coalesce(own, lead(own) OVER w, lag(own) OVER w), 6) AS instability FROM o WINDOW w AS (PARTITION BY rec ORDER BY place)"""
+
+
+def l2c(spark, sf):
+    """How well the ninth frame of each seventeen stands for all of them."""
+    f = placed_tiles(spark, sf)
+    s = f.where("place % 17 = 0").select("rec", F.col("place").alias("boundary"), (F.col("place") + 8).alias("sample"))
+    return grids.coverage(f, s, "rec", "place", "tiles", 40).select("rec", F.round("coverage", 6).alias("coverage"))
+
+
+Q["l2_coverage"], O["l2_coverage"] = l2c, PLACED + """ n AS (SELECT rec, max(place) AS last FROM f GROUP BY 1),
+a AS (SELECT f.rec, f.place, f.t, s.t AS u FROM f JOIN n USING (rec) JOIN f s ON s.rec = f.rec AND s.place = least(f.place - f.place % 17 + 8, n.last) WHERE f.place > 0 AND f.place < n.last)
+SELECT rec, round(avg(list_sum([CASE WHEN abs(t[k] - u[k]) <= 40 THEN 1.0::DOUBLE ELSE 0 END for k in range(1, 65)]) / 64), 6) AS coverage FROM a GROUP BY 1"""
