@@ -29,8 +29,10 @@ def let_go() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one, which only a local session can use."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return shared or held("shared-folder", lambda: tempfile.mkdtemp(prefix="loomline-shared-"))
 
 

@@ -12,7 +12,7 @@ document met comes back to its text as one row, and is verified there. Words are
 word that very many windows hold is salted.
 
 Cases: null texts have no words; items without words or with a null id take no part; an item that
-stands twice in the benchmark counts once; equal documents are judged each; a benchmark without
+stands twice in the benchmark counts once; equal documents are judged each; a text of any length is taken whole, its words as one array; a benchmark without
 rows hits nothing; an empty table gives an empty table; columns named like results are replaced.
 """
 

@@ -4,9 +4,12 @@ The automaton over all pieces reads a text once; at each position the pieces tha
 the output links, relax the best score so far (Viterbi). Pre-tokens are segmented apart, as no
 piece crosses a space, and repeated ones are looked up.
 
+What comes out is the best sum of the pieces' scores. For a unigram model that is the library's encoding; for a BPE model, whose
+scores are the ranks of merges, the library merges instead, and its pieces are often others. Either decodes to the text.
+
 Cases: null and empty texts have no ids and decode to the empty text; a character without a piece
 is written as its UTF-8 bytes; a literal mark U+2581 counts as a space and decodes to one; repeated
-rows are encoded each; an empty table gives an empty table; columns named like results are replaced.
+rows are encoded each; a text of any length is taken whole; an empty table gives an empty table; columns named like results are replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ at most four bits if and only if some value differs from each in at most two), i
 
 Cases: null and empty texts have fingerprint zero and link with each other and with what is near
 to zero; texts of fewer words than a shingle are one shingle; equal rows share a component; null
-ids never name a component unless all its ids are null; an empty table gives an empty table.
+ids never name a component unless all its ids are null; a text of any length is taken whole; other columns than the id and the text don't come out, so none can
+clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations

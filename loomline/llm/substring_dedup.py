@@ -10,7 +10,8 @@ words. Nothing repeated is lost. The sketch's width grows with the text (a cell
 twice as many bytes), and shards send filled cells only.
 
 Cases: null and empty texts have no words and stay as they are; documents of fewer words than a
-window lose none; equal rows are separate documents, so their windows repeat; an empty table gives
+window lose none; equal rows are separate documents, so their windows repeat; a text of any length is taken whole,
+as one document of its shard; an empty table gives
 an empty table; columns named like results are replaced, others pass through.
 """
 

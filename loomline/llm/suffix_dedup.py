@@ -15,7 +15,7 @@ would put them all into one task. The shards count the kinds of segments of each
 keys of over CROWDED kinds are not sorted but dealt out and grouped by 128 bits of their bytes.
 
 Cases: null and empty texts stay as they are; shorter documents than `width` lose nothing; equal
-rows are separate documents; strings never cross documents; where removal splits a character, its
+rows are separate documents; a text of any length is taken whole, by one task at a time; strings never cross documents; where removal splits a character, its
 rest is dropped from kept_text (the digest is of the bytes); an empty table gives an empty table;
 columns named like results are replaced, others pass through.
 """

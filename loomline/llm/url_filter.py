@@ -5,6 +5,9 @@ priors: a suffix's rate towards the rate of all, a registered domain's towards i
 towards its domain. The weight of each prior comes from the spread of the rates at that level
 (method of moments). A page whose host has a lower posterior bound over `most_bad` is blocked.
 
+The query takes the label of the document of the same number as a page's (page_id = doc_id), as the tables have no other; registered domains are
+told by TWO_LABEL_SUFFIXES alone, a short list.
+
 Cases: a null url or one without "://" has empty host and path and shares the host "" with its like;
 equal rows are judged each; a page with several labels counts once, as bad if any is; without labels
 every host is allowed; an empty table gives an empty table; columns named like results are replaced.
