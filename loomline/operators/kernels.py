@@ -97,9 +97,8 @@ def repeats(words: list[str], times: list[float], within: float, least: int = 3)
         for j in mine[bisect_left(mine, i + least) :]:
             if times[j] - times[i] > within:
                 break
-            size = 0
-            while i + size < j and j + size < len(words) and words[i + size] == words[j + size] and j + size not in taken:
-                size += 1
+            room = range(min(j - i, len(words) - j))
+            size = next((k for k in room if words[i + k] != words[j + k] or j + k in taken), len(room))
             if size >= least:
                 taken.update(range(j, j + size))
                 found.append((j, size))
@@ -118,18 +117,21 @@ def clips(spans: list[tuple[float, float]], frames: list[tuple[float, float]], m
     half of the reach, the first of equals, or evenly where there is none; then neighbours are put together while they fit.
     """
     at = [t for t, _ in frames]
-    out: list[tuple[float, float]] = []
+    starts: list[float] = []
+    ends: list[float] = []
     for a, b in spans:
-        cuts = [a]
-        while b - cuts[-1] > most:
-            a = cuts[-1]
+        edges = [a]
+        while b - edges[-1] > most:
+            a = edges[-1]
             reach = frames[bisect_left(at, a + most / 2) : bisect_right(at, a + most)]
-            cuts.append(min(reach, key=lambda f: f[1])[0] if reach else a + (b - a) / math.ceil((b - a) / most))
-        for c, d in zip(cuts, cuts[1:] + [b]):
-            if out and d - out[-1][0] <= most:
-                out[-1] = out[-1][0], d
-            else:
-                out.append((c, d))
+            edges.append(min(reach, key=lambda f: f[1])[0] if reach else a + (b - a) / math.ceil((b - a) / most))
+        starts += edges
+        ends += [*edges[1:], b]
+    out, k = [], 0
+    while k < len(starts):  # ends rise, so the pieces that fit with this one are those up to a bound
+        last = max(k + 1, bisect_right(ends, starts[k] + most))
+        out.append((starts[k], ends[last - 1]))
+        k = last
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 from itertools import combinations
+from os.path import commonprefix
 
 from loomline.operators import kernels as K
 from loomline.plans import queries_review as R
@@ -26,21 +27,20 @@ def test_differing_leaves_out_as_few_as_can_be(spark):
         assert kept_a == [w for i, w in enumerate(b) if i not in r.only_b] and len(kept_a) == longest_common(a, b)
 
 
-def test_repeats_by_looking_at_all_pairs():
+def test_repeats_are_the_pairs_of_equal_runs_taken_in_order():
     dice = random.Random(5)
     for _ in range(300):
         words = dice.choices("ab", k=dice.randrange(24))
         times = sorted(dice.uniform(0, 8) for _ in words)
-        expected, free = [], [True] * len(words)
-        for i in range(len(words)):
-            sizes = {}
-            for j in range(i + 1, len(words)):
-                same = [words[i + k] == words[j + k] and free[j + k] for k in range(min(j - i, len(words) - j))] + [False]
-                sizes[j] = same.index(False) if times[j] - times[i] <= 4 else 0
-            j = next((j for j, n in sizes.items() if n >= 3), None)
-            if j is not None:
-                expected.append((j, sizes[j]))
-                free[j : j + sizes[j]] = [False] * sizes[j]
+        pairs = [(i, j) for i, j in combinations(range(len(words)), 2) if words[i : min(i + 3, j)] == words[j : j + 3] and j - i >= 3 and times[j] - times[i] <= 4]
+        expected, used, said = [], set(), set()
+        for i, j in sorted(pairs):
+            unused = next((k for k in range(j, len(words)) if k in used), len(words))
+            size = len(commonprefix([words[i:j], words[j:unused]]))
+            if i not in said and size >= 3:
+                said.add(i)
+                used |= set(range(j, j + size))
+                expected.append((j, size))
         assert K.repeats(words, times, 4) == expected
 
 
