@@ -101,6 +101,13 @@ def common_ends(a: Column, b: Column) -> tuple[Column, Column]:
     return prefix, first_odd(F.reverse(x), F.reverse(y), n - prefix)
 
 
+def content_id(data: Column, end: int = 1 << 20) -> Column:
+    """Size and SHA-256 of the first and last `end` bytes of binary data; of all of it, if it isn't longer than both."""
+    n = F.octet_length(data)
+    ends = F.when(n <= 2 * end, data).otherwise(F.concat(F.substring(data, 1, end), F.substring(data, -end, end)))
+    return F.concat(n.cast("string"), F.lit("-"), F.sha2(ends, 256))
+
+
 def safe_name(text: Column) -> Column:
     """A file name: letters, digits, dots and dashes; others as one dash."""
     return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}._-]+", "-"), r"^-+|-+$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import kernels, review as R
-from ..sources import captions
+from ..sources import captions, wordlists
 from .queries_text import table
 from .queries_time import EV, points
 
@@ -74,15 +74,21 @@ g AS (SELECT conv_id, block, role || ': ' || string_agg(text, ' ' ORDER BY turn)
 
 
 def s9(spark, sf):
-    """Spellings of a word list: names in lower case and run together; the first entry has a spelling; names of over three words are refused."""
-    p = table(spark, sf, "part").select("p_partkey", "p_name", F.lower("p_name").alias("s")).withColumn("n", F.size(F.split("s", " ")))
-    forms = F.array_distinct(F.array("s", F.replace("s", F.lit(" "), F.lit(""))))
-    taken = p.where("n <= 3").select("p_partkey", F.explode(forms).alias("spelling")).groupBy("spelling").agg(F.min("p_partkey").alias("entry"))
-    refused = p.where("n > 3").select(F.col("s").alias("spelling"), F.lit(None).cast("long").alias("entry")).distinct()
-    return taken.unionByName(refused)
-
-
-Q["s9_load_words"], O["s9_load_words"] = s9, "WITH p AS (SELECT p_partkey, lower(p_name) AS s, len(string_split(p_name, ' ')) AS n FROM part) SELECT spelling, min(p_partkey) AS entry FROM (SELECT p_partkey, unnest(list_distinct([s, replace(s, ' ', '')])) AS spelling FROM p WHERE n <= 3) GROUP BY 1 UNION ALL SELECT DISTINCT s, NULL FROM p WHERE n > 3"
+    """Word lists, a file for each brand of parts: spellings with the entry that has them, and what is refused with its reason."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("place"))
+    k = F.col("p_partkey")
+    said = F.when(k % 50 == 7, F.lit("?!")).when(k % 70 == 9, F.lit("one two three four")).otherwise(F.initcap("p_name"))
+    text = F.concat(F.lit('[[entry]]\nname = "'), k.cast("string"), F.lit('"\nroman = ["'), said, F.lit('"]\n'), F.when(k % 90 == 11, "odd = 1\n").otherwise(""))
+    files = p.groupBy(F.col("p_brand").alias("list"), "place").agg(F.sort_array(F.collect_list(F.struct("p_partkey", text.alias("t")))).alias("a"))
+    files = files.select("list", "place", F.concat(F.array_join(F.transform("a", lambda x: x["t"]), ""), F.when(F.col("place") % 9 == 3, "= broken").otherwise("")).alias("toml"))
+    words, refused = wordlists.load(files)
+    return words.unionByName(refused.select(F.concat_ws(":", "list", "name").alias("entry"), "reason"), allowMissingColumns=True)
+
+
+Q["s9_load_words"], O["s9_load_words"] = s9, r"""WITH p AS (SELECT p_partkey AS k, lower(p_name) AS n, p_brand AS b, CAST(regexp_extract(p_brand, '(\d+)') AS BIGINT) AS place FROM part),
+r AS (SELECT *, CASE WHEN k % 90 = 11 THEN 'unknown key odd' WHEN k % 50 = 7 THEN 'a spelling without letters' WHEN k % 70 = 9 THEN 'a spelling of over three words' WHEN len(string_split(n, ' ')) > 3 THEN 'a spelling of over three words' END AS reason FROM p WHERE place % 9 <> 3),
+f AS (SELECT place, k, b, form, CASE form WHEN 0 THEN n ELSE replace(n, ' ', '') END AS spelling FROM r, (SELECT unnest([0, 1]) AS form) WHERE reason IS NULL)
+SELECT spelling, arg_min(b || ':' || k, (place, k, form)) AS entry, NULL AS reason FROM f GROUP BY 1 UNION ALL SELECT NULL, b || ':' || k, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT DISTINCT NULL, b, 'no TOML' FROM p WHERE place % 9 = 3"""
 
 
 def f20(spark, sf):

@@ -338,12 +338,19 @@ def f3(spark, sf):
 Q["f3_fold"], O["f3_fold"] = f3, r"SELECT conv_id, turn, lower(regexp_replace(text, '\p{M}', '', 'g')) AS folded FROM conversations"
 
 
+@F.pandas_udf(T.StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
 def f4(spark, sf):
-    """Words for comparison: folded, without punctuation and signs."""
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(X.folded(F.col("text")), r"[\p{P}\p{S}]", "").alias("key"))
+    """Words for comparison: composed, folded, without punctuation and signs. Every other turn comes decomposed."""
+    apart = F.when(F.col("turn") % 2 == 0, F.translate("text", "é", "¤")).otherwise(F.col("text"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.replace(apart, F.lit("¤"), F.lit("e\u0301")).alias("text"))
+    return c.select("conv_id", "turn", F.regexp_replace(X.folded(composed("text")), r"[\p{P}\p{S}]", "").alias("key"))
 
 
-Q["f4_compare_form"], O["f4_compare_form"] = f4, r"SELECT conv_id, turn, regexp_replace(lower(regexp_replace(text, '\p{M}', '', 'g')), '[\p{P}\p{S}]', '', 'g') AS key FROM conversations"
+Q["f4_compare_form"], O["f4_compare_form"] = f4, r"SELECT conv_id, turn, regexp_replace(lower(regexp_replace(nfc_normalize(text), '\p{M}', '', 'g')), '[\p{P}\p{S}]', '', 'g') AS key FROM conversations"
 
 
 def f5(spark, sf):
@@ -370,14 +377,11 @@ b AS (SELECT doc_id, list_filter(regexp_extract_all(t, '[\p{L}\p{N}]+'), lambda
 
 
 def f15(spark, sf):
-    """Content id: size, and the digest of both ends of 4 KB (all of it, if no longer)."""
-    b = F.encode("text", "UTF-8")
-    n = F.octet_length("text")
-    ends = F.when(n <= 8192, b).otherwise(F.concat(F.substring(b, 1, 4096), F.substring(b, -4096, 4096)))
-    return table(spark, sf, "documents").select("doc_id", F.concat(n.cast("string"), F.lit("-"), F.sha2(ends, 256)).alias("content_id"))
+    """Content id: size, and the digest of both ends of a mebibyte (all of it, if no longer than both)."""
+    return table(spark, sf, "documents").select("doc_id", X.content_id(F.encode("text", "UTF-8")).alias("content_id"))
 
 
-Q["f15_content_id"], O["f15_content_id"] = f15, "SELECT doc_id, CAST(strlen(text) AS VARCHAR) || '-' || CASE WHEN strlen(text) <= 8192 THEN sha256(text) ELSE sha256(from_hex(left(hex(encode(text)), 8192) || right(hex(encode(text)), 8192))) END AS content_id FROM documents"
+Q["f15_content_id"], O["f15_content_id"] = f15, "SELECT doc_id, CAST(strlen(text) AS VARCHAR) || '-' || CASE WHEN strlen(text) <= 2097152 THEN sha256(text) ELSE sha256(from_hex(left(hex(encode(text)), 2097152) || right(hex(encode(text)), 2097152))) END AS content_id FROM documents"
 
 
 def f16(spark, sf):
