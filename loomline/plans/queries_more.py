@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+
 from functools import reduce
 
-from pyspark.sql import Window, functions as F
+import pandas as pd
+from pyspark.sql import Window, functions as F, types as T
 
 from ..functions import text as X
 from ..operators import intervals as I
@@ -61,16 +64,18 @@ Q["p24_resume_at"], O["p24_resume_at"] = p24, EV + "SELECT user_id, CASE WHEN NO
 
 
 def w5(spark, sf):
-    """Words of pieces: a piece that begins with an upper-case letter opens a word group."""
+    """Words of tokens: a token (here up to three letters, with the space before it) opens one at the start of its line or with a space; others go on with it."""
     w = Window.partitionBy("doc_id", "pos").orderBy("k")
-    t = tokens(spark, sf).select("doc_id", "pos", F.posexplode("words").alias("k", "w"))
-    t = t.withColumn("g", F.sum(F.when((F.col("k") == 0) | F.rlike("w", F.lit("^[A-Z]")), 1).otherwise(0)).over(w))
-    return t.groupBy("doc_id", "pos", "g").agg(F.count(F.lit(1)).alias("n"), F.min("k").cast("long").alias("first"))
+    pieces = F.regexp_extract_all("line", F.lit(r"[ \t\r]*[^ \t\r]{1,3}"), F.lit(0))
+    t = sentences(spark, sf).select("doc_id", "pos", F.posexplode(pieces).alias("k", "w"))
+    t = t.withColumn("g", F.sum(F.when((F.col("k") == 0) | F.rlike("w", F.lit(r"^[ \t\r]")), 1).otherwise(0)).over(w))
+    g = t.groupBy("doc_id", "pos", "g").agg(F.count(F.lit(1)).alias("n"), F.min("k").cast("long").alias("first"), F.sort_array(F.collect_list(F.struct("k", "w"))).alias("a"))
+    return g.select("doc_id", "pos", "g", "n", "first", F.md5(F.array_join(F.transform("a", lambda x: x["w"]), "")).alias("word"))
 
 
-Q["w5_words_from_tokens"], O["w5_words_from_tokens"] = w5, TOK + """, k AS (SELECT doc_id, pos, i - 1 AS k, words[i] AS w FROM w, unnest(range(1, len(words) + 1)) AS u(i)),
-g AS (SELECT *, sum(CASE WHEN k = 0 OR regexp_matches(w, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY k) AS g FROM k)
-SELECT doc_id, pos, CAST(g AS BIGINT) AS g, count(*) AS n, min(k) AS first FROM g GROUP BY doc_id, pos, g"""
+Q["w5_words_from_tokens"], O["w5_words_from_tokens"] = w5, SENT + r""", p AS (SELECT doc_id, pos, regexp_extract_all(line, '[ \t\r]*[^ \t\r]{1,3}') AS w FROM s), k AS (SELECT doc_id, pos, i - 1 AS k, w[i] AS w FROM p, unnest(range(1, len(w) + 1)) AS u(i)),
+g AS (SELECT *, sum(CASE WHEN k = 0 OR regexp_matches(w, '^[ \t\r]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY k) AS g FROM k)
+SELECT doc_id, pos, CAST(g AS BIGINT) AS g, count(*) AS n, min(k) AS first, md5(string_agg(w, '' ORDER BY k)) AS word FROM g GROUP BY doc_id, pos, g"""
 
 
 def w12(spark, sf):
@@ -171,14 +176,36 @@ Q["k20_gain_at"], O["k20_gain_at"] = k20, EV + """, m AS (SELECT user_id, t AS a
 SELECT event_id, round(coalesce(product(CASE WHEN a IS NOT NULL THEN 0.5 - 0.5 * cos(3.141592653589793::DOUBLE * least(greatest(a - t, t - b, 0) / 3600000, 1)) END), 1), 6) AS gain FROM ev LEFT JOIN m ON m.user_id = ev.user_id AND t BETWEEN a - 3600000 AND b + 3600000 GROUP BY 1"""
 
 
-def s14(spark, sf):
-    """Texts as numbered base64 cues of 600 characters, and put together again."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("b"))
-    cut = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("b") - 1) / 600).cast("int"))).alias("k"), "b").withColumn("cue", F.expr("substring(b, k * 600 + 1, 600)"))
-    back = cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cues"), F.sort_array(F.collect_list(F.struct("k", "cue"))).alias("a"), F.first("text").alias("text"))
-    whole = F.decode(F.unbase64(F.array_join(F.transform("a", lambda x: x["cue"]), "")), "UTF-8")
-    return back.select("doc_id", "cues", (whole == F.col("text")).alias("same"))
+@F.pandas_udf(T.BinaryType())
+def zipped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else gzip.compress(x.encode("utf-8", "surrogatepass"), mtime=0))
+
+
+@F.pandas_udf(T.StringType())
+def unzipped(data: pd.Series) -> pd.Series:
+    return data.map(lambda x: None if x is None else gzip.decompress(x).decode("utf-8", "surrogatepass"))
+
+
+CUE = 60_000
 
 
-Q["s14_embed_codec"], O["s14_embed_codec"] = s14, "SELECT doc_id, CAST(ceil(((strlen(text) + 2) // 3 * 4) / 600) AS BIGINT) AS cues, true AS same FROM documents WHERE strlen(text) > 0"
+def embedded(texts, key: str, text: str, size: int = CUE):
+    """(key, k, cue): texts packed and cut into numbered cues of base64; a text of any length is packed whole."""
+    packed = texts.select(key, F.regexp_replace(F.base64(zipped(F.col(text))), r"\s", "").alias("b")).where("b IS NOT NULL")
+    n = F.floor((F.length("b") - 1) / size).cast("int")
+    return packed.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda k: F.substr("b", k * size + 1, F.lit(size)))).alias("k", "cue"))
+
+
+def extracted(cues, key: str):
+    """(key, text) of cues, put together in the order of their numbers."""
+    whole = cues.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("k", "cue"))).alias("a"))
+    return whole.select(key, unzipped(F.unbase64(F.array_join(F.transform("a", lambda x: x["cue"]), ""))).alias("text"))
+
+
+def s14(spark, sf):
+    """Documents packed into cues, and unpacked again."""
+    back = extracted(embedded(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").repartition("k"), "doc_id")
+    return back.select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
 
+Q["s14_embed_codec"], O["s14_embed_codec"] = s14, "SELECT doc_id, length(text) AS n, sha256(text) AS digest FROM documents WHERE text IS NOT NULL"

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import intervals as I, kernels
+from ..operators.review import within_edits
 from .queries_text import TOK, WORD_SQL, table, tokens
 from .queries_time import EV, MINUTE, others, points, spans, turns
 
@@ -44,23 +45,30 @@ k AS (SELECT *, coalesce(list_position(list_transform(range(0, least(len(a), len
 SELECT conv_id, turn, CAST(head AS BIGINT) AS head, CAST(tail AS BIGINT) AS tail, CAST(len(a) - head - tail AS BIGINT) AS n_out, CAST(len(b) - head - tail AS BIGINT) AS n_in FROM k"""
 
 #: Spellings that a cross-check looks for.
-SPELLINGS = ("clickview", "errorview", "purchase", "viewview")
 
 
 def j23(spark, sf):
-    """Purchases as targets: what other points of the user within two hours read when put together, and the nearest spelling within two edits."""
+    """Purchases as targets: what other points of the user within two hours read when put together, and the nearest listed spelling within two edits.
+
+    Listed are the types that events have, and two of them run together, without their last letter.
+    """
     near, p = 120 * MINUTE, points(spark, sf)
     target = p.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("target"), F.col("t").alias("at"))
     target = target.withColumn("__bin", F.explode(F.array(*[F.floor(F.col("at") / near) + k for k in (-1, 0, 1)])))
     met = p.where("event_type <> 'purchase'").withColumn("__bin", F.floor(F.col("t") / near)).join(target, ["user_id", "__bin"]).where(F.abs(F.col("t") - F.col("at")) <= near)
     heard = met.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type"))).alias("a"))
     heard = heard.select("target", F.array_join(F.transform("a", lambda x: x["event_type"]), "").alias("heard"))
-    best = F.array_min(F.array(*[F.struct(F.levenshtein("heard", F.lit(s)).alias("d"), F.lit(s).alias("s")) for s in SPELLINGS]))
-    return heard.withColumn("best", best).select("target", "heard", F.when(F.col("best.d") <= 2, F.col("best.s")).alias("spelling"))
+    types = p.agg(F.array_sort(F.collect_set("event_type")).alias("a"))  # as many as there are types
+    both = F.flatten(F.transform("a", lambda x: F.transform("a", lambda y: F.concat(x, y))))
+    listed = types.select(F.explode(F.array_distinct(F.concat("a", both))).alias("s")).select(F.expr("substring(s, 1, length(s) - 1)").alias("entry")).distinct()
+    found = within_edits(heard.select(F.col("heard").alias("word")).distinct(), listed, 2)
+    best = found.groupBy(F.col("word").alias("heard")).agg(F.min(F.struct("edits", "entry"))["entry"].alias("spelling"))
+    return heard.join(best, "heard", "left").select("target", "heard", "spelling")
 
 
-Q["j23_cross_check"], O["j23_cross_check"] = j23, EV + f""", h AS (SELECT a.event_id AS target, string_agg(b.event_type, '' ORDER BY b.t, b.event_id) AS heard FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.t - b.t) <= 7200000 AND b.event_type <> 'purchase' WHERE a.event_type = 'purchase' GROUP BY 1),
-d AS (SELECT target, heard, s, levenshtein(heard, s) AS d FROM h, unnest({list(SPELLINGS)}) AS u(s))
+Q["j23_cross_check"], O["j23_cross_check"] = j23, EV + """, h AS (SELECT a.event_id AS target, string_agg(b.event_type, '' ORDER BY b.t, b.event_id) AS heard FROM ev a JOIN ev b ON a.user_id = b.user_id AND abs(a.t - b.t) <= 7200000 AND b.event_type <> 'purchase' WHERE a.event_type = 'purchase' GROUP BY 1),
+ty AS (SELECT DISTINCT event_type AS s FROM ev), sp AS (SELECT DISTINCT left(s, length(s) - 1) AS s FROM (SELECT s FROM ty UNION SELECT a.s || b.s FROM ty a, ty b)),
+d AS (SELECT target, heard, s, levenshtein(heard, s) AS d FROM h, sp)
 SELECT target, heard, CASE WHEN min(d) <= 2 THEN arg_min(s, (d, s)) END AS spelling FROM d GROUP BY 1, 2"""
 
 
