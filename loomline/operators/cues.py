@@ -122,3 +122,37 @@ def from_transcript(tokens: DataFrame, durations: DataFrame) -> DataFrame:
     tail = ends.select("doc", (F.col("sent") + 1).alias("sent"), "token", row(3, **item, source_start=F.col("reached"), length=F.col("duration") - F.col("reached"), text=F.lit("")).alias("x"))
     pos = F.row_number().over(Window.partitionBy("doc").orderBy("sent", "token", "x.part")) - 1
     return rows.unionByName(tail).select("doc", pos.cast("long").alias("pos"), *[F.col(f"x.{f}").alias(f) for f in edits.FIELDS])
+
+
+def sentences_of(tokens: DataFrame, key: str, most_words: int | None = None, silence: int | None = None, longest: int | None = None) -> DataFrame:
+    """tokens (key, token, t, e, w) with sent, from 0: a sentence ends behind one of ! ? and their wide forms, behind a full stop that a token with a
+    space (or nothing) follows, and, where told so, before a pause of `silence`, before its words would be over most_words, and once it lasts `longest`.
+
+    Words are tokens with a space. Ends by punctuation and silence don't hang on what came before, so what lies between two of them is a group of
+    its own; only the other two rules are folded, inside such groups.
+    """
+    w = Window.partitionBy(key).orderBy("token")
+    after, later = F.lead("w").over(w), F.lead("t").over(w)
+    stop = F.col("w").rlike("[!?。？！]") | F.contains("w", F.lit(".")) & (after.isNull() | F.contains(after, F.lit(" ")))
+    hard = stop if silence is None else stop | F.coalesce(later - F.col("e") >= silence, F.lit(False))
+    r = tokens.withColumns({"__hard": hard.cast("int"), "__next": F.contains(after, F.lit(" ")), "__more": after.isNotNull()})
+    r = r.withColumn("__group", F.coalesce(F.sum("__hard").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__hard")
+    if most_words is None and longest is None:
+        return r.withColumn("sent", (F.dense_rank().over(Window.partitionBy(key).orderBy("__group")) - 1).cast("long")).select(*tokens.columns, "sent")
+
+    names = tokens.columns
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part, sub, words, opened, out = part.sort_values("token"), 0, 0, None, []
+        for t, e, text, space, more in part[["t", "e", "w", "__next", "__more"]].itertuples(index=False):
+            opened = t if opened is None else opened
+            words += " " in text
+            out.append(sub)
+            full = most_words is not None and more and words + bool(space) > most_words
+            if full or (longest is not None and e - opened >= longest):
+                sub, words, opened = sub + 1, 0, None
+        return part.assign(__sub=out)[[*names, "__group", "__sub"]]
+
+    kinds = ", ".join(f"{c} {k}" for c, k in [*tokens.dtypes, ("__group", "long"), ("__sub", "long")])
+    cut = r.groupBy(key, "__group").applyInPandas(fold, kinds)
+    return cut.withColumn("sent", (F.dense_rank().over(Window.partitionBy(key).orderBy("__group", "__sub")) - 1).cast("long")).select(*names, "sent")

@@ -214,3 +214,23 @@ l AS (SELECT w.* , len(words) > 6 AND len(list_distinct(words)) <= greatest(2, l
 u AS (SELECT doc_id, count(*) AS loops, CAST(sum(n) AS BIGINT) AS unclear, CAST(max(len) AS BIGINT) AS longest FROM (SELECT doc_id, n, last - first + 1 AS len FROM runs UNION ALL SELECT doc_id, len(words), 1 FROM l WHERE loop) GROUP BY 1),
 sk AS (SELECT doc_id, count(*) AS lines, CAST(sum(len(words)) AS BIGINT) AS kept FROM l WHERE NOT loop GROUP BY 1)
 SELECT doc_id, coalesce(loops, 0) AS loops, coalesce(unclear, 0) AS unclear, coalesce(longest, 0) AS longest, coalesce(lines, 0) AS lines, coalesce(kept, 0) AS kept FROM u FULL JOIN sk USING (doc_id)"""
+
+
+def k5(spark, sf):
+    """Turns as sentences of at most twelve words and four seconds, cut at punctuation and at pauses of a second."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[ \n\t]*[^ \n\t.!?]+|[.!?]"), F.lit(0))).alias("k", "w"))
+    t = F.col("k") * 200 + F.floor(F.col("k") / 11) * 1500
+    tokens_ = c.select("doc", F.col("k").cast("long").alias("token"), t.alias("t"), (t + 150).alias("e"), "w")
+    s = C.sentences_of(tokens_, "doc", 12, 1000, 4000)
+    g = s.groupBy("doc", "sent").agg(F.min("t").alias("start"), F.max("e").alias("end"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("token", "w"))).alias("a"))
+    return g.select("doc", "sent", "start", "end", "n", F.md5(F.array_join(F.transform("a", lambda x: x["w"]), "")).alias("digest"))
+
+
+Q["k5_tokens_to_sentences"], O["k5_tokens_to_sentences"] = k5, r"""WITH RECURSIVE p AS (SELECT conv_id * 1000 + turn AS doc, regexp_extract_all(text, '[ \n\t]*[^ \n\t.!?]+|[.!?]') AS w FROM conversations),
+k AS (SELECT doc, i - 1 AS k, w[i] AS w, (i - 1) * 200 + (i - 1) // 11 * 1500 AS t FROM p, unnest(range(1, len(w) + 1)) AS u(i)),
+f AS (SELECT *, lead(w) OVER x AS nx, lead(t) OVER x AS nt FROM k WINDOW x AS (PARTITION BY doc ORDER BY k)),
+h AS (SELECT *, regexp_matches(w, '[!?]') OR (contains(w, '.') AND (nx IS NULL OR contains(nx, ' '))) OR coalesce(nt - t - 150 >= 1000, false) AS hard FROM f),
+r AS (SELECT doc, k, 0::BIGINT AS sent, CASE WHEN contains(w, ' ') THEN 1 ELSE 0 END AS n, t AS t0, hard OR coalesce(CASE WHEN contains(w, ' ') THEN 1 ELSE 0 END + CASE WHEN contains(nx, ' ') THEN 1 ELSE 0 END > 12, false) AS ends FROM h WHERE k = 0
+ UNION ALL SELECT doc, k, sent, n, t0, hard OR (nx IS NOT NULL AND n + CASE WHEN contains(nx, ' ') THEN 1 ELSE 0 END > 12) OR t + 150 - t0 >= 4000
+ FROM (SELECT h.*, CASE WHEN ends THEN sent + 1 ELSE sent END AS sent, CASE WHEN ends THEN 0 ELSE n END + CASE WHEN contains(h.w, ' ') THEN 1 ELSE 0 END AS n, CASE WHEN ends THEN h.t ELSE t0 END AS t0 FROM r JOIN h ON h.doc = r.doc AND h.k = r.k + 1))
+SELECT doc, sent, min(t) AS start, max(t + 150) AS "end", count(*) AS n, md5(string_agg(w, '' ORDER BY k)) AS digest FROM r JOIN h USING (doc, k) GROUP BY 1, 2"""

@@ -252,13 +252,3 @@ def u4(spark, sf):
 
 Q["u4_key_differences"], O["u4_key_differences"] = u4, f"""WITH c AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '{WORD_SQL}')) AS w FROM conversations)
 SELECT c.conv_id, c.turn, len(list_filter(c.w, lambda x: NOT list_contains(f.w, x))) AS n_new, len(list_distinct(list_concat(c.w, f.w))) AS n_all FROM c JOIN c f ON f.conv_id = c.conv_id AND f.turn = 0 WHERE c.turn > 0"""
-
-
-def k5(spark, sf):
-    """Sentences of a text: ends at . ! ? followed by a space."""
-    w = F.filter(F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: x != "")
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(w).alias("pos", "s")).select("doc_id", "pos", F.md5("s").alias("digest"))
-
-
-Q["k5_tokens_to_sentences"], O["k5_tokens_to_sentences"] = k5, r"""WITH p AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents)
-SELECT doc_id, i - 1 AS pos, md5(p[i]) AS digest FROM p, unnest(range(1, len(p) + 1)) AS u(i)"""

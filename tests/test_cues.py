@@ -106,3 +106,35 @@ def test_a_run_of_joined_segments_is_one(spark):
     got = {tuple(r) if not isinstance(r.flags, list) else (r.seg, r.start, r.end, tuple(r.flags), r.speaker, r.edited) for r in R.merge_with_previous(df, which, "k").collect()}
     assert got == {(0, 0, 29, ("a", "b"), "X", True), (3, 30, 39, ("c",), None, False)}
     assert [r.flags for r in R.toggle_flag(df, "a", F.col("seg") < 2).orderBy("seg").collect()] == [[], ["b"], [], ["c"]]
+
+
+def plain_sentences(tokens, words, silence, longest):
+    out, current, sent = [], [], 0
+    for i, (t, e, w) in enumerate(tokens):
+        current.append((t, e, w))
+        out.append(sent)
+        nxt = tokens[i + 1] if i + 1 < len(tokens) else None
+        ends = any(c in w for c in "!?。？！") or ("." in w and (nxt is None or " " in nxt[2]))
+        ends |= words is not None and nxt is not None and sum(" " in x[2] for x in current) + (" " in nxt[2]) > words
+        ends |= silence is not None and nxt is not None and nxt[0] - e >= silence
+        ends |= longest is not None and e - current[0][0] >= longest
+        if ends:
+            current, sent = [], sent + 1
+    return out
+
+
+def test_sentences_end_where_the_rules_say(spark):
+    r = random.Random(4)
+    recs = []
+    for _ in range(60):
+        t, tokens = 0, []
+        for _ in range(r.randrange(1, 30)):
+            t += r.choice([100, 100, 900])
+            tokens.append((t, t + 80, r.choice([" a", " bc", "d", ".", "!", "。", "3.5", " x."])))
+        recs.append(tokens)
+    df = spark.createDataFrame([(k, i, *x) for k, rec in enumerate(recs) for i, x in enumerate(rec)], "k long, token long, t long, e long, w string")
+    for rules in ((None, None, None), (3, None, None), (None, 500, None), (None, None, 700), (4, 500, 1500)):
+        got = {}
+        for x in C.sentences_of(df, "k", *rules).collect():
+            got.setdefault(x.k, {})[x.token] = x.sent
+        assert {k: [v[i] for i in sorted(v)] for k, v in got.items()} == {k: plain_sentences(rec, *rules) for k, rec in enumerate(recs)}
