@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import edits
+from .groups import each_group
 from .intervals import merged_spans, next_time
 
 CHARS, SECONDS_MS = 84, 7000
@@ -26,19 +26,19 @@ def one_timeline(sentences: DataFrame, key: str) -> DataFrame:
     ends = F.when(F.col("next").isNull(), F.greatest("end", "start")).otherwise(F.least("end", "next"))
     alone = s.where("n = 1").select(key, "start", ends.alias("end"), F.lit(1).cast("long").alias("n"), F.col("sent").alias("first"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
+    def fold(part: list[tuple]) -> list[tuple]:
         out, group = [], None
-        for sent, a, b, after in part.sort_values(["start", "sent"])[["sent", "start", "end", "next"]].itertuples(index=False):
+        for own, _, sent, a, b, after in part:
             group = (group[0], max(group[1], b), group[2] + 1, group[3]) if group else (a, b, 1, sent)
-            last = pd.isna(after)
-            end = max(group[1], group[0]) if last else min(group[1], after)
-            if last or end > group[0]:
-                out.append((part[key].iloc[0], group[0], int(end), group[2], group[3]))
+            end = max(group[1], group[0]) if after is None else min(group[1], after)
+            if after is None or end > group[0]:
+                out.append((own, group[0], end, group[2], group[3]))
                 group = None
-        return pd.DataFrame(out, columns=[key, "start", "end", "n", "first"])
+        return out
 
     kinds = dict(sentences.dtypes)
-    return alone.unionByName(s.where("n > 1").groupBy(key, "cluster").applyInPandas(fold, f"{key} {kinds[key]}, start {kinds['start']}, end {kinds['end']}, n long, first {kinds['sent']}"))
+    near = s.where("n > 1").select(key, "cluster", "sent", "start", "end", "next")
+    return alone.unionByName(each_group(near, [key, "cluster"], ["start", "sent"], fold, f"{key} {kinds[key]}, start {kinds['start']}, end {kinds['end']}, n long, first {kinds['sent']}"))
 
 
 def split_cues(cues: DataFrame, chars: int = CHARS, longest: int = SECONDS_MS) -> DataFrame:
@@ -142,17 +142,19 @@ def sentences_of(tokens: DataFrame, key: str, most_words: int | None = None, sil
 
     names = tokens.columns
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, sub, words, opened, out = part.sort_values("token"), 0, 0, None, []
-        for t, e, text, space, more in part[["t", "e", "w", "__next", "__more"]].itertuples(index=False):
+    def fold(part: list[tuple]) -> list[tuple]:
+        sub, words, opened, out = 0, 0, None, []
+        for row in part:
+            t, e, text, space, more = row[-5:]
             opened = t if opened is None else opened
             words += " " in text
-            out.append(sub)
+            out.append((*row[:-5], sub))
             full = most_words is not None and more and words + bool(space) > most_words
             if full or (longest is not None and e - opened >= longest):
                 sub, words, opened = sub + 1, 0, None
-        return part.assign(__sub=out)[[*names, "__group", "__sub"]]
+        return out
 
     kinds = ", ".join(f"{c} {k}" for c, k in [*tokens.dtypes, ("__group", "long"), ("__sub", "long")])
-    cut = r.groupBy(key, "__group").applyInPandas(fold, kinds)
+    given = r.select(*names, "__group", F.col("t").alias("__t"), F.col("e").alias("__e"), F.col("w").alias("__w"), "__next", "__more")
+    cut = each_group(given, [key, "__group"], ["token"], fold, kinds)
     return cut.withColumn("sent", (F.dense_rank().over(Window.partitionBy(key).orderBy("__group", "__sub")) - 1).cast("long")).select(*names, "sent")
