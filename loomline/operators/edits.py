@@ -8,11 +8,15 @@ doesn't touch are not moved to Python.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .groups import each_group
+
 ENTRY = "kind string, speaker string, language string, source string, source_start long, length long, text string, muted boolean, confidence double"
 FIELDS = [c.split()[0] for c in ENTRY.split(", ")]
 LIST = "doc long, pos long, " + ENTRY
@@ -375,26 +379,34 @@ def paired(words: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
     t = tokens.select(key, F.lit(1).alias("side"), F.col("token").alias("n"), "start", F.greatest("end", F.col("start") + 2 * EPS).alias("end"), "text")
     both = clustered(w.unionByName(t), key, "start", "end", EPS)
 
-    def settle(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("n", kind="stable")
-        mine, theirs = part[part["side"] == 0], part[part["side"] == 1]
-        places: dict[str, list[int]] = {}
-        starts, ends, numbers = (theirs[c].tolist() for c in ("start", "end", "n"))
-        for i, text in enumerate(theirs["text"].tolist()):
-            places.setdefault(text, []).append(i)
-        out: list[tuple] = []
-        for n, a, b, text in zip(mine["n"], mine["start"], mine["end"], mine["text"]):
-            free = places.get(text, [])
-            near = [i for i in free if starts[i] < b - EPS and (ends[i] > a + EPS or starts[i] >= a - EPS)]
-            best = min(near, key=lambda i: (abs(starts[i] - a) > EPS, i), default=None)
-            if best is not None:
-                free.remove(best)
-            out.append((n, None if best is None else numbers[best]))
-        left = sorted(set(numbers) - {m for _, m in out})
-        pairs = [*out, *[(None, m) for m in left]]
-        return pd.DataFrame({key: part[key].iloc[0], "word": pd.array([a for a, _ in pairs], "Int64"), "token": pd.array([b for _, b in pairs], "Int64")})
-
-    return both.groupBy(key, "cluster").applyInPandas(settle, f"{key} {dict(words.dtypes)[key]}, word long, token long")
+    def settle(part: list[tuple]) -> list[tuple]:
+        theirs = [r for r in part if r[1] == 1]
+        places: dict[str, list[tuple]] = {}
+        for i, (_, _, n, a, b, text, _) in enumerate(theirs):
+            places.setdefault(text, []).append((a, b, i, n))
+        free: dict[str, tuple[list, list, list]] = {}  # by start: starts, the furthest end up to there, tokens
+        for text, own in places.items():
+            own.sort(key=lambda x: x[0])
+            free[text] = [x[0] for x in own], list(accumulate((x[1] for x in own), max)), own
+        out, taken = [], set()
+        for own, side, n, a, b, text, _ in part:
+            if side == 1:
+                continue
+            starts, reached, tokens_ = free.get(text, ([], [], []))
+            k, best = bisect_left(starts, b - EPS), None
+            while k and (reached[k - 1] > a + EPS or starts[k - 1] >= a - EPS):
+                k -= 1
+                if tokens_[k][1] > a + EPS or starts[k] >= a - EPS:
+                    rank = abs(starts[k] - a) > EPS, tokens_[k][2]
+                    best = min(best, (rank, k)) if best else (rank, k)
+            if best:
+                taken.add(tokens_[best[1]][2])
+            out.append((own, n, tokens_[best[1]][3] if best else None))
+            for line in (starts, reached, tokens_) if best else ():
+                del line[best[1]]
+        return [*out, *[(r[0], None, r[2]) for i, r in enumerate(theirs) if i not in taken]]
+
+    return each_group(both, [key, "cluster"], ["n"], settle, f"{key} {dict(words.dtypes)[key]}, word long, token long")
 
 
 def corrections(words: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
@@ -409,9 +421,9 @@ def corrections(words: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
     gone = pairs.where("word IS NULL").select(key, "token").join(tokens.where("text <> ''"), [key, "token"])
     loose = new.select(key, "start", "end", F.lit(1).alias("side"), "word", "turn", "text").unionByName(gone.select(key, "start", "end", F.lit(0).alias("side"), F.col("token").alias("word"), F.lit(-1).cast("long").alias("turn"), "text"))
 
-    def group(part: pd.DataFrame) -> pd.DataFrame:
+    def group(part: list[tuple]) -> list[tuple]:
         stretches: list[dict] = []
-        for a, b, side, n, turn, text in part.sort_values(["start", "side", "word"], ascending=[True, False, True])[["start", "end", "side", "word", "turn", "text"]].itertuples(index=False):
+        for own, a, b, side, n, turn, text, _ in part:
             s = stretches[-1] if stretches else None
             follows = s is not None and (side == 0 or s["last"] is None or (turn == s["turn"] and n == s["last"] + 1))
             if s is None or a > s["to"] + EPS or not follows:
@@ -421,12 +433,10 @@ def corrections(words: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
             s["original" if side == 0 else "now"].append(text)
             if side == 1:
                 s["first"], s["last"], s["turn"] = s["first"] if s["first"] is not None else n, n, turn
-        whole = lambda c: pd.array([s[c] for s in stretches], "Int64")
-        return pd.DataFrame({key: part[key].iloc[0], "turn": whole("turn"), "first": whole("first"), "last": whole("last"), "original": [" ".join(s["original"]) for s in stretches],
-                             "now": [" ".join(s["now"]) for s in stretches], "from": [float(s["from"]) for s in stretches], "to": [float(s["to"]) for s in stretches]})
+        return [(own, s["turn"], s["first"], s["last"], " ".join(s["original"]), " ".join(s["now"]), float(s["from"]), float(s["to"])) for s in stretches]
 
     kind = f"{key} {dict(words.dtypes)[key]}, turn long, first long, last long, original string, now string, from double, to double"
-    stretches = clustered(loose, key, "start", "end", EPS).groupBy(key, "cluster").applyInPandas(group, kind)
+    stretches = each_group(clustered(loose, key, "start", "end", EPS), [key, "cluster"], ["start", F.desc("side"), "word"], group, kind)
     typed = stretches.where("first IS NOT NULL AND now <> original").drop("from", "to")
     return typed.unionByName(_beside(stretches.where("first IS NULL"), words, key))
 

@@ -34,3 +34,12 @@ def test_many_small_sentences(spark):
     begun = time.time()
     assert C.sentences_of(t, "k", 2, 1000, 4000).groupBy("sent").count().orderBy("sent").collect() == [(0, 60_000), (1, 60_000)]
     assert time.time() - begun < 60
+
+
+def test_one_word_said_again_and_again_is_paired(spark):
+    w = spark.range(40_000).select(F.lit(0).cast("long").alias("doc"), F.col("id").alias("word"), F.lit(0).cast("long").alias("turn"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 10).alias("end"), F.lit("a").alias("text"), F.lit(True).alias("sure"))
+    t = w.where("word % 100 <> 7").select("doc", F.col("word").alias("token"), "start", "end", "text")
+    begun = time.time()
+    pairs = E.paired(w, t, "doc")
+    assert pairs.where("word = token").count() == 39_600 and pairs.where("token IS NULL AND word % 100 = 7").count() == 400
+    assert time.time() - begun < 60
