@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from ..operators import seams
+from ..operators.groups import each_group
 from .queries_text import table
 from .queries_time import EV, MINUTE, points
 
@@ -98,16 +99,17 @@ def k4(spark, sf):
     a = p.join(bounds, ["conv_id", "chunk"]).where(F.col("end") > F.col("b_first") - OVERLAP).withColumn("side", F.lit(0))
     b = p.withColumn("chunk", F.col("chunk") - 1).join(bounds, ["conv_id", "chunk"]).where(F.col("start") < F.col("a_last") + OVERLAP).withColumn("side", F.lit(1))
 
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        x, y = part[part["side"] == 0], part[part["side"] == 1]
+    def pairs(part: list[tuple]) -> list[tuple]:
+        x, y = ([r for r in part if r[5] == side] for side in (0, 1))
         if min(len(x), len(y)) < 2:
-            return pd.DataFrame({"conv_id": [], "chunk": [], "n": [], "pairs": []})
-        same = (x["word"].to_numpy()[:, None] == y["word"].to_numpy()) & (abs(x["start"].to_numpy()[:, None] - y["start"].to_numpy()) < OVERLAP / 2)
+            return []
+        (words, starts), (others, times) = ([np.array([r[i] for r in side]) for i in (3, 4)] for side in (x, y))
+        same = (words[:, None] == others) & (abs(starts[:, None] - times) < OVERLAP / 2)
         found = seams.longest_subsequence(same)
-        return pd.DataFrame({"conv_id": part["conv_id"].iloc[:1], "chunk": part["chunk"].iloc[:1], "n": [len(found)], "pairs": [",".join(f"{i}:{j}" for i, j in found)]})
+        return [(*part[0][:2], len(found), ",".join(f"{i}:{j}" for i, j in found))]
 
-    return a.unionByName(b).groupBy("conv_id", "chunk").applyInPandas(pairs, "conv_id long, chunk long, n long, pairs string")
+    both = a.unionByName(b).select("conv_id", "chunk", "place", "word", "start", "side")
+    return each_group(both, ["conv_id", "chunk"], ["place"], pairs, "conv_id long, chunk long, n long, pairs string")
 
 
 Q["k4_merge_lcs"], O["k4_merge_lcs"] = k4, READ + f""", dp AS (

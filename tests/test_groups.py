@@ -43,3 +43,10 @@ def test_one_word_said_again_and_again_is_paired(spark):
     pairs = E.paired(w, t, "doc")
     assert pairs.where("word = token").count() == 39_600 and pairs.where("token IS NULL AND word % 100 = 7").count() == 400
     assert time.time() - begun < 60
+
+
+def test_seams_with_one_token_on_a_side_have_no_row(spark, monkeypatch):
+    one = [(0, 0, p, f"w{p}", 1000.0 * p, 1000.0 * p + 900) for p in range(5)] + [(0, 1, 0, "w4", 4050.0, 4400.0), (1, 0, 0, "a", 0.0, 500.0), (1, 0, 1, "b", 600.0, 900.0), (1, 1, 0, "a", 10.0, 510.0), (1, 1, 1, "b", 610.0, 920.0)]
+    df = spark.createDataFrame(one, "conv_id long, chunk long, place long, word string, start double, end double")
+    monkeypatch.setattr(R, "placed", lambda spark, sf: df)
+    assert [tuple(r) for r in R.k4(spark, "").collect()] == [(1, 0, 2, "0:0,1:1")]
