@@ -86,8 +86,8 @@ def detect_format(text: Column) -> Column:
 
 
 def stamp_ms(text: Column, at: int = 1) -> Column:
-    """Milliseconds of the at-th hh:mm:ss,mmm (or .mmm) stamp of a line."""
-    found = F.get(F.regexp_extract_all(text, F.lit(r"\d{1,2}:\d{2}:\d{2}[,.]\d{3}"), F.lit(0)), F.lit(at - 1))
+    """Milliseconds of the at-th hh:mm:ss,mmm (or .mmm) stamp of a line; hours may have any number of digits."""
+    found = F.get(F.regexp_extract_all(text, F.lit(r"\d+:\d{2}:\d{2}[,.]\d{3}"), F.lit(0)), F.lit(at - 1))
     part = lambda k: F.regexp_extract(found, r"(\d+):(\d+):(\d+)[,.](\d+)", k).cast("long")
     return F.when(found.isNotNull(), ((part(1) * 60 + part(2)) * 60 + part(3)) * 1000 + part(4))
 

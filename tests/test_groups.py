@@ -21,6 +21,12 @@ def test_groups_are_whole_in_order_and_may_give_nothing(spark):
     assert G.each_group(rows.where("k < 0"), ["k"], ["n"], took, "k long, n array<long>, t string").count() == 0
 
 
+def test_stamps_of_a_hundred_hours_and_more(spark):
+    ms = [0, 99 * 3_600_000 + 5, 100 * 3_600_000, 12_345 * 3_600_000 + 7]
+    r = spark.createDataFrame([(m,) for m in ms], "ms long").select("ms", X.stamp_ms(X.clock(F.col("ms"))).alias("back")).collect()
+    assert [x.back for x in r] == [x.ms for x in r] and len(r) == 4
+
+
 def test_many_small_cues(spark):
     k = F.col("id")
     s = spark.range(120_000).select(F.floor(k / 4).alias("u"), k.alias("sent"), (F.floor(k % 4 / 2) * 10).alias("start"), (F.floor(k % 4 / 2) * 10 + k % 2 * 3).alias("end"))
