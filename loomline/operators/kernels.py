@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from .groups import each_group
 from .seams import longest_subsequence
 
 #: Bytes of phrases that are sent to all tasks at most.
@@ -42,17 +43,17 @@ def select_marks(frames: DataFrame, key: str, frame: str, score: str, budget: in
     far = F.coalesce(F.col(frame) - F.lag(frame).over(w) >= least_gap, F.lit(True))
     good = good.withColumn("__new", far.cast("int")).withColumn("__run", F.sum("__new").over(w)).drop("__new")
 
-    def pick(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([score, frame], ascending=[False, True], kind="stable")
+    def pick(part: list[tuple]) -> list[tuple]:
         taken: list[int] = []
-        for f in part[frame].tolist():
-            i = bisect_left(taken, f)
+        for row in part:
+            f, i = row[1], bisect_left(taken, row[1])
             if (i == 0 or f - taken[i - 1] >= least_gap) and (i == len(taken) or taken[i] - f >= least_gap):
                 taken.insert(i, f)
-        return part[part[frame].isin(taken)].drop(columns=["__run"])
+        chosen = set(taken)
+        return [r[:3] for r in part if r[1] in chosen]
 
     kind = dict(frames.dtypes)
-    picked = good.groupBy(key, "__run").applyInPandas(pick, f"{key} {kind[key]}, {frame} {kind[frame]}, {score} {kind[score]}")
+    picked = each_group(good, [key, "__run"], [F.desc(score), frame], pick, f"{key} {kind[key]}, {frame} {kind[frame]}, {score} {kind[score]}")
     best = Window.partitionBy(key).orderBy(F.desc(score), frame)
     picked = picked.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= budget)
     ends = frames.groupBy(key).agg(F.max(frame).alias("__end"))

@@ -10,11 +10,14 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .groups import each_group
+
 Token = tuple[str, float, float]
 
 
@@ -111,28 +114,29 @@ def chunk_loop(chunks: DataFrame, key: str, overlap: float, least: float = 0, ba
     if banked is not None:
         tokens = tokens.unionByName(banked.select(key, F.lit(0).alias("run"), F.lit(0.0).alias("begins"), "place", "word", "start", "end"))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["run", "begins", "place", "start", "end", "word"])
-        readings = [list(zip(r["word"], r["start"], r["end"])) for _, r in part.groupby(["run", "begins"], sort=True)]
-        out = folded(readings, overlap)
-        return pd.DataFrame({key: part[key].iloc[0], "place": range(len(out)), "word": [t[0] for t in out], "start": [t[1] for t in out], "end": [t[2] for t in out]})
+    def fold(part: list[tuple]) -> list[tuple]:
+        readings = [[r[4:] for r in own] for _, own in groupby(part, key=itemgetter(1, 2))]
+        return [(part[0][0], i, *t) for i, t in enumerate(folded(readings, overlap))]
 
-    return tokens.groupBy(key).applyInPandas(fold, f"{key} {dict(chunks.dtypes)[key]}, place long, word string, start double, end double")
+    given = tokens.select(key, "run", "begins", "place", "word", "start", "end")
+    return each_group(given, [key], ["run", "begins", "place", "start", "end", "word"], fold, f"{key} {dict(chunks.dtypes)[key]}, place long, word string, start double, end double")
 
 
 def replayed(chunks: DataFrame, key: str, overlap: float, tolerances: list[float]) -> DataFrame:
     """key, tolerance, n, backwards, furthest: the merge at each tolerance, and how often and far starts step back in it."""
-    each = chunks.withColumn("tolerance", F.explode(F.array(*[F.lit(float(t)) for t in tolerances])))
+    tokens = chunks.select(key, F.col("begins").cast("double").alias("begins"), "word", (F.col("begins") + F.col("at")).cast("double").alias("start"), (F.col("begins") + F.col("until")).cast("double").alias("end"))
 
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(start=part["begins"] + part["at"], end=part["begins"] + part["until"]).sort_values(["begins", "start", "end", "word"])
-        readings = [list(zip(r["word"], r["start"], r["end"])) for _, r in part.groupby("begins", sort=True)]
-        out = folded(readings, overlap, float(part["tolerance"].iloc[0]))
-        steps = np.diff([t[1] for t in out])
-        back = steps[steps < 0]
-        return pd.DataFrame({key: [part[key].iloc[0]], "tolerance": [part["tolerance"].iloc[0]], "n": [len(out)], "backwards": [len(back)], "furthest": [float(-back.min()) if len(back) else 0.0]})
+    def replay(part: list[tuple]) -> list[tuple]:
+        readings = [[r[2:] for r in own] for _, own in groupby(part, key=itemgetter(1))]
+        told = []
+        for tolerance in tolerances:
+            starts = [t[1] for t in folded(readings, overlap, float(tolerance))]
+            back = [a - b for a, b in pairwise(starts) if b < a]
+            told.append((part[0][0], float(tolerance), len(starts), len(back), max(back, default=0.0)))
+        return told
 
-    return each.groupBy(key, "tolerance").applyInPandas(replay, f"{key} {dict(chunks.dtypes)[key]}, tolerance double, n long, backwards long, furthest double")
+    kinds = f"{key} {dict(chunks.dtypes)[key]}, tolerance double, n long, backwards long, furthest double"
+    return each_group(tokens, [key], ["begins", "start", "end", "word"], replay, kinds)
 
 
 def contiguous_seams(tokens: DataFrame, key: str, overlap: float) -> DataFrame:
@@ -230,15 +234,16 @@ def split_at_seams(tokens: DataFrame, key: str) -> DataFrame:
     clusters = clusters.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key, "cluster"))).select(key, "sent", "cluster", "n")
     joined = tokens.join(clusters, [key, "sent"])
 
-    def split(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["sent", "token"])
-        t = part["t"].to_numpy()
-        ends = part["e"].to_numpy(dtype=float)
-        return part.assign(sent_after=split_cluster(part["sent"].to_numpy(), t, np.where(np.isnan(ends), t, ends))).drop(columns=["cluster", "n"])
+    order = [key, "sent", *[c for c in tokens.columns if c not in (key, "sent")]]
+
+    def split(part: list[tuple]) -> list[tuple]:
+        sent, t = (np.array([r[i] for r in part]) for i in (1, order.index("t")))
+        ends = np.array([r[order.index("t")] if r[order.index("e")] is None else r[order.index("e")] for r in part], float)
+        return [(*r[: len(order)], x) for r, x in zip(part, split_cluster(sent, t, ends).tolist())]
 
     alone = joined.where("n = 1").select(*tokens.columns, F.col("sent").alias("sent_after"))
-    kind = ", ".join(f"{c} {k}" for c, k in [*[(c, dict(tokens.dtypes)[c]) for c in [key, "sent", *[c for c in tokens.columns if c not in (key, "sent")]]], ("sent_after", dict(tokens.dtypes)["sent"])])
-    cut = joined.where("n > 1").groupBy(key, "cluster").applyInPandas(split, kind)
+    kind = ", ".join(f"{c} {k}" for c, k in [*[(c, dict(tokens.dtypes)[c]) for c in order], ("sent_after", dict(tokens.dtypes)["sent"])])
+    cut = each_group(joined.where("n > 1").select(*order, "cluster"), [key, "cluster"], ["sent", "token"], split, kind)
     return alone.unionByName(cut)
 
 

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
-from loomline.operators import cues as C, edits as E, groups as G
+from loomline.operators import cues as C, edits as E, groups as G, seams as S
 from loomline.plans import queries_recut as R
 
 
@@ -56,3 +56,16 @@ def test_seams_with_one_token_on_a_side_have_no_row(spark, monkeypatch):
     df = spark.createDataFrame(one, "conv_id long, chunk long, place long, word string, start double, end double")
     monkeypatch.setattr(R, "placed", lambda spark, sf: df)
     assert [tuple(r) for r in R.k4(spark, "").collect()] == [(1, 0, 2, "0:0,1:1")]
+
+
+def test_readings_merged_at_all_tolerances_in_one_group(spark):
+    said = [(c, i, f"w{(i * 7 + c) % 50}", 500.0 * (i - 105 * c) + 40 * c, 500.0 * (i - 105 * c) + 300) for c in range(3) for i in range(105 * c, 105 * c + 120)]
+    rows = [(k, 52_500.0 * c, 60_000.0, w, at, until) for k in range(6_000) for c, i, w, at, until in (said if k == 0 else said[:2])]
+    chunks = spark.createDataFrame(rows, "k long, begins double, lasts double, word string, at double, until double")
+    begun = time.time()
+    got = {(r.k, r.tolerance): r for r in S.replayed(chunks, "k", 7500.0, [3750.0, 100.0, 1.0]).collect()}
+    assert time.time() - begun < 60 and len(got) == 18_000
+    for t in (3750.0, 100.0, 1.0):
+        starts = [x[1] for x in S.folded([[(w, 52_500.0 * c + a, 52_500.0 * c + u) for d, _, w, a, u in said if d == c] for c in range(3)], 7500.0, t)]
+        back = [a - b for a, b in zip(starts, starts[1:]) if b < a]
+        assert tuple(got[0, t])[2:] == (len(starts), len(back), max(back, default=0.0))
