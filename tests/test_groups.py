@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
-from loomline.operators import cues as C, edits as E, groups as G, seams as S
+from loomline.operators import cues as C, edits as E, groups as G, matching as M, seams as S
 from loomline.plans import queries_recut as R
 
 
@@ -69,3 +69,18 @@ def test_readings_merged_at_all_tolerances_in_one_group(spark):
         starts = [x[1] for x in S.folded([[(w, 52_500.0 * c + a, 52_500.0 * c + u) for d, _, w, a, u in said if d == c] for c in range(3)], 7500.0, t)]
         back = [a - b for a, b in zip(starts, starts[1:]) if b < a]
         assert tuple(got[0, t])[2:] == (len(starts), len(back), max(back, default=0.0))
+
+
+def test_pairs_of_texts_are_held_a_few_at_a_time(spark):
+    rows = spark.range(1_000, numPartitions=1).select("id", F.array(F.lit("a")).alias("a"), F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("b"))
+
+    class Plan:
+        schema = rows.schema
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([rows.toArrow().combine_chunks().to_batches()[0]])))
+
+    made = M.per_pair(Plan(), "a", "b", lambda x, y: (len(x), len(y)), "n long, m long")
+    assert max(b.num_rows for b in made) <= M.PAIRS and sum(b.num_rows for b in made) == 1_000
+    got = M.per_pair(rows, "a", "b", lambda x, y: (len(x), len(y)), "n long, m long").collect()
+    assert sorted(map(tuple, got)) == [(i, 1, 2 if i % 2 == 0 else 0) for i in range(1_000)]
