@@ -6,12 +6,32 @@ from collections.abc import Callable, Iterable, Iterator
 from operator import itemgetter
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of a batch that goes back to Spark, if no single group has more.
 ROWS = 10_000
 
+#: Rows of a narrow table that one task takes, of those that grow on their way.
+EACH = 50_000
+
+
+def spread(rows: DataFrame, *keys: str, each: int = EACH) -> DataFrame:
+    """rows dealt out by keys, about `each` of them to a task, however many there are.
+
+    Adaptive execution puts parts together by the bytes that were shuffled, up to one part for each core; where rows grow behind the shuffle (exploded,
+    sorted, collected), a task's memory then grows with the table. A number of parts that is asked for stays as it is.
+    """
+    parts = max(-(-rows.count() // each), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys)
+
+
+def kept(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows worked out once, onto the executors' disks (they go with their last reader), for what reads them many times, and dealt out by keys, if any."""
+    once = rows.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    return spread(once, *keys) if keys else once
+
 
 def each_group(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[list[tuple]], Iterable[tuple]], kinds: str) -> DataFrame:
     """The rows (of columns `kinds`, DDL) that run gives for the rows of each group by keys, which it gets as tuples in the given order.

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import edits
+from .groups import kept
 
 
 def list_digests(entries: DataFrame) -> DataFrame:
@@ -29,11 +30,11 @@ def patched(entries: DataFrame, patches: DataFrame, sources: DataFrame, names: D
     fits = (F.col("start") >= 0) & (F.col("start") <= F.col("size")) & (F.col("gone") >= 0) & (F.col("gone") <= F.col("size") - F.col("start"))
     ready = F.col("digest").isNotNull() & F.equal_null("against", "digest") & F.coalesce(fits, F.lit(False))
     own = Window.partitionBy("doc")
-    p = p.withColumn("first", F.min(F.when(ready, F.col("seq"))).over(own))
+    p = kept(p.withColumn("first", F.min(F.when(ready, F.col("seq"))).over(own)), "doc")
     chosen = p.where("seq = first")
     put = chosen.select("doc", F.posexplode("put").alias("at", "e")).select("doc", "at", "e.*")
     tried = edits.splice(entries.join(chosen.select("doc"), "doc", "left_semi"), chosen.select("doc", "start", (F.col("start") + F.col("gone")).alias("stop")), put)
-    wrong = edits.violations(tried, sources, names).select("doc", F.concat(F.lit("broken: "), "reason").alias("wrong"))
+    wrong = kept(edits.violations(tried, sources, names).select("doc", F.concat(F.lit("broken: "), "reason").alias("wrong")), "doc")
     good = chosen.select("doc").join(wrong, "doc", "left_anti")
     after = entries.join(good, "doc", "left_anti").select("doc", "pos", *edits.FIELDS).unionByName(tried.join(good, "doc", "left_semi"))
     outcome = (

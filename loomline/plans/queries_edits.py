@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..operators import edits as E
+from ..operators.groups import kept, spread
 from .queries_time import EV, MINUTE, points
 
 Q, O = {}, {}
@@ -13,23 +14,22 @@ Q, O = {}, {}
 def lists(spark, sf):
     """Each user's events in time as an edit list: a paragraph before each sixth event, a word for each, a pause over what follows it."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    p = points(spark, sf).withColumns({"n": F.row_number().over(w), "next": F.lead("t").over(w)})
+    p = spread(points(spark, sf), "user_id").withColumns({"n": F.row_number().over(w), "next": F.lead("t").over(w)})
     p = p.withColumn("length", F.least((F.col("event_id") % 240 + 1) * MINUTE, F.coalesce(F.col("next") - F.col("t"), F.lit(MINUTE))))
-    none = lambda kind: F.lit(None).cast(kind)
-    source = F.lit("0")
-    mark = F.struct(F.lit(0).alias("part"), F.lit("paragraph").alias("kind"), F.format_string("SPEAKER_%02d", F.col("event_id") % 3).alias("speaker"), F.lit("en").alias("language"), none("string").alias("source"),
-                    none("long").alias("source_start"), none("long").alias("length"), none("string").alias("text"), none("boolean").alias("muted"), none("double").alias("confidence"))
-    item = lambda part, start, length, text, c: F.struct(F.lit(part).alias("part"), F.lit("item").alias("kind"), none("string").alias("speaker"), none("string").alias("language"), source.alias("source"),
-                                                         start.alias("source_start"), length.alias("length"), text.alias("text"), F.lit(False).alias("muted"), c.alias("confidence"))
     end = F.col("t") + F.col("length")
-    parts = F.array(
-        F.when((F.col("event_id") % 6 == 0) | (F.col("n") == 1), mark),
-        item(1, F.col("t"), F.col("length"), F.col("event_type"), F.col("value") / 100),
-        F.when(F.col("next") > end, item(2, end, F.col("next") - end, F.lit(""), none("double"))),
-    )
-    e = p.select("user_id", "event_id", "n", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("e"))
-    pos = (F.row_number().over(Window.partitionBy("user_id").orderBy("n", "e.part")) - 1).cast("long")
-    return e.select(F.col("user_id").alias("doc"), pos.alias("pos"), *[F.col(f"e.{f}").alias(f) for f in E.FIELDS], "event_id")
+    opens, waits = (F.col("event_id") % 6 == 0) | (F.col("n") == 1), F.coalesce(F.col("next") > end, F.lit(False))
+    of = lambda *parts: F.array(*map(F.lit, parts))
+    p = p.withColumn("parts", F.when(opens & waits, of(0, 1, 2)).when(opens, of(0, 1)).when(waits, of(1, 2)).otherwise(of(1)))
+    p = p.withColumn("before", F.sum(F.size("parts")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.size("parts"))
+    e = p.select("*", F.posexplode("parts").alias("k", "part"))
+    part = lambda first, word, pause, kind: F.when(F.col("part") == 0, first).when(F.col("part") == 1, word).otherwise(pause).cast(kind)
+    none, zero, no = F.lit(None), F.lit("0"), F.lit(False)
+    fields = {
+        "kind": part(F.lit("paragraph"), F.lit("item"), F.lit("item"), "string"), "speaker": part(F.format_string("SPEAKER_%02d", F.col("event_id") % 3), none, none, "string"), "language": part(F.lit("en"), none, none, "string"),
+        "source": part(none, zero, zero, "string"), "source_start": part(none, F.col("t"), end, "long"), "length": part(none, F.col("length"), F.col("next") - end, "long"), "text": part(none, F.col("event_type"), F.lit(""), "string"),
+        "muted": part(none, no, no, "boolean"), "confidence": part(none, F.col("value") / 100, none, "double"),
+    }
+    return e.select(F.col("user_id").alias("doc"), (F.col("before") + F.col("k")).alias("pos"), *[fields[f].alias(f) for f in E.FIELDS], "event_id")
 
 
 LISTS = EV + """, en AS (SELECT *, row_number() OVER w AS n, lead(t) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
@@ -164,7 +164,7 @@ def edges(e):
 
 def m5(spark, sf):
     """Lists in which a word's edge was dragged: its neighbour gives way, pauses are made anew."""
-    e = lists(spark, sf).drop("event_id")
+    e = kept(lists(spark, sf).drop("event_id"), "doc")
     return _shown(E.retime(e, edges(e)))
 
 
@@ -173,7 +173,7 @@ Q["m5_retime"] = m5
 
 def m6(spark, sf):
     """Lists in which a stretch of words was given to another speaker."""
-    e = lists(spark, sf).drop("event_id")
+    e = kept(lists(spark, sf).drop("event_id"), "doc")
     w = e.where(E.is_word()).withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("pos"))).where(F.col("k") == F.col("doc") % 12 + 1)
     wish = w.select("doc", F.col("pos").alias("start"), (F.col("pos") + 1 + F.col("doc") % 8).alias("stop"), F.format_string("SPEAKER_%02d", F.col("doc") % 4).alias("speaker"))
     return _shown(E.speaker_change(e, wish))

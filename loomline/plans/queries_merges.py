@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import edits as E, merges as M
+from ..operators.groups import kept
 from ..streaming.resume import reused
 from .queries_edits import LISTS, lists
 from .queries_text import table
@@ -15,8 +16,8 @@ Q, O = {}, {}
 
 def m7(spark, sf):
     """Two patches for each list, some made against an older one, outside it or breaking it: what became of each, and of the list."""
-    e = lists(spark, sf).drop("event_id")
-    now = M.list_digests(e)
+    e = kept(lists(spark, sf).drop("event_id"), "doc")
+    now = kept(M.list_digests(e), "doc")
     word = lambda start: F.array(F.struct(*[F.lit(v).cast(t.split()[1]).alias(t.split()[0]) if t.split()[0] != "source_start" else start.cast("long").alias("source_start") for t, v in zip(E.ENTRY.split(", "), ("item", None, None, "0", 0, 1, "new", False, 1.0))])).cast(E.ENTRIES)
     both = now.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
     doc = F.col("doc")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as X
 from loomline.operators import cues as C, edits as E, groups as G, matching as M, seams as S
-from loomline.plans import queries_recut as R
+from loomline.plans import queries_edits as Q, queries_merges as W, queries_recut as R
 
 
 def test_groups_are_whole_in_order_and_may_give_nothing(spark):
@@ -84,3 +84,14 @@ def test_pairs_of_texts_are_held_a_few_at_a_time(spark):
     assert max(b.num_rows for b in made) <= M.PAIRS and sum(b.num_rows for b in made) == 1_000
     got = M.per_pair(rows, "a", "b", lambda x, y: (len(x), len(y)), "n long, m long").collect()
     assert sorted(map(tuple, got)) == [(i, 1, 2 if i % 2 == 0 else 0) for i in range(1_000)]
+
+
+def test_parts_follow_rows_not_bytes(spark):
+    rows = spark.range(40_000).select((F.col("id") % 900).alias("k"))
+    assert G.spread(rows, "k", each=1_000).rdd.getNumPartitions() == 40
+
+
+def test_edit_lists_are_made_once(spark):
+    for query in (Q.m5, Q.m6, W.m7):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan" not in plan  # the lists and what was settled before stand on disk
