@@ -204,7 +204,7 @@ def extracted(cues, key: str):
 
 def s14(spark, sf):
     """Documents packed into cues, and unpacked again."""
-    back = extracted(embedded(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").repartition("k"), "doc_id")
+    back = extracted(embedded(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").repartition("doc_id", "k"), "doc_id")
     return back.select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as X
 from loomline.operators import cues as C, edits as E, groups as G, matching as M, seams as S
-from loomline.plans import queries_edits as Q, queries_merges as W, queries_recut as R
+from loomline.plans import queries_edits as Q, queries_merges as W, queries_more as O, queries_recut as R
 
 
 def test_groups_are_whole_in_order_and_may_give_nothing(spark):
@@ -95,3 +95,8 @@ def test_edit_lists_are_made_once(spark):
     for query in (Q.m5, Q.m6, W.m7):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "FileScan" not in plan  # the lists and what was settled before stand on disk
+
+
+def test_first_cues_are_not_one_task_s(spark):
+    plan = O.s14(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k#" not in plan and "hashpartitioning(doc_id#" in plan
