@@ -2,7 +2,7 @@
 
 Toxic documents go, one document of each group of near copies stays, passages of WORDS words or more that
 stand more than once go from the texts, contaminated documents go, and what is left is encoded.
-The stage simhash_near_dedup has the index and the tally of that operator, but its bytes are of MinHashes: SimHash bytes can't find pairs of 0.8.
+The stage simhash_near_dedup links what op5's SimHash index finds and exact shingle sets confirm; pairs of 0.8, mostly out of the reach of four bits, are found by bytes of MinHashes behind it.
 SQL can't express it (a learned classifier, connected components, best-score segmentation).
 """
 

@@ -1,9 +1,12 @@
 """One document of each group of near copies: those of shingle sets with a Jaccard similarity of 0.8 or more.
 
-A text's fingerprint has BANDS x VALUES bytes, each from the least of its shingles' hashes under another
-permutation, so two texts share a positional byte with the chance of their similarity. (A SimHash's bytes
-are no index for this: at 0.8 a sixth to a seventh of its bits differ, and a byte is shared with a chance of
-0.27.) Terms of the inverted index are sets of VALUES positional bytes: a pair of similarity 0.8 shares none of
+SimHash comes first: fingerprints of 64 bits (op5's, of the same shingles) are indexed by their positional bytes
+and linked where BITS bits or fewer differ, and the links whose exact shingle sets are similar enough join groups.
+A pair of 0.8 is mostly further apart than that (a sixth to a seventh of the bits differ), so what SimHash leaves
+in different groups goes on to a second fingerprint.
+
+That one has BANDS x VALUES bytes, each from the least of the shingles' hashes under another
+permutation, so two texts share a positional byte with the chance of their similarity. Terms of the inverted index are sets of VALUES positional bytes: a pair of similarity 0.8 shares none of
 the BANDS with a chance of (1 - 0.8**5)**30 < 0.00001. Pairs that share a term are tallied byte for byte; those
 under LEAST shared bytes (at 0.8 a chance of about 0.00001) go, all others are verified by their exact shingle
 sets before they are links. Groups are the components of the links; equal sets are one node from the start.
@@ -33,8 +36,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import checkpointed, let_go, small_enough
 from .components import components
 from .hashing import U, blocks, buffers, runs, word_hashes, word_spans
+from .simhash import fingerprint_links, simhash
 
 BANDS, VALUES, LEAST = 30, 5, 96
+#: Differing bits of SimHash fingerprints up to which texts are linked.
+BITS = 4
 #: Nodes of a term that one task compares with each other, or with as many.
 LIST = 2048
 SEED = 7
@@ -75,15 +81,25 @@ def fingerprint(hashes: np.ndarray, first: int = 0, last: int = BANDS * VALUES)
 
 
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
-    """id and h of rows, with the digest that equal sets share and the fingerprint."""
+    """id and h of rows, with the digest that equal sets share, the SimHash and the fingerprint of bytes."""
 
-    @F.pandas_udf("digest binary, bytes binary")
+    @F.pandas_udf("digest binary, bytes binary, fp long")
     def signed(texts: pd.Series) -> pd.DataFrame:
         let_go()
-        both = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), fingerprint(s)) for s in shingle_sets(pa.array(texts, pa.string()), shingle)]
-        return pd.DataFrame(both, columns=["digest", "bytes"])
+        sets = shingle_sets(pa.array(texts, pa.string()), shingle)
+        all_ = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), fingerprint(s), simhash(t, shingle)) for s, t in zip(sets, texts)]
+        return pd.DataFrame(all_, columns=["digest", "bytes", "fp"])
+
+    return rows.withColumn("signed", signed("text")).select("id", "h", "signed.digest", "signed.bytes", "signed.fp")
+
 
-    return rows.withColumn("signed", signed("text")).select("id", "h", "signed.digest", "signed.bytes")
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes (node, fp) that connect all those whose fingerprints are linked by BITS differing bits or fewer: no more of them than nodes."""
+    first = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    x, y = (first.select(F.col("fp").alias(c), F.col("first").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    near = fingerprint_links(first, BITS).join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return checkpointed(equal.unionByName(near).distinct())
 
 
 def _best_partners(open_: DataFrame, rank: int) -> DataFrame:
@@ -183,16 +199,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, tenths: int) ->
 
 
 def similar_groups(nodes: DataFrame, rows: DataFrame, shingle: int, tenths: int) -> DataFrame:
-    """(node, root) of each node that is linked to another. nodes: (node, bytes, id, h); rows: (id, h, text)."""
+    """(node, root) of each node that is linked to another. nodes: (node, bytes, fp, id, h); rows: (id, h, text)."""
     term = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("bytes"), k * VALUES + 1, F.lit(VALUES))))
     keys = nodes.where(F.length("bytes") > 0).select("node", F.posexplode(term).alias("band", "term"))
     own = Window.partitionBy("term")
     keys = checkpointed(keys.withColumn("size", F.count(F.lit(1)).over(own)).where("size > 1").select("term", "band", "node"))
-    wanted = nodes.join(keys.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("h").alias("g"))
+    pairs = _simhash_pairs(nodes.where(F.length("bytes") > 0))
+    either = keys.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = nodes.join(either, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("h").alias("g"))
     wanted = small_enough(checkpointed(wanted), 40)
     texts = checkpointed(rows.join(wanted, (F.col("h") == F.col("g")) & F.equal_null("id", "i")).select("node", "text").dropDuplicates(["node"]))
-    tested = links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    found, rank, more = nodes.select("node", F.col("node").alias("root")).where("false"), 0, True
+    tested, links = pairs, _verified(pairs, texts, shingle, tenths)
+    found, rank, more = components(links), 0, True
     while True:
         rooted = keys.join(found, "node", "left").select("term", "band", "node", F.coalesce("root", "node").alias("root"))
         several = F.min("root").over(own) < F.max("root").over(own)
@@ -216,7 +234,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, tenths: int = 8, id_col: str
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"))
     signed = checkpointed(_signed(rows, shingle))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")
-    nodes = signed.groupBy("digest").agg(F.first("bytes").alias("bytes"), least).select("bytes", "least.id", "least.h", "digest")
+    own = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "fp")).alias("least")
+    nodes = signed.groupBy("digest").agg(F.first("bytes").alias("bytes"), own).select("bytes", "least.fp", "least.id", "least.h", "digest")
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = nodes.join(similar_groups(nodes, rows, shingle, tenths), "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
     kept = checkpointed(roots.groupBy("root").agg(least).select(F.col("least.id").alias("__i"), F.col("least.h").alias("__h")))

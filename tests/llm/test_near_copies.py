@@ -3,8 +3,10 @@ import re
 from itertools import combinations
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from loomline.llm import near_copies as N, simhash
 
 
 def shingles(text, k=5):
@@ -48,3 +50,18 @@ def test_similarity_around_the_limit_and_a_large_group(spark):
             copy[rng.randrange(150)] = word()
         texts.append(" ".join(copy))
     assert kept(spark, texts) == brute(texts)
+
+
+def test_simhash_links_copies_on_its_own(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(20):  # a word of 600 changed: few bits differ
+        base = [f"w{rng.randrange(10**9)}" for _ in range(600)]
+        texts += [" ".join(base), " ".join(["other", *base[1:]])]
+    texts += [f"{t} end" for t in ("a b c d e", "f g h i j")]
+    near = [i for i in range(0, 40, 2) if ((simhash.simhash(texts[i], 5) ^ simhash.simhash(texts[i + 1], 5)) & (1 << 64) - 1).bit_count() <= N.BITS]
+    assert len(near) > 10
+    monkeypatch.setattr(N, "_best_partners", lambda open_, rank: open_.select(F.col("node").alias("x"), F.col("node").alias("y")).where("false"))
+    monkeypatch.setattr(N, "_all_partners", lambda open_: open_.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    got = kept(spark, texts)
+    assert not {i + 1 for i in near} & set(got) and {*range(0, 40, 2), 40, 41} <= set(got)
