@@ -7,7 +7,7 @@ from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of a batch that goes back to Spark, if no single group has more.
@@ -33,6 +33,15 @@ def kept(rows: DataFrame, *keys: str) -> DataFrame:
     return spread(once, *keys) if keys else once
 
 
+#: Bytes of a table that is sent to all tasks, at most.
+BROADCAST_BYTES = 24 << 20
+
+
+def small(rows: DataFrame, row_bytes: int) -> DataFrame:
+    """rows with a broadcast hint if they, at most row_bytes each, stay under the bound together; what they are joined with isn't shuffled then."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows
+
+
 def each_group(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[list[tuple]], Iterable[tuple]], kinds: str) -> DataFrame:
     """The rows (of columns `kinds`, DDL) that run gives for the rows of each group by keys, which it gets as tuples in the given order.
 

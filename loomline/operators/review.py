@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
+from .groups import small
 
 #: How far outside all spans a word's middle may lie and still be given to the first or last one (milliseconds).
 EDGE = 1000
@@ -104,10 +105,11 @@ def within_edits(words: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     e = e.select("entry", "n", "i", F.substr("entry", part(F.col("n"), F.col("i")).cast("int") + 1, (part(F.col("n"), F.col("i") + 1) - part(F.col("n"), F.col("i"))).cast("int")).alias("part"))
     size = F.length("word")
     w = words.select("word", F.explode(F.sequence(F.greatest(size - limit, F.lit(1)), size + limit)).alias("n"))
-    w = w.select("word", "n", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("i")).select("*", F.explode(F.sequence(F.lit(-limit), F.lit(limit))).alias("shift"))
-    start = part(F.col("n"), F.col("i")) + F.col("shift")
-    long = part(F.col("n"), F.col("i") + 1) - part(F.col("n"), F.col("i"))
-    w = w.where((start >= 0) & (start + long <= size)).select("word", "n", "i", F.substr("word", start.cast("int") + 1, long.cast("int")).alias("part")).distinct()
+    w = w.select("word", "n", F.explode(F.sequence(F.lit(0), F.lit(limit))).alias("i"))
+    start, long = part(F.col("n"), F.col("i")), part(F.col("n"), F.col("i") + 1) - part(F.col("n"), F.col("i"))
+    shifts = F.filter(F.sequence(F.lit(-limit), F.lit(limit)), lambda s: (start + s >= 0) & (start + s + long <= size))
+    parts = F.array_distinct(F.transform(shifts, lambda s: F.substr("word", (start + s).cast("int") + 1, long.cast("int"))))  # by row: the rows themselves are too many to be told apart by a shuffle
+    w = w.select("word", "n", "i", F.explode(parts).alias("part"))
     near = w.join(e, ["n", "i", "part"]).select("word", "entry").distinct().withColumn("edits", F.levenshtein("word", "entry", limit))
     return near.where("edits >= 0")
 
@@ -117,10 +119,10 @@ def candidates(words: DataFrame, entries: DataFrame) -> DataFrame:
 
     words: (word) of four letters or more that aren't listed; entries: (entry, place), also of four or more; of several the first in place.
     """
-    e = entries.where("length(entry) >= 4")
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda i: F.substring("word", i, F.lit(4))))
+    e = small(entries.where("length(entry) >= 4"), 256)
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 3), lambda i: F.substring("word", i, F.lit(4)))))
     w = words.where("length(word) >= 4").join(entries.select(F.col("entry").alias("word")), "word", "left_anti")
-    held = w.select("word", grams.alias("gram")).distinct().join(e.select("entry", F.substring("entry", 1, 4).alias("gram")), "gram")
+    held = w.select("word", grams.alias("gram")).join(e.select("entry", F.substring("entry", 1, 4).alias("gram")), "gram")
     held = held.where(F.contains("word", "entry")).select("word", "entry", F.lit("contains").alias("how"))
     names = e.select("entry")
     near = within_edits(w, names.where("length(entry) < 7"), 1).unionByName(within_edits(w, names.where("length(entry) >= 7"), 2))

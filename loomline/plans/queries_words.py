@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import grids, matching as M, review as R
+from ..operators.groups import kept
 from .queries_edits import LISTS, lists
 from .queries_text import TOK, WORD_SQL, table, tokens
 
@@ -223,10 +224,11 @@ SELECT doc, seg, s AS start, e AS "end", t AS ground_truth, 'clip' AS kind FROM
 
 def vocabulary(spark, sf):
     """(words, entries): words that stand three times or more; each two hundredth of them, by hash, is listed."""
-    w = tokens(spark, sf).select(F.explode("words").alias("word")).withColumn("word", F.lower("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    w = tokens(spark, sf).select(F.explode("words").alias("word")).withColumn("word", F.lower("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("word")
+    w = kept(w)  # read by each search
     h = F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long")
     listed = w.where((h % 200 == 0) & (F.length("word") >= 4)).select(F.col("word").alias("entry"), F.md5("word").alias("place"))
-    return w.select("word"), listed
+    return w, kept(listed)
 
 
 def m20(spark, sf):
@@ -291,7 +293,10 @@ def a20l(spark, sf):
     """Lopsided words: of three labelled documents or more, nine tenths of them toxic, and not near any listed spelling."""
     words, listed = vocabulary(spark, sf)
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    each = tokens(spark, sf).join(labels, "doc_id").select("doc_id", "toxic", F.explode(F.transform("words", F.lower)).alias("word")).distinct()
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    again = kept(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))  # ids that repeat: their words are told apart by a shuffle, others' by row
+    each = lambda d: d.join(labels, "doc_id").select("doc_id", "toxic", F.explode(F.array_distinct(F.transform(X.words(F.col("text")), F.lower))).alias("word"))
+    each = each(docs) if again.isEmpty() else each(docs.join(again, "doc_id", "left_anti")).unionByName(each(docs.join(again, "doc_id", "left_semi")).distinct())
     g = each.groupBy("word").agg(F.count(F.lit(1)).alias("docs"), F.sum("toxic").cast("long").alias("toxic_docs")).where("docs >= 3 AND toxic_docs * 10 >= docs * 9")
     return g.join(R.candidates(words, listed).select("word"), "word", "left_anti").join(listed.select(F.col("entry").alias("word")), "word", "left_anti")
 
