@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .groups import each_group
@@ -15,6 +17,8 @@ from .seams import longest_subsequence
 
 #: Bytes of phrases that are sent to all tasks at most.
 SMALL_BYTES = 24 << 20
+#: Lists of words that Python holds at once.
+LISTS = 1024
 
 
 def _per_row(rows: DataFrame, run, new: str) -> DataFrame:
@@ -176,3 +180,67 @@ def find_phrases(docs: DataFrame, phrases: DataFrame, text: str, most: int) -> D
     kept = F.aggregate("all", start, lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))
     out = found.groupBy("doc_id").agg(own.alias("all")).select("doc_id", F.explode(kept).alias("x"))
     return out.select("doc_id", F.col("x.first").cast("long").alias("first"), "x.size", "x.entry")
+
+
+def _per_list(rows: DataFrame, words: str, run: Callable[[pa.RecordBatch, pa.Array, np.ndarray], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """What run gives for LISTS rows at once: their other columns, all their words as one array, and each row's first place there with the end behind."""
+    rest = [c for c in rows.columns if c != words]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for i in range(0, whole.num_rows, LISTS):
+                part = whole.slice(i, LISTS)
+                lists = part.column(words)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                yield run(part.select(rest), pc.list_flatten(lists), np.append(0, np.cumsum(sizes)).astype(np.int64))
+
+    return rows.mapInArrow(batches, schema)
+
+
+def token_words(rows: DataFrame, words: str, size: int) -> DataFrame:
+    """A row for each word of the lists: its number g (from 1), its n tokens of up to `size` letters, the first one's place in the row, and the word itself.
+
+    Spaces before a word (space, tab, return) belong to its first token.
+    """
+    rest = [f for f in rows.schema.fields if f.name != words]
+    schema = T.StructType([*rest, *T.StructType.fromDDL("g long, n long, first long, word string").fields])
+
+    def run(others: pa.RecordBatch, flat: pa.Array, at: np.ndarray) -> pa.RecordBatch:
+        letters = pc.utf8_length(pc.utf8_ltrim(flat, " \t\r")).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = -(-letters // size)
+        before = np.append(0, np.cumsum(n))
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        g, first = np.arange(len(n)) - at[row] + 1, before[:-1] - before[at[row]]
+        return pa.RecordBatch.from_arrays([*others.take(pa.array(row)).columns, *(pa.array(x, pa.int64()) for x in (g, n, first)), flat], names=schema.names)
+
+    return _per_list(rows, words, run, schema)
+
+
+def _longest(chain: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """The most members of a chain in each row, where chain says of each but the first member whether it goes on with the one before."""
+    out = np.zeros(n_rows, np.int64)
+    start = np.flatnonzero(np.append(True, ~chain)) if len(row) else np.zeros(0, np.int64)
+    np.maximum.at(out, row[start], np.diff(np.append(start, len(row))))
+    return out
+
+
+def repeats(rows: DataFrame, words: str) -> DataFrame:
+    """rows with longest, the longest run of one word, and phrase, how often the first two words (the only one, of one) are said back to back at most,
+    read from the left, in place of their lists of one word or more."""
+    rest = [f for f in rows.schema.fields if f.name != words]
+    schema = T.StructType([*rest, *T.StructType.fromDDL("longest long, phrase long").fields])
+
+    def run(others: pa.RecordBatch, flat: pa.Array, at: np.ndarray) -> pa.RecordBatch:
+        word = pc.dictionary_encode(flat).indices.to_numpy(zero_copy_only=False)
+        sizes, n_rows = np.diff(at), len(at) - 1
+        row = np.repeat(np.arange(n_rows), sizes)
+        longest = _longest((word[1:] == word[:-1]) & (row[1:] == row[:-1]), row, n_rows)
+        one, two = word[at[:-1]], word[np.minimum(at[:-1] + 1, len(word) - 1)]
+        here = np.flatnonzero((word[:-1] == one[row[:-1]]) & (word[1:] == two[row[:-1]]) & (row[1:] == row[:-1]))
+        pairs = _longest((here[1:] - here[:-1] == 2) & (row[here[1:]] == row[here[:-1]]), row[here], n_rows)
+        own = np.flatnonzero(word == one[row])
+        runs = _longest((own[1:] - own[:-1] == 1) & (row[own[1:]] == row[own[:-1]]), row[own], n_rows)
+        phrase = np.where(sizes == 1, 1, np.where(one == two, runs // 2, pairs))  # a phrase of two equal words: each second place of a run
+        return pa.RecordBatch.from_arrays([*others.columns, pa.array(longest), pa.array(phrase.astype(np.int64))], names=schema.names)
+
+    return _per_list(rows, words, run, schema)

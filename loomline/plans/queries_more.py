@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F, types as T
 
 from ..functions import text as X
-from ..operators import intervals as I
+from ..operators import intervals as I, kernels
 from .queries_text import SENT, TOK, sentences, table, tokens
 from .queries_time import ALL, EV, MINUTE, points, spans
 
@@ -65,12 +65,8 @@ Q["p24_resume_at"], O["p24_resume_at"] = p24, EV + "SELECT user_id, CASE WHEN NO
 
 def w5(spark, sf):
     """Words of tokens: a token (here up to three letters, with the space before it) opens one at the start of its line or with a space; others go on with it."""
-    w = Window.partitionBy("doc_id", "pos").orderBy("k")
-    pieces = F.regexp_extract_all("line", F.lit(r"[ \t\r]*[^ \t\r]{1,3}"), F.lit(0))
-    t = sentences(spark, sf).select("doc_id", "pos", F.posexplode(pieces).alias("k", "w"))
-    t = t.withColumn("g", F.sum(F.when((F.col("k") == 0) | F.rlike("w", F.lit(r"^[ \t\r]")), 1).otherwise(0)).over(w))
-    g = t.groupBy("doc_id", "pos", "g").agg(F.count(F.lit(1)).alias("n"), F.min("k").cast("long").alias("first"), F.sort_array(F.collect_list(F.struct("k", "w"))).alias("a"))
-    return g.select("doc_id", "pos", "g", "n", "first", F.md5(F.array_join(F.transform("a", lambda x: x["w"]), "")).alias("word"))
+    words = F.regexp_extract_all("line", F.lit(r"[ \t\r]*[^ \t\r]+"), F.lit(0))  # the tokens from one that opens a word up to the next such one
+    return kernels.token_words(sentences(spark, sf).select("doc_id", "pos", words.alias("words")), "words", 3).withColumn("word", F.md5("word"))
 
 
 Q["w5_words_from_tokens"], O["w5_words_from_tokens"] = w5, SENT + r""", p AS (SELECT doc_id, pos, regexp_extract_all(line, '[ \t\r]*[^ \t\r]{1,3}') AS w FROM s), k AS (SELECT doc_id, pos, i - 1 AS k, w[i] AS w FROM p, unnest(range(1, len(w) + 1)) AS u(i)),

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F, types as T
 
 from ..functions import text as X
-from ..operators import intervals as I
+from ..operators import intervals as I, kernels
 from .queries_text import TOK, WORD_SQL, table, tokens
 from .queries_time import ALL, EV, MINUTE, others, points, spans, turns
 
@@ -251,11 +251,7 @@ SELECT event_id, CASE WHEN coalesce(abs(s - b) <= 18000000 AND e - s > l, false)
 def w15(spark, sf):
     """Of each line: its longest run of one word, and how often its first two words are said back to back at most."""
     t = tokens(spark, sf).where(F.size("words") > 0)
-    each = t.select("doc_id", "pos", F.posexplode("words").alias("k", "w"))
-    g = each.withColumn("g", F.col("k") - F.row_number().over(Window.partitionBy("doc_id", "pos", "w").orderBy("k")))
-    longest = g.groupBy("doc_id", "pos", "w", "g").count().groupBy("doc_id", "pos").agg(F.max("count").alias("longest"))
-    phrase = X.back_to_back(F.col("words"), F.slice("words", 1, 2))
-    return longest.join(t.select("doc_id", "pos", phrase.cast("long").alias("phrase")), ["doc_id", "pos"])
+    return kernels.repeats(t.select("doc_id", "pos", "words"), "words")
 
 
 Q["w15_repeats"], O["w15_repeats"] = w15, TOK.replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT doc_id, pos, i AS k, words[i] AS w FROM w, unnest(range(1, len(words) + 1)) AS u(i)), g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, pos, w ORDER BY k) AS g FROM k),
