@@ -157,11 +157,15 @@ Q["a34_retry_gain"] = a34
 
 def f11(spark, sf):
     """Words of each turn in matching blocks with what was heard, and those of its Latin words."""
-    h = heard(spark, sf)
-    latin = lambda c: F.filter(c, lambda w: w.rlike("^[a-z]"))
-    one = M.agreement(h.withColumns({"__r": F.col("reference"), "__h": F.col("heard")}), "__r", "__h")
-    two = M.agreement(h.select("conv_id", "turn", latin("reference").alias("r"), latin("heard").alias("h")), "r", "h").withColumnsRenamed({"matched": "latin", "n_blocks": "latin_blocks"})
-    return one.select("conv_id", "turn", F.size("reference").cast("long").alias("n"), "matched", "n_blocks").join(two, ["conv_id", "turn"])
+    h = heard(spark, sf).select("conv_id", "turn", F.size("reference").cast("long").alias("n"), "reference", "heard")
+
+    def both(a, b):
+        """Of all words and of the Latin ones; where all are Latin, the blocks are the same."""
+        one, latin = M.blocks(a, b), [[w for w in side if "a" <= w[:1] <= "z"] for side in (a, b)]
+        two = one if [len(x) for x in latin] == [len(a), len(b)] else M.blocks(*latin)
+        return sum(n for *_, n in one), len(one), sum(n for *_, n in two), len(two)
+
+    return M.per_pair(h, "reference", "heard", both, "matched long, n_blocks long, latin long, latin_blocks long")
 
 
 Q["f11_blocks"] = f11

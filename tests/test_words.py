@@ -176,6 +176,25 @@ def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
 
 
+def test_lines_are_settled_by_row(spark):
+    dice = random.Random(8)
+    lists = [dice.choices("abc"[: dice.randrange(1, 4)], k=dice.randrange(1, 14)) for _ in range(3000)]
+
+    def phrase(x):
+        p, i, run, best = x[:2], 0, 0, 0
+        while i + len(p) <= len(x):
+            run, i = (run + 1, i + len(p)) if x[i : i + len(p)] == p else (0, i + 1)
+            best = max(best, run)
+        return best
+
+    got = kernels.repeats(spark.createDataFrame(list(enumerate(lists)), "i int, words array<string>"), "words")
+    assert {r.i: (r.longest, r.phrase) for r in got.collect()} == {i: (max(len(list(g)) for _, g in itertools.groupby(x)), phrase(x)) for i, x in enumerate(lists)}
+    rows = spark.createDataFrame([(1, [" ab", "\tabcd", "x"]), (2, []), (3, ["\U0001f600éàb  c"]), (4, None)], "i int, words array<string>")
+    assert [tuple(r) for r in kernels.token_words(rows, "words", 3).collect()] == [(1, 1, 1, 0, " ab"), (1, 2, 2, 1, "\tabcd"), (1, 3, 1, 3, "x"), (3, 1, 3, 0, "\U0001f600éàb  c")]
+    sf = "/root/testdata/sf0.001"
+    assert not any(shuffles(Q[n](spark, sf)) for n in ("w5_words_from_tokens", "w15_repeats", "f11_blocks"))
+
+
 def test_near_spellings_shuffle_no_parts(spark):
     w = spark.createDataFrame([("kitten",), ("mitten",), ("aaaaaaaa",)], "word string")
     e = F.broadcast(spark.createDataFrame([("sitten",), ("aaaaaaab",)], "entry string"))
