@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import singledispatch
 
 import numpy as np
 import pandas as pd
@@ -90,6 +91,7 @@ def differing(rows: DataFrame, a: str, b: str) -> DataFrame:
     return _per_row(rows, find, "only_a array<int>, only_b array<int>").drop(a, b)
 
 
+@singledispatch
 def repeats(words: list[str], times: list[float], within: float, least: int = 3) -> list[tuple[int, int]]:
     """(place, size) of runs that were said just before: `least` words or more, begun no later than `within` after
     the first saying, which they don't overlap. A word is part of one repeat at most; the earlier first saying goes first."""
@@ -224,7 +226,8 @@ def _longest(chain: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     return out
 
 
-def repeats(rows: DataFrame, words: str) -> DataFrame:
+@repeats.register(DataFrame)
+def repeats_of_rows(rows: DataFrame, words: str) -> DataFrame:
     """rows with longest, the longest run of one word, and phrase, how often the first two words (the only one, of one) are said back to back at most,
     read from the left, in place of their lists of one word or more."""
     rest = [f for f in rows.schema.fields if f.name != words]

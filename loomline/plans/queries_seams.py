@@ -251,7 +251,7 @@ SELECT event_id, CASE WHEN coalesce(abs(s - b) <= 18000000 AND e - s > l, false)
 def w15(spark, sf):
     """Of each line: its longest run of one word, and how often its first two words are said back to back at most."""
     t = tokens(spark, sf).where(F.size("words") > 0)
-    return kernels.repeats(t.select("doc_id", "pos", "words"), "words")
+    return kernels.repeats_of_rows(t.select("doc_id", "pos", "words"), "words")
 
 
 Q["w15_repeats"], O["w15_repeats"] = w15, TOK.replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT doc_id, pos, i AS k, words[i] AS w FROM w, unnest(range(1, len(words) + 1)) AS u(i)), g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, pos, w ORDER BY k) AS g FROM k),
