@@ -73,9 +73,10 @@ def mute_refusals(entries: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     i = entries.where(edits.is_item()).withColumns({"previous": F.last("source_start").over(w), "reached": F.max(F.col("source_start") + F.col("length")).over(w)})
     odd = (F.col("source_start") < F.coalesce("previous", F.lit(0))) | (F.col("source_start") > F.coalesce("reached", F.lit(0)) + TOUCH)
-    moved = i.where(odd).groupBy("doc").agg(F.min("pos").alias("pos")).select("doc", "pos", F.lit("doesn't follow the entry before it").alias("reason"))
-    several = i.groupBy("doc").agg(F.countDistinct("source").alias("k")).where("k > 1").select("doc", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("plays from "), F.col("k").cast("string"), F.lit(" recordings")).alias("reason"))
-    return moved.unionByName(several).groupBy("doc").agg(F.min(F.struct("pos", "reason")).alias("m")).select("doc", "m.pos", "m.reason")
+    found = i.groupBy("doc").agg(F.min(F.when(odd, F.col("pos"))).alias("moved"), F.size(F.collect_set("source")).alias("k")).where("moved IS NOT NULL OR k > 1")
+    several = F.col("k") > 1
+    reason = F.when(several, F.concat(F.lit("plays from "), F.col("k").cast("string"), F.lit(" recordings"))).otherwise("doesn't follow the entry before it")
+    return found.select("doc", F.when(several, F.lit(-1)).otherwise(F.col("moved")).cast("long").alias("pos"), reason.alias("reason"))
 
 
 def mute_plan(entries: DataFrame, durations: DataFrame) -> DataFrame:

@@ -34,10 +34,15 @@ def is_word() -> Column:
 
 
 def _ranged(entries: DataFrame, ranges: DataFrame, columns: list[str]) -> DataFrame:
-    """entries with the range of their list beside them, null where it has none or one that isn't inside the list."""
-    sizes = entries.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
-    inside = ranges.join(sizes, "doc").where("0 <= start AND start <= stop AND stop <= size").select("doc", *columns)
-    return entries.join(inside, "doc", "left")
+    """entries with the range of their list beside them, null where it has none or one that isn't inside the list.
+
+    Sizes are counted in a window in the order of the lists, so that the entries are made and sorted once.
+    """
+    whole = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    given = ranges.select("doc", F.struct(*[c for c in ranges.columns if c != "doc"]).alias("__r"))
+    r = entries.withColumn("__size", F.count(F.lit(1)).over(whole)).join(given, "doc", "left")
+    inside = (F.lit(0) <= F.col("__r.start")) & (F.col("__r.start") <= F.col("__r.stop")) & (F.col("__r.stop") <= F.col("__size"))
+    return r.select(*entries.columns, *[F.when(inside, F.col("__size") if c == "size" else F.col(f"__r.{c}")).alias(c) for c in columns])
 
 
 def refused_ranges(entries: DataFrame, ranges: DataFrame) -> DataFrame:

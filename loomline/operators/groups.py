@@ -21,9 +21,12 @@ def spread(rows: DataFrame, *keys: str, each: int = EACH) -> DataFrame:
     """rows dealt out by keys, about `each` of them to a task, however many there are.
 
     Adaptive execution puts parts together by the bytes that were shuffled, up to one part for each core; where rows grow behind the shuffle (exploded,
-    sorted, collected), a task's memory then grows with the table. A number of parts that is asked for stays as it is.
+    sorted, collected), a task's memory then grows with the table. A number of parts that is asked for stays as it is, if joins by these keys
+    needn't deal out again: they do where it is under the session's number of shuffle partitions.
     """
-    parts = max(-(-rows.count() // each), rows.sparkSession.sparkContext.defaultParallelism)
+    session = rows.sparkSession
+    least, parts = session.sparkContext.defaultParallelism, -(-rows.count() // each)
+    parts = max(parts, int(session.conf.get("spark.sql.shuffle.partitions"))) if parts > least else least
     return rows.repartition(parts, *keys)
 
 

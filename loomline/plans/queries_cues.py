@@ -54,9 +54,9 @@ def muted_lists(spark, sf):
     """Edit lists with errors muted; from some an entry was deleted, some play from two recordings."""
     e, d = lists(spark, sf).drop("event_id"), F.col("doc")
     e = e.withColumns({"muted": F.when(F.col("kind") == "item", F.col("text") == "error").otherwise(F.col("muted")), "source": F.when((F.col("kind") == "item") & (d % 19 == 3) & (F.col("pos") > 9), F.lit("1")).otherwise(F.col("source"))})
-    first = e.groupBy("doc").agg(F.min("source_start").alias("zero"))  # recordings start with their first word
-    e = e.join(first, "doc").withColumn("source_start", F.col("source_start") - F.col("zero")).drop("zero")
-    return E.delete(e, e.where("doc % 7 = 2").select("doc").distinct().select("doc", F.lit(5).alias("start"), F.lit(8).alias("stop")))
+    zero = F.min("source_start").over(Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # recordings start with their first word
+    e = e.withColumn("source_start", F.col("source_start") - zero)
+    return E.delete(e, points(spark, sf).where("user_id % 7 = 2").select(F.col("user_id").alias("doc")).distinct().select("doc", F.lit(5).alias("start"), F.lit(8).alias("stop")))
 
 
 MUTED = LISTS + """, z AS (SELECT *, min(source_start) OVER (PARTITION BY doc) AS zero FROM l),
@@ -141,15 +141,15 @@ Q["s6_read_json"], O["s6_read_json"] = s6, """SELECT conv_id AS doc, CASE WHEN c
 def s8(spark, sf):
     """Edit lists written as versioned JSON and read back: sources that no item plays from are left out, later versions and other files refused."""
     e = lists(spark, sf).drop("event_id")
-    docs = e.select("doc").distinct()
+    docs = points(spark, sf).select(F.col("user_id").alias("doc")).distinct()
     sources = docs.select("doc", F.explode(F.array(F.lit("0"), F.lit("1"))).alias("source")).withColumn("path", F.concat(F.lit("/m/"), "source"))
     written = D.write_edit_lists(e, sources, docs.select("doc", F.lit("SPEAKER_00").alias("label"), F.concat(F.lit("n"), F.col("doc").cast("string")).alias("name")))
     d = F.col("doc")
     given = F.when(d % 10 == 1, F.replace("json", F.lit('"version":1'), F.lit('"version":2'))).when(d % 10 == 2, F.replace("json", F.lit("edit-list"), F.lit("cue-list"))).otherwise(F.col("json"))
-    good, odd = D.read_edit_lists(written.withColumn("json", given))
+    read = D.parsed_edit_lists(written.withColumn("json", given))
     texts = F.md5(F.array_join(F.transform("content", lambda x: F.coalesce(x["text"], x["speaker"])), "|"))
-    rows = good.select("doc", F.array_join(F.map_keys("sources"), ",").alias("sources"), F.element_at("names", "SPEAKER_00").alias("name"), F.size("content").cast("long").alias("n"), texts.alias("digest"))
-    return rows.unionByName(odd, allowMissingColumns=True)
+    n = F.when(F.col("content").isNotNull(), F.size("content").cast("long"))
+    return read.select("doc", F.array_join(F.map_keys("sources"), ",").alias("sources"), F.element_at("names", "SPEAKER_00").alias("name"), n.alias("n"), texts.alias("digest"), "reason")
 
 
 Q["s8_edit_lists"], O["s8_edit_lists"] = s8, LISTS + """ SELECT doc, CASE WHEN doc % 10 NOT IN (1, 2) THEN '0' END AS sources, CASE WHEN doc % 10 NOT IN (1, 2) THEN 'n' || doc END AS name, CASE WHEN doc % 10 NOT IN (1, 2) THEN count(*) END AS n,

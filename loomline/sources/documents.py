@@ -26,17 +26,23 @@ def read_transcripts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def write_edit_lists(entries: DataFrame, sources: DataFrame, names: DataFrame) -> DataFrame:
     """(doc, json) of edit lists: format, version, the sources (doc, source, path) that an item plays from, names (doc, label, name), content in order."""
-    content = entries.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", F.struct(*[c for c in entries.columns if c not in ("doc", "pos")]).alias("e")))).alias("a"))
-    used = sources.join(entries.where("kind = 'item'").select("doc", "source").distinct(), ["doc", "source"], "left_semi")
-    pairs = lambda rows, a, b, name: rows.groupBy("doc").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(a, b)))).alias(name))
-    j = content.join(pairs(used, "source", "path", "sources"), "doc", "left").join(pairs(names, "label", "name", "names"), "doc", "left")
-    doc = F.struct(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), F.coalesce("sources", F.create_map().cast("map<string,string>")).alias("sources"), "names", F.transform("a", lambda x: x["e"]).alias("content"))
+    entry = F.struct("pos", F.struct(*[c for c in entries.columns if c not in ("doc", "pos")]).alias("e"))
+    content = entries.groupBy("doc").agg(F.sort_array(F.collect_list(entry)).alias("a"), F.collect_set(F.when(F.col("kind") == "item", F.col("source"))).alias("used"))
+    pairs = lambda rows, a, b, name: rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(a, b))).alias(name))
+    j = content.join(pairs(sources, "source", "path", "sources"), "doc", "left").join(pairs(names, "label", "name", "names"), "doc", "left")
+    used = F.map_from_entries(F.filter("sources", lambda x: F.array_contains("used", x["source"])))
+    doc = F.struct(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), F.coalesce(used, F.create_map().cast("map<string,string>")).alias("sources"), F.map_from_entries("names").alias("names"), F.transform("a", lambda x: x["e"]).alias("content"))
     return j.select("doc", F.to_json(doc).alias("json"))
 
 
-def read_edit_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, sources, names, content) of (doc, json), and (doc, reason) of what is no edit list, or one of a later version."""
+def parsed_edit_lists(docs: DataFrame) -> DataFrame:
+    """doc, sources, names, content of (doc, json), or reason and nothing else, where it is no edit list, or one of a later version."""
     p = docs.withColumn("__p", F.from_json("json", LIST_SCHEMA))
     reason = F.when(~F.equal_null("__p.format", F.lit(FORMAT)), "no edit list").when(F.col("__p.version").isNull() | F.col("__p.content").isNull(), "no version or content").when(F.col("__p.version") > VERSION, "a later version")
-    p = p.withColumn("reason", reason)
-    return p.where("reason IS NULL").select("doc", "__p.sources", "__p.names", "__p.content"), p.where("reason IS NOT NULL").select("doc", "reason")
+    return p.select("doc", *[F.when(reason.isNull(), F.col(f"__p.{c}")).alias(c) for c in ("sources", "names", "content")], reason.alias("reason"))
+
+
+def read_edit_lists(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, sources, names, content) of (doc, json), and (doc, reason) of what is no edit list, or one of a later version."""
+    p = parsed_edit_lists(docs)
+    return p.where("reason IS NULL").drop("reason"), p.where("reason IS NOT NULL").select("doc", "reason")

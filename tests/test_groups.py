@@ -2,11 +2,14 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomline import catalog
 from loomline.functions import text as X
 from loomline.operators import cues as C, edits as E, groups as G, matching as M, seams as S
 from loomline.plans import queries_edits as Q, queries_merges as W, queries_more as O, queries_recut as R
+from loomline.sources import documents as D
 
 
 def test_groups_are_whole_in_order_and_may_give_nothing(spark):
@@ -100,3 +103,29 @@ def test_edit_lists_are_made_once(spark):
 def test_first_cues_are_not_one_task_s(spark):
     plan = O.s14(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k#" not in plan and "hashpartitioning(doc_id#" in plan
+
+
+@pytest.mark.parametrize("name", ["k13_refusals", "s8_edit_lists"])
+def test_queries_over_lists_make_them_in_one_pass(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(parts") == 1
+
+
+def test_lists_dealt_out_stay_so_in_joins(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = G.spread(spark.range(20_000).select((F.col("id") % 999).alias("doc")), "doc", each=1_000)
+        assert rows.rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_written_lists_name_the_sources_that_items_play_from(spark):
+    entry = lambda doc, pos, kind, source: (doc, pos, kind, None, None, source, 0, 1, "x", False, 1.0)
+    e = spark.createDataFrame([entry(1, 0, "item", "b"), entry(1, 1, "item", "b"), entry(2, 0, "paragraph", "a"), entry(3, 0, "item", "z"), entry(4, 0, "item", None)], E.LIST)
+    sources = spark.createDataFrame([(d, s, "/" + s) for d in (1, 2, 4) for s in "ab"], "doc long, source string, path string")
+    names = spark.createDataFrame([(1, "L", "N")], "doc long, label string, name string")
+    good, odd = D.read_edit_lists(D.write_edit_lists(e, sources, names))
+    assert {r.doc: (r.sources, r.names, len(r.content)) for r in good.collect()} == {1: ({"b": "/b"}, {"L": "N"}, 2), 2: ({}, None, 1), 3: ({}, None, 1), 4: ({}, None, 1)}
+    assert odd.count() == 0
