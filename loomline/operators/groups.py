@@ -24,10 +24,14 @@ def spread(rows: DataFrame, *keys: str, each: int = EACH) -> DataFrame:
     sorted, collected), a task's memory then grows with the table. A number of parts that is asked for stays as it is, if joins by these keys
     needn't deal out again: they do where it is under the session's number of shuffle partitions.
     """
+    return rows.repartition(parts_of(rows, each), *keys)
+
+
+def parts_of(rows: DataFrame, each: int = EACH) -> int:
+    """Into how many parts spread deals the rows."""
     session = rows.sparkSession
     least, parts = session.sparkContext.defaultParallelism, -(-rows.count() // each)
-    parts = max(parts, int(session.conf.get("spark.sql.shuffle.partitions"))) if parts > least else least
-    return rows.repartition(parts, *keys)
+    return max(parts, int(session.conf.get("spark.sql.shuffle.partitions"))) if parts > least else least
 
 
 def kept(rows: DataFrame, *keys: str) -> DataFrame:

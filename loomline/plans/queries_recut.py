@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window, functions as F
 
 from ..operators import seams
-from ..operators.groups import each_group
+from ..operators.groups import each_group, parts_of
 from .queries_text import table
 from .queries_time import EV, MINUTE, points
 
@@ -183,12 +183,17 @@ def k8(spark, sf):
     """Gaps of over a day read again, three deep: each reading hears only every fourth of the events that the ones before missed."""
     p = points(spark, sf).select("user_id", "event_id", F.col("t").cast("double").alias("t"), (F.col("t") + F.col("event_id") % 60 * MINUTE).cast("double").alias("e"))
     heard = lambda level: p.where(F.col("event_id") % 4 == level)
+    parts = parts_of(p)
 
     def decode(gaps, level):
-        return gaps.join(heard(level), "user_id").where((F.col("t") >= F.col("lo")) & (F.col("t") < F.col("hi")))
+        """Gaps of a user don't overlap: an event can only lie in the last one that began before it."""
+        rows = gaps.select("user_id", F.col("lo").alias("t"), F.lit(0).alias("o"), "hi").unionByName(heard(level).select("user_id", "t", F.lit(1).alias("o"), "e"), allowMissingColumns=True)
+        w = Window.partitionBy("user_id").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+        found = rows.repartition(parts, "user_id").withColumns({"lo": F.last(F.when(F.col("o") == 0, F.col("t")), ignorenulls=True).over(w), "hi": F.last("hi", ignorenulls=True).over(w)})
+        return found.where("o = 1 AND t < hi")
 
     bounds = p.groupBy("user_id").agg((F.max("t") + 2880 * MINUTE).alias("hi"))
-    found = seams.reread(heard(0).select("user_id", "t", "e"), bounds, decode, "user_id", 1440 * MINUTE)
+    found = seams.reread(heard(0).select("user_id", "t", "e").repartition(parts, "user_id"), bounds, decode, "user_id", 1440 * MINUTE)
     return found.groupBy("user_id", "level").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("e") - F.col("t")) / MINUTE).cast("long").alias("minutes"))
 
 

@@ -129,3 +129,8 @@ def test_written_lists_name_the_sources_that_items_play_from(spark):
     good, odd = D.read_edit_lists(D.write_edit_lists(e, sources, names))
     assert {r.doc: (r.sources, r.names, len(r.content)) for r in good.collect()} == {1: ({"b": "/b"}, {"L": "N"}, 2), 2: ({}, None, 1), 3: ({}, None, 1), 4: ({}, None, 1)}
     assert odd.count() == 0
+
+
+def test_gaps_meet_events_without_a_join(spark):
+    plan = R.k8(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 4  # that with the recordings' ends, once for each level of the result
