@@ -34,6 +34,16 @@ def parts_of(rows: DataFrame, each: int = EACH) -> int:
     return max(parts, int(session.conf.get("spark.sql.shuffle.partitions"))) if parts > least else least
 
 
+#: Letters of texts that one task takes, of those whose words or runs of words are counted there first.
+LETTERS = 16_000_000
+
+
+def spread_letters(rows: DataFrame, text: str, *keys: str, letters: int = LETTERS) -> DataFrame:
+    """rows dealt out by keys, about `letters` letters of their texts to a task, whatever the files' splits: what a task holds doesn't hang on them."""
+    total = rows.agg(F.sum(F.length(text))).first()[0] or 0
+    return rows.repartition(max(-(-total // letters), rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def kept(rows: DataFrame, *keys: str) -> DataFrame:
     """rows worked out once, onto the executors' disks (they go with their last reader), for what reads them many times, and dealt out by keys, if any."""
     once = rows.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)

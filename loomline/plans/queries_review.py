@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import intervals as I, kernels
+from ..operators.groups import spread_letters
 from ..operators.review import within_edits
 from .queries_text import TOK, WORD_SQL, table, tokens
 from .queries_time import EV, MINUTE, others, points, spans, turns
@@ -14,10 +15,12 @@ Q, O = {}, {}
 
 
 def a20_ngrams(spark, sf):
-    """Runs of two and three words of a line that stand five times or more."""
+    """Runs of two and three words of a line that stand five times or more; documents are dealt out so that what a task counts before the shuffle stays in memory."""
     n = F.size("words")
     run = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice("words", i, k), " ")))
-    words = tokens(spark, sf).withColumn("words", F.transform("words", F.lower))
+    docs = spread_letters(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("words", X.words(F.col("line")))
+    words = lines.withColumn("words", F.transform("words", F.lower))
     grams = words.select(F.explode(F.concat(F.coalesce(run(2), F.array()), F.coalesce(run(3), F.array()))).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
 

@@ -134,3 +134,11 @@ def test_written_lists_name_the_sources_that_items_play_from(spark):
 def test_gaps_meet_events_without_a_join(spark):
     plan = R.k8(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 4  # that with the recordings' ends, once for each level of the result
+
+
+def test_parts_follow_letters_and_grams_are_counted_in_them(spark):
+    rows = spark.range(1_000).select("id", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("ab "), 100)).alias("text"))
+    assert G.spread_letters(rows, "text", "id", letters=5_000).rdd.getNumPartitions() == 30
+    assert G.spread_letters(rows.where("text IS NULL"), "text", "id").count() == 500
+    plan = catalog.QUERIES["a20_ngrams"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
