@@ -13,15 +13,18 @@ from .queries_time import EV, MINUTE, points
 Q, O = {}, {}
 CHUNK, STEP, WORD_MS = 120, 105, 500
 OVERLAP, LEAST = (CHUNK - STEP) * WORD_MS, 10_000
+#: What stands between words: the SQL's \s, which Spark's exceeds by the vertical tab.
+SPACE = r"[ \t\n\f\r]+"
 
 
 def readings(spark, sf):
     """(conv_id, chunk, begins, lasts, i, word, at, until): a conversation's words, half a second each, as its chunks of a minute heard them.
 
     Chunks overlap by 15 words. Each reading misses some words, hears some otherwise and times all a little off.
+    A turn without text has no words; turns without a number come last. Turns of one number stand by their words.
     """
-    c = table(spark, sf, "conversations")
-    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.split("text", r"\s+").alias("w")))).alias("a"))
+    c = table(spark, sf, "conversations").where("text IS NOT NULL")
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.isnull("turn").alias("last"), "turn", F.split("text", SPACE).alias("w")))).alias("a"))
     w = g.select("conv_id", F.flatten(F.transform("a", lambda x: x["w"])).alias("w")).select("conv_id", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
     first = F.greatest(F.ceil((F.col("i") - CHUNK + 1) / STEP), F.lit(0))
     r = w.select("*", F.explode(F.sequence(first, F.floor(F.col("i") / STEP))).alias("chunk"))
@@ -103,7 +106,8 @@ def k4(spark, sf):
         x, y = ([r for r in part if r[5] == side] for side in (0, 1))
         if min(len(x), len(y)) < 2:
             return []
-        (words, starts), (others, times) = ([np.array([r[i] for r in side]) for i in (3, 4)] for side in (x, y))
+        number: dict[str, int] = {}
+        (words, starts), (others, times) = (np.array([(number.setdefault(r[3], len(number)), r[4]) for r in side]).T for side in (x, y))
         same = (words[:, None] == others) & (abs(starts[:, None] - times) < OVERLAP / 2)
         found = seams.longest_subsequence(same)
         return [(*part[0][:2], len(found), ",".join(f"{i}:{j}" for i, j in found))]

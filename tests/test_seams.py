@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import seams as S
 from loomline.plans import queries_recut as R
+from tests.oracle_check import differences
 
 
 def tokens(text, start=0.0, long=0.5, shift=0.0):
@@ -221,3 +222,15 @@ def test_gaps_are_read_again_as_deep_as_told(spark, depth):
     got = sorted((x.t, x.level) for x in S.reread(first, bounds, decode, "k", 4.0, depth=depth).collect())
     every = [(0.0, 0), (5.0, 1), (12.0, 2), (20.0, 3), (30.0, 1), (40.0, 0)]
     assert got == [x for x in every if x[1] <= depth]
+
+
+@pytest.mark.parametrize("name", ["k3_merge_contiguous", "k4_merge_lcs"])
+def test_odd_turns_are_read_as_the_sql_reads_them(spark, tmp_path, name):
+    """Turns without text or number, vertical tabs inside words, words that differ by a last zero."""
+    text = lambda k: " ".join(f"w{(k * 7 + i) % 23}" for i in range(90))
+    rows = [(1, 0, text(0)), (1, 1, None), (1, 2, text(2)), (2, None, text(1)), (2, 4, text(4)), (2, 3, text(3)), (3, 0, text(5).replace(" w1 ", "\v")), (3, 1, text(6)), (4, 0, None)]
+    rows += [(5, 0, " ".join(f"a{i % 3}" + "\0" * (i % 2) for i in range(200)))]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    only, n = differences(spark, R.Q[name], R.O[name], tmp_path)
+    assert only == [] and n > 4
