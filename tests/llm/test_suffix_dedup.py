@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from loomline.llm.induced_sort import suffix_order
+from loomline.llm import suffix_dedup
+from loomline.llm.induced_sort import _agree, suffix_order
 from loomline.llm.suffix_dedup import remove_repeated_strings, repeated_starts
 
 
@@ -77,6 +78,30 @@ def test_repeats_within_and_across_segments():
     assert got[0].all() and got[1].tolist() == [False, False, True, True, False, False] and got[2].tolist() == [True]
 
 
+def test_strings_of_near_copies_that_stand_once_are_not_sorted(monkeypatch):
+    """Copies that differ in every 300th byte have no string of 400 in common, though the least grams of both halves often are."""
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 123, 30_000).astype(np.uint8)
+    other = data.copy()
+    other[::300] = 65
+    same = rng.integers(97, 123, 1000).astype(np.uint8).tobytes()
+    segments, sorted_bytes = [data.tobytes(), other.tobytes(), same + b"x", b"y" + same], []
+    order = suffix_dedup.suffix_order
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda text, *a, **k: sorted_bytes.append(len(text)) or order(text, *a, **k))
+    got = repeated_starts(segments, [1] * 4, 400)
+    assert not got[0].any() and not got[1].any() and got[2].tolist() == [True] * 601 + [False] and got[3].tolist() == [False] + [True] * 601
+    assert sorted_bytes == [2002]
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.int32])
+def test_agreement_of_suffixes(kind):
+    rng = np.random.default_rng(6)
+    t = np.concatenate([np.tile(rng.integers(1, 400, 90), 4), rng.integers(1, 3, 60), [0]]).astype(kind)
+    a, b = rng.integers(0, len(t), (2, 4000))
+    n = [next((k for k in range(50) if max(i, j) + k >= len(t) or t[i + k] != t[j + k]), 50) for i, j in zip(a.tolist(), b.tolist())]
+    assert _agree(t, a, b, 50).tolist() == n and max(n) == 50 and len(set(n)) > 10
+
+
 @pytest.mark.parametrize("width", [20, 400])
 def test_small_cases(spark, width):
     rng = np.random.default_rng(3)
