@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -65,6 +66,22 @@ def test_crowded_keys_give_the_same(spark):
         assert [tuple(r) for r in rows] == brute(texts, 350)
 
 
+def test_only_crowded_strings_are_hashed_whole(monkeypatch):
+    """A crowded passage in a long text: its own strings are hashed, not the text around it."""
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line = letters(350)
+    table = pa.table({"text": [letters(3000) + line + letters(3000), None, line, "z" + line]})
+    key = np.sort(suffix_dedup._runs(np.frombuffer(line.encode(), np.uint8), np.array([0, 350]), 350, False)[0])
+    hashed, runs = [], suffix_dedup.runs
+    monkeypatch.setattr(suffix_dedup, "runs", lambda x, k: hashed.append(len(x)) or runs(x, k))
+    order, _, one, two, found = suffix_dedup._segments(table, key, np.ones(1, bool), 350)
+    assert not order and sum(hashed) < 2 * 2000
+    data, places = found[0][2], found[0][6]
+    strings = [data[p : p + 350].tobytes() for p in places.tolist()]
+    assert line.encode() in strings and len(set(zip(one.tolist(), two.tolist()))) == len(set(strings)) < len(strings) == len(one)
+
+
 def test_short_runs_of_words_stay(spark):
     one, two = " ".join(f"wo{i}" for i in range(60)), " ".join(f"a-rather-long-word-{i}" for i in range(20))
     docs = spark.createDataFrame([(k, f"begin{k} {one} middle{k * 7} {two} end{k}") for k in range(3)], "doc_id long, text string")
