@@ -53,6 +53,12 @@ def _matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return flat.astype(dtype).reshape(len(column), -1)
 
 
+def _lists(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists in a row, and the lists' sizes."""
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(dtype), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _numbers(column: pa.ChunkedArray, dtype=np.int64) -> np.ndarray:
     return column.to_numpy().astype(dtype)
 
@@ -84,15 +90,22 @@ def _unpacked(column: pa.ChunkedArray, dtype) -> np.ndarray:
 
 def _best(v: np.ndarray, w: np.ndarray, d: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each v its `most` nearest distinct w; one that is known stays as it is known, not fresh."""
-    order = np.lexsort((d, fresh, w, v))
+    if not len(v):
+        return v, w, d, fresh
+    if min(v.min(), w.min()) >= 0 and max(v.max(), w.max()) < 1 << 31:
+        order = np.argsort(v << 32 | w)
+    else:
+        order = np.lexsort((w, v))
     v, w, d, fresh = v[order], w[order], d[order], fresh[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-    v, w, d, fresh = v[new], w[new], d[new], fresh[new]
-    order = np.lexsort((w, d, v))
-    v, w, d, fresh = v[order], w[order], d[order], fresh[order]
-    keep = np.arange(len(v)) - np.searchsorted(v, v) < most
-    return v[keep], w[keep], d[keep], fresh[keep]
+    at = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+    new = np.logical_and.reduceat(fresh, at)
+    nearest_known = np.minimum.reduceat(np.where(fresh, np.inf, d), at)
+    v, w, d, fresh = v[at], w[at], np.where(new, np.minimum.reduceat(d, at), nearest_known), new
+    order = np.argsort(d, kind="stable")  # by w so far
+    order = order[np.argsort(v[order], kind="stable")]
+    at = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    order = order[np.arange(len(v)) - np.repeat(at, np.diff(np.append(at, len(v)))) < most]
+    return v[order], w[order], d[order], fresh[order]
 
 
 def _sample(v: np.ndarray, u: np.ndarray, fresh: np.ndarray, most: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,19 +137,17 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
     """GRAPH after one round."""
 
     def name_neighbours(g: pa.Table) -> pa.Table:
-        near = g.column("near").to_pylist()
-        v = np.array([x for xs in near for x in xs], np.int64)
-        u = np.repeat(_numbers(g.column("node")), [len(x) for x in near])
-        fresh = np.array([x for xs in g.column("fresh").to_pylist() for x in xs], bool)
+        v, sizes = _lists(g.column("near"), np.int64)
+        u = np.repeat(_numbers(g.column("node")), sizes)
+        fresh, _ = _lists(g.column("fresh"), bool)
         v, u, fresh = _sample(v, u, fresh, k, seed)
         return _packed(block_of(v, n_blocks), {"v": v, "u": u, "fresh": fresh}, "block")
 
     def gather(g: pa.Table, named: pa.Table) -> pa.Table:
-        nodes, near = _numbers(g.column("node")), g.column("near").to_pylist()
+        nodes, (near, sizes) = _numbers(g.column("node")), _lists(g.column("near"), np.int64)
         v, u, new = _sample(*(_unpacked(named.column(c), t) for c, t in (("v", np.int64), ("u", np.int64), ("fresh", bool))), k, seed + 1)
-        own = np.repeat(nodes, [len(x) + 1 for x in near])
-        other = np.array([y for x, xs in zip(nodes.tolist(), near) for y in (x, *xs)], np.int64)
-        fresh = np.array([y for xs in g.column("fresh").to_pylist() for y in (False, *xs)], bool)
+        own, at = np.repeat(nodes, sizes + 1), np.cumsum(sizes) - sizes
+        other, fresh = np.insert(near, at, nodes), np.insert(_lists(g.column("fresh"), bool)[0], at, False)
         own, other, fresh = np.concatenate([own, v]), np.concatenate([other, u]), np.concatenate([fresh, new])
         order = np.lexsort((~fresh, other, own))  # a node that is met both ways counts once, as fresh if it is so either way
         own, other, fresh = own[order], other[order], fresh[order]
@@ -165,7 +176,10 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
         ids = _numbers(g.column("node"))
         order = np.argsort(ids)
         x = _matrix(g.column("vec"), np.float64)[order]
-        last = np.array([d[-1] if len(d) >= k else np.inf for d in g.column("dist").to_pylist()])[order]
+        dist, sizes = _lists(g.column("dist"), np.float64)
+        last = np.full(len(ids), np.inf)
+        last[sizes >= k] = dist[np.cumsum(sizes)[sizes >= k] - 1]
+        last = last[order]
         at = [np.searchsorted(ids[order], np.frombuffer(b, np.int64)) for b in asked.column("ids").to_pylist()]
         return pa.table(
             {
@@ -204,7 +218,8 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
             z, mine = y[:, : f.max()], m[:, : f.max()]
             d = (z * z).sum(2)[:, :, None] + (y * y).sum(2)[:, None, :] - 2 * np.matmul(z, y.transpose(0, 2, 1))
             pair = (np.arange(f.max())[None] < f[:, None])[:, :, None] & there[:, None, :] & (mine[:, :, None] != m[:, None, :])
-            for ok, v, w in ((pair & (d < last[mine][:, :, None]), 0, 1), (pair & (d < last[m][:, None, :]), 1, 0)):
+            old = (np.arange(n.max())[None] >= f[:, None])[:, None, :]  # fresh ones have rows of their own
+            for ok, v, w in ((pair & (d < last[mine][:, :, None]), 0, 1), (pair & old & (d < last[m][:, None, :]), 1, 0)):
                 a, b, c = np.nonzero(ok)
                 both = mine[a, b], m[a, c]
                 held.append((both[v], both[w], np.maximum(d[a, b, c], 0), np.zeros(len(a), bool)))
@@ -212,17 +227,20 @@ def descended(graph: DataFrame, n_blocks: int, k: int, seed: int) -> DataFrame:
             if n_held > HELD or i + 64 >= len(starts):
                 kept = _best(*[np.concatenate(p) for p in zip(kept, *held)], k)  # k suffice: what ends among the k nearest is among the k best found
                 held, n_held = [], 0
+                end = np.flatnonzero(np.append(kept[0][1:] != kept[0][:-1], True))[: len(kept[0])]
+                end = end[np.diff(np.append(-1, end)) == k]  # what is further than k found ones needn't be held
+                last[kept[0][end]] = np.minimum(last[kept[0][end]], kept[2][end])
         v = ids[kept[0]]
         return _packed(block_of(v, n_blocks), {"v": v, "w": ids[kept[1]], "d": kept[2]}, "block")
 
     def merge(g: pa.Table, found: pa.Table) -> pa.Table:
-        nodes, near, dist = _numbers(g.column("node")), g.column("near").to_pylist(), g.column("dist").to_pylist()
+        nodes, (near, sizes), (dist, _) = _numbers(g.column("node")), _lists(g.column("near"), np.int64), _lists(g.column("dist"), np.float64)
         order = np.argsort(nodes)
-        v = np.concatenate([np.repeat(nodes, [len(x) for x in near]), _unpacked(found.column("v"), np.int64)])
-        w = np.concatenate([np.array([y for x in near for y in x], np.int64), _unpacked(found.column("w"), np.int64)])
-        d = np.concatenate([np.array([y for x in dist for y in x], np.float64), _unpacked(found.column("d"), np.float64)])
+        v = np.concatenate([np.repeat(nodes, sizes), _unpacked(found.column("v"), np.int64)])
+        w = np.concatenate([near, _unpacked(found.column("w"), np.int64)])
+        d = np.concatenate([dist, _unpacked(found.column("d"), np.float64)])
         known = np.zeros(len(d), bool)
-        known[: sum(map(len, near))] = np.isfinite(d[: sum(map(len, near))])
+        known[: len(near)] = np.isfinite(dist)
         v, w, d, fresh = _best(v, w, d, ~known, k)
         ends = np.concatenate([[0], np.searchsorted(v, nodes[order], "right")]).astype(np.int32)
         return pa.table(
@@ -311,7 +329,8 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
         order = np.argsort(ids)
         ids = ids[order]
         x = _matrix(g.column("vec"), np.float64)[order] if len(ids) else np.zeros((0, 1))
-        near = g.column("near")
+        near, sizes = _lists(g.column("near"), np.int64)
+        ends = np.cumsum(sizes)
         out = {"qblock": [], "query": [], "node": [], "d": [], "size": [], "near": []}
         for row in asked.to_pylist():
             query, node, bound = np.frombuffer(row["query"], np.int64), np.frombuffer(row["node"], np.int64), np.frombuffer(row["bound"], np.float64)
@@ -322,7 +341,8 @@ def search(graph: DataFrame, queries: DataFrame, beam: int = 256, width: int = 2
             at = np.searchsorted(ids, node)
             d = np.concatenate([np.sqrt(((x[at[i : i + 4096]] - q[i : i + 4096]) ** 2).sum(1)) for i in range(0, len(at), 4096)])
             good = np.flatnonzero(d <= bound)
-            lists = [np.array(near[int(order[a])].as_py(), np.int64) for a in at[good]]
+            mine = order[at[good]]
+            lists = [near[i:j] for i, j in zip((ends - sizes)[mine].tolist(), ends[mine].tolist())]
             out["qblock"].append(row["qblock"])
             out["query"].append(query[good].tobytes())
             out["node"].append(node[good].tobytes())

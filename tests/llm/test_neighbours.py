@@ -94,3 +94,23 @@ def test_huge_and_tiny_numbers_keep_their_order(spark):
             got.setdefault(r.query_id, []).append((r.vec_id, r.score / size))
         hits = sum(len({v for v, _ in got[q]} & {v for v, _ in true[q]}) for q in true)
         assert hits >= 0.9 * 60 and all(s == pytest.approx(np.sqrt(((x[q] - x[v]) ** 2).sum()), rel=1e-9) for q in got for v, s in got[q])
+
+
+def test_the_first_round_holds_few_pairs(spark, monkeypatch, tmp_path):
+    """What is further than k found ones, and the second sight of a pair, isn't held: fewer entries are sorted than pairs are measured."""
+    from loomline.llm import neighbours
+
+    log, best = tmp_path / "sizes", neighbours._best
+
+    def counted(v, *rest):
+        with log.open("a") as f:
+            f.write(f"{len(v)}\n")
+        return best(v, *rest)
+
+    monkeypatch.setattr(neighbours, "_best", counted)
+    monkeypatch.setattr(neighbours, "HELD", 50_000)
+    x = made(1000, 0, 0)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "node long, vec array<double>")
+    neighbours.descended(neighbours.random_graph(vectors, 1000, 1, 32), 1, 32, 0).count()
+    sizes = list(map(int, log.read_text().split()))
+    assert len(sizes) > 2 and sum(sizes) < 1_500_000
